@@ -59,15 +59,17 @@ def chunked_fold(
     state: dict[str, str],
     replay: Callable[[pd.DataFrame, tuple], dict[str, list]],
     out: dict[str, str],
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Add the columns ``out`` of a fold over the whole series. Needs ``index_series``.
 
     Only ``columns`` travel to Python. A replayed chunk comes back as one row of arrays and is joined on
-    ``(keys, chunk)``, the partitioning ``df`` already has.
+    ``(keys, chunk)``, the partitioning ``df`` already has. ``source`` may name an earlier table with the same rows
+    from which ``columns`` are taken.
     """
     part = lay.part
-    slim = df.select(*part, "pos", *[c for c in columns if c != "pos"])
-    key_schema = fields(df, part)
+    slim = (source or df).select(*part, "pos", *[c for c in columns if c != "pos"])
+    key_schema = fields(slim, part)
 
     def summarise_chunk(key, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([{**dict(zip(part, key)), **summarise(pdf.sort_values("pos"))}], columns=[*part, *summary])

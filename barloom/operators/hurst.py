@@ -1,4 +1,4 @@
-"""Rolling Hurst exponent by rescaled ranges, as one window expression.
+"""Rolling Hurst exponent by rescaled ranges, as window expressions.
 
 For a window of ``n`` rows the block sizes are fixed. The rescaled range of a block is a rolling expression
 evaluated at the block's last row, so the blocks of the window that ends at a row are plain lags of it.
@@ -9,43 +9,47 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators.rolling import lagged
-from barloom.operators.series import SERIES, SeriesLayout
+from barloom.operators.series import SERIES, Indicator, SeriesLayout
 
 # Block sizes of the rescaled-range fit for 120 rows.
 BLOCK_SIZES = (10, 17, 31, 56, 100, 120)
 
 
 def rolling_hurst(
-    df: DataFrame, lay: SeriesLayout = SERIES, col: str = "close", n: int = 120,
-    sizes: tuple[int, ...] = BLOCK_SIZES, out: str = "hurst",
-) -> DataFrame:
-    """Needs ``n - 1`` rows of halo. A block without range or without spread is left out of its mean."""
-    df = df.withColumn("_d", F.col(col) - lagged(col, lay))
-    ratios = {}
-    for size in sizes:
-        win = lay.rows(size)
-        span = F.max(col).over(win) - F.min(col).over(win)
-        spread = F.stddev_samp("_d").over(lay.rows(size - 1))
-        ratio = F.when(span > 0, F.try_divide(span, spread))
-        ratios[f"_rs{size}"] = F.when(F.count(col).over(win) == size, ratio)
-    df = df.withColumn("_full", F.count(col).over(lay.rows(n)) == n).withColumns(ratios)
-    blocks = {
-        f"_b{size}_{b}": F.lag(f"_rs{size}", (n - 1) - ((b + 1) * size - 1)).over(lay.order())
-        for size in sizes
-        for b in range(n // size)
-    }
-    df = df.withColumns(blocks)
+    lay: SeriesLayout = SERIES, col: str = "close", n: int = 120, sizes: tuple[int, ...] = BLOCK_SIZES, out: str = "hurst"
+) -> Indicator:
+    """A block without range or without spread is left out of its mean; a size without blocks gives NULL."""
+    over = f"OVER (PARTITION BY {', '.join(lay.part)} ORDER BY pos"
+
+    def rows(k: int) -> str:
+        return f"{over} ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
+
+    def ratio(size: int) -> str:
+        span = f"(max({col}) {rows(size)} - min({col}) {rows(size)})"
+        spread = f"stddev_samp(_{out}_d) {rows(size - 1)}"
+        return f"CASE WHEN count({col}) {rows(size)} = {size} AND {span} > 0 THEN try_divide({span}, {spread}) END"
+
+    def mean_ratio(size: int) -> str:
+        ends = [(n - 1) - ((b + 1) * size - 1) for b in range(n // size)]
+        parts = [f"lag(_{out}_{size}, {end}) {over})" for end in ends]
+        if len(parts) == 1:
+            return parts[0]
+        return f"aggregate(filter(array({', '.join(parts)}), x -> x IS NOT NULL), named_struct('s', 0D, 'n', 0), " \
+            "(a, x) -> named_struct('s', a.s + x, 'n', a.n + 1), a -> try_divide(a.s, a.n))"
+
     logs = [math.log10(size) for size in sizes]
-    mean = sum(logs) / len(logs)
-    total = sum((x - mean) ** 2 for x in logs)
-    slope = F.lit(0.0)
-    for size, x in zip(sizes, logs):
-        parts = [F.col(f"_b{size}_{b}") for b in range(n // size)]
-        count = sum((F.when(p.isNotNull(), 1).otherwise(0) for p in parts), F.lit(0))
-        amount = sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0))
-        slope = slope + F.log10(F.try_divide(amount, count)) * F.lit((x - mean) / total)
-    return df.withColumn(out, F.when(F.col("_full"), slope)).drop("_d", "_full", *ratios, *blocks)
+    center = sum(logs) / len(logs)
+    total = sum((x - center) ** 2 for x in logs)
+    slope = " + ".join(f"log10(_{out}_m{size}) * {(x - center) / total!r}D" for size, x in zip(sizes, logs))
+    return Indicator(
+        (
+            {f"_{out}_d": F.col(col) - lagged(col, lay)},
+            {f"_{out}_{size}": F.expr(ratio(size)) for size in sizes} | {f"_{out}_n": F.expr(f"count({col}) {rows(n)}")},
+            {f"_{out}_m{size}": F.expr(mean_ratio(size)) for size in sizes},
+            {out: F.expr(f"CASE WHEN _{out}_n = {n} THEN {slope} END")},
+        ),
+        n,
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.scalar import elapsed_hours
-from barloom.operators.series import SERIES, SeriesLayout, chunked_running, finite
+from barloom.operators.series import SERIES, Indicator, SeriesLayout, chunked_running, finite
 
 # Commission per side, share of the balance a short position uses, balances.
 COMMISSION = 0.0015
@@ -109,10 +109,8 @@ def equity_curve(
     opened = df.withColumns(
         {"_open_price": F.when(opens(), F.col(price)), "_open_side": F.when(opens(), F.signum("signals").cast("int"))}
     )
-    opened = finite(
-        opened, lay, 1,
-        lambda d: d.withColumns({f"_was_{c}": F.lag(f"_open_{c}").over(lay.order()) for c in ("price", "side")}),
-    )
+    was = {f"was_{c}": F.lag(f"_open_{c}").over(lay.order()) for c in ("price", "side")}
+    opened = finite(opened, lay, Indicator((was,), 1))
     df = chunked_running(
         opened,
         {
@@ -120,8 +118,8 @@ def equity_curve(
             "exits": ("sum", closes().cast("long")),
             "entry_price": ("last", F.col("_open_price")),
             "side": ("last", F.col("_open_side")),
-            "_exit_entry": ("last", F.col("_was_price")),
-            "_exit_side": ("last", F.col("_was_side")),
+            "_exit_entry": ("last", F.col("was_price")),
+            "_exit_side": ("last", F.col("was_side")),
         },
         lay,
     )
@@ -136,7 +134,7 @@ def equity_curve(
             "side": F.when(is_open, F.col("side")).otherwise(0).cast("int"),
             "entry_price": F.when(is_open, F.col("entry_price")),
         }
-    ).drop("_open_price", "_open_side", "_was_price", "_was_side", "_exit_entry", "_exit_side", "_log")
+    ).drop("_open_price", "_open_side", "was_price", "was_side", "_exit_entry", "_exit_side", "_log")
 
 
 def extremes_since_entry(

@@ -11,7 +11,7 @@ from barloom.functions.scalar import holds
 from barloom.operators import rolling
 from barloom.operators.hurst import rolling_hurst
 from barloom.operators.recursive import kalman_spec, linear_scan, regimes
-from barloom.operators.series import SERIES, SeriesLayout, drop_halo, index_series, with_halo
+from barloom.operators.series import SERIES, SeriesLayout, finite, index_series
 from barloom.operators.supertrend import supertrend
 from barloom.session import settle
 
@@ -41,29 +41,26 @@ def pair_join(bars: DataFrame, leader: str) -> DataFrame:
 
 def pair_windows(pairs: DataFrame, lay: SeriesLayout = PAIRS) -> DataFrame:
     """All finite look-back indicators of both sides in one shuffle."""
-    df = with_halo(index_series(pairs, lay), lay, before=121)
-    for s in ("leader", "follower"):
-        p = f"{s}_"
-        df = rolling.rsi(df, lay, f"{p}close", out=f"{p}rsi")
-        df = rolling.atr(df, lay, p)
-        df = rolling.rolling_std(df, lay, f"{p}close", out=f"{p}sigma")
-        df = rolling.bollinger(df, lay, p)
-        df = rolling_hurst(df, lay, f"{p}close", out=f"{p}hurst")
-    df = rolling.rolling_corr(df, lay)
-    df = rolling.rolling_low(df, lay, "follower_low")
-    return drop_halo(rolling.previous(df, lay, "leader_rsi", "follower_rsi"))
+    both = ("leader_", "follower_")
+    return finite(
+        index_series(pairs, lay),
+        lay,
+        *[rolling.with_previous(rolling.rsi(lay, f"{p}close", out=f"{p}rsi"), lay, f"{p}rsi") for p in both],
+        *[rolling.atr(lay, p) for p in both],
+        *[rolling.rolling_std(lay, f"{p}close", out=f"{p}sigma") for p in both],
+        *[rolling.bollinger(lay, p) for p in both],
+        *[rolling_hurst(lay, f"{p}close", out=f"{p}hurst") for p in both],
+        rolling.rolling_corr(lay),
+        rolling.rolling_low(lay, "follower_low"),
+    )
 
 
 def pair_indicators(pairs: DataFrame, lay: SeriesLayout = PAIRS) -> DataFrame:
     """Every indicator of the lead-lag rules for both sides."""
-    df = settle(pair_windows(pairs, lay))
-    sides = ("leader", "follower")
-    df = linear_scan(df, {f"{s}_close_filtered": kalman_spec(f"{s}_close") for s in sides}, lay)
-    for s in sides:
-        df = regimes(df, lay, f"{s}_")
-    for s in sides:
-        df = supertrend(df, lay, f"{s}_")
-    return df
+    windows = settle(pair_windows(pairs, lay))
+    sides = ("leader_", "follower_")
+    df = linear_scan(windows, {f"{p}close_filtered": kalman_spec(f"{p}close") for p in sides}, lay, windows)
+    return supertrend(regimes(df, lay, sides), lay, sides, source=windows)
 
 
 @dataclass(frozen=True)

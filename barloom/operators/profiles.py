@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators.folds import fields
 from barloom.operators.positions import HOUR_US, from_us
-from barloom.operators.series import SERIES, SeriesLayout, chunked_running, epoch_us, finite, with_halo
+from barloom.operators.series import SERIES, Indicator, SeriesLayout, chunked_running, epoch_us, finite, with_halo
 
 
 def _corr(x: Column, y: Column) -> Column:
@@ -32,16 +32,12 @@ def lead_lag_profile(df: DataFrame, lay: SeriesLayout, max_lag: int = 6) -> Data
     All lags are aggregated in one pass over the bars; nothing is repeated per lag.
     """
 
-    def columns(d: DataFrame) -> DataFrame:
-        order = lay.order()
-        d = d.withColumns(
-            {f"_{s}": F.try_divide(F.col(f"{s}_close"), F.lag(f"{s}_close").over(order)) - 1.0 for s in ("leader", "follower")}
-        )
-        return d.withColumns({f"_{s}{k}": F.lag(f"_{s}", k).over(order) for s in ("leader", "follower") for k in range(1, max_lag + 1)})
-
-    df = finite(df, lay, max_lag + 1, columns)
+    order, names = lay.order(), ("leader", "follower")
+    returns = {f"{s}_r": F.try_divide(F.col(f"{s}_close"), F.lag(f"{s}_close").over(order)) - 1.0 for s in names}
+    earlier = {f"{s}_r{k}": F.lag(f"{s}_r", k).over(order) for s in names for k in range(1, max_lag + 1)}
+    df = finite(df, lay, Indicator((returns, earlier), max_lag + 1))
     sides = {
-        k: (F.col(f"_leader{k}" if k > 0 else "_leader"), F.col(f"_follower{-k}" if k < 0 else "_follower"))
+        k: (F.col(f"leader_r{k}" if k > 0 else "leader_r"), F.col(f"follower_r{-k}" if k < 0 else "follower_r"))
         for k in range(-max_lag, max_lag + 1)
     }
     aggs = []
@@ -54,11 +50,9 @@ def lead_lag_profile(df: DataFrame, lay: SeriesLayout, max_lag: int = 6) -> Data
 
 def regime_segments(df: DataFrame, lay: SeriesLayout = SERIES, regime: str = "regime", close: str = "close") -> DataFrame:
     """Maximal runs of one regime: start, end, bars and return."""
-    flagged = finite(
-        df, lay, 1,
-        lambda d: d.withColumn("_new", F.when(F.col(regime) == F.lag(regime).over(lay.order()), 0).otherwise(1)),
-    )
-    numbered = chunked_running(flagged, {"segment": ("sum", F.col("_new").cast("long"))}, lay)
+    changed = F.when(F.col(regime) == F.lag(regime).over(lay.order()), 0).otherwise(1).cast("long")
+    flagged = finite(df, lay, Indicator(({"changed": changed},), 1))
+    numbered = chunked_running(flagged, {"segment": ("sum", F.col("changed"))}, lay)
     return numbered.groupBy(*lay.keys, "segment").agg(
         F.min(regime).alias("regime"),
         F.min(lay.ts).alias("start_ts"),

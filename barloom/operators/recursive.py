@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from barloom.functions.scalar import tri_signal
@@ -48,17 +48,27 @@ class Recurrence:
         return F.when(F.col("chunk") == 0, in_first).otherwise(steady)
 
 
-def linear_scan(df: DataFrame, specs: dict[str, Recurrence], lay: SeriesLayout = SERIES) -> DataFrame:
-    """Evaluate several recurrences in one pass. Needs ``index_series`` and non-null inputs."""
+def linear_scan(
+    df: DataFrame, specs: dict[str, Recurrence], lay: SeriesLayout = SERIES, source: DataFrame | None = None
+) -> DataFrame:
+    """Evaluate several recurrences in one pass. Needs ``index_series`` and non-null inputs.
+
+    ``source`` may name an earlier, narrower table with the same rows, from which the chunk ends are taken.
+    """
     for name, rec in specs.items():
         if len(rec.gains) > lay.chunk_rows or -lay.chunk_rows * math.log(1.0 - rec.gain) > 650:
             raise ValueError(f"{name}: choose a chunk size between {len(rec.gains)} and the range of doubles")
     start = F.col("chunk") * lay.chunk_rows
-    scaled = df.withColumns({f"_e_{k}": r.decay(start) for k, r in specs.items()}).withColumns(
-        {f"_x_{k}": r.weight() * F.col(r.col) / F.col(f"_e_{k}") for k, r in specs.items()}
-    )
-    local = scaled.withColumns({f"_l_{k}": F.sum(f"_x_{k}").over(lay.running()) * F.col(f"_e_{k}") for k in specs})
-    ends = local.groupBy(*lay.part).agg(*[F.max_by(f"_l_{k}", "pos").alias(f"_t_{k}") for k in specs])
+
+    def in_chunk(rows: DataFrame) -> DataFrame:
+        scaled = rows.withColumns({f"_e_{k}": r.decay(start) for k, r in specs.items()}).withColumns(
+            {f"_x_{k}": r.weight() * F.col(r.col) / F.col(f"_e_{k}") for k, r in specs.items()}
+        )
+        return scaled.withColumns({f"_l_{k}": F.sum(f"_x_{k}").over(lay.running()) * F.col(f"_e_{k}") for k in specs})
+
+    local = in_chunk(df)
+    slim = local if source is None else in_chunk(source.select(*lay.part, "pos", *{r.col for r in specs.values()}))
+    ends = slim.groupBy(*lay.part).agg(*[F.max_by(f"_l_{k}", "pos").alias(f"_t_{k}") for k in specs])
     by_chunk = Window.partitionBy(*lay.keys).orderBy("chunk")
     carries = []
     for k, rec in specs.items():
@@ -83,9 +93,12 @@ def ema_spec(col: str, span: float) -> Recurrence:
     return Recurrence(col, 2.0 / (span + 1.0))
 
 
-def ema_align(df: DataFrame, lay: SeriesLayout = SERIES, col: str = "close", spans: tuple[int, int, int] = (7, 14, 28)) -> DataFrame:
+def ema_align(
+    df: DataFrame, lay: SeriesLayout = SERIES, col: str = "close", spans: tuple[int, int, int] = (7, 14, 28),
+    source: DataFrame | None = None,
+) -> DataFrame:
     """Three exponential means (defined from the first row) and their alignment signal."""
-    df = linear_scan(df, {f"ema{s}": ema_spec(col, s) for s in spans}, lay)
+    df = linear_scan(df, {f"ema{s}": ema_spec(col, s) for s in spans}, lay, source)
     a, b, c = (F.col(f"ema{s}") for s in spans)
     return df.withColumn("ema_signal", tri_signal((a > b) & (b > c), (a < b) & (b < c)))
 
@@ -103,57 +116,65 @@ def kalman_spec(col: str, q: float = 0.01, r: float = 0.1, p0: float = 1.0) -> R
     return Recurrence(col, gains[-1], (1.0, *gains[1:]))
 
 
-def cusum(
-    df: DataFrame, lay: SeriesLayout = SERIES, price: str = "close", level: str = "close_filtered",
-    slack: str = "slack", prefix: str = "",
-) -> DataFrame:
-    """Two-sided CUSUM ``s_hi`` and ``s_lo``: ``S = max(0, S + x)``, 0 on the first row and where ``slack`` is NULL."""
-    dev = F.col(price) - F.col(level)
-    live = F.when(F.col("pos") > 0, F.col(slack))
-    names = {"hi": dev - live, "lo": -dev - live}
-    df = df.withColumns({f"_x_{s}": e for s, e in names.items()}).withColumn(
-        "_seg", F.sum(F.when(F.col("_x_hi").isNull(), 1).otherwise(0)).over(lay.running())
-    )
-    in_seg = Window.partitionBy(*lay.part, "_seg").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumns({f"_s_{s}": F.sum(F.coalesce(f"_x_{s}", F.lit(0.0))).over(in_seg) for s in names})
-    df = df.withColumns({f"_b_{s}": F.col(f"_s_{s}") - F.least(F.lit(0.0), F.min(f"_s_{s}").over(in_seg)) for s in names})
+def cusum(df: DataFrame, specs: dict[str, tuple[Column, Column]], lay: SeriesLayout = SERIES) -> DataFrame:
+    """Two-sided CUSUM: ``S = max(0, S + x)``, 0 on the first row and where ``x`` is NULL.
+
+    ``specs`` maps a prefix to (deviation, slack); adds ``{prefix}s_hi`` and ``{prefix}s_lo`` for each.
+    """
+    sums = {}
+    for prefix, (deviation, slack) in specs.items():
+        live = F.when(F.col("pos") > 0, slack)
+        sums |= {f"{prefix}s_hi": deviation - live, f"{prefix}s_lo": -deviation - live}
+    df = df.withColumns({f"_x_{s}": e for s, e in sums.items()})
+    df = df.withColumns({f"_g_{s}": F.sum(F.when(F.col(f"_x_{s}").isNull(), 1).otherwise(0)).over(lay.running()) for s in sums})
+
+    def since_reset(s: str) -> WindowSpec:
+        return Window.partitionBy(*lay.part, f"_g_{s}").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+
+    df = df.withColumns({f"_s_{s}": F.sum(F.coalesce(f"_x_{s}", F.lit(0.0))).over(since_reset(s)) for s in sums})
+    df = df.withColumns({f"_b_{s}": F.col(f"_s_{s}") - F.least(F.lit(0.0), F.min(f"_s_{s}").over(since_reset(s))) for s in sums})
     # a chunk maps the incoming S to max(b, S + a); a chunk with a reset forgets the incoming S
     ends = df.groupBy(*lay.part).agg(
-        F.max("_seg").alias("_resets"),
-        *[F.max_by(f"_s_{s}", "pos").alias(f"_a_{s}") for s in names],
-        *[F.max_by(f"_b_{s}", "pos").alias(f"_t_{s}") for s in names],
+        *[F.max(f"_g_{s}").alias(f"_g_{s}") for s in sums],
+        *[F.max_by(f"_s_{s}", "pos").alias(f"_a_{s}") for s in sums],
+        *[F.max_by(f"_b_{s}", "pos").alias(f"_t_{s}") for s in sums],
     )
     by_chunk = Window.partitionBy(*lay.keys).orderBy("chunk")
     run = by_chunk.rowsBetween(Window.unboundedPreceding, 0)
-    ends = ends.withColumn("_group", F.sum(F.when(F.col("_resets") > 0, 1).otherwise(0)).over(run))
-    in_group = Window.partitionBy(*lay.keys, "_group").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
+
+    def in_group(s: str) -> WindowSpec:
+        return Window.partitionBy(*lay.keys, f"_r_{s}").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
+
+    reset = {s: F.col(f"_g_{s}") > 0 for s in sums}
+    ends = ends.withColumns({f"_r_{s}": F.sum(F.when(reset[s], 1).otherwise(0)).over(run) for s in sums})
+    ends = ends.withColumns({f"_a_{s}": F.sum(F.when(reset[s], 0.0).otherwise(F.col(f"_a_{s}"))).over(in_group(s)) for s in sums})
     ends = ends.withColumns(
-        {f"_a_{s}": F.sum(F.when(F.col("_resets") > 0, 0.0).otherwise(F.col(f"_a_{s}"))).over(in_group) for s in names}
-    ).withColumns({f"_t_{s}": F.col(f"_a_{s}") + F.max(F.col(f"_t_{s}") - F.col(f"_a_{s}")).over(in_group) for s in names})
-    carries = ends.select(*lay.part, *[F.coalesce(F.lag(f"_t_{s}").over(by_chunk), F.lit(0.0)).alias(f"_c_{s}") for s in names])
+        {f"_t_{s}": F.col(f"_a_{s}") + F.max(F.col(f"_t_{s}") - F.col(f"_a_{s}")).over(in_group(s)) for s in sums}
+    )
+    carries = ends.select(*lay.part, *[F.coalesce(F.lag(f"_t_{s}").over(by_chunk), F.lit(0.0)).alias(f"_c_{s}") for s in sums])
     return (
         df.join(carries, lay.part)
         .withColumns(
             {
-                f"{prefix}s_{s}": F.when(F.col("_seg") > 0, F.col(f"_b_{s}")).otherwise(
+                s: F.when(F.col(f"_g_{s}") > 0, F.col(f"_b_{s}")).otherwise(
                     F.greatest(F.col(f"_b_{s}"), F.col(f"_c_{s}") + F.col(f"_s_{s}"))
                 )
-                for s in names
+                for s in sums
             }
         )
-        .drop("_seg", *[f"_{p}_{s}" for s in names for p in "xsbc"])
+        .drop(*[f"_{p}_{s}" for s in sums for p in "xgsbc"])
     )
 
 
 def regimes(
-    df: DataFrame, lay: SeriesLayout = SERIES, prefix: str = "", delta: float = 0.8, h_factor: float = 1.5
+    df: DataFrame, lay: SeriesLayout = SERIES, prefixes: tuple[str, ...] = ("",), delta: float = 0.8, h_factor: float = 1.5
 ) -> DataFrame:
-    """CUSUM regime label of ``{prefix}close``; needs ``{prefix}sigma`` and ``{prefix}close_filtered``."""
-    sigma = F.col(f"{prefix}sigma")
-    df = df.withColumn("_slack", sigma * delta)
-    df = cusum(df, lay, f"{prefix}close", f"{prefix}close_filtered", "_slack", prefix).drop("_slack")
-    bullish = F.col(f"{prefix}s_hi") > sigma * h_factor
-    return df.withColumn(f"{prefix}regime", F.when(bullish, "bullish").otherwise("bearish"))
+    """CUSUM regime label of each ``{prefix}close``; needs ``{prefix}sigma`` and ``{prefix}close_filtered``."""
+    specs = {p: (F.col(f"{p}close") - F.col(f"{p}close_filtered"), F.col(f"{p}sigma") * delta) for p in prefixes}
+    bullish = {p: F.col(f"{p}s_hi") > F.col(f"{p}sigma") * h_factor for p in prefixes}
+    return cusum(df, specs, lay).withColumns(
+        {f"{p}regime": F.when(bullish[p], "bullish").otherwise("bearish") for p in prefixes}
+    )
 
 
 def ffill(df: DataFrame, cols: tuple[str, ...] = ("close", "high", "low", "volume"), lay: SeriesLayout = SERIES) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators.ledger import COMMISSION, INITIAL_BALANCE, log_factor, open_factor
 from barloom.operators.positions import HoldRules
-from barloom.operators.series import SERIES, SeriesLayout, chunked_running, div, finite
+from barloom.operators.series import SERIES, Indicator, SeriesLayout, chunked_running, div, finite
 
 HOURS_PER_YEAR = 24 * 365
 
@@ -120,10 +120,11 @@ def sharpe_sortino(
 ) -> DataFrame:
     """Risk-adjusted return of an equity curve, bar by bar."""
     prev = F.coalesce(F.lag("equity").over(lay.order()), F.lit(initial))
-    df = finite(equity, lay, 1, lambda d: d.withColumn("_r", F.try_divide(F.col("equity"), prev) - 1.0))
-    down = F.least(F.col("_r"), F.lit(0.0))
+    df = finite(equity, lay, Indicator(({"bar_return": F.try_divide(F.col("equity"), prev) - 1.0},), 1))
+    r = F.col("bar_return")
+    down = F.least(r, F.lit(0.0))
     sums = df.groupBy(*lay.keys).agg(
-        F.count("_r").alias("bars"), F.sum("_r").alias("_s"), F.sum(F.col("_r") * F.col("_r")).alias("_q"), F.sum(down * down).alias("_d")
+        F.count(r).alias("bars"), F.sum(r).alias("_s"), F.sum(r * r).alias("_q"), F.sum(down * down).alias("_d")
     )
     return sums.withColumns(_ratios(F.col("bars"), F.col("_s"), F.col("_q"), F.col("_d"), bars_per_year)).drop("_s", "_q", "_d")
 
@@ -138,15 +139,13 @@ def sweep_stats(
     meets the bars on ``(keys, chunk)``. Bars are not repeated per parameter set.
     """
     prev = F.lag(price).over(lay.order())
-    slim = finite(
-        bars.select(*lay.part, "pos", "n_rows", F.col(price)), lay, 1, lambda d: d.withColumn("_prev", prev)
-    )
+    slim = finite(bars.select(*lay.part, "pos", "n_rows", F.col(price)), lay, Indicator(({"before": prev},), 1))
     last = F.coalesce("exit_pos", "entry_pos")
     spans = trades.withColumn("chunk", F.explode(F.sequence(div(F.col("entry_pos"), lay.chunk_rows), div(last, lay.chunk_rows))))
     held = slim.join(spans, lay.part).filter((F.col("pos") >= F.col("entry_pos")) & (F.col("pos") <= last))
     entry, side = F.col("entry_price"), F.col("side")
     now = open_factor(side, entry, F.col(price), commission, short_share)
-    before = F.when(F.col("pos") == F.col("entry_pos"), 1.0).otherwise(open_factor(side, entry, F.col("_prev"), commission, short_share))
+    before = F.when(F.col("pos") == F.col("entry_pos"), 1.0).otherwise(open_factor(side, entry, F.col("before"), commission, short_share))
     # leaving costs the commission on what is sold or bought back
     cost = F.try_divide(F.col(price), entry) * commission * F.when(side == 1, 1.0 - commission).otherwise(F.lit(short_share))
     after = F.when(F.col("pos") == F.col("exit_pos"), now - cost).otherwise(now)

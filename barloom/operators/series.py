@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from itertools import zip_longest
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -102,9 +103,29 @@ def drop_halo(df: DataFrame) -> DataFrame:
     return df.filter("home").drop("home")
 
 
-def finite(df: DataFrame, lay: SeriesLayout, lookback: int, columns) -> DataFrame:
-    """Run ``columns`` (a DataFrame -> DataFrame of window columns) with ``lookback`` rows of halo."""
-    return drop_halo(columns(with_halo(df, lay, before=lookback)))
+@dataclass(frozen=True)
+class Indicator:
+    """Layers of columns, each built from the table and the layers before it, and the past rows they read.
+
+    Columns whose name starts with an underscore are intermediate.
+    """
+
+    layers: tuple[dict[str, Column], ...]
+    lookback: int
+
+    def then(self, layer: dict[str, Column], lookback: int = 0) -> Indicator:
+        return Indicator((*self.layers, layer), self.lookback + lookback)
+
+
+def finite(df: DataFrame, lay: SeriesLayout, *indicators: Indicator) -> DataFrame:
+    """Add finite look-back indicators. Needs ``index_series``."""
+    df = with_halo(df, lay, before=max(i.lookback for i in indicators))
+    scratch: set[str] = set()
+    for level in zip_longest(*(i.layers for i in indicators), fillvalue={}):
+        columns = {name: column for layer in level for name, column in layer.items()}
+        scratch |= {name for name in columns if name.startswith("_")}
+        df = df.withColumns(columns)
+    return drop_halo(df).drop(*scratch)
 
 
 def chunk_rows_before(lay: SeriesLayout) -> WindowSpec:

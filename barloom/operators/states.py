@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from barloom.functions.scalar import state_index
 from barloom.operators.ledger import COMMISSION, SHORT_SHARE
 from barloom.operators.positions import BUY, HOLD, SHORT
-from barloom.operators.series import SERIES, SeriesLayout, finite
+from barloom.operators.series import SERIES, Indicator, SeriesLayout, finite
 
 
 def with_state(df: DataFrame, position: Column | None = None) -> DataFrame:
@@ -22,16 +22,12 @@ def with_state(df: DataFrame, position: Column | None = None) -> DataFrame:
 def steps(df: DataFrame, lay: SeriesLayout = SERIES) -> DataFrame:
     """Each row with the state before it and its own return: one observed step per row but the first."""
 
-    def columns(d: DataFrame) -> DataFrame:
-        order = lay.order()
-        return d.withColumns(
-            {
-                "from_state": F.lag("state_index").over(order),
-                "step_return": F.try_divide(F.col("close"), F.lag("close").over(order)) - 1.0,
-            }
-        )
-
-    return finite(df, lay, 1, columns).filter("from_state is not null")
+    order = lay.order()
+    columns = {
+        "from_state": F.lag("state_index").over(order),
+        "step_return": F.try_divide(F.col("close"), F.lag("close").over(order)) - 1.0,
+    }
+    return finite(df, lay, Indicator((columns,), 1)).filter("from_state is not null")
 
 
 def transitions(stepped: DataFrame) -> DataFrame:

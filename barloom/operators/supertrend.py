@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators.folds import chunked_fold
@@ -89,46 +89,65 @@ def _pieces(bars: list[tuple], trend: int) -> list[dict]:
     return [dict(zip(("trend_in", "lo", "hi", "keep", "value", "trend"), (trend, *r))) for r in rows]
 
 
-def supertrend(df: DataFrame, lay: SeriesLayout = SERIES, prefix: str = "", multiplier: float = 2.5) -> DataFrame:
-    """Add ``supertrend`` and ``supertrend_direction``; needs ``atr``, ``high``, ``low``, ``close``.
+def _advance(line: float, trend: int, pieces: list[dict]) -> tuple[float, int]:
+    for p in pieces:
+        if p["trend_in"] != trend:
+            continue
+        lo, hi = (math.nan if p[k] is None else p[k] for k in ("lo", "hi"))
+        if (lo != lo) if line != line else (lo < line < hi or lo == line == hi):
+            value = math.nan if p["value"] is None else p["value"]
+            return (line if p["keep"] else value), int(p["trend"])
+    raise ValueError("the pieces do not cover the incoming line")
+
+
+def supertrend(
+    df: DataFrame, lay: SeriesLayout = SERIES, prefixes: tuple[str, ...] = ("",), multiplier: float = 2.5,
+    source: DataFrame | None = None,
+) -> DataFrame:
+    """Add ``{prefix}supertrend`` and ``{prefix}supertrend_direction``; needs ``atr``, ``high``, ``low``, ``close``.
 
     Direction is 0 on the first row. A flip keeps the old line while the new band lies beyond it.
     """
+    ready = (source or df).select(*lay.part, "pos", *_bands(prefixes, multiplier))
 
-    def bars(pdf: pd.DataFrame) -> list[tuple]:
-        return list(zip((pdf["pos"] == 0).tolist(), *(pdf[c].astype(float).tolist() for c in ("_close", "_lower", "_upper"))))
+    def bars(pdf: pd.DataFrame, p: str) -> list[tuple]:
+        return list(zip((pdf["pos"] == 0).tolist(), *(pdf[f"_{c}{p}"].astype(float).tolist() for c in ("close", "lower", "upper"))))
 
     def summarise(pdf: pd.DataFrame) -> dict:
-        rows = bars(pdf)
-        return {"pieces": _pieces(rows, 1) + _pieces(rows, -1)}
+        return {f"pieces{p}": _pieces(bars(pdf, p), 1) + _pieces(bars(pdf, p), -1) for p in prefixes}
 
     def advance(now: tuple, summary: dict) -> tuple:
-        line, trend = now
-        for p in summary["pieces"]:
-            if p["trend_in"] != trend:
-                continue
-            lo, hi = (math.nan if p[k] is None else p[k] for k in ("lo", "hi"))
-            if (lo != lo) if line != line else (lo < line < hi or lo == line == hi):
-                value = math.nan if p["value"] is None else p["value"]
-                return (line if p["keep"] else value), int(p["trend"])
-        raise ValueError("the pieces do not cover the incoming line")
+        after = [_advance(now[2 * i], now[2 * i + 1], summary[f"pieces{p}"]) for i, p in enumerate(prefixes)]
+        return tuple(x for state in after for x in state)
 
     def replay(pdf: pd.DataFrame, state: tuple) -> dict[str, list]:
-        line, trend = float(state[0]), int(state[1])
-        lines, directions = [], []
-        for first, close, lower, upper in bars(pdf):
-            line, trend = (upper, 1) if first else _bar(line, trend, close, lower, upper)
-            lines.append(None if line != line else line)
-            directions.append(0 if first else trend)
-        return {f"{prefix}supertrend": lines, f"{prefix}supertrend_direction": directions}
-
-    middle = (F.col(f"{prefix}high") + F.col(f"{prefix}low")) / 2.0
-    band = F.col(f"{prefix}atr") * multiplier
-    ready = df.withColumns({"_close": F.col(f"{prefix}close"), "_lower": middle - band, "_upper": middle + band})
+        out = {}
+        for i, p in enumerate(prefixes):
+            line, trend = float(state[2 * i]), int(state[2 * i + 1])
+            lines, directions = [], []
+            for first, close, lower, upper in bars(pdf, p):
+                line, trend = (upper, 1) if first else _bar(line, trend, close, lower, upper)
+                lines.append(None if line != line else line)
+                directions.append(0 if first else trend)
+            out |= {f"{p}supertrend": lines, f"{p}supertrend_direction": directions}
+        return out
+
     piece = "array<struct<trend_in:int,lo:double,hi:double,keep:boolean,value:double,trend:int>>"
+    states, outputs = {}, {}
+    for p in prefixes:
+        states |= {f"line_in{p}": "double", f"trend_in{p}": "int"}
+        outputs |= {f"{p}supertrend": "double", f"{p}supertrend_direction": "int"}
     return chunked_fold(
-        ready, lay, ["_close", "_lower", "_upper"],
-        summarise, {"pieces": piece},
-        (math.nan, 1), advance, {"line_in": "double", "trend_state": "int"},
-        replay, {f"{prefix}supertrend": "double", f"{prefix}supertrend_direction": "int"},
-    ).drop("_close", "_lower", "_upper")
+        df, lay, [f"_{c}{p}" for p in prefixes for c in ("close", "lower", "upper")],
+        summarise, {f"pieces{p}": piece for p in prefixes},
+        (math.nan, 1) * len(prefixes), advance, states, replay, outputs, ready,
+    )
+
+
+def _bands(prefixes: tuple[str, ...], multiplier: float) -> list[Column]:
+    columns = []
+    for p in prefixes:
+        middle = (F.col(f"{p}high") + F.col(f"{p}low")) / 2.0
+        band = F.col(f"{p}atr") * multiplier
+        columns += [F.col(f"{p}close").alias(f"_close{p}"), (middle - band).alias(f"_lower{p}"), (middle + band).alias(f"_upper{p}")]
+    return columns

@@ -11,7 +11,7 @@ from barloom.operators.hurst import rolling_hurst
 from barloom.operators.pairs import PAIRS, pair_join
 from barloom.operators.positions import SWEEP_COOLDOWN_HOURS, HoldRules, narrow_output, sweep_grid, wide_output
 from barloom.operators.recursive import ema_align, ffill, kalman_spec, linear_scan, regimes
-from barloom.operators.series import SERIES, finite, index_series, select_out
+from barloom.operators.series import SERIES, Indicator, finite, select_out
 from barloom.operators.states import apply_policy, occupancy, policy_table, steps, transitions, with_state
 from barloom.operators.supertrend import supertrend
 from barloom.plans import strategies as S
@@ -22,11 +22,11 @@ KEY = ["symbol", "ts"]
 PAIR_KEY = ["leader", "follower", "ts"]
 
 
-def _windowed(lookback: int, columns, names: list[str], bars=S.value_bars):
+def _windowed(names: list[str], *indicators, bars=S.value_bars):
     """A query of finite look-back columns on single series."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = finite(index_series(bars(spark, sf_dir)), SERIES, lookback, columns)
+        df = finite(S.indexed(bars(spark, sf_dir)), SERIES, *[i() for i in indicators])
         return select_out(df, [*KEY, *names])
 
     return query
@@ -48,17 +48,17 @@ def bars_daily(spark, sf_dir):
 
 
 def ema_query(spark, sf_dir):
-    df = ema_align(index_series(S.value_bars(spark, sf_dir)))
+    df = ema_align(S.indexed(S.value_bars(spark, sf_dir)))
     return select_out(df, [*KEY, "ema7", "ema14", "ema28", "ema_signal"])
 
 
 def kalman_level(spark, sf_dir):
-    df = linear_scan(index_series(S.hourly_bars(spark, sf_dir)), {"close_filtered": kalman_spec("close")})
+    df = linear_scan(S.indexed(S.hourly_bars(spark, sf_dir)), {"close_filtered": kalman_spec("close")})
     return select_out(df, [*KEY, "close_filtered"])
 
 
 def _regimes(spark, sf_dir):
-    df = finite(index_series(S.hourly_bars(spark, sf_dir)), SERIES, 5, rolling.rolling_std)
+    df = finite(S.indexed(S.hourly_bars(spark, sf_dir)), SERIES, rolling.rolling_std())
     return regimes(linear_scan(df, {"close_filtered": kalman_spec("close")}))
 
 
@@ -77,20 +77,20 @@ def bullish_region(spark, sf_dir):
 
 
 def supertrend_query(spark, sf_dir):
-    df = finite(index_series(S.hourly_bars(spark, sf_dir)), SERIES, 13, rolling.atr)
+    df = finite(S.indexed(S.hourly_bars(spark, sf_dir)), SERIES, rolling.atr())
     return select_out(supertrend(df), [*KEY, "supertrend", "supertrend_direction"])
 
 
 def ffill_clean(spark, sf_dir):
     thin = S.thin_bars(S.value_bars(spark, sf_dir), 60.0)
-    filled = shape.drop_incomplete(ffill(index_series(thin)))
+    filled = shape.drop_incomplete(ffill(S.indexed(thin)))
     return select_out(filled, [*KEY, *S_OHLCV])
 
 
 def split_slice(spark, sf_dir):
     lay = S.SPLIT
-    df = index_series(shape.with_split(S.daily_bars(spark, sf_dir), S.ORDER_SPLITS), lay)
-    return select_out(finite(df, lay, 14, lambda d: rolling.sma_cross(d, lay)), [*KEY, "split", "ma7", "ma14", "ma_signal"])
+    df = S.indexed(shape.with_split(S.daily_bars(spark, sf_dir), S.ORDER_SPLITS), lay)
+    return select_out(finite(df, lay, rolling.sma_cross(lay)), [*KEY, "split", "ma7", "ma14", "ma_signal"])
 
 
 def train_and_test(spark, sf_dir):
@@ -102,7 +102,7 @@ def train_and_test(spark, sf_dir):
 
 
 def time_range(spark, sf_dir):
-    df = finite(index_series(S.value_bars(spark, sf_dir)), SERIES, 14, rolling.sma_cross)
+    df = finite(S.indexed(S.value_bars(spark, sf_dir)), SERIES, rolling.sma_cross())
     return select_out(shape.time_range(df, "2024-01-08", "2024-01-21"), [*KEY, "close", "ma7", "ma14"])
 
 
@@ -122,13 +122,12 @@ def _pairs(spark, sf_dir):
 
 
 def rolling_corr(spark, sf_dir):
-    df = finite(index_series(_pairs(spark, sf_dir), PAIRS), PAIRS, 7, lambda d: rolling.rolling_corr(d, PAIRS))
+    df = finite(S.indexed(_pairs(spark, sf_dir), PAIRS), PAIRS, rolling.rolling_corr(PAIRS))
     return select_out(df, [*PAIR_KEY, "correlation"])
 
 
 def previous_rsi(spark, sf_dir):
-    columns = lambda d: rolling.previous(rolling.rsi(d), SERIES, "rsi_14")
-    df = finite(index_series(S.value_bars(spark, sf_dir)), SERIES, 16, columns)
+    df = finite(S.indexed(S.value_bars(spark, sf_dir)), SERIES, rolling.with_previous(rolling.rsi(), SERIES, "rsi_14"))
     flags = df.withColumns(
         {
             "falling": F.coalesce(F.col("rsi_14") < F.col("rsi_14_prev"), F.lit(False)),
@@ -139,7 +138,7 @@ def previous_rsi(spark, sf_dir):
 
 
 def last_rows(spark, sf_dir):
-    return select_out(shape.last_row(index_series(S.value_bars(spark, sf_dir))), [*KEY, "close", "pos", "n_rows"])
+    return select_out(shape.last_row(S.indexed(S.value_bars(spark, sf_dir))), [*KEY, "close", "pos", "n_rows"])
 
 
 def gates_query(spark, sf_dir):
@@ -191,7 +190,7 @@ def param_sweep(spark, sf_dir):
 
 
 def lead_lag_profile(spark, sf_dir):
-    df = profiles.lead_lag_profile(index_series(_pairs(spark, sf_dir), PAIRS), PAIRS)
+    df = profiles.lead_lag_profile(S.indexed(_pairs(spark, sf_dir), PAIRS), PAIRS)
     return select_out(df, ["leader", "follower", "lag", "n", "r"])
 
 
@@ -322,11 +321,9 @@ def policy_trades(spark, sf_dir):
 
 
 def first_touch(spark, sf_dir):
-    bars = finite(index_series(S.hourly_bars(spark, sf_dir)), SERIES, 14, rolling.sma_cross)
-    crossed = finite(
-        bars, SERIES, 1,
-        lambda d: d.withColumn("entry", F.coalesce((F.col("ma_signal") == 1) & (F.lag("ma_signal").over(SERIES.order()) != 1), F.lit(False))),
-    )
+    bars = finite(S.indexed(S.hourly_bars(spark, sf_dir)), SERIES, rolling.sma_cross())
+    turned = (F.col("ma_signal") == 1) & (F.lag("ma_signal").over(SERIES.order()) != 1)
+    crossed = finite(bars, SERIES, Indicator(({"entry": F.coalesce(turned, F.lit(False))},), 1))
     df = profiles.first_touch(crossed, SERIES, "entry", 72)
     return select_out(df, ["symbol", "entry_ts", "entry_price", "touch_ts", "touch_price", "touch"])
 
@@ -351,20 +348,16 @@ def queries() -> dict:
         "bars_path": bars_path,
         "bars_daily": bars_daily,
         "csv_round_trip": csv_round_trip,
-        "sma_cross": _windowed(14, rolling.sma_cross, ["ma7", "ma14", "ma_signal"]),
-        "price_changes": _windowed(1, rolling.price_changes, ["diff", "returns", "pct_change"]),
-        "rsi": _windowed(15, lambda d: rolling.rsi_signal(rolling.rsi(d)), ["rsi_14", "rsi_signal"]),
-        "aroon": _windowed(15, rolling.aroon, ["aroon_up", "aroon_down", "aroon_signal"]),
-        "aroon_textbook": _windowed(
-            15, lambda d: rolling.aroon(d, convention="textbook"), ["aroon_up", "aroon_down", "aroon_signal"]
-        ),
-        "atr": _windowed(13, lambda d: rolling.true_range(rolling.atr(d)), ["true_range", "atr"]),
-        "rolling_std": _windowed(5, rolling.rolling_std, ["sigma"]),
-        "bollinger": _windowed(
-            20, rolling.bollinger, ["bollinger_middle", "bollinger_upper", "bollinger_lower"]
-        ),
-        "rolling_low": _windowed(25, rolling.rolling_low, ["low25"]),
-        "hurst": _windowed(120, rolling_hurst, ["hurst"], S.hourly_bars),
+        "sma_cross": _windowed(["ma7", "ma14", "ma_signal"], rolling.sma_cross),
+        "price_changes": _windowed(["diff", "returns", "pct_change"], rolling.price_changes),
+        "rsi": _windowed(["rsi_14", "rsi_signal"], lambda: rolling.rsi_signal(rolling.rsi())),
+        "aroon": _windowed(["aroon_up", "aroon_down", "aroon_signal"], rolling.aroon),
+        "aroon_textbook": _windowed(["aroon_up", "aroon_down", "aroon_signal"], lambda: rolling.aroon(convention="textbook")),
+        "atr": _windowed(["true_range", "atr"], rolling.true_range, rolling.atr),
+        "rolling_std": _windowed(["sigma"], rolling.rolling_std),
+        "bollinger": _windowed(["bollinger_middle", "bollinger_upper", "bollinger_lower"], rolling.bollinger),
+        "rolling_low": _windowed(["low25"], rolling.rolling_low),
+        "hurst": _windowed(["hurst"], rolling_hurst, bars=S.hourly_bars),
         "previous_rsi": previous_rsi,
         "last_rows": last_rows,
         "ema_align": ema_query,

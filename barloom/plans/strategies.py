@@ -50,18 +50,27 @@ def thin_bars(bars: DataFrame, volume: float) -> DataFrame:
 
 def single_asset(bars: DataFrame, lay: SeriesLayout = SERIES) -> DataFrame:
     """Checked, forward-filled bars with every single-asset indicator and signal; warm-up rows are gone."""
-    filled = ffill(index_series(shape.require_columns(bars), lay), lay=lay).drop("pos", "n_rows", "chunk")
+    filled = ffill(indexed(shape.require_columns(bars), lay), lay=lay)
     # a series starts at its first price
-    df = index_series(filled.filter("close is not null"), lay)
+    rows = reindexed(filled.filter("close is not null"), lay)
     df = finite(
-        df, lay, 15,
-        lambda d: rolling.price_changes(rolling.rsi_signal(rolling.rsi(rolling.aroon(rolling.sma_cross(d, lay), lay), lay)), lay),
-    ).drop("diff")
-    df = ema_align(df, lay)
+        rows, lay, rolling.sma_cross(lay), rolling.aroon(lay), rolling.rsi_signal(rolling.rsi(lay)), rolling.price_changes(lay)
+    ).drop("diff")
+    df = ema_align(df, lay, source=rows)
     df = shape.drop_incomplete(df, [f"ema{s}" for s in (7, 14, 28)])
     return shape.drop_incomplete(df)
 
 
+def indexed(bars: DataFrame, lay: SeriesLayout = SERIES) -> DataFrame:
+    """Numbered rows, written once for the passes that follow."""
+    return settle(index_series(bars, lay))
+
+
+def reindexed(df: DataFrame, lay: SeriesLayout) -> DataFrame:
+    """Number the rows that are left."""
+    return indexed(df.drop("pos", "n_rows", "chunk"), lay)
+
+
 def signal_actions(df: DataFrame) -> DataFrame:
     """An action column from the signals: trends open positions, overheated momentum closes them."""
     aroon, ema, rsi = F.col("aroon_signal"), F.col("ema_signal"), F.col("rsi_signal")
@@ -75,11 +84,6 @@ def signal_actions(df: DataFrame) -> DataFrame:
     return df.withColumn("action", action)
 
 
-def reindexed(df: DataFrame, lay: SeriesLayout) -> DataFrame:
-    """Number the rows that are left, and start later passes from them."""
-    return settle(index_series(df.drop("pos", "n_rows", "chunk"), lay))
-
-
 def signal_trades(bars: DataFrame, lay: SeriesLayout = SERIES) -> DataFrame:
     """Single-asset signals played with a hard stop."""
     acted = signal_actions(reindexed(single_asset(bars, lay), lay))
