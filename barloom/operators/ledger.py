@@ -166,16 +166,14 @@ def stop_when_broke(df: DataFrame, lay: SeriesLayout = SERIES, min_share: float
     A short cover that leaves too little still gets its record; an entry (or reversal) with too little does not.
     Needs the columns of ``equity_curve``.
     """
-    low = F.col("balance_factor") < min_share
-    cover = (F.col("trade_type") == "short_close") & low
-    entry = opens() & low
-    first = df.filter((F.col("pos") < F.col("n_rows") - 1) & (cover | entry)).groupBy(*lay.keys).agg(
-        F.min(F.when(entry, F.col("pos")).otherwise(F.col("pos") + 1)).alias("_end")
-    )
-    over = F.col("pos") >= F.col("_end")
-    return df.join(first, list(lay.keys), "left").withColumns(
-        {c: F.when(over, None).otherwise(F.col(c)) for c in ("signals", "trade_type")}
-    ).drop("_end")
+    low = (F.col("balance_factor") < min_share) & (F.col("pos") < F.col("n_rows") - 1)
+    cover = ((F.col("trade_type") == "short_close") & low).cast("int")
+    entry = (opens() & low).cast("int")
+    seen = chunked_running(df, {"covers": ("sum", cover), "refused": ("sum", entry)}, lay)
+    over = (F.col("refused") > 0) | (F.col("covers") - cover > 0)
+    return seen.withColumns({f"_{c}": F.when(~over, F.col(c)) for c in ("signals", "trade_type")}).withColumns(
+        {c: F.col(f"_{c}") for c in ("signals", "trade_type")}
+    ).drop("covers", "refused", "_signals", "_trade_type")
 
 
 def attach_log(bars: DataFrame, log: DataFrame, lay: SeriesLayout = SERIES) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from barloom.operators.folds import chain_select, chunked_fold, fields
 from barloom.operators.pairs import PAIRS
 from barloom.operators.series import SERIES, SeriesLayout, epoch_us, with_halo
+from barloom.session import settle
 
 HOUR_US = 3_600_000_000
 
@@ -130,7 +131,7 @@ def trade_walk(gated: DataFrame, grid: list[HoldRules], lay: SeriesLayout = PAIR
         resolve,
         f"{fields(halo, part)}, " + ", ".join(f"{n} {t}" for n, t in TRADE.items()),
     )
-    return chain_select(entries, [*lay.keys, "param_id"]).drop("chunk", "resume_us")
+    return chain_select(settle(entries), [*lay.keys, "param_id"]).drop("chunk", "resume_us")
 
 
 def from_us(us: str):

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from barloom.functions.scalar import tri_signal
-from barloom.operators.series import SERIES, SeriesLayout, chunked_running
+from barloom.operators.series import SERIES, SeriesLayout, by_calendar, chunked_running
 
 _NEGLIGIBLE = math.log(1e-19)
 
@@ -178,6 +178,6 @@ def regimes(
 
 
 def ffill(df: DataFrame, cols: tuple[str, ...] = ("close", "high", "low", "volume"), lay: SeriesLayout = SERIES) -> DataFrame:
-    """Replace NULL by the last value before it in the series."""
-    filled = chunked_running(df, {f"_f_{c}": ("last", F.col(c)) for c in cols}, lay)
-    return filled.withColumns({c: F.col(f"_f_{c}") for c in cols}).drop(*[f"_f_{c}" for c in cols])
+    """Replace NULL by the last value before it in the series. Takes plain bars."""
+    filled = chunked_running(by_calendar(df, lay), {f"_f_{c}": ("last", F.col(c)) for c in cols}, lay)
+    return filled.withColumns({c: F.col(f"_f_{c}") for c in cols}).drop("pos", "chunk", *[f"_f_{c}" for c in cols])

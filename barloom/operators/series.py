@@ -48,6 +48,7 @@ class SeriesLayout:
 
 
 SERIES = SeriesLayout()
+TIE = 3.7e-11
 
 
 def epoch_us(ts: str) -> Column:
@@ -84,6 +85,12 @@ def index_series(df: DataFrame, lay: SeriesLayout = SERIES) -> DataFrame:
     )
 
 
+def by_calendar(df: DataFrame, lay: SeriesLayout = SERIES) -> DataFrame:
+    """Cut series at calendar buckets instead of row counts: enough for ``chunked_running``, without numbering rows."""
+    at = epoch_us(lay.ts)
+    return df.withColumns({"pos": at, "chunk": div(at, lay.bucket_days * 86_400_000_000)})
+
+
 def with_halo(
     df: DataFrame, lay: SeriesLayout = SERIES, before: int = 0, after: int = 0, size: int | None = None
 ) -> DataFrame:
@@ -139,7 +146,7 @@ def chunked_running(
     """Add inclusive running values over the whole series.
 
     ``specs`` maps an output name to ``(kind, expression)`` with kind ``sum``, ``min``, ``max`` or ``last``
-    (the last non-null value). Needs ``index_series``.
+    (the last non-null value). Needs ``index_series`` or ``by_calendar``.
     """
     merge = {
         "sum": lambda here, carry: F.coalesce(here, F.lit(0)) + F.coalesce(carry, F.lit(0)),
@@ -169,13 +176,16 @@ def chunked_running(
 
 
 def select_out(df: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFrame:
-    """Pick result columns; doubles are rounded (and -0 becomes 0) so that equal results compare equal."""
+    """Pick result columns; doubles are rounded so that equal results compare equal.
+
+    Values within ``TIE`` of a rounding boundary go up whatever their last bits are, and -0 becomes 0.
+    """
     types = dict(df.dtypes)
 
     def shown(c: str) -> Column:
         if types[c] != "double":
             return F.col(c)
-        value = F.round(c, digits)
+        value = F.round(F.col(c) + TIE, digits)
         return F.when(value == 0, 0.0).otherwise(value).alias(c)
 
     return df.select(*[shown(c) for c in columns])

@@ -15,7 +15,7 @@ from barloom.operators.series import SERIES, Indicator, finite, select_out
 from barloom.operators.states import apply_policy, occupancy, policy_table, steps, transitions, with_state
 from barloom.operators.supertrend import supertrend
 from barloom.plans import strategies as S
-from barloom.session import shared_folder
+from barloom.session import settle, shared_folder
 from barloom.sources.bars import read_csv_bars, write_csv
 
 KEY = ["symbol", "ts"]
@@ -83,7 +83,7 @@ def supertrend_query(spark, sf_dir):
 
 def ffill_clean(spark, sf_dir):
     thin = S.thin_bars(S.value_bars(spark, sf_dir), 60.0)
-    filled = shape.drop_incomplete(ffill(S.indexed(thin)))
+    filled = shape.drop_incomplete(ffill(thin))
     return select_out(filled, [*KEY, *S_OHLCV])
 
 
@@ -205,7 +205,7 @@ def column_bounds(spark, sf_dir):
 
 def benchmark_cmp(spark, sf_dir):
     bars = S.daily_bars(spark, sf_dir)
-    trades = ledger.trade_ledger(S.signal_trades(bars))
+    trades = ledger.trade_ledger(settle(S.signal_trades(bars)))
     held = ledger.compounded_balance(trades, ["symbol"])
     profit = reports.profit_pct(F.lit(ledger.INITIAL_BALANCE), F.col("compounded_balance"))
     df = reports.benchmark(bars, ["symbol"]).join(held, "symbol").withColumn("profit_pct", profit)
@@ -214,11 +214,11 @@ def benchmark_cmp(spark, sf_dir):
 
 
 def _trades(spark, sf_dir):
-    return S.signal_trades(S.daily_bars(spark, sf_dir))
+    return settle(S.signal_trades(S.daily_bars(spark, sf_dir)))
 
 
 def positions_hard_stop(spark, sf_dir):
-    return select_out(_trades(spark, sf_dir), [*KEY, "close", "action", "signals", "trade_type", "price"])
+    return select_out(S.signal_trades(S.daily_bars(spark, sf_dir)), [*KEY, "close", "action", "signals", "trade_type", "price"])
 
 
 def trade_ledger(spark, sf_dir):
@@ -233,7 +233,7 @@ def balances(spark, sf_dir):
 
 def _quarters(spark, sf_dir):
     bars = S.daily_bars(spark, sf_dir)
-    played = S.signal_trades(bars)
+    played = settle(S.signal_trades(bars))
     worst = reports.adverse_excursion(ledger.trade_ids(played))
     book = reports.with_excursion(ledger.trade_ledger(played), worst, ["symbol"])
     return reports.quarter_summary(bars, book, ["symbol"])
@@ -271,7 +271,7 @@ def sharpe_sortino(spark, sf_dir):
 
 
 def trade_type_counts(spark, sf_dir):
-    return reports.trade_type_counts(_trades(spark, sf_dir), ["symbol"])
+    return reports.trade_type_counts(S.signal_trades(S.daily_bars(spark, sf_dir)), ["symbol"])
 
 
 def broke_log(spark, sf_dir):

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 
 def num(expr: str, alias: str | None = None) -> str:
-    """A rounded double under its output name."""
-    return f"CASE WHEN round({expr}, 6) = 0 THEN 0.0::DOUBLE ELSE round({expr}, 6)::DOUBLE END AS {alias or expr}"
+    """A rounded double under its output name; near-ties go up, as in the Spark results."""
+    value = f"round(({expr}) + 3.7e-11::DOUBLE, 6)"
+    return f"CASE WHEN {value} = 0 THEN 0.0::DOUBLE ELSE {value}::DOUBLE END AS {alias or expr}"
 
 
 def nums(*names: str) -> str:

@@ -50,9 +50,9 @@ def thin_bars(bars: DataFrame, volume: float) -> DataFrame:
 
 def single_asset(bars: DataFrame, lay: SeriesLayout = SERIES) -> DataFrame:
     """Checked, forward-filled bars with every single-asset indicator and signal; warm-up rows are gone."""
-    filled = ffill(indexed(shape.require_columns(bars), lay), lay=lay)
+    filled = ffill(shape.require_columns(bars), lay=lay)
     # a series starts at its first price
-    rows = reindexed(filled.filter("close is not null"), lay)
+    rows = indexed(filled.filter("close is not null"), lay)
     df = finite(
         rows, lay, rolling.sma_cross(lay), rolling.aroon(lay), rolling.rsi_signal(rolling.rsi(lay)), rolling.price_changes(lay)
     ).drop("diff")
@@ -87,7 +87,7 @@ def signal_actions(df: DataFrame) -> DataFrame:
 def signal_trades(bars: DataFrame, lay: SeriesLayout = SERIES) -> DataFrame:
     """Single-asset signals played with a hard stop."""
     acted = signal_actions(reindexed(single_asset(bars, lay), lay))
-    return settle(hard_stop_positions(acted, lay))
+    return hard_stop_positions(acted, lay)
 
 
 def learned_policy(indicators: DataFrame, lay: SeriesLayout = SPLIT) -> DataFrame:
