@@ -8,7 +8,10 @@ maxima. No pass reads a series in one task.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import accumulate
+from operator import mul
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -31,21 +34,20 @@ class Recurrence:
     gain: float
     gains: tuple[float, ...] = (1.0,)
 
+    def _head(self, values: Sequence[float]) -> str:
+        listed = ", ".join(f"{v!r}D" for v in values)
+        return f"element_at(array({listed}), CAST(pos + 1 AS INT))"
+
     def weight(self) -> Column:
-        head = F.element_at(F.array(*[F.lit(g) for g in self.gains]), (F.col("pos") + 1).cast("int"))
-        return F.when(F.col("pos") < len(self.gains), head).otherwise(F.lit(self.gain))
-
-    def decay(self, start: Column) -> Column:
-        """Product of ``keep`` over the rows after ``start`` up to and including this one."""
-        steady = F.pow(F.lit(1.0 - self.gain), (F.col("pos") - start).cast("double"))
-        products, product = [], 1.0
-        for i, g in enumerate(self.gains):
-            product = product * (1.0 - g) if i else 1.0
-            products.append(product)
-        tail = F.pow(F.lit(1.0 - self.gain), (F.col("pos") - (len(self.gains) - 1)).cast("double"))
-        head = F.element_at(F.array(*[F.lit(p) for p in products]), (F.col("pos") + 1).cast("int"))
-        in_first = F.when(F.col("pos") < len(self.gains), head).otherwise(F.lit(products[-1]) * tail)
-        return F.when(F.col("chunk") == 0, in_first).otherwise(steady)
+        return F.expr(f"CASE WHEN pos < {len(self.gains)} THEN {self._head(self.gains)} ELSE {self.gain!r}D END")
+
+    def decay(self, chunk_rows: int) -> Column:
+        """Product of ``keep`` over the chunk's rows up to this one, its first row left out."""
+        keep, head = 1.0 - self.gain, len(self.gains)
+        products = list(accumulate((1.0 - g for g in self.gains[1:]), mul, initial=1.0))
+        tail = f"{products[-1]!r}D * pow({keep!r}D, pos - {head - 1})"
+        first = f"CASE WHEN pos < {head} THEN {self._head(products)} ELSE {tail} END"
+        return F.expr(f"CASE WHEN chunk = 0 THEN {first} ELSE pow({keep!r}D, pos - chunk * {chunk_rows}) END")
 
 
 def linear_scan(
@@ -58,10 +60,8 @@ def linear_scan(
     for name, rec in specs.items():
         if len(rec.gains) > lay.chunk_rows or -lay.chunk_rows * math.log(1.0 - rec.gain) > 650:
             raise ValueError(f"{name}: choose a chunk size between {len(rec.gains)} and the range of doubles")
-    start = F.col("chunk") * lay.chunk_rows
-
     def in_chunk(rows: DataFrame) -> DataFrame:
-        scaled = rows.withColumns({f"_e_{k}": r.decay(start) for k, r in specs.items()}).withColumns(
+        scaled = rows.withColumns({f"_e_{k}": r.decay(lay.chunk_rows) for k, r in specs.items()}).withColumns(
             {f"_x_{k}": r.weight() * F.col(r.col) / F.col(f"_e_{k}") for k, r in specs.items()}
         )
         return scaled.withColumns({f"_l_{k}": F.sum(f"_x_{k}").over(lay.running()) * F.col(f"_e_{k}") for k in specs})

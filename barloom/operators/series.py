@@ -61,27 +61,39 @@ def div(a: Column, n: int) -> Column:
     return F.floor(a / F.lit(float(n))).cast("long")
 
 
-def index_series(df: DataFrame, lay: SeriesLayout = SERIES) -> DataFrame:
+def index_series(df: DataFrame, lay: SeriesLayout = SERIES, before: dict[str, Column] | None = None) -> DataFrame:
     """Add ``pos`` (0-based row number in the series), ``n_rows`` and ``chunk``.
 
-    Rows are numbered inside calendar buckets; the bucket offsets come from a pre-aggregated count
-    table with one row per (series, bucket), so no task ever sorts a whole series.
+    ``before`` names sums over all earlier rows of the series to add on the way. Rows are numbered inside
+    calendar buckets; the bucket offsets come from a pre-aggregated table with one row per (series, bucket), so no
+    task ever sorts a whole series.
     """
     bucketed = df.withColumn("_bucket", div(epoch_us(lay.ts), lay.bucket_days * 86_400_000_000))
+    bucketed = bucketed.withColumns({f"_s_{k}": e for k, e in (before or {}).items()})
     by = [*lay.keys, "_bucket"]
     series = Window.partitionBy(*lay.keys)
-    counts = bucketed.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
+    earlier = series.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = bucketed.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(f"_s_{k}").alias(f"_t_{k}") for k in before or {}]
+    )
+    offsets = totals.select(
         *by,
-        (F.sum("_n").over(series.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_off"),
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"),
         F.sum("_n").over(series).alias("n_rows"),
+        *[F.coalesce(F.sum(f"_t_{k}").over(earlier), F.lit(0.0)).alias(f"_o_{k}") for k in before or {}],
     )
-    pos = F.col("_off") + F.row_number().over(Window.partitionBy(*by).orderBy(lay.ts)) - 1
+    in_bucket = Window.partitionBy(*by).orderBy(lay.ts)
+    so_far = in_bucket.rowsBetween(Window.unboundedPreceding, -1)
     return (
         bucketed.join(offsets, by)
-        .withColumn("pos", pos.cast("long"))
+        .withColumns(
+            {
+                "pos": (F.col("_off") + F.row_number().over(in_bucket) - 1).cast("long"),
+                **{k: F.col(f"_o_{k}") + F.coalesce(F.sum(f"_s_{k}").over(so_far), F.lit(0.0)) for k in before or {}},
+            }
+        )
         .withColumn("chunk", div(F.col("pos"), lay.chunk_rows))
-        .drop("_bucket", "_off")
+        .drop("_bucket", "_off", *[f"_{p}_{k}" for k in before or {} for p in "so"])
     )
 
 

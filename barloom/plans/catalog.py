@@ -22,11 +22,11 @@ KEY = ["symbol", "ts"]
 PAIR_KEY = ["leader", "follower", "ts"]
 
 
-def _windowed(names: list[str], *indicators, bars=S.value_bars):
+def _windowed(names: list[str], *indicators, series=S.value_series):
     """A query of finite look-back columns on single series."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = finite(S.indexed(bars(spark, sf_dir)), SERIES, *[i() for i in indicators])
+        df = finite(series(spark, sf_dir), SERIES, *[i() for i in indicators])
         return select_out(df, [*KEY, *names])
 
     return query
@@ -48,17 +48,17 @@ def bars_daily(spark, sf_dir):
 
 
 def ema_query(spark, sf_dir):
-    df = ema_align(S.indexed(S.value_bars(spark, sf_dir)))
+    df = ema_align(S.value_series(spark, sf_dir))
     return select_out(df, [*KEY, "ema7", "ema14", "ema28", "ema_signal"])
 
 
 def kalman_level(spark, sf_dir):
-    df = linear_scan(S.indexed(S.hourly_bars(spark, sf_dir)), {"close_filtered": kalman_spec("close")})
+    df = linear_scan(S.hourly_series(spark, sf_dir), {"close_filtered": kalman_spec("close")})
     return select_out(df, [*KEY, "close_filtered"])
 
 
 def _regimes(spark, sf_dir):
-    df = finite(S.indexed(S.hourly_bars(spark, sf_dir)), SERIES, rolling.rolling_std())
+    df = finite(S.hourly_series(spark, sf_dir), SERIES, rolling.rolling_std())
     return regimes(linear_scan(df, {"close_filtered": kalman_spec("close")}))
 
 
@@ -77,7 +77,7 @@ def bullish_region(spark, sf_dir):
 
 
 def supertrend_query(spark, sf_dir):
-    df = finite(S.indexed(S.hourly_bars(spark, sf_dir)), SERIES, rolling.atr())
+    df = finite(S.hourly_series(spark, sf_dir), SERIES, rolling.atr())
     return select_out(supertrend(df), [*KEY, "supertrend", "supertrend_direction"])
 
 
@@ -102,7 +102,7 @@ def train_and_test(spark, sf_dir):
 
 
 def time_range(spark, sf_dir):
-    df = finite(S.indexed(S.value_bars(spark, sf_dir)), SERIES, rolling.sma_cross())
+    df = finite(S.value_series(spark, sf_dir), SERIES, rolling.sma_cross())
     return select_out(shape.time_range(df, "2024-01-08", "2024-01-21"), [*KEY, "close", "ma7", "ma14"])
 
 
@@ -127,7 +127,7 @@ def rolling_corr(spark, sf_dir):
 
 
 def previous_rsi(spark, sf_dir):
-    df = finite(S.indexed(S.value_bars(spark, sf_dir)), SERIES, rolling.with_previous(rolling.rsi(), SERIES, "rsi_14"))
+    df = finite(S.value_series(spark, sf_dir), SERIES, rolling.with_previous(rolling.rsi(), SERIES, "rsi_14"))
     flags = df.withColumns(
         {
             "falling": F.coalesce(F.col("rsi_14") < F.col("rsi_14_prev"), F.lit(False)),
@@ -138,7 +138,7 @@ def previous_rsi(spark, sf_dir):
 
 
 def last_rows(spark, sf_dir):
-    return select_out(shape.last_row(S.indexed(S.value_bars(spark, sf_dir))), [*KEY, "close", "pos", "n_rows"])
+    return select_out(shape.last_row(S.value_series(spark, sf_dir)), [*KEY, "close", "pos", "n_rows"])
 
 
 def gates_query(spark, sf_dir):
@@ -321,7 +321,7 @@ def policy_trades(spark, sf_dir):
 
 
 def first_touch(spark, sf_dir):
-    bars = finite(S.indexed(S.hourly_bars(spark, sf_dir)), SERIES, rolling.sma_cross())
+    bars = finite(S.hourly_series(spark, sf_dir), SERIES, rolling.sma_cross())
     turned = (F.col("ma_signal") == 1) & (F.lag("ma_signal").over(SERIES.order()) != 1)
     crossed = finite(bars, SERIES, Indicator(({"entry": F.coalesce(turned, F.lit(False))},), 1))
     df = profiles.first_touch(crossed, SERIES, "entry", 72)
@@ -357,7 +357,7 @@ def queries() -> dict:
         "rolling_std": _windowed(["sigma"], rolling.rolling_std),
         "bollinger": _windowed(["bollinger_middle", "bollinger_upper", "bollinger_lower"], rolling.bollinger),
         "rolling_low": _windowed(["low25"], rolling.rolling_low),
-        "hurst": _windowed(["hurst"], rolling_hurst, bars=S.hourly_bars),
+        "hurst": _windowed(["hurst"], rolling_hurst, series=S.hourly_series),
         "previous_rsi": previous_rsi,
         "last_rows": last_rows,
         "ema_align": ema_query,

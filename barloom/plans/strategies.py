@@ -33,14 +33,26 @@ def value_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(tick_bars(event_ticks(spark, sf_dir)))
 
 
+def value_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexed(value_bars(spark, sf_dir))
+
+
+def hourly_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars of the event price paths, numbered."""
+    return settle(path_bars(event_ticks(spark, sf_dir), EVENT_CENTER, EVENT_STEP))
+
+
 def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly bars of the event price paths."""
-    return path_bars(event_ticks(spark, sf_dir), EVENT_CENTER, EVENT_STEP)
+    return unnumbered(path_bars(event_ticks(spark, sf_dir), EVENT_CENTER, EVENT_STEP))
 
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars of the order price paths."""
-    return path_bars(order_ticks(spark, sf_dir), ORDER_CENTER, ORDER_STEP, "DAY", "DAY")
+    return unnumbered(path_bars(order_ticks(spark, sf_dir), ORDER_CENTER, ORDER_STEP, "DAY", "DAY"))
+
+
+def unnumbered(df: DataFrame) -> DataFrame:
+    return df.drop("pos", "n_rows", "chunk")
 
 
 def thin_bars(bars: DataFrame, volume: float) -> DataFrame:
@@ -68,7 +80,7 @@ def indexed(bars: DataFrame, lay: SeriesLayout = SERIES) -> DataFrame:
 
 def reindexed(df: DataFrame, lay: SeriesLayout) -> DataFrame:
     """Number the rows that are left."""
-    return indexed(df.drop("pos", "n_rows", "chunk"), lay)
+    return indexed(unnumbered(df), lay)
 
 
 def signal_actions(df: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators.series import index_series
 from barloom.session import settle
 
 
@@ -37,7 +38,7 @@ def path_bars(
     Each tick moves the log price by ``step * (price - center) / center / sqrt(ticks in its bar)``, in
     (ts, tick_id) order. The running sum over a whole symbol is rolled up in levels: in-bucket runs, then
     bars relative to their own first bucket, then one offset per bar. Raw ticks are shuffled once, and no
-    level holds more than one bucket, bar or year of a symbol.
+    level holds more than one bucket, bar or calendar bucket of a symbol. The bars come out numbered (``index_series``).
     """
     move = (F.col("price") - center) / center
     fine = [F.date_trunc(unit, "ts").cast("timestamp_ntz") for unit in (interval, bucket)]
@@ -73,30 +74,16 @@ def path_bars(
             F.sum("b_ticks").alias("ticks"),
         )
         .withColumn("unit", F.lit(step) / F.sqrt("ticks"))
-        .withColumn("year", F.year("bar_ts"))
-    )
-    bars = settle(bars)  # two passes follow; they start from the bars, not from the ticks
-    in_year = Window.partitionBy("symbol", "year").orderBy("bar_ts")
-    years = (
-        bars.groupBy("symbol", "year")
-        .agg(F.sum(F.col("r_close") * F.col("unit")).alias("y_total"))
-        .withColumn(
-            "y_base",
-            F.sum("y_total").over(Window.partitionBy("symbol").orderBy("year").rowsBetween(Window.unboundedPreceding, 0))
-            - F.col("y_total"),
-        )
-        .drop("y_total")
+        .withColumnRenamed("bar_ts", "ts")
     )
-    ended = F.sum(F.col("r_close") * F.col("unit")).over(in_year.rowsBetween(Window.unboundedPreceding, -1))
 
-    def price(run: str):
-        return (F.lit(start) * F.exp(F.col("y_base") + F.col("e_base") + F.col(run) * F.col("unit"))).alias(run[2:])
+    def price(run: str) -> Column:
+        return (F.lit(start) * F.exp(F.col("log_before") + F.col(run) * F.col("unit"))).alias(run[2:])
 
-    return (
-        bars.withColumn("e_base", F.coalesce(ended, F.lit(0.0)))
-        .join(years, ["symbol", "year"])
-        .select("symbol", F.col("bar_ts").alias("ts"), *[price(r) for r in ("r_open", "r_high", "r_low", "r_close")], "volume")
-    )
+    # two passes follow; they start from the bars, not from the ticks
+    placed = index_series(settle(bars), before={"log_before": F.col("r_close") * F.col("unit")})
+    prices = [price(r) for r in ("r_open", "r_high", "r_low", "r_close")]
+    return placed.select("symbol", "ts", *prices, "volume", "pos", "n_rows", "chunk")
 
 
 def event_ticks(spark, sf_dir: str) -> DataFrame:
