@@ -27,6 +27,11 @@ def null_if_not_finite(x: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
 
 
+def rejected(x: Column) -> Column:
+    """Aggregate: how many values ``null_if_not_finite`` would turn into NULL."""
+    return F.count_if(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+
+
 def clip(x: Column, low: float, high: float) -> Column:
     return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.scalar import state_index
+from barloom.functions.scalar import argmax_first, state_index
 from barloom.operators.ledger import COMMISSION, SHORT_SHARE
 from barloom.operators.positions import BUY, HOLD, SHORT
 from barloom.operators.series import SERIES, Indicator, SeriesLayout, finite
@@ -54,6 +54,14 @@ def policy_table(occupied: DataFrame, commission: float = COMMISSION, short_shar
     return occupied.select("state_index", F.inline(choices))
 
 
+def greedy_actions(occupied: DataFrame, commission: float = COMMISSION, short_share: float = SHORT_SHARE) -> DataFrame:
+    """The same choice from one row per state: the first largest entry of its vector of rewards."""
+    hold, buy = -F.col("mean_move"), F.col("mean_return") - commission
+    short = (-F.col("mean_return")) * short_share - commission * short_share
+    actions = F.array(*[F.lit(a) for a in (HOLD, BUY, SHORT)])
+    return occupied.select("state_index", actions[argmax_first(F.array(hold, buy, short))].alias("action"))
+
+
 def best_actions(policy: DataFrame) -> DataFrame:
     """The best action of each state, the lowest of equals."""
     return policy.groupBy("state_index").agg(F.max_by("action", F.struct("q", -F.col("action"))).alias("action"))

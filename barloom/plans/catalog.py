@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.functions.scalar import pct_bin, service_field
+from barloom.functions.scalar import null_if_not_finite, pct_bin, rejected, service_field
 from barloom.operators import ledger, profiles, reports, rolling, shape
 from barloom.operators.hurst import rolling_hurst
 from barloom.operators.pairs import PAIRS, pair_join
 from barloom.operators.positions import SWEEP_COOLDOWN_HOURS, HoldRules, narrow_output, sweep_grid, wide_output
 from barloom.operators.recursive import ema_align, ffill, kalman_spec, linear_scan, regimes
 from barloom.operators.series import SERIES, Indicator, finite, select_out
-from barloom.operators.states import apply_policy, occupancy, policy_table, steps, transitions, with_state
+from barloom.operators.states import apply_policy, greedy_actions, occupancy, policy_table, steps, transitions, with_state
 from barloom.operators.supertrend import supertrend
 from barloom.plans import strategies as S
 from barloom.session import settle, shared_folder
 from barloom.sources.bars import read_csv_bars, write_csv
+from barloom.sources.ticks import event_tick_stream
+from barloom.streaming.live import drain, stream_bars, stream_positions
 
 KEY = ["symbol", "ts"]
 PAIR_KEY = ["leader", "follower", "ts"]
+OHLCV = ["open", "high", "low", "close", "volume"]
 
 
 def _windowed(names: list[str], *indicators, series=S.value_series):
@@ -33,18 +38,15 @@ def _windowed(names: list[str], *indicators, series=S.value_series):
 
 
 def bars_hourly(spark, sf_dir):
-    return select_out(S.value_bars(spark, sf_dir), [*KEY, *S_OHLCV])
-
-
-S_OHLCV = ["open", "high", "low", "close", "volume"]
+    return select_out(S.value_bars(spark, sf_dir), [*KEY, *OHLCV])
 
 
 def bars_path(spark, sf_dir):
-    return select_out(S.hourly_bars(spark, sf_dir), [*KEY, *S_OHLCV])
+    return select_out(S.hourly_bars(spark, sf_dir), [*KEY, *OHLCV])
 
 
 def bars_daily(spark, sf_dir):
-    return select_out(S.daily_bars(spark, sf_dir), [*KEY, *S_OHLCV])
+    return select_out(S.daily_bars(spark, sf_dir), [*KEY, *OHLCV])
 
 
 def ema_query(spark, sf_dir):
@@ -84,7 +86,7 @@ def supertrend_query(spark, sf_dir):
 def ffill_clean(spark, sf_dir):
     thin = S.thin_bars(S.value_bars(spark, sf_dir), 60.0)
     filled = shape.drop_incomplete(ffill(thin))
-    return select_out(filled, [*KEY, *S_OHLCV])
+    return select_out(filled, [*KEY, *OHLCV])
 
 
 def split_slice(spark, sf_dir):
@@ -114,7 +116,7 @@ def single_asset(spark, sf_dir):
 
 def pair_join_query(spark, sf_dir):
     pairs = pair_join(S.hourly_bars(spark, sf_dir), S.LEADER)
-    return select_out(pairs, [*PAIR_KEY, *[f"{s}_{c}" for s in ("leader", "follower") for c in S_OHLCV]])
+    return select_out(pairs, [*PAIR_KEY, *[f"{s}_{c}" for s in ("leader", "follower") for c in OHLCV]])
 
 
 def _pairs(spark, sf_dir):
@@ -156,12 +158,12 @@ def pair_indicators_query(spark, sf_dir):
 
 def positions(spark, sf_dir):
     df = wide_output(S.lead_lag_positions(S.hourly_bars(spark, sf_dir)))
-    return select_out(shape.normalise_names(df), [*PAIR_KEY, *S_OHLCV, "leader_rsi", "leader_regime", "signals", "trade_type"])
+    return select_out(shape.normalise_names(df), [*PAIR_KEY, *OHLCV, "leader_rsi", "leader_regime", "signals", "trade_type"])
 
 
 def positions_narrow(spark, sf_dir):
     hold = HoldRules(max_hold_hours=48, cooldown_hours=12)
-    return select_out(narrow_output(S.lead_lag_positions(S.hourly_bars(spark, sf_dir), hold)), [*PAIR_KEY, *S_OHLCV, "signals", "trade_type"])
+    return select_out(narrow_output(S.lead_lag_positions(S.hourly_bars(spark, sf_dir), hold)), [*PAIR_KEY, *OHLCV, "signals", "trade_type"])
 
 
 def lead_lag_ledger(spark, sf_dir):
@@ -338,8 +340,38 @@ def json_field(spark, sf_dir):
 
 def csv_round_trip(spark, sf_dir):
     folder = f"{shared_folder(spark)}/bars-{spark.sparkContext.applicationId}"
-    write_csv(S.value_bars(spark, sf_dir).select(*KEY, *S_OHLCV), folder)
-    return select_out(read_csv_bars(spark, folder), [*KEY, *S_OHLCV])
+    write_csv(S.value_bars(spark, sf_dir).select(*KEY, *OHLCV), folder)
+    return select_out(read_csv_bars(spark, folder), [*KEY, *OHLCV])
+
+
+def greedy_actions_query(spark, sf_dir):
+    df = greedy_actions(occupancy(steps(_states(spark, sf_dir).filter("split = 'train'"), S.SPLIT)))
+    return df.select("state_index", "action")
+
+
+def finite_guard(spark, sf_dir):
+    """Relative spread of each bar where it is finite, with the number of rejected bars per symbol."""
+    spread = F.when(F.col("open") == F.col("close"), F.lit(float("inf"))).otherwise(F.col("high") - F.col("low"))
+    bars = S.value_bars(spark, sf_dir).withColumn("spread", spread)
+    guarded = bars.groupBy("symbol").agg(rejected(F.col("spread")).alias("rejected"), F.avg(null_if_not_finite(F.col("spread"))).alias("spread"))
+    return select_out(guarded, ["symbol", "rejected", "spread"])
+
+
+def stream_bars_query(spark, sf_dir):
+    bars = drain(stream_bars(event_tick_stream(spark, sf_dir)), _fresh_folder(spark))
+    return select_out(bars, [*KEY, *OHLCV])
+
+
+def stream_positions_query(spark, sf_dir):
+    gated = S.lead_lag_gates(S.hourly_bars(spark, sf_dir))
+    folder = _fresh_folder(spark)
+    gated.write.parquet(f"{folder}/gated")
+    source = spark.readStream.schema(gated.schema).parquet(f"{folder}/gated")
+    return select_out(drain(stream_positions(source), folder), [*PAIR_KEY, "close", "signals", "trade_type"])
+
+
+def _fresh_folder(spark) -> str:
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def queries() -> dict:
@@ -405,4 +437,8 @@ def queries() -> dict:
         "policy_trades": policy_trades,
         "first_touch": first_touch,
         "json_field": json_field,
+        "greedy_actions": greedy_actions_query,
+        "finite_guard": finite_guard,
+        "stream_bars": stream_bars_query,
+        "stream_positions": stream_positions_query,
     }

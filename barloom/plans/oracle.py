@@ -226,14 +226,17 @@ gated AS MATERIALIZED (
   FROM gated_0)"""
 
 
-def machine(grid: str) -> str:
-    """The rule-driven position machine, one bar at a time, for the rows of ``grid(param_id, max_hold, cooldown)``."""
+def machine(grid: str, rows: str = "n_rows") -> str:
+    """The rule-driven position machine, one bar at a time, for the rows of ``grid(param_id, max_hold, cooldown)``.
+
+    ``rows`` is the length of a series; without a bound (a stream) nothing is closed on the last row.
+    """
     hours = "date_diff('second', {}, ts) / 3600.0::DOUBLE"
     stop = "(CASE WHEN low25 < 0.9::DOUBLE * hi THEN (low25 + 0.9::DOUBLE * hi) / 2 ELSE low25 END)"
     return f"""
 grid AS ({grid}),
 bar AS MATERIALIZED (
-  SELECT leader, follower, ts, pos, n_rows, follower_close AS close, follower_low AS low, low25, enter_long, enter_short, exit_long, exit_short, vol_exit FROM gated),
+  SELECT leader, follower, ts, pos, {rows} AS n_rows, follower_close AS close, follower_low AS low, low25, enter_long, enter_short, exit_long, exit_short, vol_exit FROM gated),
 m AS (
   SELECT leader, follower, param_id, max_hold, cooldown, -1::BIGINT AS pos, 0 AS held, NULL::TIMESTAMP AS entry_ts, NULL::TIMESTAMP AS stop_ts,
          NULL::DOUBLE AS entry_price, NULL::DOUBLE AS hi, NULL::DOUBLE AS lo, 'none' AS act, 0 AS was
@@ -644,5 +647,17 @@ touched AS (
   QUALIFY row_number() OVER (PARTITION BY e.symbol, entry_ts ORDER BY b.ts) = 1)""",
             select=f"SELECT e.symbol, e.entry_ts, {num('e.entry_price', 'entry_price')}, touch_ts, {nums('touch_price')}, touch FROM entries e LEFT JOIN touched USING (symbol, entry_ts)",
         ),
+        "greedy_actions": q(STATES, STEPS, select="SELECT state_index, action FROM best"),
+        "finite_guard": simple(
+            VALUE_BARS,
+            f"SELECT symbol, count(*) FILTER (open = close) AS rejected, {num('avg(high - low) FILTER (open <> close)', 'spread')} FROM bars GROUP BY symbol",
+        ),
+        "stream_bars": simple(
+            VALUE_BARS, f"SELECT {K}, {nums(*OHLCV)} FROM bars WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR"
+        ),
+        "stream_positions": q(
+            *pair_gates, machine(DEFAULT_GRID, "1000000000"),
+            select=f"SELECT {KP}, {num('follower_close', 'close')}, signals, trade_type FROM signalled WHERE ts <= (SELECT max(ts) FROM gated) - INTERVAL 2 HOUR",
+        ),
         "json_field": "SELECT event_id, json_extract_string(props, '$.k')::DOUBLE AS sharpe FROM events",
     }

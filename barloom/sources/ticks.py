@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.series import index_series
@@ -86,9 +86,11 @@ def path_bars(
     return placed.select("symbol", "ts", *prices, "volume", "pos", "n_rows", "chunk")
 
 
-def event_ticks(spark, sf_dir: str) -> DataFrame:
-    """The event table as ticks: one symbol per event type."""
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
+def _as_ticks(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("event_type").alias("symbol"),
         "ts",
         F.col("event_id").alias("tick_id"),
@@ -97,7 +99,17 @@ def event_ticks(spark, sf_dir: str) -> DataFrame:
     )
 
 
-def order_ticks(spark, sf_dir: str) -> DataFrame:
+def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table as ticks: one symbol per event type."""
+    return _as_ticks(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def event_tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table as a stream of ticks."""
+    return _as_ticks(spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+
+
+def order_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order table as ticks: one symbol per order priority."""
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
         F.col("o_orderpriority").alias("symbol"),

@@ -38,6 +38,16 @@ def stream_bars(ticks: DataFrame, interval: str = "1 hour", delay: str = "2 hour
     )
 
 
+def drain(stream: DataFrame, folder: str) -> DataFrame:
+    """Run a stream over everything its source holds now, into a table under ``folder``, and return that table."""
+    query = (
+        stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+        .option("checkpointLocation", f"{folder}/progress").start(f"{folder}/table")
+    )
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/table")
+
+
 INPUTS = {
     "_us": "bigint", "close": "double", "low": "double", "low25": "double", "enter_long": "boolean",
     "enter_short": "boolean", "exit_long": "boolean", "exit_short": "boolean", "vol_exit": "boolean",
