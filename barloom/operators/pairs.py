@@ -60,7 +60,7 @@ def pair_indicators(pairs: DataFrame, lay: SeriesLayout = PAIRS) -> DataFrame:
     windows = settle(pair_windows(pairs, lay))
     sides = ("leader_", "follower_")
     df = linear_scan(windows, {f"{p}close_filtered": kalman_spec(f"{p}close") for p in sides}, lay, windows)
-    return supertrend(regimes(df, lay, sides), lay, sides, source=windows)
+    return supertrend(regimes(df, lay, sides, sides=("hi",)), lay, sides, source=windows)
 
 
 @dataclass(frozen=True)

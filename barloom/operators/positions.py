@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators.folds import chain_select, chunked_fold, fields
 from barloom.operators.pairs import PAIRS
-from barloom.operators.series import SERIES, SeriesLayout, epoch_us, with_halo
+from barloom.operators.series import SERIES, SeriesLayout, epoch_us, from_us, with_halo
 from barloom.session import settle
 
 HOUR_US = 3_600_000_000
@@ -134,10 +134,6 @@ def trade_walk(gated: DataFrame, grid: list[HoldRules], lay: SeriesLayout = PAIR
     return chain_select(settle(entries), [*lay.keys, "param_id"]).drop("chunk", "resume_us")
 
 
-def from_us(us: str):
-    return F.expr(f"timestampadd(MICROSECOND, {us}, TIMESTAMP_NTZ '1970-01-01 00:00:00')")
-
-
 def position_signals(bars: DataFrame, trades: DataFrame, lay: SeriesLayout = PAIRS) -> DataFrame:
     """Bars with ``signals`` and ``trade_type`` of one parameter set: side on entry, minus side and 'close' on exit."""
     moves = F.array(

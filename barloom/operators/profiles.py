@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators.folds import fields
-from barloom.operators.positions import HOUR_US, from_us
-from barloom.operators.series import SERIES, Indicator, SeriesLayout, chunked_running, epoch_us, finite, with_halo
+from barloom.operators.positions import HOUR_US
+from barloom.operators.series import SERIES, Indicator, SeriesLayout, chunked_running, epoch_us, finite, from_us, with_halo
 
 
 def _corr(x: Column, y: Column) -> Column:

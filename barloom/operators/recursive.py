@@ -116,15 +116,17 @@ def kalman_spec(col: str, q: float = 0.01, r: float = 0.1, p0: float = 1.0) -> R
     return Recurrence(col, gains[-1], (1.0, *gains[1:]))
 
 
-def cusum(df: DataFrame, specs: dict[str, tuple[Column, Column]], lay: SeriesLayout = SERIES) -> DataFrame:
+def cusum(
+    df: DataFrame, specs: dict[str, tuple[Column, Column]], lay: SeriesLayout = SERIES, sides: tuple[str, ...] = ("hi", "lo")
+) -> DataFrame:
     """Two-sided CUSUM: ``S = max(0, S + x)``, 0 on the first row and where ``x`` is NULL.
 
-    ``specs`` maps a prefix to (deviation, slack); adds ``{prefix}s_hi`` and ``{prefix}s_lo`` for each.
+    ``specs`` maps a prefix to (deviation, slack); adds ``{prefix}s_hi`` and ``{prefix}s_lo`` (or one of them) for each.
     """
     sums = {}
     for prefix, (deviation, slack) in specs.items():
         live = F.when(F.col("pos") > 0, slack)
-        sums |= {f"{prefix}s_hi": deviation - live, f"{prefix}s_lo": -deviation - live}
+        sums |= {f"{prefix}s_{side}": (deviation if side == "hi" else -deviation) - live for side in sides}
     df = df.withColumns({f"_x_{s}": e for s, e in sums.items()})
     df = df.withColumns({f"_g_{s}": F.sum(F.when(F.col(f"_x_{s}").isNull(), 1).otherwise(0)).over(lay.running()) for s in sums})
 
@@ -167,12 +169,13 @@ def cusum(df: DataFrame, specs: dict[str, tuple[Column, Column]], lay: SeriesLay
 
 
 def regimes(
-    df: DataFrame, lay: SeriesLayout = SERIES, prefixes: tuple[str, ...] = ("",), delta: float = 0.8, h_factor: float = 1.5
+    df: DataFrame, lay: SeriesLayout = SERIES, prefixes: tuple[str, ...] = ("",), delta: float = 0.8, h_factor: float = 1.5,
+    sides: tuple[str, ...] = ("hi", "lo"),
 ) -> DataFrame:
     """CUSUM regime label of each ``{prefix}close``; needs ``{prefix}sigma`` and ``{prefix}close_filtered``."""
     specs = {p: (F.col(f"{p}close") - F.col(f"{p}close_filtered"), F.col(f"{p}sigma") * delta) for p in prefixes}
     bullish = {p: F.col(f"{p}s_hi") > F.col(f"{p}sigma") * h_factor for p in prefixes}
-    return cusum(df, specs, lay).withColumns(
+    return cusum(df, specs, lay, sides).withColumns(
         {f"{p}regime": F.when(bullish[p], "bullish").otherwise("bearish") for p in prefixes}
     )
 

@@ -57,14 +57,17 @@ def trade_stats(ledger: DataFrame, keys: list[str], initial: float = INITIAL_BAL
     )
 
 
+def quarter_of(ts: str) -> Column:
+    return F.trunc(F.col(ts).cast("date"), "quarter").cast("timestamp_ntz")
+
+
 def quarter_summary(bars: DataFrame, ledger: DataFrame, keys: list[str], initial: float = INITIAL_BALANCE) -> DataFrame:
     """One row per series and quarter; the balance restarts each quarter and trades count where they close.
 
     Both sides are aggregated to quarters before they meet.
     """
-    quarter = F.date_trunc("quarter", F.col("ts")).cast("timestamp_ntz")
-    periods = benchmark(bars.withColumn("from_ts", quarter), [*keys, "from_ts"])
-    closed = ledger.withColumn("from_ts", F.date_trunc("quarter", F.col("exit_ts")).cast("timestamp_ntz"))
+    periods = benchmark(bars.withColumn("from_ts", quarter_of("ts")), [*keys, "from_ts"])
+    closed = ledger.withColumn("from_ts", quarter_of("exit_ts"))
     stats = trade_stats(closed, [*keys, "from_ts"], initial)
     by_time = Window.partitionBy(*keys).orderBy("from_ts")
     series_end = F.max("last_ts").over(Window.partitionBy(*keys))

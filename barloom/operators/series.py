@@ -56,6 +56,17 @@ def epoch_us(ts: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, {EPOCH}, {ts})")
 
 
+def from_us(us: str) -> Column:
+    """The zone-less time of microseconds since 1970."""
+    return F.expr(f"timestampadd(MICROSECOND, {us}, {EPOCH})")
+
+
+def floor_time(ts: str, seconds: int) -> Column:
+    """The start of the fixed-length interval a zone-less time falls in."""
+    us = f"timestampdiff(MICROSECOND, {EPOCH}, {ts})"
+    return F.expr(f"timestampadd(MICROSECOND, {us} - pmod({us}, {seconds * 1_000_000}L), {EPOCH})")
+
+
 def div(a: Column, n: int) -> Column:
     """Integer division of a non-negative long."""
     return F.floor(a / F.lit(float(n))).cast("long")

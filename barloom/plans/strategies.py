@@ -15,7 +15,7 @@ from barloom.operators.recursive import ema_align, ffill
 from barloom.operators.series import SERIES, SeriesLayout, finite, index_series
 from barloom.operators.states import apply_policy, best_actions, occupancy, policy_table, steps, with_state
 from barloom.session import settle
-from barloom.sources.ticks import event_ticks, order_ticks, path_bars, tick_bars
+from barloom.sources.ticks import DAY, event_ticks, order_ticks, path_bars, tick_bars
 
 # How the given tables become prices: centre of the tick values and size of a bar's log move.
 EVENT_CENTER, EVENT_STEP = 50.0, 0.012
@@ -48,7 +48,7 @@ def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars of the order price paths."""
-    return unnumbered(path_bars(order_ticks(spark, sf_dir), ORDER_CENTER, ORDER_STEP, "DAY", "DAY"))
+    return unnumbered(path_bars(order_ticks(spark, sf_dir), ORDER_CENTER, ORDER_STEP, DAY, DAY))
 
 
 def unnumbered(df: DataFrame) -> DataFrame:

@@ -5,19 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.operators.series import index_series
+from barloom.operators.series import floor_time, index_series
 from barloom.session import settle
 
 
-def tick_bars(ticks: DataFrame, interval: str = "HOUR") -> DataFrame:
-    """OHLCV bars of ``ticks(symbol, ts, tick_id, price, qty)`` per calendar ``interval``.
+# Lengths in seconds.
+MINUTE, HOUR, DAY = 60, 3600, 86_400
+
+
+def tick_bars(ticks: DataFrame, interval: int = HOUR) -> DataFrame:
+    """OHLCV bars of ``ticks(symbol, ts, tick_id, price, qty)`` per ``interval`` seconds.
 
     Ties on ``ts`` are broken by ``tick_id``. One aggregation with map-side combine: a hot symbol
     shrinks to one row per (symbol, interval) and task before the shuffle.
     """
     at = F.struct("ts", "tick_id")
     return (
-        ticks.withColumn("bar_ts", F.date_trunc(interval, "ts").cast("timestamp_ntz"))
+        ticks.withColumn("bar_ts", floor_time("ts", interval))
         .groupBy("symbol", "bar_ts")
         .agg(
             F.min_by("price", at).alias("open"),
@@ -31,7 +35,7 @@ def tick_bars(ticks: DataFrame, interval: str = "HOUR") -> DataFrame:
 
 
 def path_bars(
-    ticks: DataFrame, center: float, step: float, interval: str = "HOUR", bucket: str = "MINUTE", start: float = 100.0
+    ticks: DataFrame, center: float, step: float, interval: int = HOUR, bucket: int = MINUTE, start: float = 100.0
 ) -> DataFrame:
     """OHLCV bars of the price path that the tick values drive.
 
@@ -41,7 +45,7 @@ def path_bars(
     level holds more than one bucket, bar or calendar bucket of a symbol. The bars come out numbered (``index_series``).
     """
     move = (F.col("price") - center) / center
-    fine = [F.date_trunc(unit, "ts").cast("timestamp_ntz") for unit in (interval, bucket)]
+    fine = [floor_time("ts", seconds) for seconds in (interval, bucket)]
     in_bucket = (
         Window.partitionBy("symbol", "bar_ts", "bucket_ts")
         .orderBy("ts", "tick_id")

@@ -11,8 +11,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barloom.operators.folds import fields
 from barloom.operators.pairs import PAIRS
-from barloom.operators.positions import HOUR_US, HoldRules, from_us
-from barloom.operators.series import SeriesLayout, epoch_us
+from barloom.operators.positions import HOUR_US, HoldRules
+from barloom.operators.series import SeriesLayout, epoch_us, from_us
 
 
 def event_time(ts: str) -> Column:
