@@ -55,7 +55,13 @@ def state_index(aroon: Column, rsi: Column, ema: Column, position: Column, pct:
 
 
 def elapsed_hours(start: str, end: str) -> Column:
-    return F.expr(f"timestampdiff(MICROSECOND, {start}, {end})") / F.lit(3.6e9)
+    days = f"datediff(CAST({end} AS DATE), CAST({start} AS DATE)) * 24D"
+    return F.expr(f"{days} + ({_day_seconds(end)} - {_day_seconds(start)}) / 3600D")
+
+
+def _day_seconds(ts: str) -> str:
+    """Seconds since midnight with their fraction; independent of the session time zone."""
+    return f"(hour({ts}) * 3600 + minute({ts}) * 60 + CAST(extract(SECOND FROM {ts}) AS DOUBLE))"
 
 
 def argmax_first(values: Column) -> Column:

@@ -165,7 +165,7 @@ def sweep_stats(
             for g in grid
         ]
     )
-    cells = slim.groupBy(*lay.keys).agg(F.max("n_rows").alias("bars")).select(*lay.keys, "bars", F.inline(params))
+    cells = slim.filter("pos = 0").select(*lay.keys, F.col("n_rows").alias("bars"), F.inline(params))
     filled = cells.join(sums, [*lay.keys, "param_id"], "left").withColumn("trades", F.coalesce("trades", F.lit(0)))
     return filled.withColumns(_ratios(F.col("bars"), F.col("_s"), F.col("_q"), F.col("_d"), bars_per_year)).drop("_s", "_q", "_d")
 

@@ -51,9 +51,18 @@ SERIES = SeriesLayout()
 TIE = 3.7e-11
 
 
+def seconds_sql(ts: str) -> str:
+    """Whole seconds since 1970 of a zone-less time; no step depends on the session time zone."""
+    return f"(unix_date(CAST({ts} AS DATE)) * 86400L + hour({ts}) * 3600L + minute({ts}) * 60L + second({ts}))"
+
+
+def epoch_us_sql(ts: str) -> str:
+    return f"({seconds_sql(ts)} * 1000000L + CAST((extract(SECOND FROM {ts}) % 1) * 1000000 AS BIGINT))"
+
+
 def epoch_us(ts: str) -> Column:
-    """Microseconds since 1970, independent of the session time zone."""
-    return F.expr(f"timestampdiff(MICROSECOND, {EPOCH}, {ts})")
+    """Microseconds since 1970 of a zone-less time."""
+    return F.expr(epoch_us_sql(ts))
 
 
 def from_us(us: str) -> Column:
@@ -63,8 +72,8 @@ def from_us(us: str) -> Column:
 
 def floor_time(ts: str, seconds: int) -> Column:
     """The start of the fixed-length interval a zone-less time falls in."""
-    us = f"timestampdiff(MICROSECOND, {EPOCH}, {ts})"
-    return F.expr(f"timestampadd(MICROSECOND, {us} - pmod({us}, {seconds * 1_000_000}L), {EPOCH})")
+    at = seconds_sql(ts)
+    return F.expr(f"timestampadd(SECOND, {at} - pmod({at}, {seconds}L), {EPOCH})")
 
 
 def div(a: Column, n: int) -> Column:
@@ -72,6 +81,10 @@ def div(a: Column, n: int) -> Column:
     return F.floor(a / F.lit(float(n))).cast("long")
 
 
+def calendar_bucket(lay: SeriesLayout) -> Column:
+    return F.expr(f"CAST(floor(unix_date(CAST({lay.ts} AS DATE)) / {float(lay.bucket_days)}D) AS BIGINT)")
+
+
 def index_series(df: DataFrame, lay: SeriesLayout = SERIES, before: dict[str, Column] | None = None) -> DataFrame:
     """Add ``pos`` (0-based row number in the series), ``n_rows`` and ``chunk``.
 
@@ -79,7 +92,7 @@ def index_series(df: DataFrame, lay: SeriesLayout = SERIES, before: dict[str, Co
     calendar buckets; the bucket offsets come from a pre-aggregated table with one row per (series, bucket), so no
     task ever sorts a whole series.
     """
-    bucketed = df.withColumn("_bucket", div(epoch_us(lay.ts), lay.bucket_days * 86_400_000_000))
+    bucketed = df.withColumn("_bucket", calendar_bucket(lay))
     bucketed = bucketed.withColumns({f"_s_{k}": e for k, e in (before or {}).items()})
     by = [*lay.keys, "_bucket"]
     series = Window.partitionBy(*lay.keys)
@@ -110,8 +123,7 @@ def index_series(df: DataFrame, lay: SeriesLayout = SERIES, before: dict[str, Co
 
 def by_calendar(df: DataFrame, lay: SeriesLayout = SERIES) -> DataFrame:
     """Cut series at calendar buckets instead of row counts: enough for ``chunked_running``, without numbering rows."""
-    at = epoch_us(lay.ts)
-    return df.withColumns({"pos": at, "chunk": div(at, lay.bucket_days * 86_400_000_000)})
+    return df.withColumns({"pos": epoch_us(lay.ts), "chunk": calendar_bucket(lay)})
 
 
 def with_halo(

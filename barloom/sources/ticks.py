@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.operators.series import floor_time, index_series
+from barloom.operators.series import epoch_us_sql, floor_time, index_series
 from barloom.session import settle
 
 
@@ -13,13 +13,18 @@ from barloom.session import settle
 MINUTE, HOUR, DAY = 60, 3600, 86_400
 
 
+def tick_order() -> Column:
+    """One number that orders ticks by (ts, tick_id): a fixed-width key keeps the aggregation hash-based, without a sort."""
+    return F.expr(f"CAST({epoch_us_sql('ts')} * 20000000000000000000BD + tick_id AS DECIMAL(38, 0))")
+
+
 def tick_bars(ticks: DataFrame, interval: int = HOUR) -> DataFrame:
     """OHLCV bars of ``ticks(symbol, ts, tick_id, price, qty)`` per ``interval`` seconds.
 
     Ties on ``ts`` are broken by ``tick_id``. One aggregation with map-side combine: a hot symbol
     shrinks to one row per (symbol, interval) and task before the shuffle.
     """
-    at = F.struct("ts", "tick_id")
+    at = tick_order()
     return (
         ticks.withColumn("bar_ts", floor_time("ts", interval))
         .groupBy("symbol", "bar_ts")

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from barloom.functions import scalar
 from barloom.operators import shape
 from barloom.operators.pairs import pair_join
-from barloom.operators.series import SERIES, SeriesLayout, index_series
+from barloom.operators.series import SERIES, SeriesLayout, epoch_us, epoch_us_sql, floor_time, from_us, index_series
 from barloom.plans.strategies import single_asset
 from barloom.sources.bars import BAR, read_bars, read_csv_bars, read_csv_text_times, read_pair, write_bars, write_csv
 from barloom.sources.ticks import path_bars, tick_bars
@@ -147,7 +147,7 @@ def test_small_functions(spark):
     assert row == (1, None, None, "1.5", 0)
 
 
-@settings(max_examples=8, deadline=None)
+@settings(max_examples=4, deadline=None)
 @given(st.lists(st.integers(1, 6), min_size=1, max_size=60), st.integers(1, 9))
 def test_index_of_any_gaps(spark, gaps, size):
     b = bars_of([1.0] * len(gaps))
@@ -160,3 +160,19 @@ def test_index_of_any_gaps(spark, gaps, size):
 def test_bar_schema_is_fixed():
     assert [f.name for f in BAR.fields] == ["symbol", "ts", "open", "high", "low", "close", "volume"]
     assert SERIES.keys == ("symbol",)
+
+
+def test_times_do_not_depend_on_the_session_zone(spark):
+    """02:30 on that day does not exist in New York; zone-less times do not care."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rows = spark.sql("SELECT TIMESTAMP_NTZ '2024-03-10 02:30:00.25' AS a, TIMESTAMP_NTZ '2024-07-01 04:00:00' AS b, TIMESTAMP_NTZ '1969-12-31 23:59:59.5' AS c")
+        got = rows.select(
+            epoch_us("a").alias("us"), from_us(epoch_us_sql("a")).alias("back"), floor_time("a", 3600).cast("string").alias("hour"),
+            scalar.elapsed_hours("a", "b").alias("h"), epoch_us("c").alias("old"), floor_time("c", 60).cast("string").alias("old_minute"),
+        ).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got.us == 1710037800250000 and str(got.back) == "2024-03-10 02:30:00.250000" and got.hour == "2024-03-10 02:00:00"
+    assert abs(got.h - (113 * 24 + 1.5 - 0.25 / 3600)) < 1e-9 and got.old == -500000 and got.old_minute == "1969-12-31 23:59:00"
