@@ -32,10 +32,11 @@ def test_signal_queries_are_not_vacuous():
     """The default data opens and closes trades on both sides."""
     con = database("/root/testdata/sf0.01")
     sql = entry_point.oracle_sql()
-    assert con.sql(f"SELECT count(DISTINCT side), count(*) FROM ({sql['lead_lag_ledger']})").fetchone() >= (2, 8)
-    assert con.sql(f"SELECT count(DISTINCT trade_type) FROM ({sql['trade_type_counts']})").fetchone()[0] == 7
-    assert con.sql(f"SELECT count(*) FROM ({sql['gates']}) WHERE vol_exit").fetchone()[0] > 0
-    assert con.sql(f"SELECT count(DISTINCT touch) FROM ({sql['first_touch']})").fetchone()[0] == 3
+    sides, trades = con.sql(f"SELECT count(DISTINCT side), count(*) FROM ({sql['lead_lag_ledger']})").fetchall()[0]
+    assert sides == 2 and trades >= 8
+    assert con.sql(f"SELECT count(DISTINCT trade_type) FROM ({sql['trade_type_counts']})").fetchall()[0][0] == 7
+    assert con.sql(f"SELECT count(*) FROM ({sql['gates']}) WHERE vol_exit").fetchall()[0][0] > 0
+    assert con.sql(f"SELECT count(DISTINCT touch) FROM ({sql['first_touch']})").fetchall()[0][0] == 3
 
 
 def test_no_predicate_sits_on_its_threshold():
@@ -46,4 +47,4 @@ def test_no_predicate_sits_on_its_threshold():
     near = ["leader_atr - 0.012 * leader_open", "correlation", "follower_hurst - 0.45", "leader_rsi - 55", "leader_rsi - 45", "leader_atr - 0.018 * leader_open",
             "leader_close - leader_bollinger_middle", "leader_close - leader_bollinger_lower", "leader_s_hi - 1.5 * leader_sigma"]
     test = " OR ".join(f"abs({e}) < 1e-9" for e in near)
-    assert con.sql(oracle.q(oracle.PAIR_INDICATORS, select=f"SELECT count(*) FROM p13 WHERE {test}")).fetchone()[0] == 0
+    assert con.sql(oracle.q(oracle.PAIR_INDICATORS, select=f"SELECT count(*) FROM p13 WHERE {test}")).fetchall()[0][0] == 0
