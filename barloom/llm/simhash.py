@@ -151,9 +151,9 @@ def simhash_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", gr
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     labels = components(block_links(distinct, group)).withColumnRenamed("v", "fp")
     linked = stored(labels.join(distinct, "fp"))
-    least = linked.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    least = stored(linked.groupBy("label").agg(F.min("first_id").alias("component_id")))
     linked = linked.join(least, "label").select("fp", "label", F.col("component_id"), F.lit(True).alias("linked"))
     label, least_id = F.when(F.col("linked"), F.col("label")).otherwise(F.col("fp")), F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first_id"))
-    classes = distinct.join(linked, "fp", "left").select("fp", least_id.alias("component_id"), label.alias("component"))
+    classes = stored(distinct.join(linked, "fp", "left").select("fp", least_id.alias("component_id"), label.alias("component")))
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return prints.join(classes, "fp").select("doc_id", shown, "component_id", "component", *extra)

@@ -277,6 +277,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group
     pieces = _pieces(docs, length, gram)
     kinds = stored(pieces.groupBy("key", "code").agg(F.count(F.lit(1)).alias("found")))
     keys = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("found").alias("all")).filter("all > 1").drop("all")
+    keys = stored(keys)
     live = stored(kinds.join(keys, "key").select("key", "code", (F.col("found") > 1).alias("whole"), "kinds"))
     own = stored(pieces.join(live, ["key", "code"]))
     piece = F.struct("key", "code", "at", "n")
@@ -290,7 +291,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group
     )
     windows = _window_codes(bytes_of.filter(F.col("kinds") > group).select("key", "code", "bytes"), length)
     windows = stored(windows).select("key", "code", F.posexplode("windows").alias("at", "window"))
-    twice = windows.groupBy("key", "window").agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1").drop("seen")
+    twice = stored(windows.groupBy("key", "window").agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1").drop("seen"))
     single = windows.join(twice, ["key", "window"], "left_semi").groupBy("key", "code").agg(F.collect_list(F.struct("at", F.lit(1).alias("n"))).alias("runs"))
     part = stored(compared.union(single.select("key", "code", F.col("runs").cast(_RUNS))))
     all_of = own.filter("whole").select("doc_id", "mark", "at", "n")
