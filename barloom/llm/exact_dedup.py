@@ -89,7 +89,8 @@ def exact_dedup(
     """
     ids = stored(block_identity(df, text, doc_id, block_bytes, route))
     groups = ids.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("rows").alias("group_size"))
-    joined = ids.join(groups.filter("group_size > 1"), ["level", "name"], "left")
+    groups = stored(groups.filter("group_size > 1"))  # so that the join is one of two plain shuffles, whose hot keys Spark splits
+    joined = ids.join(groups, ["level", "name"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return joined.select(
         "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
