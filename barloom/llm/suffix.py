@@ -12,7 +12,9 @@ A byte goes if a string of ``length`` bytes around it starts anywhere else in th
 4. The windows found are joined to the documents, merged into runs and cut out.
 
 A key with more than ``group`` different pieces (a passage that very many documents share, each in its own context) isn't
-put into one suffix array: its windows are counted by hash one by one, which is exact too and spreads over all tasks.
+put into one suffix array. Its pieces are cut at fixed distances from the anchor, and a shorter piece gets a key of its own:
+the bytes that all its windows have in common. Most of them hold some context and are alone with their key; the rest is
+counted, compared or cut again by the same steps, in the end to single windows.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from barloom.llm.common import slices, stored, whole_text
 
 LENGTH, GRAM, GROUP = 200, 40, 256
+#: Windows of the pieces into which those of a crowded key are cut, first and then.
+WIDTHS = (8, 1)
 #: Bytes of text that one suffix array holds, about, and bytes of a long text that are hashed at a time.
 BATCH_BYTES, STRIDE = 1 << 20, 1 << 20
 _POSITION = np.uint64((1 << 24) - 1)
@@ -59,14 +63,14 @@ def gram_hashes(raw: np.ndarray, width: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def anchored_runs(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first window, windows) of each run of windows with one anchor.
+def anchored_runs(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first window, windows, anchor) of each run of windows with one anchor.
 
     Of equal least k-grams the leftmost is the anchor. Long texts go by strides; a run may be cut at a stride's end into
     runs of the same key.
     """
     data, windows = np.frombuffer(raw, dtype=np.uint8), len(raw) - length + 1
-    keys, firsts, sizes = [], [], []
+    keys, firsts, sizes, anchors = [], [], [], []
     for at in range(0, max(windows, 0), STRIDE):
         part = data[at : min(len(raw), at + STRIDE + length - 1)]
         h = gram_hashes(part, gram)
@@ -82,9 +86,10 @@ def anchored_runs(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[n
         keys.append(h[anchor[change].astype(np.int64)])
         firsts.append(change + at)
         sizes.append(np.diff(np.append(change, n)))
+        anchors.append(anchor[change].astype(np.int64) + at)
     if not keys:
-        return np.array([], np.int64), np.array([], np.int64), np.array([], np.int64)
-    return np.concatenate(keys).view(np.int64), np.concatenate(firsts), np.concatenate(sizes)
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(4))
+    return np.concatenate(keys).view(np.int64), np.concatenate(firsts), np.concatenate(sizes), np.concatenate(anchors)
 
 
 def piece_codes(raw: bytes, firsts: np.ndarray, sizes: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -198,7 +203,7 @@ def _pieces(docs: DataFrame, length: int, gram: int) -> DataFrame:
         for part in slices(batches, "text", 4 << 20):
             keys, codes, firsts, sizes, owner = [], [], [], [], []
             for i, raw in enumerate(_texts(part)):
-                k, f, n = anchored_runs(raw, length, gram)
+                k, f, n, _ = anchored_runs(raw, length, gram)
                 keys.append(k)
                 codes.append(piece_codes(raw, f, n, length))
                 firsts.append(f)
@@ -257,28 +262,67 @@ def _compare(pieces: DataFrame, length: int, batch_bytes: int) -> DataFrame:
     return pieces.mapInArrow(run, f"key long, code long, runs {_RUNS}")
 
 
-def _window_codes(pieces: DataFrame, length: int) -> DataFrame:
-    """(key, code, windows): two hashes of each window of each piece."""
+def _cut_finer(pieces: DataFrame, width: int, length: int, gram: int) -> DataFrame:
+    """Pieces of at most ``width`` windows: (key, code) of the piece they are cut from, at, n, their own sub_key, sub_code, bytes."""
 
     def run(batches):
+        code_of = xxhash.xxh3_64_intdigest
         for batch in batches:
-            codes = []
-            for raw in batch.column("bytes").to_pylist():
-                both = (gram_hashes(np.frombuffer(raw, np.uint8), length).view(np.int64).tolist(), [xxhash.xxh3_64_intdigest(raw[i : i + length]) - (1 << 63) for i in range(len(raw) - length + 1)])
-                codes.append([{"a": a, "b": b} for a, b in zip(*both, strict=True)])
-            kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("code"), pa.array(codes, kind)], names=["key", "code", "windows"])
+            rows = []
+            for key, code, raw in zip(*[batch.column(c).to_pylist() for c in ("key", "code", "bytes")], strict=True):
+                starts = np.arange(len(raw) - length + 1)
+                anchor = 0 if width == 1 else int(anchored_runs(raw, length, gram)[3][0])
+                cell = starts if width == 1 else (anchor - starts) // width
+                edges = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(starts)]
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    # the bytes that all windows of the cell share, whichever of them this piece has
+                    c = -a if width == 1 else int(cell[a])
+                    common = raw[anchor - width * c : anchor - width * (c + 1) + 1 + length] + (0 if width == 1 else c).to_bytes(4, "little")
+                    piece = raw[a : b - 1 + length]
+                    rows.append((key, code, a, b - a, code_of(common, key & (1 << 63) - 1) - (1 << 63), code_of(piece) - (1 << 63), piece if width > 1 else None))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "code", "at", "n", "sub_key", "sub_code", "bytes"]
+            )
 
-    return pieces.mapInArrow(run, "key long, code long, windows array<struct<a:long,b:long>>")
+    return pieces.mapInArrow(run, "key long, code long, at int, n int, sub_key long, sub_code long, bytes binary")
+
+
+def _live(pieces: DataFrame, key: str, code: str) -> DataFrame:
+    """(key, code, whole, kinds) of the pieces whose key occurs twice or more.
+
+    whole: the piece itself occurs twice or more. kinds: different pieces of the key.
+    """
+    counts = stored(pieces.groupBy(key, code).agg(F.count(F.lit(1)).alias("found")))
+    keys = stored(counts.groupBy(key).agg(F.count(F.lit(1)).alias("kinds"), F.sum("found").alias("all")).filter("all > 1").drop("all"))
+    return stored(counts.join(keys, key).select(key, code, (F.col("found") > 1).alias("whole"), "kinds"))
+
+
+def _repeats(pieces: DataFrame, length: int, gram: int, group: int, batch_bytes: int, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    """(key, code, runs): the repeated windows of the different pieces (key, code, bytes, kinds) of each key."""
+    near = pieces.filter(F.col("kinds") <= group).select("key", "code", "bytes").repartition("key").sortWithinPartitions("key", "code")
+    compared = _compare(near, length, batch_bytes)
+    crowded = pieces.filter(F.col("kinds") > group)
+    if not widths or crowded.isEmpty():
+        return compared
+    finer = stored(_cut_finer(crowded, widths[0], length, gram))
+    own = stored(finer.join(_live(finer, "sub_key", "sub_code"), ["sub_key", "sub_code"]))
+    found = own.filter("whole").select("key", "code", "at", "n")
+    mixed = own.filter("kinds > 1")
+    if not mixed.isEmpty():
+        different = mixed.dropDuplicates(["sub_key", "sub_code"]).select(F.col("sub_key").alias("key"), F.col("sub_code").alias("code"), "bytes", "kinds")
+        inner = stored(_repeats(stored(different), length, gram, group, batch_bytes, widths[1:]))
+        inner = inner.select(F.col("key").alias("sub_key"), F.col("code").alias("sub_code"), "runs")
+        parts = mixed.filter("NOT whole").join(inner, ["sub_key", "sub_code"]).select("key", "code", "at", F.explode("runs").alias("r"))
+        found = found.union(parts.select("key", "code", (F.col("at") + F.col("r.at")).alias("at"), F.col("r.n").alias("n")))
+    return compared.union(found.groupBy("key", "code").agg(F.collect_list(F.struct("at", "n")).alias("runs")).select("key", "code", F.col("runs").cast(_RUNS)))
 
 
 def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """(doc_id, mark, runs): the window runs (at, n) that repeat, of documents (doc_id, mark, text) that have any."""
     pieces = _pieces(docs, length, gram)
-    kinds = stored(pieces.groupBy("key", "code").agg(F.count(F.lit(1)).alias("found")))
-    keys = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("found").alias("all")).filter("all > 1").drop("all")
-    keys = stored(keys)
-    live = stored(kinds.join(keys, "key").select("key", "code", (F.col("found") > 1).alias("whole"), "kinds"))
+    live = _live(pieces, "key", "code")
     own = stored(pieces.join(live, ["key", "code"]))
     piece = F.struct("key", "code", "at", "n")
     wanted = own.filter("kinds > 1").groupBy("doc_id", "mark").agg(F.collect_list(piece).alias("pieces"))
@@ -286,14 +330,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group
     bytes_of = _cut_pieces(texts, length)
     mixed = live.filter("kinds > 1")
     bytes_of = stored(bytes_of.dropDuplicates(["key", "code"]).join(mixed, ["key", "code"]))
-    compared = _compare(
-        bytes_of.filter(F.col("kinds") <= group).repartition("key").sortWithinPartitions("key", "code").select("key", "code", "bytes"), length, batch_bytes
-    )
-    windows = _window_codes(bytes_of.filter(F.col("kinds") > group).select("key", "code", "bytes"), length)
-    windows = stored(windows).select("key", "code", F.posexplode("windows").alias("at", "window"))
-    twice = stored(windows.groupBy("key", "window").agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1").drop("seen"))
-    single = windows.join(twice, ["key", "window"], "left_semi").groupBy("key", "code").agg(F.collect_list(F.struct("at", F.lit(1).alias("n"))).alias("runs"))
-    part = stored(compared.union(single.select("key", "code", F.col("runs").cast(_RUNS))))
+    part = stored(_repeats(bytes_of, length, gram, group, batch_bytes))
     all_of = own.filter("whole").select("doc_id", "mark", "at", "n")
     some = own.filter("NOT whole AND kinds > 1").join(part, ["key", "code"]).select("doc_id", "mark", "at", F.explode("runs").alias("r"))
     some = some.select("doc_id", "mark", (F.col("at") + F.col("r.at")).alias("at"), F.col("r.n").alias("n"))
