@@ -21,6 +21,8 @@ from barloom.llm.common import crc_mod, slices
 FOLDS, HELD_OUT = 3, 1
 #: Rows of each language that the machines are fitted on, about, and the size of a text's profile.
 PER_LANGUAGE, BUCKETS = 400, 2048
+#: Most languages: the driver holds per_language profiles of each.
+MAX_LANGUAGES = 500
 UNDETERMINED = "und"
 #: ASCII that isn't a letter becomes a space.
 _LETTERS = bytes(c if chr(c).isalpha() or c > 127 else 32 for c in range(256))
@@ -136,7 +138,9 @@ def learn_languages(
     rows = df.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     share = (F.xxhash64(F.col("doc_id"), F.lit(5)) / 2.0**64 + 0.5) * F.col("n")
-    sample = rows.join(counts, "lang").filter(share < per_language).select("lang", "text")
+    if (found := counts.count()) > MAX_LANGUAGES:
+        raise ValueError(f"{found} languages; the machines take {MAX_LANGUAGES}")
+    sample = rows.join(F.broadcast(counts), "lang").filter(share < per_language).select("lang", "text")
 
     def run(batches):
         for part in slices(batches, "text", 4 << 20):
