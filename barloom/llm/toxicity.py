@@ -25,6 +25,8 @@ from barloom.llm.common import crc_mod, slices, stored, whole_text
 FOLDS, HELD_OUT = 5, 0
 #: Examples of each label, about; terms; neighbours; examples in a block.
 PER_LABEL, TERMS, NEIGHBOURS, BLOCK = 2000, 256, 15, 64
+#: Documents that one task scores, about.
+TASK_DOCS = 8000
 #: Least documents of the sample that hold a term.
 LEAST_DOCS = 5
 _WORD, KEPT_WORDS = re.compile(r"[^\W\d_]+"), 300_000
@@ -62,6 +64,19 @@ def term_counts(df: DataFrame, vocabulary: dict[str, int], carry: list[str], tex
     return source.mapInArrow(run, schema)
 
 
+def document_frequencies(counted: DataFrame, n_terms: int) -> DataFrame:
+    """(t, n): how many rows hold term t; each task sends one row per term."""
+
+    def run(batches):
+        n = np.zeros(n_terms, dtype=np.int64)
+        for part in batches:
+            n += np.bincount(part.column("terms").flatten().to_numpy(zero_copy_only=False).astype(np.int64), minlength=n_terms)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["t", "n"])
+
+    return counted.select("terms").mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n"))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
     """(doc_id, text, toxic) of about ``per_label`` documents of each label, chosen by a hash of doc_id.
 
@@ -191,7 +206,7 @@ def toxicity(
     vocabulary = choose_terms(sample, terms)
     all_counts = stored(term_counts(docs.withColumn("held_out", crc_mod("doc_id", FOLDS) == HELD_OUT), vocabulary, ["doc_id", "held_out"]))
     n_docs = all_counts.count()
-    df_rows = all_counts.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()
+    df_rows = document_frequencies(all_counts, len(vocabulary)).collect()  # a row per term
     idf = np.full(max(len(vocabulary), 1), np.log(1.0 + n_docs) + 1.0)
     for r in df_rows:
         idf[r["t"]] = np.log((1.0 + n_docs) / (1.0 + r["n"])) + 1.0
@@ -222,4 +237,5 @@ def toxicity(
     schema = StructType([all_counts.schema["doc_id"], all_counts.schema["held_out"]]).add("score", DoubleType()).add("predicted", IntegerType())
     shown_type = StructType().add("doc_id", LongType()).add("cosine", DoubleType()).add("label", IntegerType())
     schema = schema.add("evidence", ArrayType(shown_type))
-    return all_counts.mapInArrow(run, schema)
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, n_docs // TASK_DOCS)  # the counts are small, the work isn't
+    return all_counts.repartition(tasks).mapInArrow(run, schema)
