@@ -105,13 +105,13 @@ def ema_align(
 
 def kalman_spec(col: str, q: float = 0.01, r: float = 0.1, p0: float = 1.0) -> Recurrence:
     """Scalar level filter started at the first value. Its gain depends on the row number only."""
-    gains, p = [], p0
-    while True:
+    gains, p = [p0 / (p0 + r)], p0
+    for _ in range(SERIES.chunk_rows - 1):  # the gain may end in a cycle of neighbouring doubles, so equality is no test
+        p = (1.0 - gains[-1]) * p + q
         gain = p / (p + r)
-        if gains and gain == gains[-1]:
+        if abs(gain - gains[-1]) <= 1e-15 * gain:
             break
         gains.append(gain)
-        p = (1.0 - gain) * p + q
     # the filter starts at x[0], so the first row takes its value whole
     return Recurrence(col, gains[-1], (1.0, *gains[1:]))
 

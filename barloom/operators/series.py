@@ -88,6 +88,9 @@ def calendar_bucket(lay: SeriesLayout) -> Column:
 def index_series(df: DataFrame, lay: SeriesLayout = SERIES, before: dict[str, Column] | None = None) -> DataFrame:
     """Add ``pos`` (0-based row number in the series), ``n_rows`` and ``chunk``.
 
+    Rows without a key or a time have no place in a series: reject and count them before (``usable_bars``,
+    ``rejected_bars``); here they are left out.
+
     ``before`` names sums over all earlier rows of the series to add on the way. Rows are numbered inside
     calendar buckets; the bucket offsets come from a pre-aggregated table with one row per (series, bucket), so no
     task ever sorts a whole series.

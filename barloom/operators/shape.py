@@ -9,9 +9,9 @@ REQUIRED = ("close", "high", "low", "volume")
 
 
 def require_columns(df: DataFrame, names: tuple[str, ...] = REQUIRED) -> DataFrame:
-    for name in names:
-        if name not in df.columns:
-            raise ValueError(f"Missing essential column: '{name}' in the data.")
+    absent = [name for name in names if name not in df.columns]
+    if absent:
+        raise ValueError(f"bars lack the columns {', '.join(map(repr, absent))}; there are {', '.join(df.columns)}")
     return df
 
 

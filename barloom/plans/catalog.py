@@ -18,7 +18,7 @@ from barloom.operators.states import apply_policy, greedy_actions, occupancy, po
 from barloom.operators.supertrend import supertrend
 from barloom.plans import strategies as S
 from barloom.session import settle, shared_folder
-from barloom.sources.bars import read_csv_bars, write_csv
+from barloom.sources.bars import read_csv_bars, rejected_bars, write_csv
 from barloom.sources.ticks import event_tick_stream
 from barloom.streaming.live import drain, stream_bars, stream_positions
 
@@ -338,6 +338,14 @@ def json_field(spark, sf_dir):
     return events.select("event_id", field.alias("sharpe"))
 
 
+def rejected_rows(spark, sf_dir):
+    """Rows of the event table that no series can hold, if every 97th time and every 89th type were lost."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    symbol = F.when(F.col("event_id") % 89 != 0, F.col("event_type"))
+    damaged = events.select(symbol.alias("symbol"), F.when(F.col("event_id") % 97 != 0, F.col("ts")).alias("ts"))
+    return rejected_bars(damaged)
+
+
 def csv_round_trip(spark, sf_dir):
     folder = f"{shared_folder(spark)}/bars-{spark.sparkContext.applicationId}"
     write_csv(S.value_bars(spark, sf_dir).select(*KEY, *OHLCV), folder)
@@ -379,6 +387,7 @@ def queries() -> dict:
         "bars_hourly": bars_hourly,
         "bars_path": bars_path,
         "bars_daily": bars_daily,
+        "rejected_rows": rejected_rows,
         "csv_round_trip": csv_round_trip,
         "sma_cross": _windowed(["ma7", "ma14", "ma_signal"], rolling.sma_cross),
         "price_changes": _windowed(["diff", "returns", "pct_change"], rolling.price_changes),

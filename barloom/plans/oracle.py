@@ -451,6 +451,14 @@ def simple(bars: str, select: str, *more: str) -> str:
     return q(bars, *more, select=select)
 
 
+REJECTED = """
+WITH e AS (
+  SELECT CASE WHEN event_id % 89 <> 0 THEN event_type END AS symbol, CASE WHEN event_id % 97 <> 0 THEN ts END AS ts FROM events)
+SELECT symbol, count(*) FILTER (WHERE ts IS NULL) AS without_time, count(*) FILTER (WHERE symbol IS NULL) AS without_key, count(*) AS n_rows
+FROM e GROUP BY symbol HAVING count(*) FILTER (WHERE ts IS NULL OR symbol IS NULL) > 0
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     ma, atr = ma_ctes("bars", "symbol"), atr_ctes("bars", "symbol", "", "a")
     rsi = rsi_ctes("bars", "symbol", "close", "rsi_14", "rs")
@@ -471,6 +479,7 @@ lagged AS (
   SELECT f.leader, f.follower, ks.lag, l.lr, f.fr FROM rets f CROSS JOIN ks
   JOIN rets l ON l.leader = f.leader AND l.follower = f.follower AND l.pos = f.pos - ks.lag)"""
     return {
+        "rejected_rows": REJECTED,
         "bars_hourly": simple(VALUE_BARS, f"SELECT {K}, {nums(*OHLCV)} FROM bars"),
         "bars_path": simple(HOUR_BARS, f"SELECT {K}, {nums(*OHLCV)} FROM bars"),
         "bars_daily": simple(DAY_BARS, f"SELECT {K}, {nums(*OHLCV)} FROM bars"),

@@ -45,7 +45,7 @@ def settle(df: DataFrame) -> DataFrame:
 
     Used where several passes read the same expensive rows: the passes then start from the
     written rows instead of repeating everything upstream, and a lost executor costs no recomputation.
-    The physical partitioning survives, so later windows on the same keys need no new shuffle.
+    The partitioning by key doesn't survive: later windows shuffle again.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

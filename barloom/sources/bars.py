@@ -33,13 +33,32 @@ def read_csv_text_times(
     return df.withColumns(numbers).withColumn("ts", F.try_to_timestamp(time_column, F.lit(TS_FORMAT)).cast("timestamp_ntz")).drop(time_column)
 
 
+def usable_bars(df: DataFrame, keys: tuple[str, ...] = ("symbol",), ts: str = "ts") -> DataFrame:
+    """Bars with all keys and a time. Series need both: rows without them belong to no place in a series."""
+    return df.dropna(subset=[*keys, ts])
+
+
+def rejected_bars(df: DataFrame, keys: tuple[str, ...] = ("symbol",), ts: str = "ts") -> DataFrame:
+    """How many rows ``usable_bars`` rejects, by key: those without a time, and those without a key."""
+    no_key = F.lit(False)
+    for k in keys:
+        no_key = no_key | F.col(k).isNull()
+    counts = df.groupBy(*keys).agg(
+        F.count(F.when(F.col(ts).isNull(), 1)).alias("without_time"), F.count(F.when(no_key, 1)).alias("without_key"), F.count(F.lit(1)).alias("n_rows")
+    )
+    return counts.filter((F.col("without_time") > 0) | (F.col("without_key") > 0))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("timestampNTZFormat", TS_FORMAT).csv(path)
 
 
 def write_bars(df: DataFrame, path: str, partition: str = "symbol") -> None:
-    """Parquet, one folder per symbol; a reader that asks for one symbol opens one folder."""
-    df.write.mode("overwrite").partitionBy(partition).parquet(path)
+    """Parquet, one folder per symbol; a reader that asks for one symbol opens one folder.
+
+    Rows of a symbol are gathered first, evenly sized files of a large symbol included, so tasks don't each write to all folders.
+    """
+    df.hint("rebalance", partition).write.mode("overwrite").partitionBy(partition).parquet(path)
 
 
 def read_bars(spark: SparkSession, path: str) -> DataFrame:
