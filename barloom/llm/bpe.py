@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import base64
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +54,11 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, raw.splitlines())}
 
 
-@lru_cache(maxsize=1)
+#: Made once in a process. Plain tables, since functions of this package travel to the tasks by value.
+_SPLITTERS: dict = {}
+_CODERS: dict = {}
+
+
 def splitters(pattern: str):
     """The pattern on plain classes for texts within the first plane, and as it is (but for white space) for others."""
     import regex
@@ -77,7 +80,9 @@ def splitters(pattern: str):
 
 
 def split_words(text: str, pattern: str) -> list[str]:
-    plain, whole = splitters(pattern)
+    if pattern not in _SPLITTERS:
+        _SPLITTERS[pattern] = splitters(pattern)
+    plain, whole = _SPLITTERS[pattern]
     return (plain if not text or max(text) <= "￿" else whole).findall(text)
 
 
@@ -143,9 +148,10 @@ class Coder:
                 ids[word], back[word] = flat[ends[k] : ends[k + 1]].tobytes(), decoded
 
 
-@lru_cache(maxsize=1)
 def _coder(raw: bytes) -> Coder:
-    return Coder(raw)
+    if raw not in _CODERS:
+        _CODERS[raw] = Coder(raw)
+    return _CODERS[raw]
 
 
 def encode_decode(

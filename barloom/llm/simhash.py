@@ -9,7 +9,6 @@ task sees an unbounded group, and a group emits links for its components, not al
 
 from __future__ import annotations
 
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -59,7 +58,6 @@ def first_masks() -> list[int]:
     return [_signed(sum(1 << b for part in chosen for b in part)) for chosen in combinations(blocks, BLOCKS - MAX_BITS)]
 
 
-@lru_cache(maxsize=None)
 def finer_masks(mask: int) -> list[int]:
     """The mask with one of four parts of its open bits each: three differing bits leave one part equal."""
     held = mask & (1 << 64) - 1
@@ -69,7 +67,7 @@ def finer_masks(mask: int) -> list[int]:
 
 @F.pandas_udf(ArrayType(LongType()))
 def _finer(masks: pd.Series) -> pd.Series:
-    return masks.map(finer_masks)
+    return masks.map({m: finer_masks(m) for m in masks.unique().tolist()})
 
 
 def group_links(found: np.ndarray) -> list[tuple[int, int]]:

@@ -7,8 +7,6 @@ trie and the links adds up the pieces that greedy longest-match would give, in t
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,9 +65,13 @@ class Automaton:
         return n if u == 0 else -1
 
 
-@lru_cache(maxsize=1)
+_AUTOMATA: dict = {}
+
+
 def _automaton(raw: bytes) -> Automaton:
-    return Automaton(read_ranks(raw))
+    if raw not in _AUTOMATA:
+        _AUTOMATA[raw] = Automaton(read_ranks(raw))
+    return _AUTOMATA[raw]
 
 
 def token_counts(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", carry: list[str] | None = None) -> DataFrame:
