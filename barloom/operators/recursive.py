@@ -53,16 +53,23 @@ class Recurrence:
 def linear_scan(
     df: DataFrame, specs: dict[str, Recurrence], lay: SeriesLayout = SERIES, source: DataFrame | None = None
 ) -> DataFrame:
-    """Evaluate several recurrences in one pass. Needs ``index_series`` and non-null inputs.
+    """Evaluate several recurrences in one pass. Needs ``index_series``.
+
+    A NULL input fails the job: it has no weight of its own, and leaving it out would let the rows after it decay to a
+    wrong level. Fill (``ffill``) or drop such rows before.
 
     ``source`` may name an earlier, narrower table with the same rows, from which the chunk ends are taken.
     """
     for name, rec in specs.items():
         if len(rec.gains) > lay.chunk_rows or -lay.chunk_rows * math.log(1.0 - rec.gain) > 650:
             raise ValueError(f"{name}: choose a chunk size between {len(rec.gains)} and the range of doubles")
+
+    def given(col: str) -> Column:
+        return F.coalesce(F.col(col), F.raise_error(F.lit(f"{col} is NULL: fill or drop it before a recurrence")).cast("double"))
+
     def in_chunk(rows: DataFrame) -> DataFrame:
         scaled = rows.withColumns({f"_e_{k}": r.decay(lay.chunk_rows) for k, r in specs.items()}).withColumns(
-            {f"_x_{k}": r.weight() * F.col(r.col) / F.col(f"_e_{k}") for k, r in specs.items()}
+            {f"_x_{k}": r.weight() * given(r.col) / F.col(f"_e_{k}") for k, r in specs.items()}
         )
         return scaled.withColumns({f"_l_{k}": F.sum(f"_x_{k}").over(lay.running()) * F.col(f"_e_{k}") for k in specs})
 

@@ -19,8 +19,8 @@ from barloom.operators.supertrend import supertrend
 from barloom.plans import strategies as S
 from barloom.session import settle, shared_folder
 from barloom.sources.bars import read_csv_bars, rejected_bars, write_csv
-from barloom.sources.ticks import event_tick_stream
-from barloom.streaming.live import drain, stream_bars, stream_positions
+from barloom.sources.ticks import event_tick_stream, event_ticks
+from barloom.streaming.live import closed, drain, stream_bars, stream_positions
 
 KEY = ["symbol", "ts"]
 PAIR_KEY = ["leader", "follower", "ts"]
@@ -366,7 +366,9 @@ def finite_guard(spark, sf_dir):
 
 
 def stream_bars_query(spark, sf_dir):
-    bars = drain(stream_bars(event_tick_stream(spark, sf_dir)), _fresh_folder(spark))
+    folder = _fresh_folder(spark)
+    ticks = closed(event_tick_stream(spark, sf_dir), event_ticks(spark, sf_dir), folder, ["symbol"])
+    bars = drain(stream_bars(ticks), folder)
     return select_out(bars, [*KEY, *OHLCV])
 
 
@@ -375,6 +377,7 @@ def stream_positions_query(spark, sf_dir):
     folder = _fresh_folder(spark)
     gated.write.parquet(f"{folder}/gated")
     source = spark.readStream.schema(gated.schema).parquet(f"{folder}/gated")
+    source = closed(source, spark.read.parquet(f"{folder}/gated"), folder, PAIR_KEY[:2])
     return select_out(drain(stream_positions(source), folder), [*PAIR_KEY, "close", "signals", "trade_type"])
 
 

@@ -662,11 +662,11 @@ touched AS (
             f"SELECT symbol, count(*) FILTER (open = close) AS rejected, {num('avg(high - low) FILTER (open <> close)', 'spread')} FROM bars GROUP BY symbol",
         ),
         "stream_bars": simple(
-            VALUE_BARS, f"SELECT {K}, {nums(*OHLCV)} FROM bars WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR"
+            VALUE_BARS, f"SELECT {K}, {nums(*OHLCV)} FROM bars"
         ),
         "stream_positions": q(
             *pair_gates, machine(DEFAULT_GRID, "1000000000"),
-            select=f"SELECT {KP}, {num('follower_close', 'close')}, signals, trade_type FROM signalled WHERE ts <= (SELECT max(ts) FROM gated) - INTERVAL 2 HOUR",
+            select=f"SELECT {KP}, {num('follower_close', 'close')}, signals, trade_type FROM signalled",
         ),
         "json_field": "SELECT event_id, json_extract_string(props, '$.k')::DOUBLE AS sharpe FROM events",
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,8 +38,23 @@ def stream_bars(ticks: DataFrame, interval: str = "1 hour", delay: str = "2 hour
     )
 
 
+def closed(stream: DataFrame, held: DataFrame, folder: str, keys: Sequence[str], ts: str = "ts", after: str = "2 days") -> DataFrame:
+    """``stream`` and one more row, later than all it holds, so that the watermark passes every row held now.
+
+    ``held`` is the same source as a table. The row has NULL keys, so it belongs to no series, and nothing is emitted for
+    it. ``after`` must exceed the watermark delay and the bar interval together. A source without rows gets none.
+    """
+    last = held.select(*stream.columns).agg(F.max_by(F.struct(*stream.columns), ts).alias("row")).select("row.*").filter(F.col(ts).isNotNull())
+    none = {k: F.lit(None).cast(stream.schema[k].dataType) for k in keys}
+    last.withColumns({**none, ts: F.expr(f"{ts} + INTERVAL {after}")}).write.parquet(f"{folder}/end")
+    return stream.union(stream.sparkSession.readStream.schema(stream.schema).parquet(f"{folder}/end"))
+
+
 def drain(stream: DataFrame, folder: str) -> DataFrame:
-    """Run a stream over everything its source holds now, into a table under ``folder``, and return that table."""
+    """Run a stream over everything its source holds now, into a table under ``folder``, and return that table.
+
+    What lies within the last watermark delay stays in the state, unless the source is ``closed``.
+    """
     query = (
         stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
         .option("checkpointLocation", f"{folder}/progress").start(f"{folder}/table")
