@@ -6,7 +6,7 @@ merge table, and contracts the leftmost pair of the least rank of each word unti
 token positions to the vocabulary and aggregates the bytes in order.
 
 The merge table and the vocabulary have a fixed size (that of the rank file). Words met before in a task are not encoded
-again, up to a bounded number of words.
+again; when too many are held, those that the last texts did not use are forgotten.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql.types import BinaryType, LongType, StructType
 from barloom.llm.common import slices, whole_text
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-SLICE_BYTES, WORDS_A_QUERY, KEPT_WORDS, LONG_WORD = 2 << 20, 10_000, 200_000, 2000
+SLICE_BYTES, WORDS_A_QUERY, KEPT_WORDS, LONG_WORD = 1 << 20, 4000, 60_000, 2000
 #: Unicode white space as the public tokenizer counts it.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -95,12 +95,15 @@ class Coder:
         self.ranks = read_ranks(raw)
         self.tokens = {i: token for token, i in self.ranks.items()}
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        splits = [
-            (self.ranks[t[:i]] * 65536 + self.ranks[t[i:]], r)
-            for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks
-        ]
+        splits = np.fromiter(
+            (
+                (self.ranks[t[:i]] * 65536 + self.ranks[t[i:]], r)
+                for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks
+            ),
+            dtype=np.dtype((np.int64, 2)),
+        )
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
-        pairs = pa.table({"pair": pa.array([p for p, _ in splits], pa.int64()), "id": pa.array([r for _, r in splits], pa.int32())})
+        pairs = pa.table({"pair": splits[:, 0], "id": splits[:, 1].astype(np.int32)})
         known = pa.table({"id": pa.array(list(self.tokens), pa.int32()), "bytes": [t.hex() for t in self.tokens.values()]})
         for name, table in (("merges", pairs), ("vocabulary", known)):
             self.db.register("given", table)
@@ -172,13 +175,14 @@ def encode_decode(
         coder, ids, back = _coder(raw.value), {}, {}
         for part in slices(batches, "_text", slice_bytes):
             texts = [split_words(t, pattern) for t in part.column("_text").to_pylist()]
-            if len(ids) > KEPT_WORDS:
-                ids, back = {}, {}
-            coder.learn(list({w for ws in texts for w in ws}.difference(ids)), ids, back)
+            found = {w for ws in texts for w in ws}
+            coder.learn(list(found.difference(ids)), ids, back)
             joined = [b"".join([ids[w] for w in ws]) for ws in texts]
             columns = [part.column(c) for c in carry]
             columns += [pa.array([len(x) // 4 for x in joined], pa.int64()), pa.array(joined, pa.binary())]
             columns.append(pa.array([b"".join([back[w] for w in ws]) for ws in texts], pa.binary()))
+            if len(ids) > KEPT_WORDS:
+                ids, back = {w: ids[w] for w in found}, {w: back[w] for w in found}
             yield pa.RecordBatch.from_arrays(columns, names=[*carry, *added])
 
     source = df.select(*carry, whole_text(text).alias("_text"))
