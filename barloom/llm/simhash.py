@@ -12,17 +12,18 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import LongType, StructType
 
-from barloom.llm.common import stored, whole_text
+from barloom.llm.common import slices, stored, whole_text
 
 SHINGLE, SEED, MAX_BITS, BLOCKS = 3, 42, 3, 6
 #: Most fingerprints of a group that one task compares; groups of ten open bits can't be larger.
 GROUP = 1024
+SLICE_BYTES = 1 << 20
 
 
 def simhash(text: str) -> int:
@@ -39,9 +40,16 @@ def simhash(text: str) -> int:
     return int(np.packbits(2 * ones > n).view(">u8")[0].astype(np.int64))
 
 
-@F.pandas_udf(LongType())
-def fingerprints(texts: pd.Series) -> pd.Series:
-    return texts.map(simhash)
+def fingerprints(df: DataFrame, text: str, carry: dict[str, Column]) -> DataFrame:
+    """The columns in ``carry`` and ``fp``, the fingerprint of the whole text."""
+    source, names = df.select(*[c.alias(n) for n, c in carry.items()], whole_text(text).alias("_text")), [*carry, "fp"]
+
+    def run(batches):
+        for part in slices(batches, "_text", SLICE_BYTES):
+            found = pa.array([simhash(t) for t in part.column("_text").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], found], names=names)
+
+    return source.mapInArrow(run, StructType(source.schema.fields[:-1]).add("fp", LongType()))
 
 
 def _signed(mask: int) -> int:
@@ -65,9 +73,12 @@ def finer_masks(mask: int) -> list[int]:
     return [_signed(held | sum(1 << b for b in part)) for part in _cut(open_bits, MAX_BITS + 1)]
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def _finer(masks: pd.Series) -> pd.Series:
-    return masks.map({m: finer_masks(m) for m in masks.unique().tolist()})
+def _finer(batches):
+    for part in batches:
+        masks = part.column("mask").to_pylist()
+        finer = {m: finer_masks(m) for m in set(masks)}
+        fps = np.repeat(part.column("fp").to_numpy(), MAX_BITS + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(fps), pa.array([x for m in masks for x in finer[m]], pa.int64())], names=["fp", "mask"])
 
 
 def group_links(found: np.ndarray) -> list[tuple[int, int]]:
@@ -89,9 +100,9 @@ def group_links(found: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _link_groups(batches):
-    for pdf in batches:
-        links = [x for found in pdf["found"] for x in group_links(np.asarray(found, dtype=np.int64))]
-        yield pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+    for part in batches:
+        links = [x for found in part.column("found") for x in group_links(found.values.to_numpy())]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def block_links(distinct: DataFrame, group: int = GROUP) -> DataFrame:
@@ -104,13 +115,13 @@ def block_links(distinct: DataFrame, group: int = GROUP) -> DataFrame:
         counts = stored(keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
         small = keyed.join(counts.filter(F.col("n") <= group), ["mask", "key"])
         found = small.groupBy("mask", "key").agg(F.collect_list("fp").alias("found")).select("found")
-        now = stored(found.mapInPandas(_link_groups, "a long, b long").distinct())
+        now = stored(found.mapInArrow(_link_groups, "a long, b long").distinct())
         links = now if links is None else links.union(now)
         large = counts.filter(F.col("n") > group)
         if large.isEmpty():
             return links.distinct()
         hot = keyed.join(large.select("mask", "key"), ["mask", "key"], "left_semi")
-        rows = stored(hot.select("fp", F.explode(_finer("mask")).alias("mask")).distinct())
+        rows = stored(hot.select("fp", "mask").mapInArrow(_finer, "fp long, mask long").distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -145,7 +156,7 @@ def simhash_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", gr
     often as they are there. Null ids are rows too; a component of null ids only has a null component_id.
     """
     extra = carry or {}
-    prints = stored(df.select(F.col(doc_id).alias("doc_id"), fingerprints(whole_text(text)).alias("fp"), *[c.alias(n) for n, c in extra.items()]))
+    prints = stored(fingerprints(df, text, {"doc_id": F.col(doc_id), **extra}))
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     labels = components(block_links(distinct, group)).withColumnRenamed("v", "fp")
     linked = stored(labels.join(distinct, "fp"))
