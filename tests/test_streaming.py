@@ -9,7 +9,7 @@ from barloom.operators.pairs import PAIRS
 from barloom.operators.positions import HoldRules, position_signals, trade_walk
 from barloom.operators.series import index_series
 from barloom.sources.ticks import event_ticks, tick_bars
-from barloom.streaming.live import stream_bars, stream_positions
+from barloom.streaming.live import closed, drain, stream_bars, stream_positions
 from helpers import machine_frame, machine_rows
 
 SF = "/root/testdata/sf0.001"
@@ -40,6 +40,28 @@ def test_stream_bars_equal_batch_bars(spark):
         assert got[c].tolist() == want[c].tolist()
 
 
+def test_closed_stream_has_no_tail(spark):
+    """Every bar of the source comes out, volume included, and nothing for the closing row."""
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    ticks = event_ticks(spark, SF)
+    ticks.write.parquet(f"{folder}/t")
+    source = closed(spark.readStream.schema(ticks.schema).parquet(f"{folder}/t"), ticks, folder, ["symbol"])
+    got = drain(stream_bars(source), folder).toPandas().sort_values(["symbol", "ts"])
+    want = tick_bars(ticks).toPandas().sort_values(["symbol", "ts"])
+    assert len(got) == len(want) > 0
+    for c in ("symbol", "open", "high", "low", "close"):
+        assert got[c].tolist() == want[c].tolist()
+    assert abs(got["volume"].to_numpy() - want["volume"].to_numpy()).max() < 1e-6
+
+
+def test_closing_an_empty_stream(spark):
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    ticks = event_ticks(spark, SF).limit(0)
+    ticks.write.parquet(f"{folder}/t")
+    source = closed(spark.readStream.schema(ticks.schema).parquet(f"{folder}/t"), ticks, folder, ["symbol"])
+    assert drain(stream_bars(source), folder).count() == 0
+
+
 def test_stream_replay_equals_batch_but_for_the_last_row(spark):
     """Replay the machine on shuffled files; the batch result differs only by the close on the last row."""
     rows = machine_rows(300, seed=5)
