@@ -117,7 +117,7 @@ def quality_rules(
     """
     carry = [c for c in (df.columns if carry is None else carry) if c not in MEASURES]
     measured = stored(measures(df.withColumn("_h", F.col(host)), text, [*carry, "_h"]))
-    rates = host_rates(measured, "_h")
+    rates = stored(host_rates(measured, "_h"))  # its size is then known before the join, so that few hosts don't shuffle the texts
     joined = measured.join(rates, measured["_h"].eqNullSafe(rates["_host"]), "left")
     bad_host = F.greatest(*[F.col(f"rate_{r}") for r in RULES]) > host_rate
     suspect = F.lit(False)
