@@ -26,15 +26,15 @@ GROUP = 1024
 SLICE_BYTES = 1 << 20
 
 
-def simhash(text: str) -> int:
-    """The fingerprint, as a signed 64-bit number; 0 for a text without words."""
+def simhash(text: str, shingle: int = SHINGLE) -> int:
+    """The fingerprint of the runs of ``shingle`` words, as a signed 64-bit number; 0 for a text without words."""
     ws = text.encode("utf-8", "surrogatepass").lower().split()
     if not ws:
         return 0
-    ones, n = np.zeros(64, dtype=np.int64), max(1, len(ws) - SHINGLE + 1)
+    ones, n = np.zeros(64, dtype=np.int64), max(1, len(ws) - shingle + 1)
     digest = xxhash.xxh64_intdigest
     for at in range(0, n, 1 << 15):
-        part = [digest(b" ".join(ws[i : i + SHINGLE]), SEED) for i in range(at, min(n, at + (1 << 15)))]
+        part = [digest(b" ".join(ws[i : i + shingle]), SEED) for i in range(at, min(n, at + (1 << 15)))]
         bits = np.unpackbits(np.array(part, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1)
         ones += bits.sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n).view(">u8")[0].astype(np.int64))
