@@ -9,6 +9,8 @@ table. The turns are then written with one template, in which every assistant te
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 TURN = "array<struct<role:string,text:string>>"
 #: Strings of the template; a backslash is put inside them where a text contains them.
 OPEN, MIDDLE, CLOSE = "<s>[INST]", "[/INST]", "</s>"
+#: Jackson's default of 20,000,000 characters would turn longer texts into NULL.
+WHOLE = {"maxStringLen": "2147483647"}
 _RAW, _ESCAPED = r"([<\[])(\\*/?(?:s>|INST\]))", r"([<\[])\\(\\*/?(?:s>|INST\]))"
 
 
@@ -54,7 +58,7 @@ def field_paths(record: Column) -> Column:
     top = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
 
     def inner(key: Column) -> Column:
-        items = F.from_json(F.get(F.map_values(F.map_filter(_fields(record), lambda k, _: k == key)), 0), "array<map<string,string>>")
+        items = F.from_json(F.get(F.map_values(F.map_filter(_fields(record), lambda k, _: k == key)), 0), "array<map<string,string>>", WHOLE)
         keys = F.array_distinct(F.flatten(F.transform(F.filter(items, lambda m: m.isNotNull()), F.map_keys)))
         listed = F.transform(keys, lambda k: F.concat(key, F.lit("[]."), k))
         return F.when(F.size(keys) > 0, listed).otherwise(F.array(key))
@@ -63,7 +67,7 @@ def field_paths(record: Column) -> Column:
 
 
 def _fields(record: Column) -> Column:
-    return F.from_json(record, "map<string,string>")
+    return F.from_json(record, "map<string,string>", WHOLE)
 
 
 def fingerprint(paths: Column) -> Column:
@@ -82,15 +86,18 @@ def turns_of(record: Column, mark: Column, layouts: tuple[Layout, ...] = LAYOUTS
         fits = mark == fingerprint(F.lit(",".join(sorted(lay.paths))))
         if lay.listed:
             path, role, text = lay.listed
-            items = F.from_json(record, f"{path} array<struct<`{role}`:string,`{text}`:string>>")[path]
+            items = F.from_json(record, f"{path} array<struct<`{role}`:string,`{text}`:string>>", WHOLE)[path]
             turns = F.transform(
                 items, lambda m: F.struct(_canonical(m[role], lay.rename_roles).alias("role"), F.coalesce(m[text], F.lit("")).alias("text"))  # noqa: B023
             )
         else:
-            parsed = F.from_json(record, ",".join(f"`{p}` string" for p, _ in lay.fields))
+            parsed = F.from_json(record, ",".join(f"`{p}` string" for p, _ in lay.fields), WHOLE)
             turns = F.array(
                 *[F.struct(F.lit(r).alias("role"), F.coalesce(parsed[p], F.lit("")).alias("text")) for p, r in lay.fields]
             )
+            given = _fields(record)
+            lost = [parsed[p].isNull() & F.element_at(given, p).isNotNull() for p, _ in lay.fields]
+            turns = F.when(~F.coalesce(reduce(or_, lost, given.isNull()), F.lit(True)), turns)  # a text that doesn't parse isn't an empty one
         chosen = F.when(fits, turns.cast(TURN)) if chosen is None else chosen.when(fits, turns.cast(TURN))
     return chosen
 
@@ -107,7 +114,7 @@ def format_chats(df: DataFrame, record: str = "record", layouts: tuple[Layout, .
     """Add layout_mark (the fingerprint), formatted, and loss_mask to records in JSON.
 
     formatted is ``<s>[INST]role[/INST]text</s>`` for each turn. loss_mask lists (start, length), in code points, of the
-    assistant texts. A record of an unknown layout, malformed or null, gets NULL in both; its fingerprint says which layout
+    assistant texts. A record of an unknown layout, malformed or null, or with a text that can't be parsed, gets NULL in both; its fingerprint says which layout
     to add. A null text is empty, a null role is the empty role; a record without turns gives an empty string.
     """
     df = df.withColumn("_p", field_paths(F.col(record)))
