@@ -5,8 +5,9 @@ for each term its largest weight in each block. For a document, the blocks are v
 cosine until the bound is no better than the k-th cosine found, so the k nearest examples are exact. They vote, weighted
 by distance; a logistic curve fitted to the examples' own leave-one-out votes turns the vote into a score.
 
-Terms are words and word beginnings of four to six letters; those most associated with the label in the sample make up the
-vocabulary. Document frequencies are counted over all documents.
+Terms are all words of the sample and their beginnings of four to six letters. None is dropped: a term's weight is its
+TF-IDF times its association with the label in the sample, so words that go with neither label hardly turn a vector.
+Document frequencies are counted over all documents.
 """
 
 from __future__ import annotations
@@ -23,40 +24,63 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stru
 from barloom.llm.common import crc_mod, slices, stored, whole_text
 
 FOLDS, HELD_OUT = 5, 0
-#: Examples of each label, about; terms; neighbours; examples in a block.
-PER_LABEL, TERMS, NEIGHBOURS, BLOCK = 2000, 256, 15, 64
+#: Examples of each label, about; neighbours; examples in a block; least association of a term.
+PER_LABEL, NEIGHBOURS, BLOCK, LEAST = 2000, 15, 64, 1e-4
 #: Documents that one task scores, about.
 TASK_DOCS = 8000
-#: Least documents of the sample that hold a term.
-LEAST_DOCS = 5
 _WORD, KEPT_WORDS = re.compile(r"[^\W\d_]+"), 300_000
 
 
-def word_terms(word: str) -> set[str]:
-    """A word and its beginnings of four to six letters, these marked by a final star."""
-    return {word} | {word[:n] + "*" for n in (4, 5, 6) if len(word) >= n}
+def chain(word: str) -> list[str]:
+    """The terms of a word, each followed by the next one that every word with it has too."""
+    return [word, *[word[:n] + "*" for n in (6, 5, 4) if len(word) >= n]]
 
 
-def _term_counts(text: str, vocabulary: dict[str, int], known: dict[str, tuple[int, ...]]) -> dict[int, int]:
+@dataclass
+class Vocabulary:
+    """Numbers of terms, and for each the next term of its chain or -1."""
+
+    terms: dict[str, int]
+    parent: np.ndarray
+
+    def deepest(self, word: str) -> int:
+        """The first known term of the word's chain, which stands for all known ones; -1 if none is known."""
+        return next((self.terms[t] for t in chain(word) if t in self.terms), -1)
+
+    def spread(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted terms with their counts, from the deepest ones: each counts for the rest of its chain."""
+        found, times = [], []
+        while len(terms):
+            found.append(terms)
+            times.append(counts)
+            up = self.parent[terms]
+            terms, counts = up[up >= 0], counts[up >= 0]
+        if not found:
+            return np.zeros(0, dtype=np.int64), np.zeros(0)
+        every, at = np.unique(np.concatenate(found), return_inverse=True)
+        return every, np.bincount(at, np.concatenate(times))
+
+
+def _term_counts(text: str, vocabulary: Vocabulary, known: dict[str, int]) -> dict[int, int]:
     counts: dict[int, int] = {}
     for word in _WORD.findall(text.lower()):
-        if (terms := known.get(word)) is None:
+        if (t := known.get(word)) is None:
             if len(known) > KEPT_WORDS:
                 known.clear()
-            terms = known[word] = tuple(vocabulary[t] for t in word_terms(word) if t in vocabulary)
-        for t in terms:
+            t = known[word] = vocabulary.deepest(word)
+        if t >= 0:
             counts[t] = counts.get(t, 0) + 1
     return counts
 
 
-def term_counts(df: DataFrame, vocabulary: dict[str, int], carry: list[str], text: str = "text") -> DataFrame:
-    """Add terms and counts (of the vocabulary's terms in the whole text) to the columns in ``carry``."""
+def term_counts(df: DataFrame, shared, carry: list[str], text: str = "text") -> DataFrame:
+    """Add terms and counts (of the deepest known term of each word of the text) to the columns in ``carry``."""
     source = df.select(*carry, whole_text(text).alias("_text"))
 
     def run(batches):
-        known: dict[str, tuple[int, ...]] = {}
+        known: dict[str, int] = {}
         for part in slices(batches, "_text", 4 << 20):
-            counts = [sorted(_term_counts(t, vocabulary, known).items()) for t in part.column("_text").to_pylist()]
+            counts = [sorted(_term_counts(t, shared.value, known).items()) for t in part.column("_text").to_pylist()]
             columns = [pa.array([[x[k] for x in row] for row in counts], pa.list_(pa.int32())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carry], *columns], names=[*carry, "terms", "counts"])
 
@@ -64,13 +88,24 @@ def term_counts(df: DataFrame, vocabulary: dict[str, int], carry: list[str], tex
     return source.mapInArrow(run, schema)
 
 
-def document_frequencies(counted: DataFrame, n_terms: int) -> DataFrame:
+def document_frequencies(counted: DataFrame, shared) -> DataFrame:
     """(t, n): how many rows hold term t; each task sends one row per term."""
 
     def run(batches):
-        n = np.zeros(n_terms, dtype=np.int64)
+        vocabulary = shared.value
+        n = np.zeros(len(vocabulary.terms), dtype=np.int64)
         for part in batches:
-            n += np.bincount(part.column("terms").flatten().to_numpy(zero_copy_only=False).astype(np.int64), minlength=n_terms)
+            lists = part.column("terms")
+            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            t = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            every = [row * len(n) + t]  # a term that several words of a row lead to counts once
+            while len(t):
+                up = vocabulary.parent[t]
+                row, t = row[up >= 0], up[up >= 0]
+                every.append(row * len(n) + t)
+            both = np.unique(np.concatenate(every))
+            if len(both):
+                n += np.bincount(both % len(n), minlength=len(n))
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["t", "n"])
 
@@ -90,53 +125,77 @@ def labelled(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) ->
     return docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id")
 
 
-def choose_terms(sample: DataFrame, terms: int = TERMS) -> dict[str, int]:
-    """The terms whose presence goes most with the label (chi-square), numbered."""
+def sample_terms(sample: DataFrame) -> tuple[Vocabulary, np.ndarray]:
+    """All terms of the sample, and each one's association with the label: its chi-square over the number of examples."""
 
     def run(batches):
         for part in slices(batches, "text", 4 << 20):
-            rows = [(t, y) for text, y in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True) for t in set().union(*map(word_terms, set(_WORD.findall((text or "").lower()))))]
+            rows = [(t, y) for text, y in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True) for t in set().union(*map(chain, set(_WORD.findall((text or "").lower()))))]
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.string()), pa.array([y for _, y in rows], pa.int32())], names=["term", "toxic"])
 
     sides = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     pos, neg = sides.get(1, 0), sides.get(0, 0)
     counts = sample.select("text", "toxic").mapInArrow(run, "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("all"))
-    a, b = F.col("a").cast("double"), (F.col("all") - F.col("a")).cast("double")
+    found = counts.toArrow().sort_by("term")  # per_label bounds it
+    names = found.column("term").to_pylist()
+    terms = {t: i for i, t in enumerate(names)}
+    ups = [(w[:-2] + "*" if len(w) > 5 else None) if w.endswith("*") else (w[: min(len(w), 6)] + "*" if len(w) >= 4 else None) for w in names]
+    parent = np.array([terms[u] if u else -1 for u in ups], dtype=np.int64)
+    a = found.column("a").to_numpy().astype(float)
+    b = found.column("all").to_numpy() - a
     c, d = pos - a, neg - b
-    chi = F.pow(a * d - b * c, 2) * (pos + neg) / ((a + b) * (c + d + 1e-9) * max(pos, 1) * max(neg, 1))
-    best = counts.filter(F.col("all") >= LEAST_DOCS).orderBy(chi.desc(), "term").limit(terms).select("term").collect()
-    return {r["term"]: i for i, r in enumerate(best)}
+    return Vocabulary(terms, parent), (a * d - b * c) ** 2 / ((a + b) * (c + d + 1e-9) * max(pos, 1) * max(neg, 1))
+
+
+def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers of all half-open ranges, one range after the other."""
+    n = end - start
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
 @dataclass
 class ExampleIndex:
-    """Postings by term in blocks of examples, with the largest weight of each term in each block."""
+    """Postings sorted by term and example; ``runs`` are the postings of one term in one block, with their largest weight."""
 
     ids: np.ndarray
     labels: np.ndarray
     idf: np.ndarray
-    postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+    places: np.ndarray
+    values: np.ndarray
+    runs: np.ndarray
+    run_block: np.ndarray
     most: np.ndarray
+    term_runs: np.ndarray
     block: int
     curve: tuple[float, float] = (6.0, -3.0)
     prior: float = 0.0
 
+    @property
+    def postings(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each term: its examples, their weights, and where its blocks begin."""
+        cut = [(self.runs[r], self.runs[r[0] : r[-1] + 1]) for r in (self.term_runs[t : t + 2] for t in range(len(self.idf)))]
+        return [(self.places[e[0] : e[1]], self.values[e[0] : e[1]], at) for e, at in cut]
+
     def weights(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1.0 + np.log(counts)) * self.idf[terms]
         return w / np.sqrt((w * w).sum())
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples with a positive cosine (ties: the first of the index) and their cosines."""
-        bounds = weights @ self.most[terms]
+        at = _ranges(self.term_runs[terms], self.term_runs[terms + 1])
+        w = np.repeat(weights, self.term_runs[terms + 1] - self.term_runs[terms])
+        blocks = self.run_block[at]
+        bounds = np.bincount(blocks, w * self.most[at], minlength=-(-len(self.ids) // self.block))
+        by_block = np.argsort(blocks, kind="stable")
+        cuts = np.searchsorted(blocks[by_block], np.arange(len(bounds) + 1))
         best, found = np.zeros(0, dtype=np.int64), np.zeros(0)
         for b in np.argsort(-bounds, kind="stable"):
             if bounds[b] <= 0 or (len(found) >= k and bounds[b] < found[k - 1] - 1e-12):
                 break
-            cosines = np.zeros(self.block)
-            for t, w in zip(terms, weights, strict=True):
-                places, values, at = self.postings[t]
-                own = slice(at[b], at[b + 1])
-                cosines[places[own] - b * self.block] += w * values[own]
+            own = by_block[cuts[b] : cuts[b + 1]]
+            start, end = self.runs[at[own]], self.runs[at[own] + 1]
+            rows = _ranges(start, end)
+            cosines = np.bincount(self.places[rows] - b * self.block, np.repeat(w[own], end - start) * self.values[rows], minlength=self.block)
             hit = np.flatnonzero(cosines > 0)
             hit = hit[hit + b * self.block != skip]
             best, found = np.concatenate((best, hit + b * self.block)), np.concatenate((found, cosines[hit]))
@@ -161,18 +220,18 @@ def build_index(rows: list[tuple], idf: np.ndarray, block: int = BLOCK, k: int =
             w = (1.0 + np.log(c)) * idf[t]
             vectors.append((int(t[w.argmax()]), label, doc_id, t, w / np.sqrt((w * w).sum())))
     vectors.sort(key=lambda v: (v[0], v[1], v[2]))
-    blocks = max(1, -(-len(vectors) // block))
-    most = np.zeros((len(idf), blocks))
-    lists: list[list[tuple[int, float]]] = [[] for _ in idf]
-    for i, (_, _, _, terms, weights) in enumerate(vectors):
-        for t, w in zip(terms, weights, strict=True):
-            lists[t].append((i, w))
-            most[t, i // block] = max(most[t, i // block], w)
-    postings = []
-    for one in lists:
-        places = np.array([p for p, _ in one], dtype=np.int64)
-        postings.append((places, np.array([w for _, w in one]), np.searchsorted(places, np.arange(blocks + 1) * block)))
-    index = ExampleIndex(np.array([v[2] for v in vectors]), np.array([v[1] for v in vectors], dtype=float), idf, postings, most, block, prior=prior)
+    t = np.concatenate([v[3] for v in vectors]) if vectors else np.zeros(0, dtype=np.int64)
+    places = np.repeat(np.arange(len(vectors)), [len(v[3]) for v in vectors])
+    values = np.concatenate([v[4] for v in vectors]) if vectors else np.zeros(0)
+    order = np.lexsort((places, t))
+    t, places, values = t[order], places[order], values[order]
+    first = np.flatnonzero(np.diff(t, prepend=-1) | np.diff(places // block, prepend=-1))
+    most = np.maximum.reduceat(values, first) if len(first) else np.zeros(0)
+    term_runs = np.searchsorted(t[first], np.arange(len(idf) + 1))
+    index = ExampleIndex(
+        np.array([v[2] for v in vectors]), np.array([v[1] for v in vectors], dtype=float), idf, places.astype(np.int32), values,
+        np.append(first, len(t)), (places[first] // block).astype(np.int32), most, term_runs, block, prior=prior,
+    )
     votes = np.array([index.vote(*index.nearest(v[3], v[4], k, skip=i)) for i, v in enumerate(vectors)])
     index.curve = fit_curve(votes, index.labels)
     return index
@@ -193,27 +252,28 @@ def fit_curve(votes: np.ndarray, labels: np.ndarray, rounds: int = 500) -> tuple
 
 
 def toxicity(
-    docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, terms: int = TERMS, k: int = NEIGHBOURS, block: int = BLOCK
+    docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, k: int = NEIGHBOURS, block: int = BLOCK
 ) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence (nearest examples: doc_id, cosine, label) of every row of ``docs``.
 
     Only labels of ids outside the held-out fold are read. A text near no example (null, empty, or without a term of the
-    vocabulary) has the share of toxic labels as its score, at most 0.49; without labels every score is 0. Repeated rows
+    sample) has the share of toxic labels as its score, at most 0.49; without labels every score is 0. Repeated rows
     are scored alike; extra columns are left out.
     """
     docs = docs.select("doc_id", "text")
     sample = stored(labelled(docs, labels, per_label))
-    vocabulary = choose_terms(sample, terms)
-    all_counts = stored(term_counts(docs.withColumn("held_out", crc_mod("doc_id", FOLDS) == HELD_OUT), vocabulary, ["doc_id", "held_out"]))
+    vocabulary, association = sample_terms(sample)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    all_counts = stored(term_counts(docs.withColumn("held_out", crc_mod("doc_id", FOLDS) == HELD_OUT), shared, ["doc_id", "held_out"]))
     n_docs = all_counts.count()
-    df_rows = document_frequencies(all_counts, len(vocabulary)).collect()  # a row per term
-    idf = np.full(max(len(vocabulary), 1), np.log(1.0 + n_docs) + 1.0)
-    for r in df_rows:
-        idf[r["t"]] = np.log((1.0 + n_docs) / (1.0 + r["n"])) + 1.0
+    df_rows = document_frequencies(all_counts, shared).toArrow()  # a row per term
+    idf = np.full(max(len(association), 1), np.log(1.0 + n_docs) + 1.0)
+    idf[df_rows.column("t").to_numpy()] = np.log((1.0 + n_docs) / (1.0 + df_rows.column("n").to_numpy())) + 1.0
+    idf[: len(association)] *= association + LEAST
     toxic = F.avg((F.col("toxic") > 0).cast("double"))
     share = labels.filter(crc_mod("doc_id", FOLDS) != HELD_OUT).agg(toxic.alias("p")).collect()[0]["p"] or 0.0
-    examples = term_counts(sample, vocabulary, ["doc_id", "toxic"]).collect()
-    rows = sorted((r["doc_id"], r["toxic"], r["terms"], r["counts"]) for r in examples)
+    examples = sorted(tuple(r) for r in term_counts(sample, shared, ["doc_id", "toxic"]).collect())
+    rows = [(i, y, *vocabulary.spread(np.array(t, dtype=np.int64), np.array(c))) for i, y, t, c in examples]
     index = docs.sparkSession.sparkContext.broadcast(build_index(rows, idf, block, k, min(share, 0.49)))  # per_label bounds it
 
     def run(batches):
@@ -223,8 +283,8 @@ def toxicity(
             for t, c in zip(part.column("terms").to_pylist(), part.column("counts").to_pylist(), strict=True):
                 near = np.zeros(0, dtype=np.int64)
                 if t:
-                    at = np.array(t)
-                    near, cosines = own.nearest(at, own.weights(at, np.array(c, dtype=float)), k)
+                    at, times = shared.value.spread(np.array(t), np.array(c))
+                    near, cosines = own.nearest(at, own.weights(at, times), k)
                     vote = own.vote(near, cosines)
                 scores.append(own.score(vote, True) if len(near) else own.prior)
                 evidence.append([{"doc_id": int(own.ids[i]), "cosine": float(s), "label": int(own.labels[i])} for i, s in zip(near[:3], cosines[:3], strict=True)] if len(near) else [])
