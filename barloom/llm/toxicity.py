@@ -189,18 +189,22 @@ class ExampleIndex:
         by_block = np.argsort(blocks, kind="stable")
         cuts = np.searchsorted(blocks[by_block], np.arange(len(bounds) + 1))
         best, found = np.zeros(0, dtype=np.int64), np.zeros(0)
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or (len(found) >= k and bounds[b] < found[k - 1] - 1e-12):
+        order, at_once = np.argsort(-bounds, kind="stable"), 1
+        while len(order):
+            now, order = order[:at_once], order[at_once:]
+            now = now[(bounds[now] > 0) & ((len(found) < k) | (bounds[now] >= (found[k - 1] if len(found) >= k else 0.0) - 1e-12))]
+            if not len(now):
                 break
-            own = by_block[cuts[b] : cuts[b + 1]]
+            at_once *= 4
+            own = by_block[_ranges(cuts[now], cuts[now + 1])]
             start, end = self.runs[at[own]], self.runs[at[own] + 1]
             rows = _ranges(start, end)
-            cosines = np.bincount(self.places[rows] - b * self.block, np.repeat(w[own], end - start) * self.values[rows], minlength=self.block)
+            cosines = np.bincount(self.places[rows], np.repeat(w[own], end - start) * self.values[rows], minlength=len(self.ids))
             hit = np.flatnonzero(cosines > 0)
-            hit = hit[hit + b * self.block != skip]
-            best, found = np.concatenate((best, hit + b * self.block)), np.concatenate((found, cosines[hit]))
-            order = np.lexsort((best, -np.round(found, 12)))[:k]
-            best, found = best[order], found[order]
+            hit = hit[hit != skip]
+            best, found = np.concatenate((best, hit)), np.concatenate((found, cosines[hit]))
+            first = np.lexsort((best, -np.round(found, 12)))[:k]
+            best, found = best[first], found[first]
         return best, found
 
     def vote(self, near: np.ndarray, cosines: np.ndarray) -> float:
