@@ -46,6 +46,14 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with underscores behind it until no column in ``taken`` has it (in any case)."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def slices(batches, column: str, most_bytes: int):
     """Arrow batches cut so that the texts in ``column`` hold about ``most_bytes``, one row at least."""
     import pyarrow.compute as pc

@@ -12,6 +12,7 @@ from barloom.llm.exact_dedup import exact_dedup
 from barloom.llm.mixing import mix_sources
 from barloom.llm.quality import quality_rules
 from barloom.llm.token_counts import token_counts
+from barloom.llm.whitening import whitening
 
 
 def public_vocabulary() -> tuple[str, str]:
@@ -79,6 +80,11 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup(documents(spark, sf_dir)).drop("copies")
 
 
+def op11_whitening(spark, sf_dir):
+    white = whitening(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "embedding", ["vec_id"])
+    return white.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -97,5 +103,6 @@ def queries() -> dict:
         "op8_token_counts": op8_token_counts,
         "op9_toxicity": op9_toxicity,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_whitening": op11_whitening,
         "pipeline": pipeline,
     }
