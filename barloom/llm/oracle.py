@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from barloom.llm.license_rules import RULES
+from barloom.llm.licenses import BASE, SURE
+
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 EXACT_DEDUP = f"""
@@ -55,5 +58,40 @@ SELECT conv_id, n_turns, sha256(lines) AS turns_sha256, length(loss)::BIGINT AS
 """
 
 
+def _values(rows) -> str:
+    def shown(x) -> str:
+        return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+
+    return ", ".join(f"({', '.join(map(shown, row))})" for row in rows)
+
+
+LICENSES = rf"""
+WITH w AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+m AS (SELECT *, '<' || array_to_string(ws, '><') || '>' AS t FROM w),
+phrases AS (SELECT string_split(phrase, ' ') AS p, label FROM (VALUES {_values(BASE)}) AS v(phrase, label)),
+base AS (
+  SELECT rid, count(*) AS n, min(i) - 1 AS first_word, max(i) - 1 AS last_word, list(DISTINCT label) AS labels
+  FROM (SELECT rid, ws, unnest(range(1, len(ws) + 1)) AS i FROM w) JOIN phrases ON ws[i] = p[1] AND ws[i:i + len(p) - 1] = p GROUP BY rid),
+rules AS (FROM (VALUES {_values(RULES)}) AS v(rule, label, priority, keyword, pattern)),
+hit AS (
+  SELECT rid, rule, label, priority, string_split_regex(t, pattern) AS gaps, regexp_extract_all(t, pattern) AS inside
+  FROM m JOIN rules ON list_contains(ws, keyword)),
+one AS (SELECT rid, rule, label, priority, generate_subscripts(inside, 1) AS k, unnest(inside) AS h, unnest(gaps[:len(inside)]) AS g FROM hit WHERE len(inside) > 0),
+sized AS (SELECT *, length(h) - length(replace(h, '<', '')) AS size, length(g) - length(replace(g, '<', '')) AS gap FROM one),
+placed AS (SELECT *, sum(gap + size) OVER (PARTITION BY rid, rule ORDER BY k) AS e, sum(gap + size) OVER (PARTITION BY rid, rule ORDER BY k) - size AS s FROM sized),
+reach AS (
+  SELECT *, {", ".join(f"max(CASE WHEN priority >= {p} THEN e END) OVER before AS e{p}" for p in SURE)}
+  FROM placed WINDOW before AS (PARTITION BY rid ORDER BY s, e DESC, priority DESC, rule ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+kept AS (
+  SELECT rid, list(DISTINCT label) AS labels, max(CASE priority {" ".join(f"WHEN {p} THEN {x}" for p, x in SURE.items())} END) AS sure
+  FROM reach WHERE coalesce(CASE priority {" ".join(f"WHEN {p} THEN e{p}" for p in SURE)} END, -1) < e GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first_word, last_word, array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(coalesce(base.labels, []) || coalesce(kept.labels, []))), ',') AS labels,
+  greatest(coalesce(sure, 0), CASE WHEN n > 0 THEN {SURE[1]} ELSE 0 END)::DOUBLE AS score
+FROM m LEFT JOIN base USING (rid) LEFT JOIN kept USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": QUALITY, "op7_chat_format": CHAT, "op10_exact_dedup": EXACT_DEDUP}
+    return {"op5_quality_rules": QUALITY, "op7_chat_format": CHAT, "op10_exact_dedup": EXACT_DEDUP, "op13_licenses": LICENSES}

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, chat, language, simhash, suffix, toxicity
+from barloom.llm import alignment, bpe, chat, language, simhash, suffix, toxicity
 from barloom.llm.bpe import encode_decode
 from barloom.llm.common import documents
 from barloom.llm.exact_dedup import exact_dedup
+from barloom.llm.licenses import scan_licenses
 from barloom.llm.mixing import mix_sources
 from barloom.llm.quality import quality_rules
 from barloom.llm.token_counts import token_counts
@@ -85,6 +86,19 @@ def op11_whitening(spark, sf_dir):
     return white.withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
+def op12_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    files = [public_tokenizers.path(name) for name in (alignment.BYTE_TOKENIZER, alignment.PIECE_TOKENIZER)]
+    aligned = alignment.align(documents(spark, sf_dir), *files, carry=["doc_id"])
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return alignment.score_links(aligned.withColumn("groups_sha256", digest).drop("groups"))
+
+
+def op13_licenses(spark, sf_dir):
+    return scan_licenses(documents(spark, sf_dir), carry=["doc_id"]).drop("detections")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -104,5 +118,7 @@ def queries() -> dict:
         "op9_toxicity": op9_toxicity,
         "op10_exact_dedup": op10_exact_dedup,
         "op11_whitening": op11_whitening,
+        "op12_alignment": op12_alignment,
+        "op13_licenses": op13_licenses,
         "pipeline": pipeline,
     }
