@@ -5,8 +5,12 @@ A word starts as the list of its bytes' tokens. A recursive query lists token po
 merge table, and contracts the leftmost pair of the least rank of each word until no pair is left. Decoding joins the
 token positions to the vocabulary and aggregates the bytes in order.
 
-The merge table and the vocabulary have a fixed size (that of the rank file). Words met before in a task are not encoded
-again; when too many are held, those that the last texts did not use are forgotten.
+The merge table and the vocabulary have a fixed size (that of the rank file). A worker keeps the words it has met, whatever
+task met them, in two generations of bounded size: when the younger is full, the older one is forgotten.
+
+A long word would take a round for each of its bytes. It is cut into short pieces, and neighbouring pieces are joined in a
+tree: the tokens next to a seam are encoded once more as one word, as many of them as it takes for the outermost ones to
+stay as they were. A list of tokens is the encoding of its bytes if each two neighbours are, so the joined list is.
 """
 
 from __future__ import annotations
@@ -20,18 +24,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructType
 
-from barloom.llm.common import slices, whole_text
+from barloom.llm.common import fresh, per_process, slices, whole_text
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-SLICE_BYTES, WORDS_A_QUERY, KEPT_WORDS, LONG_WORD = 1 << 20, 4000, 60_000, 2000
+#: Text and bytes of words that go into a slice and a query; bytes of a generation of words.
+SLICE_BYTES, QUERY_BYTES, KEPT_BYTES = 2 << 20, 100_000, 48 << 20
+#: Bytes of a word that is encoded in pieces, bytes of a piece, and tokens on each side of a seam to begin with.
+LONG_WORD, PIECE, SEAM = 96, 48, 6
+#: What a kept word takes besides its bytes, about.
+WORD_COST = 320
 #: Unicode white space as the public tokenizer counts it.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
-#: state: how steps are kept. Long words keep the last step only (USING KEY), others all steps, which is faster.
 _MERGE = """
-WITH RECURSIVE step(w, ids, going) {state} AS (
+WITH RECURSIVE step(w, ids, going) AS (
   SELECT w, list(id ORDER BY p), true FROM src GROUP BY w
-  {union}
+  UNION ALL
   (WITH place AS (
      SELECT w, unnest(ids) AS id, unnest(ids[2:]) AS nxt, generate_subscripts(ids, 1) AS k FROM step WHERE going),
    least AS (
@@ -54,11 +62,6 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, raw.splitlines())}
 
 
-#: Made once in a process. Plain tables, since functions of this package travel to the tasks by value.
-_SPLITTERS: dict = {}
-_CODERS: dict = {}
-
-
 def splitters(pattern: str):
     """The pattern on plain classes for texts within the first plane, and as it is (but for white space) for others."""
     import regex
@@ -80,9 +83,7 @@ def splitters(pattern: str):
 
 
 def split_words(text: str, pattern: str) -> list[str]:
-    if pattern not in _SPLITTERS:
-        _SPLITTERS[pattern] = splitters(pattern)
-    plain, whole = _SPLITTERS[pattern]
+    plain, whole = per_process("splitters", pattern, lambda: splitters(pattern))
     return (plain if not text or max(text) <= "￿" else whole).findall(text)
 
 
@@ -102,6 +103,7 @@ class Coder:
             ),
             dtype=np.dtype((np.int64, 2)),
         )
+        self.young, self.old, self.held = ({}, {}), ({}, {}), 0
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         pairs = pa.table({"pair": splits[:, 0], "id": splits[:, 1].astype(np.int32)})
         known = pa.table({"id": pa.array(list(self.tokens), pa.int32()), "bytes": [t.hex() for t in self.tokens.values()]})
@@ -110,8 +112,8 @@ class Coder:
             self.db.execute(f"CREATE TABLE {name} AS FROM given")
             self.db.unregister("given")
 
-    def encode(self, words: list[bytes], long: bool = False) -> pa.Table:
-        """(w, ids): the tokens of each word, w its position in ``words``."""
+    def encode(self, words: list[bytes]) -> list[list[int]]:
+        """The tokens of each word, none of which is empty."""
         size = np.array([len(w) for w in words])
         at = np.repeat(np.cumsum(size) - size, size)
         flat = np.frombuffer(b"".join(words), dtype=np.uint8)
@@ -123,38 +125,69 @@ class Coder:
             }
         )
         self.db.register("src", src)
-        kept = {"state": "USING KEY (w)", "union": "UNION"} if long else {"state": "", "union": "UNION ALL"}
-        return self.db.sql(_MERGE.format(**kept)).to_arrow_table()
-
-    def decode(self, encoded: pa.Table) -> list[bytes]:
-        """The bytes of each row of ids, in the order of ``w``. Rows without ids are left out."""
-        self.db.register("encoded", encoded)
+        return self.db.sql(_MERGE).to_arrow_table().column("ids").to_pylist()
+
+    def encode_all(self, words: list[bytes]) -> list[list[int]]:
+        """As ``encode``, in queries of bounded size."""
+        found, begin, held = [], 0, 0
+        for i, word in enumerate(words):
+            if held and held + len(word) > QUERY_BYTES:
+                found += self.encode(words[begin:i])
+                begin, held = i, 0
+            held += len(word)
+        return found + (self.encode(words[begin:]) if begin < len(words) else [])
+
+    def encode_long(self, word: bytes) -> list[int]:
+        """The tokens of a long word, from pieces that are joined two by two."""
+        parts = self.encode_all([word[i : i + PIECE] for i in range(0, len(word), PIECE)])
+        while len(parts) > 1:
+            joined: dict[int, list[int]] = {}
+            open_ = [(i, SEAM) for i in range(0, len(parts) - 1, 2)]
+            while open_:
+                near = [b"".join(self.tokens[t] for t in parts[i][-m:] + parts[i + 1][:m]) for i, m in open_]
+                wider = []
+                for (i, m), seam in zip(open_, self.encode_all(near), strict=True):
+                    left, right = parts[i], parts[i + 1]
+                    if (m >= len(left) or seam[0] == left[-m]) and (m >= len(right) or seam[-1] == right[m - 1]):
+                        joined[i] = left[:-m] + seam + right[m:]
+                    else:
+                        wider.append((i, 2 * m))
+                open_ = wider
+            parts = [joined.get(i, parts[i]) for i in range(0, len(parts), 2)]
+        return parts[0]
+
+    def decode(self, lists: list[list[int]]) -> list[bytes]:
+        """The bytes of each list of ids, none of which is empty."""
+        self.db.register("encoded", pa.table({"w": np.arange(len(lists)), "ids": pa.array(lists, pa.list_(pa.int32()))}))
         return [bytes.fromhex(x) for x in self.db.sql(_DECODE).to_arrow_table().column("bytes").to_pylist()]
 
-    def learn(self, words: list[str], ids: dict, back: dict) -> None:
-        """Put the encoding (bytes of the ids) and the decoding of new words into the two tables."""
+    def learn(self, words: set[str]) -> tuple[dict, dict]:
+        """Tables in which the words have their encoding (bytes of the ids) and their decoding."""
+        if self.held > KEPT_BYTES:
+            self.old, self.young, self.held = self.young, ({}, {}), 0
+        (ids, back), (old_ids, old_back) = self.young, self.old
         rest = []
-        for word in words:
-            raw = word.encode("utf-8", "surrogatepass")
-            if (known := self.ranks.get(raw)) is not None:
-                ids[word], back[word] = known.to_bytes(4, "little"), self.tokens[known]
+        for word in words.difference(ids):
+            if (known := old_ids.get(word)) is not None:
+                ids[word], back[word] = known, old_back[word]
             else:
-                rest.append((word, raw))
-        short = [x for x in rest if len(x[1]) <= LONG_WORD]
-        parts = [(short[i : i + WORDS_A_QUERY], False) for i in range(0, len(short), WORDS_A_QUERY)]
-        parts += [([x], True) for x in rest if len(x[1]) > LONG_WORD]
-        for part, long in parts:
-            encoded = self.encode([raw for _, raw in part], long)
-            lists = encoded.column("ids").combine_chunks()
-            flat, ends = np.asarray(lists.flatten(), dtype="<u4"), np.asarray(lists.offsets)
-            for k, ((word, _), decoded) in enumerate(zip(part, self.decode(encoded), strict=True)):
-                ids[word], back[word] = flat[ends[k] : ends[k + 1]].tobytes(), decoded
+                raw = word.encode("utf-8", "surrogatepass")
+                if (token := self.ranks.get(raw)) is None:
+                    rest.append((word, raw))
+                    continue
+                ids[word], back[word] = token.to_bytes(4, "little"), self.tokens[token]
+            self.held += WORD_COST + 3 * len(ids[word])
+        short, long = [x for x in rest if len(x[1]) <= LONG_WORD], [x for x in rest if len(x[1]) > LONG_WORD]
+        found = self.encode_all([raw for _, raw in short]) + [self.encode_long(raw) for _, raw in long]
+        for i in range(0, len(found), 10_000):
+            for (word, _), tokens, decoded in zip((short + long)[i : i + 10_000], found[i : i + 10_000], self.decode(found[i : i + 10_000]), strict=True):
+                ids[word], back[word] = np.array(tokens, dtype="<u4").tobytes(), decoded
+                self.held += WORD_COST + len(ids[word]) + 2 * len(decoded)
+        return ids, back
 
 
 def _coder(raw: bytes) -> Coder:
-    if raw not in _CODERS:
-        _CODERS[raw] = Coder(raw)
-    return _CODERS[raw]
+    return per_process("coder", raw, lambda: Coder(raw))
 
 
 def encode_decode(
@@ -164,29 +197,27 @@ def encode_decode(
 
     Every match of ``pattern`` in the whole text is encoded on its own by the ranks in the file ``vocabulary``; what no
     match covers is left out. A null or empty text has no tokens. Rows stay as they are, repeated ones too; columns of
-    ``df`` with the new names are replaced. A match without any word break takes time by the square of its length.
+    ``df`` with the new names are replaced.
     """
     added = ["n_tokens", "ids", "decoded"]
     carry = [c for c in (df.columns if carry is None else carry) if c not in added]
+    own = fresh("_text", carry)
     with open(vocabulary, "rb") as f:
         raw = df.sparkSession.sparkContext.broadcast(f.read())  # the file's size is fixed
 
     def run(batches):
-        coder, ids, back = _coder(raw.value), {}, {}
-        for part in slices(batches, "_text", slice_bytes):
-            texts = [split_words(t, pattern) for t in part.column("_text").to_pylist()]
-            found = {w for ws in texts for w in ws}
-            coder.learn(list(found.difference(ids)), ids, back)
+        coder = _coder(raw.value)
+        for part in slices(batches, own, slice_bytes):
+            texts = [split_words(t, pattern) for t in part.column(own).to_pylist()]
+            ids, back = coder.learn({w for ws in texts for w in ws})
             joined = [b"".join([ids[w] for w in ws]) for ws in texts]
             columns = [part.column(c) for c in carry]
             columns += [pa.array([len(x) // 4 for x in joined], pa.int64()), pa.array(joined, pa.binary())]
             columns.append(pa.array([b"".join([back[w] for w in ws]) for ws in texts], pa.binary()))
-            if len(ids) > KEPT_WORDS:
-                ids, back = {w: ids[w] for w in found}, {w: back[w] for w in found}
             yield pa.RecordBatch.from_arrays(columns, names=[*carry, *added])
 
-    source = df.select(*carry, whole_text(text).alias("_text"))
-    schema = StructType([f for f in source.schema.fields if f.name != "_text"])
+    source = df.select(*carry, whole_text(text).alias(own))
+    schema = StructType([f for f in source.schema.fields if f.name != own])
     schema = schema.add("n_tokens", LongType()).add("ids", BinaryType()).add("decoded", BinaryType())
     return source.mapInArrow(run, schema)
 

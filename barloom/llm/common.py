@@ -46,6 +46,18 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def per_process(kind: str, key, make):
+    """What ``make`` gives, made once in a Python worker as long as ``key`` stays the same: the functions of a task come anew
+    with each task, its process stays. One value of a kind is kept."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_kept_per_process", types.ModuleType("_kept_per_process")).__dict__.setdefault("kept", {})
+    if kind not in kept or kept[kind][0] != key:
+        kept[kind] = (key, make())
+    return kept[kind][1]
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """``name``, with underscores behind it until no column in ``taken`` has it (in any case)."""
     used = {c.lower() for c in taken}
