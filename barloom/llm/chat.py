@@ -1,8 +1,8 @@
 """Chat formatting by schema fingerprints.
 
 Records arrive as JSON of unknown layout: a prompt with a response, an instruction with an input and an output, or a list
-of messages under various names. The set of nested field paths of a record is hashed; the hash selects a declarative
-mapping (a table of JSON paths and roles) that turns the record into canonical turns. A new layout is a new entry of the
+of messages under various names. Its texts are first struck out, so that only JSON structure is left and no text can pass for
+structure; the nested field paths of the rest are hashed, and the hash selects a declarative mapping (a table of JSON paths and roles) that turns the record into canonical turns. A new layout is a new entry of the
 table. The turns are then written with one template, in which every assistant text is under the loss mask.
 """
 
@@ -20,6 +20,9 @@ TURN = "array<struct<role:string,text:string>>"
 OPEN, MIDDLE, CLOSE = "<s>[INST]", "[/INST]", "</s>"
 #: Jackson's default of 20,000,000 characters would turn longer texts into NULL.
 WHOLE = {"maxStringLen": "2147483647"}
+#: A JSON string; and whatever stands before the next one that is a text (field names are followed by a colon), then that text.
+_STRING = r'"[^"\\]*+(?:\\(?s:.)[^"\\]*+)*+"'
+_NEXT_TEXT = rf'\G(?<before>[^"]*+(?:{_STRING}\s*+:[^"]*+)*+){_STRING}'
 _RAW, _ESCAPED = r"([<\[])(\\*/?(?:s>|INST\]))", r"([<\[])\\(\\*/?(?:s>|INST\]))"
 
 
@@ -28,7 +31,7 @@ class Layout:
     """Where a layout keeps its turns.
 
     ``fields`` lists (path, role) of single texts in turn order; ``listed`` is (path of the list, role field, text field).
-    ``paths`` are all field paths of the layout, as ``field_paths`` writes them.
+    ``paths`` are all field paths of the layout, such as ``messages[].content``.
     """
 
     name: str
@@ -53,25 +56,45 @@ LAYOUTS = (
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant"}
 
 
-def field_paths(record: Column) -> Column:
-    """The sorted field paths of a JSON record (two levels: fields, and fields of listed objects), joined by commas."""
-    top = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
+def skeleton(record: Column) -> Column:
+    """The JSON record with a 0 for every text that isn't a field name."""
+    return F.regexp_replace(record, _NEXT_TEXT, "${before}0")
 
-    def inner(key: Column) -> Column:
-        items = F.from_json(F.get(F.map_values(F.map_filter(_fields(record), lambda k, _: k == key)), 0), "array<map<string,string>>", WHOLE)
-        keys = F.array_distinct(F.flatten(F.transform(F.filter(items, lambda m: m.isNotNull()), F.map_keys)))
-        listed = F.transform(keys, lambda k: F.concat(key, F.lit("[]."), k))
-        return F.when(F.size(keys) > 0, listed).otherwise(F.array(key))
 
-    return F.array_join(F.array_sort(F.flatten(F.transform(top, inner))), ",")
+def field_shape(record: Column) -> Column:
+    """The nested fields of a JSON record, objects and lists to any depth, with ``_`` for what is neither; NULL if malformed.
+
+    Fields are in order of their names; the items of a list are merged.
+    """
+    shape = F.schema_of_variant(F.try_parse_json(skeleton(record)))
+    return F.regexp_replace(shape, r"(?<=: |ARRAY<)[A-Z]+(?:\([0-9,]+\))?(?=[,>])", "_")
+
+
+def shape_of(paths: tuple[str, ...]) -> str:
+    """The shape of a record that has exactly these paths."""
+    tree: dict = {}
+    for path in paths:
+        at = tree
+        for part in path.split("."):
+            at = at.setdefault(part, {})
+
+    def shown(fields: dict) -> str:
+        if not fields:
+            return "_"
+        parts = []
+        for name, inner in sorted((n.removesuffix("[]"), (n.endswith("[]"), f)) for n, f in fields.items()):
+            parts.append(f"{name}: " + (f"ARRAY<{shown(inner[1])}>" if inner[0] else shown(inner[1])))
+        return f"OBJECT<{', '.join(parts)}>"
+
+    return shown(tree)
 
 
 def _fields(record: Column) -> Column:
     return F.from_json(record, "map<string,string>", WHOLE)
 
 
-def fingerprint(paths: Column) -> Column:
-    return F.xxhash64(paths)
+def fingerprint(shape: Column) -> Column:
+    return F.xxhash64(shape)
 
 
 def _canonical(role: Column, rename: bool) -> Column:
@@ -83,7 +106,7 @@ def turns_of(record: Column, mark: Column, layouts: tuple[Layout, ...] = LAYOUTS
     """Canonical turns of a record whose layout has the fingerprint ``mark``; NULL if no layout has it."""
     chosen = None
     for lay in layouts:
-        fits = mark == fingerprint(F.lit(",".join(sorted(lay.paths))))
+        fits = mark == fingerprint(F.lit(shape_of(lay.paths)))
         if lay.listed:
             path, role, text = lay.listed
             items = F.from_json(record, f"{path} array<struct<`{role}`:string,`{text}`:string>>", WHOLE)[path]
@@ -117,8 +140,7 @@ def format_chats(df: DataFrame, record: str = "record", layouts: tuple[Layout, .
     assistant texts. A record of an unknown layout, malformed or null, or with a text that can't be parsed, gets NULL in both; its fingerprint says which layout
     to add. A null text is empty, a null role is the empty role; a record without turns gives an empty string.
     """
-    df = df.withColumn("_p", field_paths(F.col(record)))
-    df = df.withColumn("layout_mark", fingerprint(F.col("_p"))).withColumn("_turns", turns_of(F.col(record), F.col("layout_mark"), layouts))
+    df = df.withColumn("layout_mark", fingerprint(field_shape(F.col(record)))).withColumn("_turns", turns_of(F.col(record), F.col("layout_mark"), layouts))
     pieces = F.transform(
         "_turns",
         lambda t: F.struct(
@@ -135,7 +157,7 @@ def format_chats(df: DataFrame, record: str = "record", layouts: tuple[Layout, .
     )
     mask = F.transform(F.filter(spans, lambda s: s["learn"]), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
     text = F.array_join(F.transform("_pieces", lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE))), "")
-    return df.withColumn("formatted", text).withColumn("loss_mask", mask).drop("_p", "_turns", "_pieces", "_len", "_before")
+    return df.withColumn("formatted", text).withColumn("loss_mask", mask).drop("_turns", "_pieces", "_len", "_before")
 
 
 def read_turns(formatted: Column) -> Column:
