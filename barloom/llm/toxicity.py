@@ -1,9 +1,11 @@
 """Toxicity by nearest labelled examples.
 
 A bounded sample of labelled documents is indexed: postings of exact TF-IDF weights by term, the examples in blocks, and
-for each term its largest weight in each block. For a document, the blocks are visited by decreasing upper bound of the
-cosine until the bound is no better than the k-th cosine found, so the k nearest examples are exact. They vote, weighted
-by distance; a logistic curve fitted to the examples' own leave-one-out votes turns the vote into a score.
+for each frequent term its largest weight in each block. A slice of documents is searched at once: the postings of the rarer
+terms are added up; with the block maxima of the frequent terms they bound the cosine in every block; the blocks with the
+highest bounds are scored first, as products of matrices, and then those whose bound is no less than the k-th cosine found.
+So the k nearest examples are exact. They vote, weighted by distance; a logistic curve fitted to the examples' own
+leave-one-out votes turns the vote into a score.
 
 Terms are all words of the sample and their beginnings of four to six letters. None is dropped: a term's weight is its
 TF-IDF times its association with the label in the sample, so words that go with neither label hardly turn a vector.
@@ -13,21 +15,24 @@ Document frequencies are counted over all documents.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+import uuid
+from collections import Counter
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
-from barloom.llm.common import crc_mod, slices, stored, whole_text
+from barloom.llm.common import crc_mod, per_process, slices, stored, whole_text
 
 FOLDS, HELD_OUT = 5, 0
-#: Examples of each label, about; neighbours; examples in a block; least association of a term.
-PER_LABEL, NEIGHBOURS, BLOCK, LEAST = 2000, 15, 64, 1e-4
-#: Documents that one task scores, about.
-TASK_DOCS = 8000
+#: Examples of each label, about; bytes of a text that can be one; neighbours; examples in a block; least association of a term.
+PER_LABEL, EXAMPLE_BYTES, NEIGHBOURS, BLOCK, LEAST = 2000, 1 << 20, 15, 64, 1e-4
+#: Terms with a row of block maxima and weights of all examples; documents searched at once, and blocks scored before the k-th cosine is known.
+FREQUENT, TOGETHER, FIRST_BLOCKS = 768, 256, 6
 _WORD, KEPT_WORDS = re.compile(r"[^\W\d_]+"), 300_000
 
 
@@ -36,52 +41,57 @@ def chain(word: str) -> list[str]:
     return [word, *[word[:n] + "*" for n in (6, 5, 4) if len(word) >= n]]
 
 
-@dataclass
-class Vocabulary:
-    """Numbers of terms, and for each the next term of its chain or -1."""
-
-    terms: dict[str, int]
-    parent: np.ndarray
-
-    def deepest(self, word: str) -> int:
-        """The first known term of the word's chain, which stands for all known ones; -1 if none is known."""
-        return next((self.terms[t] for t in chain(word) if t in self.terms), -1)
-
-    def spread(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted terms with their counts, from the deepest ones: each counts for the rest of its chain."""
-        found, times = [], []
-        while len(terms):
-            found.append(terms)
-            times.append(counts)
-            up = self.parent[terms]
-            terms, counts = up[up >= 0], counts[up >= 0]
-        if not found:
-            return np.zeros(0, dtype=np.int64), np.zeros(0)
-        every, at = np.unique(np.concatenate(found), return_inverse=True)
-        return every, np.bincount(at, np.concatenate(times))
-
-
-def _term_counts(text: str, vocabulary: Vocabulary, known: dict[str, int]) -> dict[int, int]:
-    counts: dict[int, int] = {}
-    for word in _WORD.findall(text.lower()):
-        if (t := known.get(word)) is None:
-            if len(known) > KEPT_WORDS:
-                known.clear()
-            t = known[word] = vocabulary.deepest(word)
-        if t >= 0:
-            counts[t] = counts.get(t, 0) + 1
-    return counts
+def deepest(word: str, terms: dict[str, int]) -> int:
+    """The first known term of the word's chain, which stands for all known ones; -1 if none is known."""
+    return next((terms[t] for t in chain(word) if t in terms), -1)
+
+
+def spread(row: np.ndarray, term: np.ndarray, count: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows with their terms, sorted, and counts, from the deepest terms: each counts for the rest of its chain (``parent``)."""
+    keys, times = [], []
+    while len(term):
+        keys.append(row * len(parent) + term)
+        times.append(count)
+        up = parent[term]
+        row, term, count = row[up >= 0], up[up >= 0], count[up >= 0]
+    if not keys:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+    every, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return every // len(parent), every % len(parent), np.bincount(at, np.concatenate(times))
+
+
+def _listed(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, term and count of all entries of the lists ``terms`` and ``counts``."""
+    sizes = part.column("terms").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = [part.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("terms", "counts")]
+    return np.repeat(np.arange(part.num_rows), sizes), *flat
 
 
 def term_counts(df: DataFrame, shared, carry: list[str], text: str = "text") -> DataFrame:
-    """Add terms and counts (of the deepest known term of each word of the text) to the columns in ``carry``."""
+    """Add terms and counts (of the deepest known term of each word of the text) to the columns in ``carry``.
+
+    ``shared`` broadcasts the terms, in order, as one Arrow array.
+    """
     source = df.select(*carry, whole_text(text).alias("_text"))
 
     def run(batches):
+        terms = {t: i for i, t in enumerate(shared.value.to_pylist())}
         known: dict[str, int] = {}
         for part in slices(batches, "_text", 4 << 20):
-            counts = [sorted(_term_counts(t, shared.value, known).items()) for t in part.column("_text").to_pylist()]
-            columns = [pa.array([[x[k] for x in row] for row in counts], pa.list_(pa.int32())) for k in (0, 1)]
+            rows = []
+            for text in part.column("_text").to_pylist():
+                counts: dict[int, int] = {}
+                for word, n in Counter(_WORD.findall(text.lower())).items():
+                    if (t := known.get(word)) is None:
+                        if len(known) > KEPT_WORDS:
+                            known.clear()
+                        t = known[word] = deepest(word, terms)
+                    if t >= 0:
+                        counts[t] = counts.get(t, 0) + n
+                rows.append(counts)
+            cuts = pa.array(np.cumsum([0] + [len(c) for c in rows]), pa.int32())
+            flat = [np.fromiter((x for c in rows for x in part_of(c)), dtype=np.int32) for part_of in (dict.keys, dict.values)]
+            columns = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in flat]
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carry], *columns], names=[*carry, "terms", "counts"])
 
     schema = StructType(source.schema.fields[:-1]).add("terms", ArrayType(IntegerType())).add("counts", ArrayType(IntegerType()))
@@ -89,44 +99,38 @@ def term_counts(df: DataFrame, shared, carry: list[str], text: str = "text") ->
 
 
 def document_frequencies(counted: DataFrame, shared) -> DataFrame:
-    """(t, n): how many rows hold term t; each task sends one row per term."""
+    """(t, n): how many rows hold term t; each task sends one row per term. ``shared`` broadcasts the parents of the terms."""
 
     def run(batches):
-        vocabulary = shared.value
-        n = np.zeros(len(vocabulary.terms), dtype=np.int64)
-        for part in batches:
-            lists = part.column("terms")
-            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            t = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            every = [row * len(n) + t]  # a term that several words of a row lead to counts once
-            while len(t):
-                up = vocabulary.parent[t]
-                row, t = row[up >= 0], up[up >= 0]
-                every.append(row * len(n) + t)
-            both = np.unique(np.concatenate(every))
-            if len(both):
-                n += np.bincount(both % len(n), minlength=len(n))
+        parent = shared.value
+        n = np.zeros(len(parent), dtype=np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, TOGETHER):
+                n += np.bincount(spread(*_listed(batch.slice(at, TOGETHER)), parent)[1], minlength=len(n))
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["t", "n"])
 
-    return counted.select("terms").mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n"))
+    return counted.select("terms", "counts").mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n"))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
     """(doc_id, text, toxic) of about ``per_label`` documents of each label, chosen by a hash of doc_id.
 
-    An id with several labels counts as toxic if one is; a null label is none.
+    An id with several labels counts as toxic if one is; a null label is none. Of an id with several texts the least is
+    taken; a text of more than EXAMPLE_BYTES is no example.
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     known = known.filter(crc_mod("doc_id", FOLDS) != HELD_OUT)
     totals = known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"))
     share = (F.xxhash64(F.col("doc_id"), F.lit(9)) / 2.0**64 + 0.5) * F.col("n")
     chosen = known.join(F.broadcast(totals), "toxic").filter(share < per_label)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id")
+    fitting = docs.select("doc_id", "text").filter(F.octet_length("text") <= EXAMPLE_BYTES)
+    return fitting.join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
-def sample_terms(sample: DataFrame) -> tuple[Vocabulary, np.ndarray]:
-    """All terms of the sample, and each one's association with the label: its chi-square over the number of examples."""
+def sample_terms(sample: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """All terms of the sample, for each the next one of its chain or -1, and its association with the label: its
+    chi-square over the number of examples."""
 
     def run(batches):
         for part in slices(batches, "text", 4 << 20):
@@ -144,7 +148,7 @@ def sample_terms(sample: DataFrame) -> tuple[Vocabulary, np.ndarray]:
     a = found.column("a").to_numpy().astype(float)
     b = found.column("all").to_numpy() - a
     c, d = pos - a, neg - b
-    return Vocabulary(terms, parent), (a * d - b * c) ** 2 / ((a + b) * (c + d + 1e-9) * max(pos, 1) * max(neg, 1))
+    return names, parent, (a * d - b * c) ** 2 / ((a + b) * (c + d + 1e-9) * max(pos, 1) * max(neg, 1))
 
 
 def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -155,57 +159,84 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 @dataclass
 class ExampleIndex:
-    """Postings sorted by term and example; ``runs`` are the postings of one term in one block, with their largest weight."""
+    """Postings sorted by term and example. Plain arrays: tasks get its fields, not the object."""
 
-    ids: np.ndarray
+    ids: list
     labels: np.ndarray
     idf: np.ndarray
     places: np.ndarray
     values: np.ndarray
-    runs: np.ndarray
-    run_block: np.ndarray
-    most: np.ndarray
-    term_runs: np.ndarray
+    starts: np.ndarray
     block: int
     curve: tuple[float, float] = (6.0, -3.0)
     prior: float = 0.0
+    frequent: int = FREQUENT
+    dense: np.ndarray = field(init=False, repr=False)
+
+    def __post_init__(self) -> None:
+        """The weights of the frequent terms as a matrix, its block maxima, and the column of each of these terms."""
+        sizes = np.diff(self.starts)
+        chosen = np.argsort(-sizes, kind="stable")[: self.frequent]
+        chosen = np.sort(chosen[sizes[chosen] > 0])
+        self.column = np.full(len(sizes), -1)
+        self.column[chosen] = np.arange(len(chosen))
+        self.blocks = -(-len(self.ids) // self.block)
+        self.dense = np.zeros((self.blocks * self.block, len(chosen)))
+        rows = _ranges(self.starts[chosen], self.starts[chosen + 1])
+        self.dense[self.places[rows], np.repeat(np.arange(len(chosen)), sizes[chosen])] = self.values[rows]
+        self.most = self.dense.reshape(self.blocks, self.block, len(chosen)).max(axis=1) if self.blocks else np.zeros((0, len(chosen)))
+
+    def given(self) -> dict:
+        """What makes the same index again."""
+        names = ("ids", "labels", "idf", "places", "values", "starts", "block", "curve", "prior", "frequent")
+        return {n: getattr(self, n) for n in names}
 
     @property
-    def postings(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Of each term: its examples, their weights, and where its blocks begin."""
-        cut = [(self.runs[r], self.runs[r[0] : r[-1] + 1]) for r in (self.term_runs[t : t + 2] for t in range(len(self.idf)))]
-        return [(self.places[e[0] : e[1]], self.values[e[0] : e[1]], at) for e, at in cut]
-
-    def weights(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        w = (1.0 + np.log(counts)) * self.idf[terms]
-        return w / np.sqrt((w * w).sum())
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples with a positive cosine (ties: the first of the index) and their cosines."""
-        at = _ranges(self.term_runs[terms], self.term_runs[terms + 1])
-        w = np.repeat(weights, self.term_runs[terms + 1] - self.term_runs[terms])
-        blocks = self.run_block[at]
-        bounds = np.bincount(blocks, w * self.most[at], minlength=-(-len(self.ids) // self.block))
-        by_block = np.argsort(blocks, kind="stable")
-        cuts = np.searchsorted(blocks[by_block], np.arange(len(bounds) + 1))
-        best, found = np.zeros(0, dtype=np.int64), np.zeros(0)
-        order, at_once = np.argsort(-bounds, kind="stable"), 1
-        while len(order):
-            now, order = order[:at_once], order[at_once:]
-            now = now[(bounds[now] > 0) & ((len(found) < k) | (bounds[now] >= (found[k - 1] if len(found) >= k else 0.0) - 1e-12))]
-            if not len(now):
-                break
-            at_once *= 4
-            own = by_block[_ranges(cuts[now], cuts[now + 1])]
-            start, end = self.runs[at[own]], self.runs[at[own] + 1]
-            rows = _ranges(start, end)
-            cosines = np.bincount(self.places[rows], np.repeat(w[own], end - start) * self.values[rows], minlength=len(self.ids))
-            hit = np.flatnonzero(cosines > 0)
-            hit = hit[hit != skip]
-            best, found = np.concatenate((best, hit)), np.concatenate((found, cosines[hit]))
-            first = np.lexsort((best, -np.round(found, 12)))[:k]
-            best, found = best[first], found[first]
-        return best, found
+    def postings(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each term: its examples and their weights."""
+        return [(self.places[a:b], self.values[a:b]) for a, b in zip(self.starts, self.starts[1:], strict=False)]
+
+    def weights(self, row: np.ndarray, term: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Unit vectors of the rows."""
+        w = (1.0 + np.log(count)) * self.idf[term]
+        return w / np.sqrt(np.bincount(row, w * w))[row]
+
+    def nearest(self, n: int, row: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, skip: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each of ``n`` rows the k nearest examples with a positive cosine (ties: the first of the index) and their cosines."""
+        width = self.blocks * self.block
+        if not width or not len(row):
+            return [(np.zeros(0, dtype=np.int64), np.zeros(0))] * n
+        rare = self.column[term] < 0
+        start, end = self.starts[term[rare]], self.starts[term[rare] + 1]
+        at = _ranges(start, end)
+        cells = np.repeat(row[rare], end - start) * width + self.places[at]
+        known = np.bincount(cells, np.repeat(weight[rare], end - start) * self.values[at], minlength=n * width).reshape(n, width)
+        often = np.zeros((n, self.dense.shape[1]))
+        often[row[~rare], self.column[term[~rare]]] = weight[~rare]
+        bounds = often @ self.most.T + known.reshape(n, self.blocks, self.block).max(axis=2)
+        cosines = np.zeros((n, width))
+
+        def visit(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(axis=0)):
+                own, cut = np.flatnonzero(wanted[:, b]), slice(b * self.block, (b + 1) * self.block)
+                cosines[own, cut] = known[own, cut] + often[own] @ self.dense[cut].T
+                if skip is not None:
+                    inside = own[(skip[own] >= cut.start) & (skip[own] < cut.stop)]
+                    cosines[inside, skip[inside]] = 0.0
+
+        wanted = np.zeros((n, self.blocks), dtype=bool)
+        first = min(FIRST_BLOCKS, self.blocks)
+        np.put_along_axis(wanted, np.argpartition(-bounds, first - 1, axis=1)[:, :first], True, axis=1)
+        visit(wanted)
+        kth = np.partition(cosines, width - min(k, width), axis=1)[:, width - min(k, width)]
+        visit(~wanted & (bounds > 0) & (bounds >= kth[:, None] - 1e-12))
+        kth = np.partition(cosines, width - min(k, width), axis=1)[:, width - min(k, width)]
+        found = []
+        for i in range(n):
+            hit = np.flatnonzero((cosines[i] > 0) & (cosines[i] >= kth[i] - 1e-11))
+            hit = hit[np.lexsort((hit, -np.round(cosines[i, hit], 12)))[:k]]
+            found.append((hit, cosines[i, hit]))
+        return found
 
     def vote(self, near: np.ndarray, cosines: np.ndarray) -> float:
         w = cosines * cosines
@@ -215,7 +246,9 @@ class ExampleIndex:
         return float(1.0 / (1.0 + np.exp(-(self.curve[0] * vote + self.curve[1])))) if any_near else self.prior
 
 
-def build_index(rows: list[tuple], idf: np.ndarray, block: int = BLOCK, k: int = NEIGHBOURS, prior: float = 0.0) -> ExampleIndex:
+def build_index(
+    rows: list[tuple], idf: np.ndarray, block: int = BLOCK, k: int = NEIGHBOURS, prior: float = 0.0, frequent: int = FREQUENT
+) -> ExampleIndex:
     """rows: (doc_id, label, terms, counts). Examples with the same strongest term are put side by side, so blocks differ."""
     vectors = []
     for doc_id, label, terms, counts in rows:
@@ -225,19 +258,18 @@ def build_index(rows: list[tuple], idf: np.ndarray, block: int = BLOCK, k: int =
             vectors.append((int(t[w.argmax()]), label, doc_id, t, w / np.sqrt((w * w).sum())))
     vectors.sort(key=lambda v: (v[0], v[1], v[2]))
     t = np.concatenate([v[3] for v in vectors]) if vectors else np.zeros(0, dtype=np.int64)
-    places = np.repeat(np.arange(len(vectors)), [len(v[3]) for v in vectors])
+    sizes = [len(v[3]) for v in vectors]
+    places = np.repeat(np.arange(len(vectors)), sizes)
     values = np.concatenate([v[4] for v in vectors]) if vectors else np.zeros(0)
     order = np.lexsort((places, t))
-    t, places, values = t[order], places[order], values[order]
-    first = np.flatnonzero(np.diff(t, prepend=-1) | np.diff(places // block, prepend=-1))
-    most = np.maximum.reduceat(values, first) if len(first) else np.zeros(0)
-    term_runs = np.searchsorted(t[first], np.arange(len(idf) + 1))
-    index = ExampleIndex(
-        np.array([v[2] for v in vectors]), np.array([v[1] for v in vectors], dtype=float), idf, places.astype(np.int32), values,
-        np.append(first, len(t)), (places[first] // block).astype(np.int32), most, term_runs, block, prior=prior,
-    )
-    votes = np.array([index.vote(*index.nearest(v[3], v[4], k, skip=i)) for i, v in enumerate(vectors)])
-    index.curve = fit_curve(votes, index.labels)
+    starts = np.searchsorted(t[order], np.arange(len(idf) + 1))
+    labels = np.array([v[1] for v in vectors], dtype=float)
+    index = ExampleIndex([v[2] for v in vectors], labels, idf, places[order].astype(np.int32), values[order], starts, block, prior=prior, frequent=frequent)
+    votes, cuts = [], np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+    for at in range(0, len(vectors), TOGETHER):
+        n, own = min(TOGETHER, len(vectors) - at), slice(cuts[at], cuts[min(at + TOGETHER, len(vectors))])
+        votes += [index.vote(*x) for x in index.nearest(n, places[own] - at, t[own], values[own], k, skip=np.arange(at, at + n))]
+    index.curve = fit_curve(np.array(votes), labels)
     return index
 
 
@@ -265,41 +297,39 @@ def toxicity(
     are scored alike; extra columns are left out.
     """
     docs = docs.select("doc_id", "text")
+    sc, id_type = docs.sparkSession.sparkContext, docs.schema["doc_id"].dataType
     sample = stored(labelled(docs, labels, per_label))
-    vocabulary, association = sample_terms(sample)
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    names, parent, association = sample_terms(sample)
+    shared, parents = sc.broadcast(pa.array(names, pa.string())), sc.broadcast(parent)  # the sample bounds them
     all_counts = stored(term_counts(docs.withColumn("held_out", crc_mod("doc_id", FOLDS) == HELD_OUT), shared, ["doc_id", "held_out"]))
     n_docs = all_counts.count()
-    df_rows = document_frequencies(all_counts, shared).toArrow()  # a row per term
+    df_rows = document_frequencies(all_counts, parents).toArrow()  # a row per term
     idf = np.full(max(len(association), 1), np.log(1.0 + n_docs) + 1.0)
     idf[df_rows.column("t").to_numpy()] = np.log((1.0 + n_docs) / (1.0 + df_rows.column("n").to_numpy())) + 1.0
     idf[: len(association)] *= association + LEAST
     toxic = F.avg((F.col("toxic") > 0).cast("double"))
     share = labels.filter(crc_mod("doc_id", FOLDS) != HELD_OUT).agg(toxic.alias("p")).collect()[0]["p"] or 0.0
-    examples = sorted(tuple(r) for r in term_counts(sample, shared, ["doc_id", "toxic"]).collect())
-    rows = [(i, y, *vocabulary.spread(np.array(t, dtype=np.int64), np.array(c))) for i, y, t, c in examples]
-    index = docs.sparkSession.sparkContext.broadcast(build_index(rows, idf, block, k, min(share, 0.49)))  # per_label bounds it
+    rows = []
+    for i, y, t, c in sorted(tuple(r) for r in term_counts(sample, shared, ["doc_id", "toxic"]).collect()):
+        _, every, times = spread(np.zeros(len(t), dtype=np.int64), np.array(t, dtype=np.int64), np.array(c), parent)
+        rows.append((i, y, every, times))
+    mark, given = uuid.uuid4().hex, sc.broadcast(build_index(rows, idf, block, k, min(share, 0.49)).given())  # the sample bounds it
+    shown = pa.list_(pa.struct([("doc_id", to_arrow_type(id_type)), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def run(batches):
-        own = index.value
-        for part in batches:
-            scores, evidence = [], []
-            for t, c in zip(part.column("terms").to_pylist(), part.column("counts").to_pylist(), strict=True):
-                near = np.zeros(0, dtype=np.int64)
-                if t:
-                    at, times = shared.value.spread(np.array(t), np.array(c))
-                    near, cosines = own.nearest(at, own.weights(at, times), k)
-                    vote = own.vote(near, cosines)
-                scores.append(own.score(vote, True) if len(near) else own.prior)
-                evidence.append([{"doc_id": int(own.ids[i]), "cosine": float(s), "label": int(own.labels[i])} for i, s in zip(near[:3], cosines[:3], strict=True)] if len(near) else [])
-            shown = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, shown)],
-                names=["doc_id", "held_out", "score", "predicted", "evidence"],
-            )
+        index, parent = per_process("examples", mark, lambda: ExampleIndex(**given.value)), parents.value
+        for batch in batches:
+            for begin in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(begin, TOGETHER)
+                row, term, count = spread(*_listed(part), parent)
+                near = index.nearest(part.num_rows, row, term, index.weights(row, term, count), k)
+                scores = [index.score(index.vote(*x), True) if len(x[0]) else index.prior for x in near]
+                evidence = [[{"doc_id": index.ids[i], "cosine": s, "label": int(index.labels[i])} for i, s in zip(at[:3].tolist(), c[:3].tolist(), strict=True)] for at, c in near]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, shown)],
+                    names=["doc_id", "held_out", "score", "predicted", "evidence"],
+                )
 
     schema = StructType([all_counts.schema["doc_id"], all_counts.schema["held_out"]]).add("score", DoubleType()).add("predicted", IntegerType())
-    shown_type = StructType().add("doc_id", LongType()).add("cosine", DoubleType()).add("label", IntegerType())
-    schema = schema.add("evidence", ArrayType(shown_type))
-    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, n_docs // TASK_DOCS)  # the counts are small, the work isn't
-    return all_counts.repartition(tasks).mapInArrow(run, schema)
+    shown_type = StructType().add("doc_id", id_type).add("cosine", DoubleType()).add("label", IntegerType())
+    return all_counts.mapInArrow(run, schema.add("evidence", ArrayType(shown_type)))

@@ -281,19 +281,20 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.toxicity(empty, labels).count() == 0 and {r.score for r in toxicity.toxicity(odd, labels.filter("false")).collect()} == {0.0}
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("frequent", [0, 6, 100])
+def test_block_max_search_is_exact(frequent):
     rng = np.random.default_rng(9)
     rows = [(i, int(rng.integers(2)), sorted(rng.choice(20, rng.integers(1, 6), replace=False).tolist()), None) for i in range(200)]
     rows = [(i, y, t, rng.integers(1, 4, len(t)).tolist()) for i, y, t, _ in rows]
-    index = toxicity.build_index(rows, 1 + rng.random(20), block=16)
+    index = toxicity.build_index(rows, 1 + rng.random(20), block=16, frequent=frequent)
     dense = np.zeros((len(index.ids), 20))
-    for t, (places, values, _) in enumerate(index.postings):
+    for t, (places, values) in enumerate(index.postings):
         dense[places, t] = values
-    for _ in range(50):
-        t = np.sort(rng.choice(20, 4, replace=False))
-        w = index.weights(t, np.ones(4))
-        near, cosines = index.nearest(t, w, 7)
-        best = np.sort(dense[:, t] @ w)[::-1][:7]
+    term = np.concatenate([np.sort(rng.choice(20, 4, replace=False)) for _ in range(50)])
+    row = np.repeat(np.arange(50), 4)
+    w = index.weights(row, term, np.ones(200))
+    for i, (near, cosines) in enumerate(index.nearest(51, row, term, w, 7)):
+        best = np.sort(dense[:, term[row == i]] @ w[row == i])[::-1][:7] if i < 50 else np.zeros(7)
         assert np.allclose(cosines, best[: len(cosines)]) and (len(near) == 7 or best[len(near)] <= 1e-12)
 
 
