@@ -2,9 +2,14 @@
 
 SimHash fingerprints of the shingles in pigeonhole blocks, as in ``simhash``, find the nearest copies. At similarity 0.8
 fingerprints differ in about ten of 64 bits, which no choice of wide blocks reaches; so each text also has keys of four
-minima of hashes each, of which two such texts share at least one with a chance above 0.999. Rows that meet under a key
-give candidate pairs, in number linear in the group: all pairs of a few, else every row with the first of the group and with
-its neighbour in the order of fingerprints. Every candidate is verified by the exact Jaccard similarity of the two sets.
+minima of hashes each, of which two such texts share at least one with a chance above 0.9999. Rows that meet under a key
+give candidates, and every candidate is verified by the exact Jaccard similarity of the two sets.
+
+A key that few rows share gives all pairs. Under a crowded key each row is first compared with the group's first row and
+with its neighbour in the order of fingerprints, which connects a family of copies. What is then left apart decides: if all
+but a few rows are connected, the few are compared with everything under the key; else the rows get keys of more minima, by
+which they part, and the same is done again. On the last level all rows outside the largest connected part are compared with
+everything under their key. So no pair under a key is left out but pairs that are connected already.
 """
 
 from __future__ import annotations
@@ -17,16 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
 from barloom.llm.common import slices, stored, whole_text
-from barloom.llm.simhash import SEED, block_links, components, simhash
+from barloom.llm.simhash import SEED, block_links, components
 
 SHINGLE, SIMILAR = 5, 0.8
-#: Keys of a text, and minima in a key.
-BANDS, MINIMA = 20, 4
-#: Groups up to the first size give all their pairs; up to the second, one task orders them by fingerprint.
+#: Minima in a key and keys of a text on each level; two texts at the least similarity share none with a chance under 1e-4.
+LEVELS = ((4, 20), (8, 60), (16, 400))
+#: Rows outside the largest connected part of a group that are compared with all of it; rows that one task orders by fingerprint.
 PAIRS, GROUP = 8, 1024
 SLICE_BYTES = 1 << 20
-_RNG = np.random.default_rng(SEED)
-_MIX, _TURN = (_RNG.integers(0, 1 << 63, BANDS * MINIMA, dtype=np.uint64) for _ in range(2))
 
 
 def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
@@ -38,17 +41,28 @@ def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([digest(b" ".join(ws[i : i + size]), SEED) for i in range(max(1, len(ws) - size + 1))], dtype=np.uint64))
 
 
-def band_keys(found: np.ndarray) -> list[int]:
-    """A number for each band: a digest of its minima; all zero for an empty set."""
+def band_keys(found: np.ndarray, minima: int, keys: int) -> list[int]:
+    """A number for each key: a digest of its minima under hashes of the level's own; all zero for an empty set."""
     if not len(found):
-        return [0] * BANDS
-    least = np.full(BANDS * MINIMA, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(found), 1024):
-        x = (found[at : at + 1024, None] ^ _TURN[None, :]) * (_MIX[None, :] | np.uint64(1))
+        return [0] * keys
+    rng = np.random.default_rng(SEED + minima)
+    mix, turn = (rng.integers(0, 1 << 63, keys * minima, dtype=np.uint64) for _ in range(2))
+    least = np.full(keys * minima, np.iinfo(np.uint64).max, dtype=np.uint64)
+    step = max(1, (1 << 17) // (keys * minima))
+    for at in range(0, len(found), step):
+        x = (found[at : at + step, None] ^ turn[None, :]) * (mix[None, :] | np.uint64(1))
         x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
         least = np.minimum(least, x.min(axis=0))
     digest = xxhash.xxh64_intdigest
-    return [digest(part.tobytes(), b) - (1 << 63) for b, part in enumerate(least.reshape(BANDS, MINIMA))]
+    return [digest(part.tobytes(), b) - (1 << 63) for b, part in enumerate(least.reshape(keys, minima))]
+
+
+def fingerprint(found: np.ndarray) -> int:
+    """The SimHash of a set of shingles, as a signed number."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(found), 1 << 15):
+        ones += np.unpackbits(found[at : at + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(found)).view(">u8")[0].astype(np.int64)) if len(found) else 0
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -57,15 +71,18 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def sketches(docs: DataFrame, node: Column, text: str) -> DataFrame:
-    """node, fp (SimHash of the five-word shingles) and keys of every row."""
+def sketches(docs: DataFrame, node: Column, text: str, level: tuple[int, int] = LEVELS[0]) -> DataFrame:
+    """node, fp (SimHash of the five-word shingles) and keys of every row. A text is shingled once."""
 
     def run(batches):
         for part in slices(batches, "_text", SLICE_BYTES):
-            texts = part.column("_text").to_pylist()
-            fps = pa.array([simhash(t, SHINGLE) for t in texts], pa.int64())
-            keys = pa.array([band_keys(shingles(t)) for t in texts], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("node"), fps, keys], names=["node", "fp", "keys"])
+            prints, keys = [], []
+            for text in part.column("_text").to_pylist():
+                found = shingles(text)
+                prints.append(fingerprint(found))
+                keys.append(band_keys(found, *level))
+            columns = [part.column("node"), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "fp", "keys"])
 
     schema = StructType().add("node", LongType()).add("fp", LongType()).add("keys", ArrayType(LongType()))
     return docs.select(node.alias("node"), whole_text(text).alias("_text")).mapInArrow(run, schema)
@@ -75,32 +92,56 @@ def _group_pairs(batches):
     for part in batches:
         pairs = set()
         for group in part.column("found").to_pylist():
-            rows = sorted((r["fp"], r["node"]) for r in group)
-            nodes, first = [n for _, n in rows], min(n for _, n in rows)
-            if len(nodes) <= PAIRS:
-                pairs |= {(min(a, b), max(a, b)) for i, a in enumerate(nodes) for b in nodes[:i]}
-            else:
-                pairs |= {(first, n) for n in nodes} | {(min(a, b), max(a, b)) for a, b in zip(nodes, nodes[1:], strict=False)}
-        rows = [(a, b) for a, b in pairs if a != b]
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-
-def candidates(known: DataFrame, group: int = GROUP) -> DataFrame:
-    """Distinct pairs (a, b) of nodes, a < b, that share a key or are linked by their fingerprints."""
-    keyed = known.select("node", "fp", F.posexplode("keys").alias("band", "key"))
-    counts = stored(keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).filter("n > 1"))
+            rows = sorted((r["fp"], r["node"], r["label"]) for r in group)
+            first = min(rows, key=lambda r: r[1])
+            near = [(a, b) for i, a in enumerate(rows) for b in rows[:i]] if len(rows) <= PAIRS + 1 else [(first, r) for r in rows] + list(zip(rows, rows[1:], strict=False))
+            pairs |= {(min(a[1], b[1]), max(a[1], b[1])) for a, b in near if a[2] != b[2]}
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The rows with the label of their node: of the connected part it is in, or its own number."""
+    if labels is None:
+        return rows.withColumn("label", F.col("node"))
+    return rows.join(labels.withColumnRenamed("v", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def first_pairs(keyed: DataFrame, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b) of nodes, a < b, in number linear in the groups of a key, and the keys of crowded groups."""
+    found = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"), F.min("label").alias("x"), F.max("label").alias("y"))
+    counts = stored(found.filter("x <> y").drop("x", "y"))
     small = keyed.join(counts.filter(F.col("n") <= group).select("band", "key"), ["band", "key"])
-    small = small.groupBy("band", "key").agg(F.collect_list(F.struct("fp", "node")).alias("found")).select("found")
+    small = small.groupBy("band", "key").agg(F.collect_list(F.struct("fp", "node", "label")).alias("found")).select("found")
     pairs = small.mapInArrow(_group_pairs, "a long, b long")
     large = counts.filter(F.col("n") > group)
     if not large.isEmpty():
         pairs = pairs.union(keyed.join(large, ["band", "key"]).select(F.col("first").alias("a"), F.col("node").alias("b")))
+    return pairs.filter("a <> b").distinct(), counts.filter(F.col("n") > PAIRS + 1).select("band", "key")
+
+
+def fingerprint_pairs(known: DataFrame) -> DataFrame:
+    """Pairs that connect nodes whose fingerprints differ in at most three bits."""
     prints = stored(known.groupBy("fp").agg(F.min("node").alias("first")))
     same = known.join(prints, "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
     links = block_links(prints.select("fp"))
     ends = [prints.select(F.col("fp").alias(x), F.col("first").alias(f"_{x}")) for x in ("a", "b")]
     linked = links.join(ends[0], "a").join(ends[1], "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
-    return stored(pairs.union(same).union(linked).filter("a <> b").distinct())
+    return same.union(linked).filter("a <> b").distinct()
+
+
+def left_apart(keyed: DataFrame, crowded: DataFrame, labels: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
+    """Of crowded groups that are not connected: pairs of rows outside the largest part with all others, and the nodes for
+    which that would be too many and that need finer keys (none on the last level)."""
+    rows = stored(labelled(keyed.join(crowded, ["band", "key"], "left_semi").drop("label"), labels).select("band", "key", "node", "label"))
+    parts = rows.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("n"))
+    parts = parts.groupBy("band", "key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all"))
+    open_ = stored(parts.filter(F.col("all") > F.col("most.n")).select("band", "key", F.col("most.label").alias("main"), (F.col("all") - F.col("most.n")).alias("others")))
+    few = open_ if last else open_.filter(F.col("others") <= PAIRS)
+    outside = rows.join(few, ["band", "key"]).filter("label <> main").select("band", "key", "main", F.col("node").alias("a"), F.col("label").alias("la"))
+    both = outside.join(rows.withColumnsRenamed({"node": "b", "label": "lb"}), ["band", "key"]).filter("la <> lb AND (lb = main OR a < b)")
+    pairs = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    many = rows.join(open_.filter(F.col("others") > PAIRS).select("band", "key"), ["band", "key"], "left_semi").select("node").distinct()
+    return pairs, many.filter(F.lit(not last))
 
 
 def verified(docs: DataFrame, node: Column, pairs: DataFrame, text: str, similar: float = SIMILAR) -> DataFrame:
@@ -130,10 +171,31 @@ def verified(docs: DataFrame, node: Column, pairs: DataFrame, text: str, similar
     return stored(both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"))
 
 
-def near_groups(docs: DataFrame, node: Column, text: str = "text", group: int = GROUP) -> DataFrame:
+def near_groups(docs: DataFrame, node: Column, text: str = "text", group: int = GROUP, levels: tuple[tuple[int, int], ...] = LEVELS) -> DataFrame:
     """(v, label) of every node that is in a group of near copies: the same label for nodes connected by verified pairs.
 
-    ``node`` is a 64-bit number of a row. Rows in no verified pair don't come back.
+    ``node`` is a 64-bit number of a row; rows with the same number are one. Rows in no verified pair don't come back. Null
+    texts are empty; empty texts and texts without words are alike.
     """
-    known = stored(sketches(docs, node, text))
-    return components(verified(docs, node, candidates(known, group), text))
+    links, labels, rows = None, None, docs.withColumn("_node", node)
+    for level in levels:
+        known = stored(sketches(rows, F.col("_node"), text, level).dropDuplicates(["node"]))
+        keyed = stored(labelled(known.select("node", "fp", F.posexplode("keys").alias("band", "key")), labels))
+        pairs, crowded = first_pairs(keyed, group)
+        if links is None:
+            pairs = pairs.union(fingerprint_pairs(known)).distinct()
+        now = verified(docs, node, stored(pairs), text)
+        links = now if links is None else links.union(now)
+        labels = components(links)
+        crowded = stored(crowded)
+        if crowded.isEmpty():
+            break
+        pairs, open_ = left_apart(keyed, crowded, labels, level == levels[-1])
+        pairs, open_ = stored(pairs), stored(open_)
+        if not pairs.isEmpty():
+            links = links.union(verified(docs, node, pairs, text))
+            labels = components(links)
+        if open_.isEmpty():
+            break
+        rows = docs.withColumn("_node", node).join(open_.withColumnRenamed("node", "_node"), "_node", "left_semi")
+    return labels

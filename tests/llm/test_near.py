@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -37,9 +38,51 @@ def test_near_stage_keeps_what_brute_force_keeps(spark):
     assert sorted(got, key=str) == sorted(kept.values(), key=str)
 
 
+def brute_parts(sets, nodes):
+    part = {n: n for n in nodes}
+
+    def root(n):
+        while part[n] != n:
+            n = part[n]
+        return n
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root(nodes[i]), root(nodes[j])))
+                part[b] = a
+    return {n: root(n) for n in nodes}
+
+
 def test_crowded_keys_give_few_pairs(spark):
     words = [f"w{i}" for i in range(100)]
     docs = spark.createDataFrame([(i, " ".join([*words, f"end{i}"])) for i in range(40)], "doc_id long, text string")
     known = near.sketches(docs, F.col("doc_id"), "text").cache()
-    assert near.candidates(known, group=10).count() < 400
+    keyed = near.labelled(known.select("node", "fp", F.posexplode("keys").alias("band", "key")), None)
+    assert near.first_pairs(keyed, group=10)[0].count() < 400
     assert {r.label for r in near.near_groups(docs, F.col("doc_id"), group=10).collect()} == {0}
+
+
+@pytest.mark.parametrize("group", [10, near.GROUP])
+@pytest.mark.parametrize("levels", [near.LEVELS, near.LEVELS[:1]])
+def test_no_pair_is_lost_under_crowded_keys(spark, group, levels):
+    """Families of texts that share most of their words, so that every key is crowded, but are similar only in pairs."""
+    rng = random.Random(17)
+    texts = []
+    for f in range(4):
+        common = [f"f{f}c{i}" for i in range(170)]
+        for t in range(60):
+            own = [f"f{f}t{t}o{i}" for i in range(44)]
+            body = [*common, *own]
+            texts.append(body)
+            if t % 3 == 0:  # a near copy of this one only
+                copy = list(body)
+                for at in rng.sample(range(0, len(copy), 9), 3):
+                    copy[at] = f"f{f}t{t}x{at}"
+                texts.append(copy)
+    rng.shuffle(texts)
+    sets = [set(near.shingles(" ".join(t)).tolist()) for t in texts]
+    want = brute_parts(sets, list(range(len(texts))))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.v: r.label for r in near.near_groups(docs, F.col("doc_id"), group=group, levels=levels).collect()}
+    assert {i: got.get(i, i) for i in want} == want and len(set(want.values())) < len(texts)
