@@ -18,15 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
-from barloom.llm.common import fresh, slices, stored, whole_text
+from barloom.llm.common import fresh, per_process, slices, stored, whole_text
 
 BYTE_TOKENIZER, PIECE_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SLICE_BYTES, MOST_IDS = 1 << 20, 1 << 16
 #: Pairs that are looked up in the tasks instead of joined, at most (13 bytes each).
 FREQUENT = 1 << 20
 
-_LOADED: dict = {}
-
 
 def byte_letters() -> dict[str, int]:
     """The letters by which byte-level vocabularies write bytes: printable ones stand for themselves, the rest follow from 256."""
@@ -36,20 +34,46 @@ def byte_letters() -> dict[str, int]:
 
 
 class Side:
-    """One tokenizer: its function from texts to ids, and by id the bytes, their number and the decimal id with a separator."""
+    """One tokenizer: its function from texts to ids, and by id the bytes and their number."""
 
     def __init__(self, encode, tokens: list[bytes], last: str):
         if len(tokens) > MOST_IDS:
             raise ValueError(f"a vocabulary has {len(tokens)} ids; pairs of ids are kept in 32 bits")
-        self.encode, self.tokens = encode, tokens
-        self.sizes = np.array([len(t) for t in tokens], dtype=np.int64)
-        self.inner, self.last = (np.array([f"{i}{mark}" for i in range(len(tokens))], dtype=object) for mark in (",", last))
+        self.encode, self.tokens, self.last = encode, tokens, last
+        self.sizes = np.array([len(t) for t in tokens], dtype=np.int32)
+
+    def ids(self, texts: list[str]) -> list[np.ndarray | None]:
+        """The ids of each text; None where their bytes are not those of a space and the text."""
+        tokens = self.tokens
+        found = self.encode(texts)
+        same = [b"".join([tokens[i] for i in x]) == b" " + t.encode() for x, t in zip(found, texts, strict=True)]
+        return [np.array(x, dtype=np.int32) if ok else None for x, ok in zip(found, same, strict=True)]
+
+
+class Digits:
+    """Decimal ids of both sides with a separator behind, as rows of bytes: those inside a group, then those at its end."""
 
+    def __init__(self, a: Side, b: Side):
+        rows = [f"{i}{mark}".encode() for side in (a, b) for mark in (",", side.last) for i in range(len(side.tokens))]
+        self.first_b, self.size = 2 * len(a.tokens), (len(a.tokens), len(b.tokens))
+        self.lengths = np.array([len(r) for r in rows], dtype=np.int32)
+        width = int(self.lengths.max())
+        self.rows = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in rows), dtype=np.uint8).reshape(-1, width)
+        self.used = self.rows > 0
 
-def byte_side(raw: bytes) -> Side:
+
+def byte_side(raw: bytes, pattern: str | None = None) -> Side:
+    """A byte-level tokenizer in JSON.
+
+    If ``pattern`` is given, it is the one by which the tokenizer splits words, and its ids follow the order of its merges, then
+    the ids are also the ranks of the pairs, and a library that works by ranks gives the same ids faster. Which characters
+    beyond the common ones are letters depends on a library's version of Unicode, so texts with others don't go that way.
+    """
+    import json
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already has a task per core
+    import tiktoken
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_str(raw.decode())
@@ -59,7 +83,26 @@ def byte_side(raw: bytes) -> Side:
     tokens = [b""] * (max(vocabulary.values()) + 1)
     for token, i in vocabulary.items():
         tokens[i] = bytes(letters[c] for c in token)
-    return Side(lambda texts: [e.ids for e in own.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], tokens, "|")
+    model = json.loads(raw)["model"]
+    merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    special = {t.content for t in own.get_added_tokens_decoder().values()}
+    ranks = {tokens[i]: i for t, i in vocabulary.items() if t not in special}
+    ordered = merged == sorted(set(merged)) and len(merged) + 256 == len(ranks)
+    ranked = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}) if pattern and ordered else None
+
+    def common(text: str) -> bool:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return max(text) < "\u0370"
+        return True
+
+    def encode(texts: list[str]) -> list:
+        plain = [ranked is not None and common(t) for t in texts]
+        rest = iter(own.encode_batch_fast([" " + t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
+        return [ranked.encode_ordinary(" " + t) if p else next(rest).ids for t, p in zip(texts, plain, strict=True)]
+
+    return Side(encode, tokens, "|")
 
 
 def piece_side(raw: bytes) -> Side:
@@ -71,11 +114,15 @@ def piece_side(raw: bytes) -> Side:
     return Side(lambda texts: own.encode(texts, num_threads=1), tokens, ";")
 
 
-def _sides(raw_a: bytes, raw_b: bytes) -> tuple[Side, Side]:
-    key = (len(raw_a), hash(raw_a), len(raw_b), hash(raw_b))
-    if key not in _LOADED:
-        _LOADED[key] = (byte_side(raw_a), piece_side(raw_b))
-    return _LOADED[key]
+def _sides(raw_a: bytes, raw_b: bytes, pattern: str | None) -> tuple[Side, Side, Digits]:
+    def make() -> tuple[Side, Side, Digits]:
+        a, b = byte_side(raw_a, pattern), piece_side(raw_b)
+        return a, b, Digits(a, b)
+
+    return per_process("sides", (raw_a, raw_b, pattern), make)
+
+
+_NONE = np.zeros(0, dtype=np.int32)
 
 
 def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -95,20 +142,25 @@ def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray, docs_a: np.ndarray, docs
     lo_a, hi_a, lo_b, hi_b = lo_a[some], hi_a[some], lo_b[some], hi_b[some]
     groups = []
     while len(lo_a):
+        single = (hi_a - lo_a == 1) | (hi_b - lo_b == 1)
+        groups.append((hi_a[single], hi_b[single]))
+        lo_a, hi_a, lo_b, hi_b = lo_a[~single], hi_a[~single], lo_b[~single], hi_b[~single]
+        # the end of the middle token, then ends ever farther from it on both sides
         middle = (lo_a + hi_a - 2) // 2
-        cut_a, cut_b = np.full(len(lo_a), -1), np.full(len(lo_a), -1)
-        open_, near, far = np.flatnonzero((hi_a - lo_a > 1) & (hi_b - lo_b > 1)), 0, 1
-        while len(open_):  # ends at a distance from the middle of near to far - 1, on both sides of it
-            left, right = lo_a[open_], hi_a[open_] - 1  # the last token of an interval ends with it
-            mid = middle[open_]
-            start = np.concatenate([np.maximum(mid - far + 1, left), np.maximum(mid + max(near, 1), left)])
-            end = np.concatenate([np.minimum(mid - near + 1, right), np.minimum(mid + far, right)])
-            end = np.maximum(start, end)
+        other = np.searchsorted(ends_b, ends_a[middle])
+        found = (other < hi_b - 1) & (ends_b[other] == ends_a[middle])
+        cut_a, cut_b = np.where(found, middle + 1, -1), np.where(found, other + 1, -1)
+        open_, near, far = np.flatnonzero(~found), 1, 4
+        while len(open_):  # distances from near to far - 1
+            left, right, mid = lo_a[open_], hi_a[open_] - 1, middle[open_]  # the last token of an interval ends with it
+            start = np.concatenate([np.maximum(mid - far + 1, left), np.maximum(mid + near, left)])
+            end = np.maximum(np.concatenate([np.minimum(mid - near + 1, right), np.minimum(mid + far, right)]), start)
             owner = np.repeat(np.tile(open_, 2), end - start)
             place = _ranges(start, end)
             other = np.searchsorted(ends_b, ends_a[place])
-            hit = np.flatnonzero((other < hi_b[owner] - 1) & (ends_b[np.minimum(other, len(ends_b) - 1)] == ends_a[place]))
-            order = hit[np.lexsort((place[hit], np.abs(place[hit] - middle[owner[hit]]), owner[hit]))]
+            hit = np.flatnonzero((other < hi_b[owner] - 1) & (ends_b[other] == ends_a[place]))
+            away = np.abs(place[hit] - middle[owner[hit]])
+            order = hit[np.argsort(owner[hit] * np.int64(2 * far) + away * 2 + (place[hit] > middle[owner[hit]]), kind="stable")]
             first = order[np.flatnonzero(np.diff(owner[order], prepend=-1))]
             cut_a[owner[first]], cut_b[owner[first]] = place[first] + 1, other[first] + 1
             near, far = far, far * 4
@@ -116,8 +168,8 @@ def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray, docs_a: np.ndarray, docs
         whole = cut_a < 0
         groups.append((hi_a[whole], hi_b[whole]))
         cut = ~whole
-        lo_a, hi_a, lo_b, hi_b = (
-            np.concatenate(pair) for pair in (
+        lo_a, hi_a, lo_b, hi_b = (  # both halves, in order
+            np.stack(pair, axis=1).ravel() for pair in (
                 (lo_a[cut], cut_a[cut]), (cut_a[cut], hi_a[cut]), (lo_b[cut], cut_b[cut]), (cut_b[cut], hi_b[cut]),
             )
         )
@@ -126,52 +178,61 @@ def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray, docs_a: np.ndarray, docs
     return np.sort(np.concatenate([g[0] for g in groups])), np.sort(np.concatenate([g[1] for g in groups]))
 
 
-def align_texts(texts: list[str], a: Side, b: Side) -> dict[str, list]:
+def align_texts(texts: list[str], a: Side, b: Side, digits: Digits) -> dict[str, list]:
     """Of each text: n_a, n_b, n_groups, n_links, groups, pairs and times (of each distinct pair of linked ids)."""
-    given = [t or "" for t in texts]
-    some = [i for i, t in enumerate(given) if t]
-    ids_a, ids_b = [[]] * len(given), [[]] * len(given)
-    if some:
-        for i, x, y in zip(some, a.encode([given[i] for i in some]), b.encode([given[i] for i in some]), strict=True):
-            raw = b" " + given[i].encode()
-            if b"".join([a.tokens[k] for k in x]) == raw and b"".join([b.tokens[k] for k in y]) == raw:
-                ids_a[i], ids_b[i] = x, y
-    n_a, n_b = np.array([len(x) for x in ids_a]), np.array([len(x) for x in ids_b])
+    some = [i for i, t in enumerate(texts) if t]
+    ids_a, ids_b = [_NONE] * len(texts), [_NONE] * len(texts)
+    given = [texts[i] for i in some]
+    for i, x, y in zip(some, a.ids(given), b.ids(given), strict=True):
+        if x is not None and y is not None:
+            ids_a[i], ids_b[i] = x, y
+    n_a, n_b = (np.array([len(x) for x in ids], dtype=np.int64) for ids in (ids_a, ids_b))
     docs_a, docs_b = (np.concatenate(([0], np.cumsum(n))) for n in (n_a, n_b))
-    flat_a, flat_b = (np.array([k for x in ids for k in x], dtype=np.int64) for ids in (ids_a, ids_b))
-    ends_a, ends_b = np.cumsum(a.sizes[flat_a]), np.cumsum(b.sizes[flat_b])
+    flat_a, flat_b = (np.concatenate([_NONE, *ids]) for ids in (ids_a, ids_b))
+    size_a, size_b = a.sizes[flat_a], b.sizes[flat_b]
+    ends_a, ends_b = np.cumsum(size_a, dtype=np.int64), np.cumsum(size_b, dtype=np.int64)
     cuts_a, cuts_b = shared_cuts(ends_a, ends_b, docs_a, docs_b)
     # the groups of a document lie between its first and last tokens
     at_group = np.searchsorted(cuts_a, docs_a, side="right")
-    written_a, written_b = a.inner[flat_a], b.inner[flat_b]
-    written_a[cuts_a - 1], written_b[cuts_b - 1] = a.last[flat_a[cuts_a - 1]], b.last[flat_b[cuts_b - 1]]
-    group_a, group_b = (np.searchsorted(c, np.arange(len(f)), side="right") for c, f in ((cuts_a, flat_a), (cuts_b, flat_b)))
-    line = np.empty(len(flat_a) + len(flat_b), dtype=object)
-    line[np.arange(len(flat_a)) + np.concatenate(([0], cuts_b))[group_a]] = written_a
-    line[np.arange(len(flat_b)) + cuts_a[group_b]] = written_b
+    of_group_a, of_group_b = (np.diff(np.concatenate(([0], c))) for c in (cuts_a, cuts_b))
+    line = np.empty(len(flat_a) + len(flat_b), dtype=np.int32)
+    at_a, at_b = np.arange(len(flat_a)) + np.repeat(cuts_b - of_group_b, of_group_a), np.arange(len(flat_b)) + np.repeat(cuts_a, of_group_b)
+    line[at_a], line[at_b] = flat_a, flat_b + digits.first_b
+    line[at_a[cuts_a - 1]] += digits.size[0]
+    line[at_b[cuts_b - 1]] += digits.size[1]
+    written = digits.rows[line][digits.used[line]].tobytes()
+    at_line = np.concatenate(([0], np.cumsum(digits.lengths[line], dtype=np.int64)))[docs_a + docs_b].tolist()
     # a link begins wherever a token of either side begins
-    begins_a, begins_b = ends_a - a.sizes[flat_a], ends_b - b.sizes[flat_b]
-    points = np.union1d(begins_a, begins_b)
-    at_a, at_b = np.searchsorted(begins_a, points, side="right") - 1, np.searchsorted(begins_b, points, side="right") - 1
-    doc = np.searchsorted(docs_a, at_a, side="right") - 1
-    keys, times = np.unique((doc << 32) | (flat_a[at_a] << 16) | flat_b[at_b], return_counts=True)
+    n_bytes = int(ends_a[-1]) if len(ends_a) else 0
+    begins = []
+    for ends, size in ((ends_a, size_a), (ends_b, size_b)):
+        mark = np.zeros(n_bytes, dtype=np.int8)
+        mark[ends - size] = 1
+        begins.append(mark)
+    points = np.flatnonzero(begins[0] | begins[1])
+    at_a, at_b = (np.cumsum(mark, dtype=np.int32)[points] - 1 for mark in begins)
+    doc = np.repeat(np.arange(len(texts)), n_a)[at_a]
+    every = np.sort((doc << 32) | (flat_a[at_a].astype(np.int64) << 16) | flat_b[at_b])
+    first = np.flatnonzero(np.diff(every, prepend=-1))
+    keys, times = every[first], np.diff(np.append(first, len(every)))
     codes = (keys & 0xFFFFFFFF).astype(np.uint32).view(np.int32)
-    at_key = np.searchsorted(keys, np.arange(len(given) + 1) << 32)
-    at_line = docs_a + docs_b
+    at_key = np.searchsorted(keys, np.arange(len(texts) + 1) << 32)
     links = np.diff(np.concatenate(([0], np.cumsum(times)))[at_key])
     return {
         "n_a": n_a, "n_b": n_b, "n_groups": np.diff(at_group), "n_links": links,
-        "groups": ["".join(line[s:e])[:-1] for s, e in zip(at_line, at_line[1:], strict=False)],
+        "groups": [written[s : max(s, e - 1)] for s, e in zip(at_line, at_line[1:], strict=False)],
         "pairs": pa.ListArray.from_arrays(pa.array(at_key, pa.int32()), pa.array(codes, pa.int32())),
         "times": pa.ListArray.from_arrays(pa.array(at_key, pa.int32()), pa.array(times, pa.int32())),
     }
 
 
-def align(df: DataFrame, byte_file: str, piece_file: str, text: str = "text", carry: list[str] | None = None, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def align(
+    df: DataFrame, byte_file: str, piece_file: str, pattern: str | None = None, text: str = "text", carry: list[str] | None = None, slice_bytes: int = SLICE_BYTES
+) -> DataFrame:
     """Add n_a, n_b, n_groups, n_links, groups, pairs and times to the columns in ``carry`` (default: all of ``df``).
 
     ``byte_file`` is a byte-level tokenizer in JSON (a), which gets a space and the text; ``piece_file`` a model of pieces (b),
-    which adds the space itself. Special tokens are neither added nor read in texts. groups lists the ids of both sides by
+    which adds the space itself. ``pattern`` may give the pattern by which the first one splits words (see ``byte_side``). Special tokens are neither added nor read in texts. groups lists the ids of both sides by
     group, ``a1,a2|b1;a3|b2,b3``. pairs holds each linked pair of ids once (a in the upper, b in the lower 16 bits), times
     how often. A text that is null or empty, or whose bytes either side doesn't give back, has no tokens: zeros and nothing
     else. Rows stay as they are, repeated ones too; columns of ``df`` with the new names are replaced.
@@ -183,11 +244,11 @@ def align(df: DataFrame, byte_file: str, piece_file: str, text: str = "text", ca
         raw = df.sparkSession.sparkContext.broadcast((f.read(), g.read()))  # the files' sizes are fixed
 
     def run(batches):
-        sides = _sides(*raw.value)
+        sides = _sides(*raw.value, pattern)
         for part in slices(batches, own, slice_bytes):
             found = align_texts(part.column(own).to_pylist(), *sides)
             columns = [part.column(c) for c in carry] + [pa.array(found[c], pa.int64()) for c in names[:4]]
-            columns += [pa.array(found["groups"], pa.string()), found["pairs"], found["times"]]
+            columns += [pa.array(found["groups"], pa.binary()).cast(pa.string()), found["pairs"], found["times"]]
             yield pa.RecordBatch.from_arrays(columns, names=[*carry, *names])
 
     source = df.select(*carry, whole_text(text).alias(own))

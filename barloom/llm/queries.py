@@ -90,7 +90,7 @@ def op12_alignment(spark, sf_dir):
     import public_tokenizers
 
     files = [public_tokenizers.path(name) for name in (alignment.BYTE_TOKENIZER, alignment.PIECE_TOKENIZER)]
-    aligned = alignment.align(documents(spark, sf_dir), *files, carry=["doc_id"])
+    aligned = alignment.align(documents(spark, sf_dir), *files, public_tokenizers.PATTERN, carry=["doc_id"])
     digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
     return alignment.score_links(aligned.withColumn("groups_sha256", digest).drop("groups"))
 

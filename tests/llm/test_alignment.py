@@ -80,14 +80,14 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("frequent", [0, 7, A.FREQUENT])
-def test_alignment_is_that_of_brute_force(spark, both, frequent):
+@pytest.mark.parametrize("frequent, pattern", [(0, None), (7, P.PATTERN), (A.FREQUENT, P.PATTERN)])
+def test_alignment_is_that_of_brute_force(spark, both, frequent, pattern):
     random.seed(4)
     words = " ".join(t for t in TEXTS if t).split()
     texts = TEXTS + [" ".join(random.choices(words, k=random.choice([3, 20, 200]))) for _ in range(30)]
     rows = [(i, t, "clash", "clash", 1) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_a string, _row string, _text int").repartition(3)
-    got = A.score_links(A.align(df, *FILES, slice_bytes=500), frequent).collect()
+    got = A.score_links(A.align(df, *FILES, pattern, slice_bytes=500), frequent).collect()
     want = brute(both, texts)
     assert {r.doc_id: (r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups) for r in got} == dict(enumerate(want))
     assert {(r._row, r._text) for r in got} == {("clash", 1)}
@@ -163,3 +163,27 @@ def brute_long(both, docs):
         i: (na, nb, len(g), len(li), sum(counts[p] == most[p[0]] for p in li), sum(counts[p] for p in li), hashlib.sha256(";".join(g).encode()).hexdigest() if na else "")
         for i, (na, nb, g, li) in known.items()
     }
+
+
+def test_ids_are_those_of_the_libraries(both):
+    """By ranks or by the tokenizer itself, over white space of all kinds, signs, and letters within and beyond the common ones."""
+    own, pieces = both
+    a, b = A.byte_side(open(FILES[0], "rb").read(), P.PATTERN), A.piece_side(open(FILES[1], "rb").read())
+    rng = random.Random(9)
+    signs = [" ", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "'s", "'t", "'", "’", ".", ",", "1", "23", "a", "the", "Über", "ß", "ĳ", "ʰ", "\u02bc", "\u0300", "Ͱ", "漢", "\u2003", "\u200b", "▁", "_", "😀", "²", "½", "<s>"]
+    for _ in range(3000):
+        text = "".join(rng.choices(signs, k=rng.randint(1, 12)))
+        x, y = a.ids([text])[0], b.ids([text])[0]
+        assert x is None or x.tolist() == own.encode(" " + text, add_special_tokens=False).ids, repr(text)
+        assert y is None or y.tolist() == pieces.encode(text), repr(text)
+        joined = b"".join(b.tokens[i] for i in pieces.encode(text))
+        assert (y is not None) == (joined == (" " + text).encode()), repr(text)
+
+
+def test_every_token_alone_has_its_own_id_on_both_ways(both):
+    own, _ = both
+    a = A.byte_side(open(FILES[0], "rb").read(), P.PATTERN)
+    texts = [t for t in (raw.decode("utf-8", "ignore") for raw in a.tokens) if t and max(t) < "\u0370"]
+    assert len(texts) > 49_000
+    whole = [e.ids for e in own.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+    assert [list(x) for x in a.encode(texts)] == whole
