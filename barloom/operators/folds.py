@@ -1,22 +1,24 @@
 """Order-dependent folds without a task per series.
 
 A fold over a long series is cut at the chunks of ``series``. Each chunk is first summarised (in parallel) as the
-map from its incoming to its outgoing state; the one-row-per-chunk summaries are then streamed in order to find
-the state at every chunk start; finally the chunks are replayed (in parallel) from those states. The streaming
-pass keeps one state in memory and reads sorted batches, so nothing is ever collected.
+map from its incoming to its outgoing state. The maps of neighbouring chunks are composed to maps of blocks of chunks, and
+those to maps of larger blocks, until a series is one block; then the incoming states are handed down the same tree. Finally
+the chunks are replayed (in parallel) from those states. On every level a task sees one block of at most ``FAN`` maps.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.operators.series import SeriesLayout
+from barloom.operators.series import FAN, SeriesLayout, div
+from barloom.session import settle
 
 
 def fields(df: DataFrame, names: list[str]) -> str:
@@ -26,26 +28,44 @@ def fields(df: DataFrame, names: list[str]) -> str:
 
 
 def carry_states(
-    summaries: DataFrame, keys: list[str], start: tuple, advance: Callable[[tuple, dict], tuple], state: dict[str, str]
+    summaries: DataFrame, keys: list[str], start: tuple, advance: Callable[[tuple, dict], tuple], compose: Callable[[dict, dict], dict],
+    state: dict[str, str], fan: int = FAN,
 ) -> DataFrame:
-    """For each chunk, the state it starts from: ``(keys, chunk, *state)``."""
-    names = list(state)
-    columns = [c for c in summaries.columns if c not in keys]
-
-    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, now = None, start
-        for pdf in batches:
-            rows = []
-            for key, values in zip(zip(*(pdf[k] for k in keys)), zip(*(pdf[c] for c in columns))):
-                if key != current:
-                    current, now = key, start
-                summary = dict(zip(columns, values))
-                rows.append((*key, summary["chunk"], *now))
-                now = advance(now, summary)
-            yield pd.DataFrame(rows, columns=[*keys, "chunk", *names])
+    """For each chunk, the state it starts from: ``(keys, chunk, *state)``.
 
-    schema = f"{fields(summaries, [*keys, 'chunk'])}, " + ", ".join(f"{n} {t}" for n, t in state.items())
-    return summaries.repartition(*keys).sortWithinPartitions(*keys, "chunk").mapInPandas(stream, schema)
+    ``summaries`` has one map per chunk in its other columns. ``advance(state, map)`` applies a map, ``compose(first, then)``
+    gives the map of both.
+    """
+    names, columns = list(state), [c for c in summaries.columns if c not in keys]
+    maps = [c for c in columns if c != "chunk"]
+    key_schema, map_schema = fields(summaries, [*keys, "chunk"]), fields(summaries, maps)
+    state_schema = ", ".join(f"{n} {t}" for n, t in state.items())
+    summaries = settle(summaries)
+
+    def rows_of(pdf: pd.DataFrame) -> list[dict]:
+        return [dict(zip(columns, r)) for r in pdf.sort_values("chunk")[columns].itertuples(index=False, name=None)]
+
+    def stream(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        now = tuple(pdf[f"_in_{n}"].iloc[0] for n in names) if f"_in_{names[0]}" in pdf else start
+        rows = []
+        for row in rows_of(pdf):
+            rows.append((*key[: len(keys)], row["chunk"], *now))
+            now = advance(now, row)
+        return pd.DataFrame(rows, columns=[*keys, "chunk", *names])
+
+    longest = summaries.agg(F.max("chunk")).first()[0] or 0
+    if longest < fan:
+        return summaries.groupBy(*keys).applyInPandas(stream, f"{key_schema}, {state_schema}")
+
+    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        whole = reduce(compose, ({m: row[m] for m in maps} for row in rows_of(pdf)))
+        return pd.DataFrame([(*key, *(whole[m] for m in maps))], columns=[*keys, "chunk", *maps])
+
+    blocks = summaries.withColumn("_block", div(F.col("chunk"), fan))
+    merged = blocks.groupBy(*keys, "_block").applyInPandas(merge, f"{key_schema}, {map_schema}")
+    above = carry_states(merged, keys, start, advance, compose, state, fan)
+    above = above.select(*keys, F.col("chunk").alias("_block"), *[F.col(n).alias(f"_in_{n}") for n in names])
+    return blocks.join(above, [*keys, "_block"]).groupBy(*keys, "_block").applyInPandas(stream, f"{key_schema}, {state_schema}")
 
 
 def chunked_fold(
@@ -56,31 +76,32 @@ def chunked_fold(
     summary: dict[str, str],
     start: tuple,
     advance: Callable[[tuple, dict], tuple],
+    compose: Callable[[dict, dict], dict],
     state: dict[str, str],
     replay: Callable[[pd.DataFrame, tuple], dict[str, list]],
     out: dict[str, str],
     source: DataFrame | None = None,
+    fan: int = FAN,
 ) -> DataFrame:
     """Add the columns ``out`` of a fold over the whole series. Needs ``index_series``.
 
     Only ``columns`` travel to Python. A replayed chunk comes back as one row of arrays and is joined on
-    ``(keys, chunk)``, the partitioning ``df`` already has. ``source`` may name an earlier table with the same rows
-    from which ``columns`` are taken.
+    ``(keys, chunk)``. ``source`` may name an earlier table with the same rows from which ``columns`` are taken.
     """
     part = lay.part
     slim = (source or df).select(*part, "pos", *[c for c in columns if c != "pos"])
     key_schema = fields(slim, part)
 
-    def summarise_chunk(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def summarise_chunk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([{**dict(zip(part, key)), **summarise(pdf.sort_values("pos"))}], columns=[*part, *summary])
 
     summaries = slim.groupBy(*part).applyInPandas(
         summarise_chunk, f"{key_schema}, " + ", ".join(f"{n} {t}" for n, t in summary.items())
     )
-    states = carry_states(summaries, list(lay.keys), start, advance, state)
+    states = carry_states(summaries, list(lay.keys), start, advance, compose, state, fan)
     names = list(state)
 
-    def replay_chunk(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def replay_chunk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         arrays = replay(pdf, tuple(pdf[n].iloc[0] for n in names))
         return pd.DataFrame([{**dict(zip(part, key)), **arrays}], columns=[*part, *out])
@@ -98,7 +119,7 @@ def chunked_fold(
 _NEVER = -(2**62)
 
 
-def chain_select(candidates: DataFrame, keys: list[str]) -> DataFrame:
+def chain_select(candidates: DataFrame, keys: list[str], fan: int = FAN) -> DataFrame:
     """Keep the candidates a greedy walk visits.
 
     Each candidate has a ``chunk``, an ``entry_us`` and a ``resume_us``. The walk takes the first candidate at or
@@ -108,7 +129,7 @@ def chain_select(candidates: DataFrame, keys: list[str]) -> DataFrame:
     part = [*keys, "chunk"]
     part_schema = fields(candidates, part)
 
-    def steps(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def steps(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("entry_us")
         entry, resume = pdf["entry_us"].tolist(), pdf["resume_us"].tolist()
         leave = list(resume)
@@ -124,10 +145,17 @@ def chain_select(candidates: DataFrame, keys: list[str]) -> DataFrame:
         at = bisect_left(list(summary["upto"]), now[0])
         return (int(summary["leave"][at]),) if at < len(summary["upto"]) else now
 
+    def compose(first: dict, then: dict) -> dict:
+        upto, leave = list(first["upto"]), [advance((t,), then)[0] for t in first["leave"]]
+        later = bisect_left(list(then["upto"]), upto[-1] + 1) if upto else 0
+        upto, leave = upto + list(then["upto"])[later:], leave + list(then["leave"])[later:]
+        ends = [i for i in range(len(upto)) if i + 1 == len(upto) or leave[i + 1] != leave[i]]
+        return {"upto": [upto[i] for i in ends], "leave": [leave[i] for i in ends]}
+
     summaries = candidates.select(*part, "entry_us", "resume_us").groupBy(*part).applyInPandas(
         steps, f"{part_schema}, upto array<bigint>, leave array<bigint>"
     )
-    states = carry_states(summaries, keys, (_NEVER,), advance, {"from_us": "bigint"})
+    states = carry_states(summaries, keys, (_NEVER,), advance, compose, {"from_us": "bigint"}, fan)
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("entry_us")

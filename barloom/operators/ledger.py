@@ -180,3 +180,27 @@ def attach_log(bars: DataFrame, log: DataFrame, lay: SeriesLayout = SERIES) -> D
     """Attach a trade log to bars by row position; bars beyond the end of the log get NULL."""
     steps = log.select(*lay.keys, F.col("step").cast("long").alias("pos"), "signals", "trade_type")
     return bars.join(steps, [*lay.keys, "pos"], "left")
+
+
+def trade_log(
+    df: DataFrame, lay: SeriesLayout = SERIES, commission: float = COMMISSION, short_share: float = SHORT_SHARE, initial: float = INITIAL_BALANCE
+) -> DataFrame:
+    """One record per bar: ``step``, ``trade_type``, ``price``, ``commission`` and ``signals``.
+
+    An entry pays the commission of the balance it invests (a reversal that of its new leg), an exit that of what it is worth;
+    the record on the last row costs nothing. Needs the columns of ``hard_stop_positions`` and ``equity_curve``.
+    """
+    own = growth_factor(F.col("closed_side"), F.col("closed_entry"), F.col("price"), commission, short_share)
+    after = F.lit(initial) * F.col("balance_factor")
+    before = F.lit(initial) * F.exp(F.log("balance_factor") - log_factor(own))
+    ratio = F.try_divide(F.col("price"), F.col("closed_entry"))
+    entering, kind = F.lit(commission), F.col("trade_type")
+    paid = (
+        F.when(F.col("pos") == F.col("n_rows") - 1, 0.0)
+        .when(kind.isin("long", "short_reversal"), after * entering)
+        .when(kind.isin("short", "long_reversal"), after * short_share * entering)
+        .when(kind == "long_close", before * (1.0 - commission) * ratio * commission)
+        .when(kind == "short_close", before * short_share * ratio * commission)
+        .otherwise(0.0)
+    )
+    return df.select(*lay.keys, lay.ts, F.col("pos").alias("step"), "trade_type", "price", paid.alias("commission"), "signals")

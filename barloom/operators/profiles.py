@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.operators.crossing import Crossings
 from barloom.operators.folds import fields
 from barloom.operators.positions import HOUR_US
 from barloom.operators.series import SERIES, Indicator, SeriesLayout, chunked_running, epoch_us, finite, from_us, with_halo
@@ -18,12 +21,53 @@ def _corr(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_samp(x, y), F.stddev_samp(F.when(both, x)) * F.stddev_samp(F.when(both, y)))
 
 
+def _gamma_ratio(a: Column) -> Column:
+    """The logarithm of Gamma(a + 1/2) / Gamma(a) for a > 0: its series at a + 16, and sixteen steps back."""
+    x = a + 16.0
+    far = F.log(x) / 2 - 1 / (8 * x) + 1 / (192 * x**3) - 1 / (640 * x**5) + 17 / (14336 * x**7)
+    back = F.aggregate(F.sequence(F.lit(0), F.lit(15)), F.lit(0.0), lambda s, k: s + F.log((a + k + 0.5) / (a + k)))
+    return far - back
+
+
+def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
+    """The continued fraction of the incomplete beta function, each step multiplied on; it has settled after some roots of a + b."""
+    tiny, state = 1e-300, "struct<c:double,d:double,h:double>"
+
+    def safe(v: Column) -> Column:
+        return F.when(F.abs(v) < tiny, tiny).otherwise(v)
+
+    def step(s: Column, term: Column) -> Column:
+        d = 1.0 / safe(1.0 + term * s["d"])
+        c = safe(1.0 + term / s["c"])
+        return F.struct(c.alias("c"), d.alias("d"), (s["h"] * c * d).alias("h")).cast(state)
+
+    def both(s: Column, m: Column) -> Column:
+        m = m.cast("double")
+        s = step(s, m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)))
+        return step(s, -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)))
+
+    first = 1.0 / safe(1.0 - (a + b) * x / (a + 1.0))
+    steps = F.sequence(F.lit(1), (60.0 + 6.0 * F.sqrt(a + b)).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h")).cast(state), both)["h"]
+
+
+def t_tail(t: Column, df: Column) -> Column:
+    """Two-sided p-value of Student's t with ``df`` degrees of freedom; NULL where there are none."""
+    nu = F.when(df > 0, df.cast("double"))
+    a, b, z = nu / 2.0, F.lit(0.5), t * t / nu
+    x, rest = 1.0 / (1.0 + z), z / (1.0 + z)
+    front = F.exp(-a * F.log1p(z) + 0.5 * F.log(rest) + _gamma_ratio(a) - 0.5 * math.log(math.pi))
+    near = x < (a + 1.0) / (a + 2.5)
+    return F.when(t == 0, 1.0).when(near, front * _beta_fraction(a, b, x) / a).otherwise(1.0 - front * _beta_fraction(b, a, rest) / b)
+
+
 def history_correlation(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Correlation of two columns over the whole history, with its count and t statistic."""
+    """Correlation of two columns over the whole history, with its count, t statistic and two-sided p-value."""
     both = F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)
     out = df.groupBy(*keys).agg(F.count(both).alias("n"), _corr(F.col(x), F.col(y)).alias("r"))
     r = F.col("r")
-    return out.withColumn("t", r * F.sqrt(F.try_divide(F.col("n") - 2, 1.0 - r * r)))
+    out = out.withColumn("t", r * F.sqrt(F.try_divide(F.col("n") - 2, 1.0 - r * r)))
+    return out.withColumn("p", t_tail(F.col("t"), F.col("n") - 2))
 
 
 def lead_lag_profile(df: DataFrame, lay: SeriesLayout, max_lag: int = 6) -> DataFrame:
@@ -79,25 +123,24 @@ def first_touch(
     slim = df.select(*lay.keys, "pos", "n_rows", epoch_us(lay.ts).alias("_us"), "close", F.col(entry).alias("_entry"))
     halo = with_halo(slim, lay, after=ahead, size=max(lay.chunk_rows, 3 * ahead))
 
-    def resolve(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def resolve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        us, close = pdf["_us"].to_numpy(), pdf["close"].to_numpy()
-        complete = pdf["pos"].iloc[-1] == pdf["n_rows"].iloc[-1] - 1
-        rows = []
-        for j in np.flatnonzero(pdf["home"].to_numpy() & pdf["_entry"].to_numpy()):
-            due = int(np.searchsorted(us, us[j] + int(limit_hours * HOUR_US)))
-            seen = close[j + 1 : due + 1]
-            hits = (seen >= close[j] * (1 + up)) | (seen <= close[j] * (1 - down))
-            k = j + 1 + int(np.argmax(hits)) if hits.any() else due
-            if k >= len(us):
-                if not complete:
-                    raise ValueError("bars are closer together than bar_seconds; the touch lies outside the halo")
-                rows.append((*key, int(us[j]), close[j], None, None, None))
-                continue
-            touch = "up" if close[k] >= close[j] * (1 + up) else "down" if close[k] <= close[j] * (1 - down) else "time"
-            rows.append((*key, int(us[j]), close[j], int(us[k]), close[k], touch))
-        out = pd.DataFrame(rows, columns=[*lay.part, "_in", "entry_price", "_out", "touch_price", "touch"])
-        return out.astype({"_out": "Int64"})
+        us, close = pdf["_us"].to_numpy(), pdf["close"].to_numpy().astype(float)
+        at = np.flatnonzero(pdf["home"].to_numpy().astype(bool) & pdf["_entry"].to_numpy().astype(bool))
+        top, bottom = close[at] * (1 + up), close[at] * (1 - down)
+        due = np.searchsorted(us, us[at] + int(limit_hours * HOUR_US))
+        above, below = Crossings(close).first(at + 1, top), Crossings(-close).first(at + 1, -bottom)
+        out = np.minimum(np.minimum(above, below), due)
+        none = out >= len(us)
+        if none.any() and pdf["pos"].iloc[-1] != pdf["n_rows"].iloc[-1] - 1:
+            raise ValueError("bars are closer together than bar_seconds; the touch lies outside the halo")
+        out = np.minimum(out, len(us) - 1)
+        touch = np.where(close[out] >= top, "up", np.where(close[out] <= bottom, "down", "time")).astype(object)
+        touch[none] = None
+        left = pd.array(us[out], dtype="Int64")
+        left[none] = pd.NA
+        rows = {"_in": us[at], "entry_price": close[at], "_out": left, "touch_price": np.where(none, np.nan, close[out]), "touch": touch}
+        return pd.DataFrame(rows).assign(**dict(zip(lay.part, key)))[[*lay.part, *rows]]
 
     found = halo.groupBy(*lay.part).applyInPandas(
         resolve, f"{fields(halo, lay.part)}, _in bigint, entry_price double, _out bigint, touch_price double, touch string"

@@ -1,8 +1,8 @@
 """Indicators with unbounded memory: EMA, Kalman level, CUSUM regimes, forward fill.
 
-A first-order linear recurrence is, inside a chunk, one running sum of rescaled terms; what earlier chunks
-contribute is a short decaying sum over one row per chunk. CUSUM composes over chunks in the same way with
-maxima. No pass reads a series in one task.
+A first-order linear recurrence is, inside a chunk, one running sum of rescaled terms; a whole chunk maps the incoming
+value to a multiple of it plus a term, and a CUSUM chunk maps it to a maximum. These maps are composed in blocks of chunks.
+No pass reads a series in one task.
 """
 
 from __future__ import annotations
@@ -17,9 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from barloom.functions.scalar import tri_signal
-from barloom.operators.series import SERIES, SeriesLayout, by_calendar, chunked_running
-
-_NEGLIGIBLE = math.log(1e-19)
+from barloom.operators.series import SERIES, SeriesLayout, by_calendar, chunk_scan, chunked_running
 
 
 @dataclass(frozen=True)
@@ -50,6 +48,16 @@ class Recurrence:
         return F.expr(f"CASE WHEN chunk = 0 THEN {first} ELSE pow({keep!r}D, pos - chunk * {chunk_rows}) END")
 
 
+def affine(first: Column, then: Column) -> Column:
+    """y -> a * y + b, one after the other."""
+    return F.struct((first["a"] * then["a"]).alias("a"), (then["a"] * first["b"] + then["b"]).alias("b"))
+
+
+def floored(first: Column, then: Column) -> Column:
+    """S -> max(b, S + a), one after the other; a chunk with a reset has a = -inf."""
+    return F.struct((first["a"] + then["a"]).alias("a"), F.greatest(then["b"], first["b"] + then["a"]).alias("b"))
+
+
 def linear_scan(
     df: DataFrame, specs: dict[str, Recurrence], lay: SeriesLayout = SERIES, source: DataFrame | None = None
 ) -> DataFrame:
@@ -75,19 +83,15 @@ def linear_scan(
 
     local = in_chunk(df)
     slim = local if source is None else in_chunk(source.select(*lay.part, "pos", *{r.col for r in specs.values()}))
-    ends = slim.groupBy(*lay.part).agg(*[F.max_by(f"_l_{k}", "pos").alias(f"_t_{k}") for k in specs])
-    by_chunk = Window.partitionBy(*lay.keys).orderBy("chunk")
-    carries = []
-    for k, rec in specs.items():
-        rate = lay.chunk_rows * math.log(1.0 - rec.gain)
-        reach = max(1, math.ceil(_NEGLIGIBLE / rate))
-        carries.append(
-            sum(
-                (F.coalesce(F.lag(f"_t_{k}", i).over(by_chunk), F.lit(0.0)) * math.exp(rate * (i - 1)) for i in range(1, reach + 1)),
-                F.lit(0.0),
-            ).alias(f"_c_{k}")
-        )
-    joined = local.join(ends.select(*lay.part, *carries), lay.part)
+    ends = slim.groupBy(*lay.part).agg(F.count(F.lit(1)).alias("_rows"), *[F.max_by(f"_l_{k}", "pos").alias(f"_t_{k}") for k in specs])
+    # a chunk maps the incoming value to a * y + b; the first chunk of a series forgets it
+    def whole_decay(rec: Recurrence) -> Column:
+        return F.when(F.col("chunk") == 0, 0.0).otherwise(F.pow(F.lit(1.0 - rec.gain), F.col("_rows")))
+
+    ends = ends.select(*lay.part, *[F.struct(whole_decay(r).alias("a"), F.col(f"_t_{k}").alias("b")).alias(f"_c_{k}") for k, r in specs.items()])
+    identity = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    carries = chunk_scan(ends, lay, [f"_c_{k}" for k in specs], identity, affine)
+    joined = local.join(carries.withColumns({f"_c_{k}": F.col(f"_c_{k}.b") for k in specs}), lay.part)
     return joined.withColumns(
         {
             k: F.col(f"_l_{k}") + F.when(F.col("chunk") == 0, 0.0).otherwise(F.col(f"_c_{k}") * F.col(f"_e_{k}") * (1.0 - r.gain))
@@ -144,23 +148,16 @@ def cusum(
     df = df.withColumns({f"_b_{s}": F.col(f"_s_{s}") - F.least(F.lit(0.0), F.min(f"_s_{s}").over(since_reset(s))) for s in sums})
     # a chunk maps the incoming S to max(b, S + a); a chunk with a reset forgets the incoming S
     ends = df.groupBy(*lay.part).agg(
-        *[F.max(f"_g_{s}").alias(f"_g_{s}") for s in sums],
-        *[F.max_by(f"_s_{s}", "pos").alias(f"_a_{s}") for s in sums],
-        *[F.max_by(f"_b_{s}", "pos").alias(f"_t_{s}") for s in sums],
-    )
-    by_chunk = Window.partitionBy(*lay.keys).orderBy("chunk")
-    run = by_chunk.rowsBetween(Window.unboundedPreceding, 0)
-
-    def in_group(s: str) -> WindowSpec:
-        return Window.partitionBy(*lay.keys, f"_r_{s}").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
-
-    reset = {s: F.col(f"_g_{s}") > 0 for s in sums}
-    ends = ends.withColumns({f"_r_{s}": F.sum(F.when(reset[s], 1).otherwise(0)).over(run) for s in sums})
-    ends = ends.withColumns({f"_a_{s}": F.sum(F.when(reset[s], 0.0).otherwise(F.col(f"_a_{s}"))).over(in_group(s)) for s in sums})
-    ends = ends.withColumns(
-        {f"_t_{s}": F.col(f"_a_{s}") + F.max(F.col(f"_t_{s}") - F.col(f"_a_{s}")).over(in_group(s)) for s in sums}
+        *[
+            F.struct(
+                F.when(F.max(f"_g_{s}") > 0, F.lit(float("-inf"))).otherwise(F.max_by(f"_s_{s}", "pos")).alias("a"), F.max_by(f"_b_{s}", "pos").alias("b")
+            ).alias(f"_c_{s}")
+            for s in sums
+        ]
     )
-    carries = ends.select(*lay.part, *[F.coalesce(F.lag(f"_t_{s}").over(by_chunk), F.lit(0.0)).alias(f"_c_{s}") for s in sums])
+    identity = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))  # S is never below zero
+    carries = chunk_scan(ends, lay, [f"_c_{s}" for s in sums], identity, floored)
+    carries = carries.withColumns({f"_c_{s}": F.col(f"_c_{s}.b") for s in sums})
     return (
         df.join(carries, lay.part)
         .withColumns(

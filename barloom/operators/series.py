@@ -10,7 +10,7 @@ position, and positions are cut into chunks of ``chunk_rows`` rows. All windows
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from itertools import zip_longest
 
@@ -49,6 +49,8 @@ class SeriesLayout:
 
 SERIES = SeriesLayout()
 TIE = 3.7e-11
+#: Chunks whose maps one row sees when maps are composed.
+FAN = 512
 
 
 def seconds_sql(ts: str) -> str:
@@ -173,9 +175,33 @@ def finite(df: DataFrame, lay: SeriesLayout, *indicators: Indicator) -> DataFram
     return drop_halo(df).drop(*scratch)
 
 
-def chunk_rows_before(lay: SeriesLayout) -> WindowSpec:
-    """Over a one-row-per-chunk table: all earlier chunks of the series."""
-    return Window.partitionBy(*lay.keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+def chunk_scan(
+    ends: DataFrame, lay: SeriesLayout, maps: Sequence[str], identity: Column, combine: Callable[[Column, Column], Column], fan: int = FAN
+) -> DataFrame:
+    """Replace the maps of every chunk by the composition of all maps before it in the series.
+
+    ``ends`` has one row per chunk; each column in ``maps`` is a struct that stands for a map, ``combine(first, then)``
+    composes two and must be associative. Chunks are composed inside blocks of ``fan`` chunks, and the blocks' maps across
+    the series, so no task streams the chunks of a series and nothing is formed by subtracting running values.
+    """
+    identity = identity.cast(ends.schema[maps[0]].dataType)
+    by = [*lay.keys, "_block"]
+    ends = ends.withColumn("_block", div(F.col("chunk"), fan))
+    inside = Window.partitionBy(*by).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*lay.keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+
+    def folded(values: Column) -> Column:
+        return F.aggregate(values, identity, combine)
+
+    def picked(m: str) -> Column:
+        return F.transform("_all", lambda x: x[m])
+
+    listed = F.array_sort(F.collect_list(F.struct("chunk", *maps)))
+    blocks = ends.groupBy(*by).agg(listed.alias("_all"))
+    blocks = blocks.select(*by, *[folded(picked(m)).alias(m) for m in maps])
+    blocks = blocks.select(*by, *[folded(F.collect_list(m).over(before)).alias(f"_before_{m}") for m in maps])
+    chunks = ends.select(*by, "chunk", *[folded(F.collect_list(m).over(inside)).alias(m) for m in maps])
+    return chunks.join(blocks, by).select(*lay.part, *[combine(F.col(f"_before_{m}"), F.col(m)).alias(m) for m in maps])
 
 
 def chunked_running(
@@ -202,8 +228,19 @@ def chunked_running(
 
     here = df.withColumns({f"_x_{k}": e for k, (_, e) in specs.items()})
     totals = here.groupBy(*lay.part).agg(*[whole(kind, F.col(f"_x_{k}")).alias(f"_t_{k}") for k, (kind, _) in specs.items()])
-    carries = totals.select(
-        *lay.part, *[over(kind, F.col(f"_t_{k}"), chunk_rows_before(lay)).alias(f"_c_{k}") for k, (kind, _) in specs.items()]
+    # the chunks of a series are first combined in blocks, so no window holds all of them
+    block = [*lay.keys, "_block"]
+    totals = totals.withColumn("_block", div(F.col("chunk"), FAN))
+    in_block = Window.partitionBy(*block).orderBy("chunk")
+    blocks = totals.groupBy(*block).agg(
+        *[(F.max_by(f"_t_{k}", F.when(F.col(f"_t_{k}").isNotNull(), F.col("chunk"))) if kind == "last" else agg[kind](f"_t_{k}")).alias(f"_b_{k}") for k, (kind, _) in specs.items()]
+    )
+    earlier = Window.partitionBy(*lay.keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*block, *[over(kind, F.col(f"_b_{k}"), earlier).alias(f"_o_{k}") for k, (kind, _) in specs.items()])
+    so_far = in_block.rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*block, "chunk", *[over(kind, F.col(f"_t_{k}"), so_far).alias(f"_i_{k}") for k, (kind, _) in specs.items()])
+    carries = totals.join(blocks, block).select(
+        *lay.part, *[merge[kind](F.col(f"_i_{k}"), F.col(f"_o_{k}")).alias(f"_c_{k}") for k, (kind, _) in specs.items()]
     )
     local = here.withColumns({f"_r_{k}": over(kind, F.col(f"_x_{k}"), lay.running()) for k, (kind, _) in specs.items()})
     return (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 REQUIRED = ("close", "high", "low", "volume")
@@ -31,23 +31,25 @@ def time_range(df: DataFrame, start: str, end: str, ts: str = "ts") -> DataFrame
     return df.filter(F.col(ts).between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
 
 
-def day_slice(df: DataFrame, first_day: str, last_day: str, ts: str = "ts") -> DataFrame:
-    """Rows of the days ``first_day`` to ``last_day``, the last one whole."""
-    end = F.lit(last_day).cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY")
-    return df.filter((F.col(ts) >= F.lit(first_day).cast("timestamp_ntz")) & (F.col(ts) < end))
+def _in_days(ts: str, first_day: str, last_day: str | None) -> Column:
+    """Whether a time is in the days from the first to the last, whole days; without a last day, from the first on."""
+    inside = F.col(ts) >= F.lit(first_day).cast("timestamp_ntz")
+    if last_day is None:
+        return inside
+    return inside & (F.col(ts) < F.lit(last_day).cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY"))
 
 
-def with_split(df: DataFrame, splits: dict[str, tuple[str, str]], ts: str = "ts") -> DataFrame:
+def day_slice(df: DataFrame, first_day: str, last_day: str | None, ts: str = "ts") -> DataFrame:
+    """Rows of the days ``first_day`` to ``last_day``, the last one whole; all later rows without a last day."""
+    return df.filter(_in_days(ts, first_day, last_day))
+
+
+def with_split(df: DataFrame, splits: dict[str, tuple[str, str | None]], ts: str = "ts") -> DataFrame:
     """Name the day slice a row falls in; rows outside all slices are dropped.
 
     Use ``split`` as a series key: the indicators of each slice then start afresh.
     """
-    name = F.lit(None).cast("string")
-    for split, (first_day, last_day) in splits.items():
-        inside = (F.col(ts) >= F.lit(first_day).cast("timestamp_ntz")) & (
-            F.col(ts) < F.lit(last_day).cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY")
-        )
-        name = F.coalesce(name, F.when(inside, split))
+    name = F.coalesce(*[F.when(_in_days(ts, *days), split) for split, days in splits.items()])
     return df.withColumn("split", name).filter("split is not null")
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.scalar import argmax_first, state_index
+from barloom.functions.scalar import PCT_BINS, argmax_first, state_index
 from barloom.operators.ledger import COMMISSION, SHORT_SHARE
-from barloom.operators.positions import BUY, HOLD, SHORT
+from barloom.operators.positions import BUY, COVER, HOLD, SELL, SHORT, hard_stop_positions
 from barloom.operators.series import SERIES, Indicator, SeriesLayout, finite
 
 
@@ -73,3 +73,43 @@ def apply_policy(df: DataFrame, best: DataFrame) -> DataFrame:
     The table has at most one row per state (1,620), so it is broadcast.
     """
     return df.join(F.broadcast(best), "state_index", "left").withColumn("action", F.coalesce("action", F.lit(HOLD)))
+
+
+#: Columns with the action of a row when the position before it is flat, long and short.
+HELD_ACTIONS = ("action_flat", "action_long", "action_short")
+
+
+def held_policy_table(occupied: DataFrame, commission: float = COMMISSION, short_share: float = SHORT_SHARE) -> DataFrame:
+    """Mean one-step reward of each choice in each state and position: ``(state_index, action, q)``.
+
+    ``occupied`` counts states seen flat. The same market met long or short is another state (its position digit), in which
+    staying costs no commission, leaving costs that of one side, and turning that of both.
+    """
+    up, move, down = F.col("mean_return"), -F.col("mean_move"), -F.col("mean_return") * short_share
+    buy, short = F.lit(commission), F.lit(commission * short_share)
+
+    def choice(digit: int, action: int, q: Column) -> Column:
+        return F.struct((F.col("state_index") + digit * PCT_BINS).cast("int").alias("state_index"), F.lit(action).alias("action"), q.alias("q"))
+
+    choices = F.array(
+        choice(0, HOLD, move), choice(0, BUY, up - buy), choice(0, SHORT, down - short),
+        choice(1, HOLD, up), choice(1, SELL, move - buy), choice(1, SHORT, down - buy - short),
+        choice(-1, HOLD, down), choice(-1, COVER, move - short), choice(-1, BUY, up - buy - short),
+    )
+    return occupied.select(F.inline(choices))
+
+
+def policy_held(df: DataFrame, best: DataFrame, lay: SeriesLayout = SERIES) -> DataFrame:
+    """Play a policy whose state holds the position that its own actions lead to.
+
+    Each row's action is looked up for all three positions (``best`` has at most 1,620 rows, so it is broadcast); a row is
+    then a map of positions onto positions, and the fold composes these maps. Adds ``held``, the ``state_index`` met with it,
+    the ``action`` taken and the records of ``hard_stop_positions``. Unknown states hold.
+    """
+    base = F.col("state_index")
+    for digit, name in zip((0, 1, -1), HELD_ACTIONS):
+        table = best.select((F.col("state_index") - digit * PCT_BINS).alias("_state"), F.col("action").alias(name))
+        df = df.join(F.broadcast(table), base == F.col("_state"), "left").drop("_state").withColumn(name, F.coalesce(name, F.lit(HOLD)))
+    played = hard_stop_positions(df, lay, actions=HELD_ACTIONS)
+    taken = F.when(F.col("held") == 1, F.col("action_long")).when(F.col("held") == -1, F.col("action_short")).otherwise(F.col("action_flat"))
+    return played.withColumns({"state_index": (base + F.col("held") * PCT_BINS).cast("int"), "action": taken})

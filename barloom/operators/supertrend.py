@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators.folds import chunked_fold
-from barloom.operators.series import SERIES, SeriesLayout
+from barloom.operators.series import FAN, SERIES, SeriesLayout
 
 _INF = math.inf
 
@@ -100,9 +100,33 @@ def _advance(line: float, trend: int, pieces: list[dict]) -> tuple[float, int]:
     raise ValueError("the pieces do not cover the incoming line")
 
 
+def _after(pieces: list[dict], then: list[dict]) -> list[dict]:
+    """The pieces of two maps, one after the other."""
+    rows = []
+    for trend_in in (1, -1):
+        found: list[tuple] = []
+        for p in (p for p in pieces if p["trend_in"] == trend_in):
+            lo, hi, value = (math.nan if p[k] is None else p[k] for k in ("lo", "hi", "value"))
+            if not p["keep"]:
+                line, trend = _advance(value, int(p["trend"]), then)
+                if lo != lo:
+                    rows.append((trend_in, lo, hi, False, line, trend))
+                else:
+                    found.append((lo, hi, False, line, trend))
+                continue
+            for q in (q for q in then if q["trend_in"] == p["trend"]):
+                a, b, kept = (math.nan if q[k] is None else q[k] for k in ("lo", "hi", "value"))
+                if a == b and lo < a < hi:
+                    found.append((a, b, bool(q["keep"]), kept, int(q["trend"])))
+                elif a < b and max(lo, a) < min(hi, b):
+                    found.append((max(lo, a), min(hi, b), bool(q["keep"]), kept, int(q["trend"])))
+        rows += [(trend_in, *p) for p in _merge(sorted(found, key=lambda p: (p[0], p[1])))]
+    return [dict(zip(("trend_in", "lo", "hi", "keep", "value", "trend"), r)) for r in rows]
+
+
 def supertrend(
     df: DataFrame, lay: SeriesLayout = SERIES, prefixes: tuple[str, ...] = ("",), multiplier: float = 2.5,
-    source: DataFrame | None = None,
+    source: DataFrame | None = None, fan: int = FAN,
 ) -> DataFrame:
     """Add ``{prefix}supertrend`` and ``{prefix}supertrend_direction``; needs ``atr``, ``high``, ``low``, ``close``.
 
@@ -120,6 +144,9 @@ def supertrend(
         after = [_advance(now[2 * i], now[2 * i + 1], summary[f"pieces{p}"]) for i, p in enumerate(prefixes)]
         return tuple(x for state in after for x in state)
 
+    def compose(first: dict, then: dict) -> dict:
+        return {f"pieces{p}": _after(list(first[f"pieces{p}"]), list(then[f"pieces{p}"])) for p in prefixes}
+
     def replay(pdf: pd.DataFrame, state: tuple) -> dict[str, list]:
         out = {}
         for i, p in enumerate(prefixes):
@@ -140,7 +167,7 @@ def supertrend(
     return chunked_fold(
         df, lay, [f"_{c}{p}" for p in prefixes for c in ("close", "lower", "upper")],
         summarise, {f"pieces{p}": piece for p in prefixes},
-        (math.nan, 1) * len(prefixes), advance, states, replay, outputs, ready,
+        (math.nan, 1) * len(prefixes), advance, compose, states, replay, outputs, ready, fan,
     )
 
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from barloom.functions.scalar import null_if_not_finite, pct_bin, rejected, service_field
 from barloom.operators import ledger, profiles, reports, rolling, shape
+from barloom.operators.gaps import gap_recurrences
 from barloom.operators.hurst import rolling_hurst
-from barloom.operators.pairs import PAIRS, pair_join
+from barloom.operators.pairs import PAIRS, pair_asof, pair_join
 from barloom.operators.positions import SWEEP_COOLDOWN_HOURS, HoldRules, narrow_output, sweep_grid, wide_output
 from barloom.operators.recursive import ema_align, ffill, kalman_spec, linear_scan, regimes
 from barloom.operators.series import SERIES, Indicator, finite, select_out
@@ -18,8 +19,9 @@ from barloom.operators.states import apply_policy, greedy_actions, occupancy, po
 from barloom.operators.supertrend import supertrend
 from barloom.plans import strategies as S
 from barloom.session import settle, shared_folder
-from barloom.sources.bars import read_csv_bars, rejected_bars, write_csv
+from barloom.sources.bars import read_csv_bars, read_csv_text_times, read_pair, rejected_bars, usable_bars, write_csv
 from barloom.sources.ticks import event_tick_stream, event_ticks
+from barloom.streaming.indicators import stream_gates, use_rocksdb
 from barloom.streaming.live import closed, drain, stream_bars, stream_positions
 
 KEY = ["symbol", "ts"]
@@ -95,6 +97,12 @@ def split_slice(spark, sf_dir):
     return select_out(finite(df, lay, rolling.sma_cross(lay)), [*KEY, "split", "ma7", "ma14", "ma_signal"])
 
 
+def recurrences_with_gaps(spark, sf_dir):
+    """Means and levels of bars whose price is missing where too little was traded."""
+    df = gap_recurrences(S.indexed(S.thin_bars(S.value_bars(spark, sf_dir), 60.0)))
+    return select_out(df, [*KEY, "close", "ema7", "ema14", "ema28", "ema_signal", "close_filtered"])
+
+
 def train_and_test(spark, sf_dir):
     bars = S.daily_bars(spark, sf_dir)
     train, test = (
@@ -123,6 +131,34 @@ def _pairs(spark, sf_dir):
     return pair_join(S.hourly_bars(spark, sf_dir), S.LEADER)
 
 
+def pair_asof_query(spark, sf_dir):
+    pairs = pair_asof(S.hourly_bars(spark, sf_dir), S.LEADER)
+    return select_out(pairs, [*PAIR_KEY, "leader_ts", *[f"{s}_{c}" for s in ("leader", "follower") for c in OHLCV]])
+
+
+def two_file_pair(spark, sf_dir):
+    """The pair table of two files, one for the leader and one for a follower."""
+    folder, bars = _fresh_folder(spark), S.value_bars(spark, sf_dir).select(*KEY, *OHLCV)
+    for name, symbol in (("leader", S.LEADER), ("follower", "click")):
+        write_csv(bars.filter(F.col("symbol") == symbol), f"{folder}/{name}")
+    pairs = read_pair(spark, f"{folder}/leader", f"{folder}/follower")
+    return select_out(pairs, [*PAIR_KEY, *[f"{s}_{c}" for s in ("leader", "follower") for c in OHLCV]])
+
+
+def csv_text_times(spark, sf_dir):
+    """Bars of a file whose times are text, every 11th of them unreadable, with a leading column of row numbers."""
+    folder = _fresh_folder(spark)
+    bars = S.value_series(spark, sf_dir)
+    text = F.when(F.col("pos") % 11 == 10, "not a time").otherwise(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss"))
+    bars.select(F.col("pos").alias("Unnamed: 0"), "symbol", text.alias("datetime"), *OHLCV).write.option("header", True).csv(folder)
+    read = read_csv_text_times(spark, folder, ["Unnamed: 0", "symbol", "datetime", *OHLCV])
+    return select_out(usable_bars(shape.require_columns(read)), [*KEY, *OHLCV])
+
+
+def blank_signals(spark, sf_dir):
+    return select_out(shape.with_blank_signals(S.value_bars(spark, sf_dir)), [*KEY, "close", "signals", "trade_type"])
+
+
 def rolling_corr(spark, sf_dir):
     df = finite(S.indexed(_pairs(spark, sf_dir), PAIRS), PAIRS, rolling.rolling_corr(PAIRS))
     return select_out(df, [*PAIR_KEY, "correlation"])
@@ -166,6 +202,11 @@ def positions_narrow(spark, sf_dir):
     return select_out(narrow_output(S.lead_lag_positions(S.hourly_bars(spark, sf_dir), hold)), [*PAIR_KEY, *OHLCV, "signals", "trade_type"])
 
 
+def positions_trimmed(spark, sf_dir):
+    df = S.lead_lag_positions(S.hourly_bars(spark, sf_dir), between=("2024-01-09", "2024-01-25"))
+    return select_out(df, [*PAIR_KEY, "pos", "n_rows", "low25", "signals", "trade_type"])
+
+
 def lead_lag_ledger(spark, sf_dir):
     df = S.lead_lag_positions(S.hourly_bars(spark, sf_dir))
     trades = ledger.trade_ledger(df, PAIRS, "follower_close", short_share=1.0)
@@ -198,7 +239,7 @@ def lead_lag_profile(spark, sf_dir):
 
 def history_corr(spark, sf_dir):
     df = profiles.history_correlation(_pairs(spark, sf_dir), ["leader", "follower"], "leader_close", "follower_close")
-    return select_out(df, ["leader", "follower", "n", "r", "t"])
+    return select_out(df, ["leader", "follower", "n", "r", "t", "p"])
 
 
 def column_bounds(spark, sf_dir):
@@ -272,6 +313,11 @@ def sharpe_sortino(spark, sf_dir):
     return select_out(df, ["symbol", "bars", "sharpe", "sortino"])
 
 
+def trade_log(spark, sf_dir):
+    df = ledger.trade_log(ledger.equity_curve(_trades(spark, sf_dir), mark="close"))
+    return select_out(df, [*KEY, "step", "trade_type", "price", "commission", "signals"])
+
+
 def trade_type_counts(spark, sf_dir):
     return reports.trade_type_counts(S.signal_trades(S.daily_bars(spark, sf_dir)), ["symbol"])
 
@@ -322,11 +368,25 @@ def policy_trades(spark, sf_dir):
     return select_out(S.policy_trades(S.daily_bars(spark, sf_dir), S.ORDER_SPLITS), [*KEY, "action", "signals", "trade_type"])
 
 
+def policy_held(spark, sf_dir):
+    df = S.held_policy_trades(S.daily_bars(spark, sf_dir), S.ORDER_SPLITS)
+    return select_out(df, [*KEY, "held", "state_index", "action", "signals", "trade_type"])
+
+
+def first_touch_minutes(spark, sf_dir):
+    """The same barriers on minute bars."""
+    return _touches(S.minute_series(spark, sf_dir), 60)
+
+
 def first_touch(spark, sf_dir):
-    bars = finite(S.hourly_series(spark, sf_dir), SERIES, rolling.sma_cross())
+    return _touches(S.hourly_series(spark, sf_dir), 3600)
+
+
+def _touches(series, bar_seconds):
+    bars = finite(series, SERIES, rolling.sma_cross())
     turned = (F.col("ma_signal") == 1) & (F.lag("ma_signal").over(SERIES.order()) != 1)
     crossed = finite(bars, SERIES, Indicator(({"entry": F.coalesce(turned, F.lit(False))},), 1))
-    df = profiles.first_touch(crossed, SERIES, "entry", 72)
+    df = profiles.first_touch(crossed, SERIES, "entry", 72, bar_seconds=bar_seconds)
     return select_out(df, ["symbol", "entry_ts", "entry_price", "touch_ts", "touch_price", "touch"])
 
 
@@ -347,7 +407,7 @@ def rejected_rows(spark, sf_dir):
 
 
 def csv_round_trip(spark, sf_dir):
-    folder = f"{shared_folder(spark)}/bars-{spark.sparkContext.applicationId}"
+    folder = _fresh_folder(spark)
     write_csv(S.value_bars(spark, sf_dir).select(*KEY, *OHLCV), folder)
     return select_out(read_csv_bars(spark, folder), [*KEY, *OHLCV])
 
@@ -372,17 +432,50 @@ def stream_bars_query(spark, sf_dir):
     return select_out(bars, [*KEY, *OHLCV])
 
 
+def _pair_stream(spark, sf_dir, folder):
+    """The pair bars as a stream of three files; some of the last bars of a file come with the next one only."""
+    pairs = settle(_pairs(spark, sf_dir))
+    hours = F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ '2024-01-01 00:00:00', ts)")
+    part = F.floor(hours / 240.0)
+    late = (F.pmod(hours, F.lit(240)) >= 232) & (F.pmod(hours, F.lit(3)) == 0)
+    dealt = pairs.withColumn("_file", F.least(F.greatest(part + late.cast("int"), F.lit(0)), F.lit(2)))
+    for i in range(3):
+        dealt.filter(F.col("_file") == i).drop("_file").coalesce(1).write.mode("append").parquet(f"{folder}/pairs")
+    stream = spark.readStream.schema(pairs.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/pairs")
+    return closed(stream, pairs, folder, PAIR_KEY[:2])
+
+
+def _streamed(spark, sf_dir, folder):
+    """Gated pair bars, all of whose indicators come from the stream."""
+    use_rocksdb(spark)
+    return drain(stream_gates(_pair_stream(spark, sf_dir, folder), S.LOOSE_RULES, delay="12 hours"), folder)
+
+
+FLAGS = ["tradeable", "enter_long", "enter_short", "exit_long", "exit_short", "vol_exit"]
+
+
+def stream_gates_query(spark, sf_dir):
+    return select_out(_streamed(spark, sf_dir, _fresh_folder(spark)), [*PAIR_KEY, *FLAGS])
+
+
+def stream_indicators_query(spark, sf_dir):
+    names = ["rsi", "atr", "close_filtered", "hurst", "bollinger_middle", "bollinger_upper", "bollinger_lower", "supertrend", "supertrend_direction", "regime"]
+    names += ["ema7", "ema14", "ema28"]
+    df = _streamed(spark, sf_dir, _fresh_folder(spark))
+    return select_out(df, [*PAIR_KEY, *[f"{s}_{c}" for s in ("leader", "follower") for c in names], "correlation", "low25"])
+
+
 def stream_positions_query(spark, sf_dir):
-    gated = S.lead_lag_gates(S.hourly_bars(spark, sf_dir))
-    folder = _fresh_folder(spark)
+    """Positions from a stream of gates, which comes from a stream of pair bars."""
+    gated, folder = _streamed(spark, sf_dir, _fresh_folder(spark)), _fresh_folder(spark)
     gated.write.parquet(f"{folder}/gated")
     source = spark.readStream.schema(gated.schema).parquet(f"{folder}/gated")
-    source = closed(source, spark.read.parquet(f"{folder}/gated"), folder, PAIR_KEY[:2])
+    source = closed(source, gated, folder, PAIR_KEY[:2])
     return select_out(drain(stream_positions(source), folder), [*PAIR_KEY, "close", "signals", "trade_type"])
 
 
 def _fresh_folder(spark) -> str:
-    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/query-{uuid.uuid4().hex}"
 
 
 def queries() -> dict:
@@ -411,16 +504,22 @@ def queries() -> dict:
         "bullish_region": bullish_region,
         "supertrend": supertrend_query,
         "ffill_clean": ffill_clean,
+        "recurrences_with_gaps": recurrences_with_gaps,
+        "csv_text_times": csv_text_times,
+        "two_file_pair": two_file_pair,
+        "blank_signals": blank_signals,
         "split_slice": split_slice,
         "train_and_test": train_and_test,
         "time_range": time_range,
         "single_asset": single_asset,
         "pair_join": pair_join_query,
+        "pair_asof": pair_asof_query,
         "rolling_corr": rolling_corr,
         "pair_indicators": pair_indicators_query,
         "gates": gates_query,
         "positions": positions,
         "positions_narrow": positions_narrow,
+        "positions_trimmed": positions_trimmed,
         "lead_lag_ledger": lead_lag_ledger,
         "lead_lag_sharpe": lead_lag_sharpe,
         "extremes_since_entry": extremes,
@@ -438,6 +537,7 @@ def queries() -> dict:
         "drawdown": drawdown,
         "sharpe_sortino": sharpe_sortino,
         "benchmark_cmp": benchmark_cmp,
+        "trade_log": trade_log,
         "trade_type_counts": trade_type_counts,
         "broke_log": broke_log,
         "attach_log": attach_log,
@@ -447,10 +547,14 @@ def queries() -> dict:
         "policy_table": policy_query,
         "policy_apply": policy_apply,
         "policy_trades": policy_trades,
+        "policy_held": policy_held,
         "first_touch": first_touch,
+        "first_touch_minutes": first_touch_minutes,
         "json_field": json_field,
         "greedy_actions": greedy_actions_query,
         "finite_guard": finite_guard,
         "stream_bars": stream_bars_query,
+        "stream_indicators": stream_indicators_query,
+        "stream_gates": stream_gates_query,
         "stream_positions": stream_positions_query,
     }

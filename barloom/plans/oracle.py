@@ -40,13 +40,14 @@ bars AS MATERIALIZED (
   FROM path GROUP BY symbol, bar_ts)"""
 
 
+MINUTE_BARS = path_bars("events", "event_type", "ts", "event_id", "value", 50.0, 0.012, "minute")
 HOUR_BARS = path_bars("events", "event_type", "ts", "event_id", "value", 50.0, 0.012, "hour")
 DAY_BARS = path_bars("orders", "o_orderpriority", "o_orderdate", "o_orderkey", "o_totalprice", 250000.0, 0.03, "day")
 
 SPLIT_BARS = """
 bars_split AS (
   SELECT *, CASE WHEN ts >= TIMESTAMP '1995-01-01' AND ts < TIMESTAMP '2000-01-01' THEN 'train'
-                 WHEN ts >= TIMESTAMP '2000-01-01' AND ts < TIMESTAMP '2001-08-02' THEN 'test' END AS split
+                 WHEN ts >= TIMESTAMP '2000-01-01' THEN 'test' END AS split
   FROM bars)"""
 
 
@@ -330,7 +331,7 @@ acted AS MATERIALIZED (
                  WHEN aroon_signal = -1 AND ema_signal = -1 THEN 3 ELSE 0 END AS action FROM done)"""
 
 
-def hard_stop(keys: str) -> str:
+def hard_stop(keys: str, action: str = "g.action") -> str:
     """The action-driven machine with its hard stop, one bar at a time; ``played`` holds its records."""
     names = ", ".join("g." + k.strip() for k in keys.split(","))
     cols = ", ".join(k.strip() for k in keys.split(","))
@@ -354,7 +355,7 @@ h AS (
         WHEN action = 2 AND held = 1 THEN 'long_close' WHEN action = 4 AND held = -1 THEN 'short_close'
         WHEN held = 1 AND close <= entry * 0.95::DOUBLE THEN 'long_close'
         WHEN held = -1 AND close >= entry * 1.05::DOUBLE THEN 'short_close' ELSE ' ' END AS tt
-      FROM (SELECT {names}, g.pos, g.n_rows, g.close, g.action, p.held, p.entry, lag_close.close AS last_close
+      FROM (SELECT {names}, g.pos, g.n_rows, g.close, {action} AS action, p.held, p.entry, lag_close.close AS last_close
             FROM h p JOIN acted g ON {on(keys)} AND g.pos = p.pos + 1
             LEFT JOIN acted lag_close ON {on(keys, "lag_close", "g")} AND lag_close.pos = g.pos - 1)))),
 played AS MATERIALIZED (
@@ -443,6 +444,71 @@ policy AS (
 best AS (SELECT state_index, action FROM policy QUALIFY row_number() OVER (PARTITION BY state_index ORDER BY q DESC, action) = 1),
 chosen AS MATERIALIZED (SELECT states.*, coalesce(action, 0)::INT AS action FROM states LEFT JOIN best USING (state_index) WHERE split = 'test')"""
 
+HELD_POLICY = """
+hpolicy AS (
+  SELECT state_index, action, q FROM policy
+  UNION ALL SELECT state_index + 20, 0, mean_return FROM occupied
+  UNION ALL SELECT state_index + 20, 2, -mean_move - 0.0015::DOUBLE FROM occupied
+  UNION ALL SELECT state_index + 20, 3, 0.75::DOUBLE * -mean_return - 0.0015::DOUBLE - 0.75::DOUBLE * 0.0015::DOUBLE FROM occupied
+  UNION ALL SELECT state_index - 20, 0, 0.75::DOUBLE * -mean_return FROM occupied
+  UNION ALL SELECT state_index - 20, 4, -mean_move - 0.75::DOUBLE * 0.0015::DOUBLE FROM occupied
+  UNION ALL SELECT state_index - 20, 1, mean_return - 0.0015::DOUBLE - 0.75::DOUBLE * 0.0015::DOUBLE FROM occupied),
+hbest AS (SELECT state_index, action FROM hpolicy QUALIFY row_number() OVER (PARTITION BY state_index ORDER BY q DESC, action) = 1),
+acted AS MATERIALIZED (
+  SELECT s.*, coalesce(a.action, 0) AS action, coalesce(b.action, 0) AS action_long, coalesce(c.action, 0) AS action_short
+  FROM states s LEFT JOIN hbest a ON a.state_index = s.state_index LEFT JOIN hbest b ON b.state_index = s.state_index + 20
+  LEFT JOIN hbest c ON c.state_index = s.state_index - 20 WHERE split = 'test')"""
+BY_HELD = "CASE {h} WHEN 1 THEN {t}action_long WHEN -1 THEN {t}action_short ELSE {t}action END"
+
+
+def gap_ctes() -> str:
+    """Means and levels over holes, row by row: weights decay and the variance grows on rows without a price."""
+
+    def mean(n: int) -> str:
+        old = f"pow(1 - 2.0::DOUBLE / {n + 1}, p.g + 1)"
+        return f"CASE WHEN t.close IS NULL THEN p.ema{n} WHEN p.ema{n} IS NULL THEN t.close ELSE ({old} * p.ema{n} + 2.0::DOUBLE / {n + 1} * t.close) / ({old} + 2.0::DOUBLE / {n + 1}) END"
+
+    prior = "(p.v + 0.01::DOUBLE)"
+    first = "0.1::DOUBLE / 1.1::DOUBLE"
+    return f"""
+thin AS (SELECT symbol, ts, CASE WHEN volume >= 60 THEN close END AS close FROM bars),
+{ix("thin", "symbol", "tx")},
+gr AS (
+  SELECT symbol, pos, close AS ema7, close AS ema14, close AS ema28, 0::BIGINT AS g, close AS x, {first} AS v FROM tx WHERE pos = 0
+  UNION ALL
+  SELECT t.symbol, t.pos, {mean(7)}, {mean(14)}, {mean(28)}, CASE WHEN t.close IS NULL THEN p.g + 1 ELSE 0 END,
+    CASE WHEN t.close IS NULL THEN p.x WHEN p.x IS NULL THEN t.close ELSE p.x + {prior} / ({prior} + 0.1::DOUBLE) * (t.close - p.x) END,
+    CASE WHEN t.close IS NULL THEN {prior} WHEN p.x IS NULL THEN {first} ELSE (1 - {prior} / ({prior} + 0.1::DOUBLE)) * {prior} END
+  FROM gr p JOIN tx t ON t.symbol = p.symbol AND t.pos = p.pos + 1)"""
+
+
+#: The tail of Student's t for whole degrees of freedom, as a finite sum of powers of a cosine.
+T_TAIL = """
+tt AS (SELECT *, n - 2 AS nu, abs(r * sqrt((n - 2) / (1 - r * r))) AS t FROM c),
+th AS (SELECT *, atan(t / sqrt(nu)) AS a FROM tt),
+terms AS (
+  SELECT leader, follower, nu, a, 1 AS i, CASE WHEN nu % 2 = 0 THEN 1.0::DOUBLE ELSE cos(a) END AS term, CASE WHEN nu = 1 THEN 0.0::DOUBLE WHEN nu % 2 = 0 THEN 1.0::DOUBLE ELSE cos(a) END AS s FROM th
+  UNION ALL
+  SELECT leader, follower, nu, a, i + 1, term * f, s + term * f
+  FROM (SELECT *, cos(a) * cos(a) * CASE WHEN nu % 2 = 0 THEN (2 * i - 1) / (2.0::DOUBLE * i) ELSE 2 * i / (2.0::DOUBLE * i + 1) END AS f FROM terms WHERE i < nu // 2)),
+tails AS (
+  SELECT leader, follower, 1 - CASE WHEN nu % 2 = 0 THEN sin(a) * s ELSE 2 / pi() * (a + sin(a) * s) END AS p
+  FROM terms QUALIFY row_number() OVER (PARTITION BY leader, follower ORDER BY i DESC) = 1)"""
+
+TRIMMED = GATES.replace("\ngated AS", "\ngated_all AS") + f""",
+gated AS MATERIALIZED (
+  SELECT * EXCLUDE (pos, n_rows, low25), row_number() {over(PK)} - 1 AS pos, count(*) OVER (PARTITION BY {PK}) AS n_rows, min(follower_low) {over(PK, 25)} AS low25
+  FROM gated_all WHERE ts >= TIMESTAMP '2024-01-09' AND ts <= TIMESTAMP '2024-01-25')"""
+
+PAIR_EMAS = "".join(
+    [
+        "\npe AS (\n  SELECT leader, follower, pos, ", ", ".join(f"{s}_close AS {s}_ema{n}" for s in ("leader", "follower") for n in (7, 14, 28)), " FROM p13 WHERE pos = 0\n",
+        "  UNION ALL SELECT g.leader, g.follower, g.pos, ",
+        ", ".join(f"p.{s}_ema{n} * (1 - 2.0::DOUBLE / {n + 1}) + g.{s}_close * 2.0::DOUBLE / {n + 1}" for s in ("leader", "follower") for n in (7, 14, 28)),
+        " FROM pe p JOIN p13 g ON p.leader = g.leader AND p.follower = g.follower AND g.pos = p.pos + 1)",
+    ]
+)
+
 K = "symbol, ts"
 KP = "leader, follower, ts"
 
@@ -459,6 +525,23 @@ FROM e GROUP BY symbol HAVING count(*) FILTER (WHERE ts IS NULL OR symbol IS NUL
 """
 
 
+def touches(bars: str) -> str:
+    """First later close beyond a barrier, or the first bar after the limit, of each row where the averages cross upwards."""
+    return q(
+        bars, ix(), ma_ctes("ix", "symbol"),
+        f"""
+flag AS (SELECT *, lag(ma_signal) {over("symbol")} AS was FROM ma),
+entries AS (SELECT symbol, ts AS entry_ts, close AS entry_price FROM flag WHERE ma_signal = 1 AND was <> 1),
+touched AS (
+  SELECT e.*, b.ts AS touch_ts, b.close AS touch_price,
+         CASE WHEN b.close >= entry_price * 1.05::DOUBLE THEN 'up' WHEN b.close <= entry_price * 0.95::DOUBLE THEN 'down' ELSE 'time' END AS touch
+  FROM entries e JOIN bars b ON b.symbol = e.symbol AND b.ts > entry_ts
+   AND (b.close >= entry_price * 1.05::DOUBLE OR b.close <= entry_price * 0.95::DOUBLE OR b.ts >= entry_ts + INTERVAL 72 HOUR)
+  QUALIFY row_number() OVER (PARTITION BY e.symbol, entry_ts ORDER BY b.ts) = 1)""",
+        select=f"SELECT e.symbol, e.entry_ts, {num('e.entry_price', 'entry_price')}, touch_ts, {nums('touch_price')}, touch FROM entries e LEFT JOIN touched USING (symbol, entry_ts)",
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     ma, atr = ma_ctes("bars", "symbol"), atr_ctes("bars", "symbol", "", "a")
     rsi = rsi_ctes("bars", "symbol", "close", "rsi_14", "rs")
@@ -531,6 +614,16 @@ thin AS (SELECT symbol, ts, open, volume, {", ".join(f"CASE WHEN volume >= 60 TH
 filled AS (
   SELECT symbol, ts, open, volume, {", ".join(f"last_value({c} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS {c}" for c in ("high", "low", "close"))} FROM thin)""",
         ),
+        "recurrences_with_gaps": q(
+            VALUE_BARS, gap_ctes(),
+            select=f"SELECT {K}, {nums('close', 'ema7', 'ema14', 'ema28')}, CASE WHEN ema7 > ema14 AND ema14 > ema28 THEN 1 WHEN ema7 < ema14 AND ema14 < ema28 THEN -1 ELSE 0 END AS ema_signal, {num('x', 'close_filtered')} FROM tx JOIN gr USING (symbol, pos)",
+        ),
+        "csv_text_times": simple(VALUE_BARS, f"SELECT {K}, {nums(*OHLCV)} FROM ix WHERE pos % 11 <> 10", ix()),
+        "two_file_pair": simple(
+            VALUE_BARS,
+            f"SELECT l.symbol AS leader, f.symbol AS follower, l.ts, {', '.join(num(f'{s[0]}.{c}', f'{s}_{c}') for s in ('leader', 'follower') for c in OHLCV)} FROM bars l JOIN bars f ON l.ts = f.ts AND l.symbol = 'purchase' AND f.symbol = 'click'",
+        ),
+        "blank_signals": simple(VALUE_BARS, f"SELECT {K}, {nums('close')}, 0 AS signals, ' ' AS trade_type FROM bars"),
         "split_slice": q(
             DAY_BARS, SPLIT_BARS, "\nparted AS (SELECT * FROM bars_split WHERE split IS NOT NULL)", ma_ctes("parted", SK),
             select=f"SELECT {K}, split, {nums('ma7', 'ma14')}, ma_signal FROM ma",
@@ -544,6 +637,10 @@ filled AS (
             select=f"SELECT {K}, split, {nums('close', 'ma7', 'ma14')}, ma_signal, {nums('aroon_up', 'aroon_down')}, aroon_signal, {nums('rsi_14')}, rsi_signal, {nums('returns', 'ema7', 'ema14', 'ema28')}, ema_signal, {nums('pct_change')} FROM done",
         ),
         "pair_join": q(HOUR_BARS, PAIRS, select=f"SELECT {KP}, {nums(*[f'{s}_{c}' for s in ('leader', 'follower') for c in OHLCV])} FROM pairs"),
+        "pair_asof": q(
+            HOUR_BARS,
+            select=f"SELECT l.symbol AS leader, f.symbol AS follower, f.ts, l.ts AS leader_ts, {', '.join(num(f'{s[0]}.{c}', f'{s}_{c}') for s in ('leader', 'follower') for c in OHLCV)} FROM (FROM bars WHERE symbol <> 'purchase') f ASOF JOIN (FROM bars WHERE symbol = 'purchase') l ON f.ts >= l.ts",
+        ),
         "rolling_corr": q(HOUR_BARS, PAIRS, select=f"SELECT {KP}, {num(CORR, 'correlation')} FROM pairs"),
         "pair_indicators": q(
             PAIR_INDICATORS,
@@ -552,6 +649,9 @@ filled AS (
         "gates": q(*pair_gates, select=f"SELECT {KP}, tradeable, enter_long, enter_short, exit_long, exit_short, vol_exit FROM gated"),
         "positions": q(*signalled, select=f"SELECT {KP}, {FOLLOWER}, {nums('leader_rsi')}, leader_regime, signals, trade_type FROM signalled"),
         "positions_narrow": q(*pair_gates, machine(SHORT_GRID), select=f"SELECT {KP}, {FOLLOWER}, signals, trade_type FROM signalled"),
+        "positions_trimmed": q(
+            PAIR_INDICATORS, TRIMMED, machine(DEFAULT_GRID), select=f"SELECT {KP}, pos, n_rows, {nums('low25')}, signals, trade_type FROM signalled"
+        ),
         "lead_lag_ledger": q(
             *signalled, ledger_ctes(PK, "follower_close", "1.0"),
             select=f"SELECT {PK}, trade_id, side, entry_ts, exit_ts, {nums('entry_price', 'exit_price', 'factor', 'hours')} FROM ledger",
@@ -583,7 +683,8 @@ held_rows AS (
         "history_corr": q(
             HOUR_BARS, PAIRS,
             f"\nc AS (SELECT {PK}, count(*) AS n, covar_samp(leader_close, follower_close) / nullif(stddev_samp(leader_close) * stddev_samp(follower_close), 0) AS r FROM pairs GROUP BY {PK})",
-            select=f"SELECT {PK}, n, {nums('r')}, {num('r * sqrt((n - 2) / (1 - r * r))', 't')} FROM c",
+            T_TAIL,
+            select=f"SELECT {PK}, n, {nums('r')}, {num('r * sqrt((n - 2) / (1 - r * r))', 't')}, {nums('p')} FROM c JOIN tails USING ({PK})",
         ),
         "column_bounds": simple(HOUR_BARS, f"SELECT symbol, {num('min(close)', 'close_min')}, {num('max(close)', 'close_max')} FROM bars GROUP BY symbol"),
         "positions_hard_stop": q(PLAYED, select=f"SELECT {K}, {nums('close')}, action, signals, trade_type, {nums('price')} FROM played"),
@@ -623,6 +724,15 @@ held AS (SELECT symbol, (exp(sum(ln(greatest(factor, 1e-300::DOUBLE)))) - 1) * 1
 market AS (SELECT symbol, min(ts) AS first_ts, max(ts) AS last_ts, (last(close ORDER BY ts) / first(close ORDER BY ts) - 1) * 100 AS benchmark_pct FROM bars GROUP BY symbol)""",
             select=f"SELECT symbol, first_ts, last_ts, {nums('profit_pct', 'benchmark_pct')}, CASE WHEN profit_pct > benchmark_pct THEN 'Yes' ELSE 'No' END AS beaten FROM market JOIN held USING (symbol)",
         ),
+        "trade_log": q(
+            EQUITY,
+            """
+paid AS (
+  SELECT *, 1000.0::DOUBLE * balance_factor AS b, 1000.0::DOUBLE * exp(ln(balance_factor) - lf) * price / nullif(was_entry, 0) AS worth FROM eq)""",
+            select=f"SELECT {K}, pos AS step, trade_type, {nums('price')}, {num("""CASE WHEN pos = n_rows - 1 THEN 0.0::DOUBLE WHEN trade_type IN ('long', 'short_reversal') THEN b * 0.0015::DOUBLE
+  WHEN trade_type IN ('short', 'long_reversal') THEN b * 0.75::DOUBLE * 0.0015::DOUBLE WHEN trade_type = 'long_close' THEN (1 - 0.0015::DOUBLE) * worth * 0.0015::DOUBLE
+  WHEN trade_type = 'short_close' THEN 0.75::DOUBLE * worth * 0.0015::DOUBLE ELSE 0.0::DOUBLE END""", 'commission')}, signals FROM paid",
+        ),
         "trade_type_counts": q(PLAYED, select="SELECT symbol, trade_type, count(*) AS records FROM played GROUP BY symbol, trade_type"),
         "broke_log": q(
             EQUITY, BROKE,
@@ -643,19 +753,12 @@ market AS (SELECT symbol, min(ts) AS first_ts, max(ts) AS last_ts, (last(close O
         "policy_trades": q(
             STATES, STEPS, "\nacted AS (SELECT * FROM chosen)", hard_stop(SK), select=f"SELECT {K}, action, signals, trade_type FROM played"
         ),
-        "first_touch": q(
-            HOUR_BARS, ix(), ma_ctes("ix", "symbol"),
-            f"""
-flag AS (SELECT *, lag(ma_signal) {over("symbol")} AS was FROM ma),
-entries AS (SELECT symbol, ts AS entry_ts, close AS entry_price FROM flag WHERE ma_signal = 1 AND was <> 1),
-touched AS (
-  SELECT e.*, b.ts AS touch_ts, b.close AS touch_price,
-         CASE WHEN b.close >= entry_price * 1.05::DOUBLE THEN 'up' WHEN b.close <= entry_price * 0.95::DOUBLE THEN 'down' ELSE 'time' END AS touch
-  FROM entries e JOIN bars b ON b.symbol = e.symbol AND b.ts > entry_ts
-   AND (b.close >= entry_price * 1.05::DOUBLE OR b.close <= entry_price * 0.95::DOUBLE OR b.ts >= entry_ts + INTERVAL 72 HOUR)
-  QUALIFY row_number() OVER (PARTITION BY e.symbol, entry_ts ORDER BY b.ts) = 1)""",
-            select=f"SELECT e.symbol, e.entry_ts, {num('e.entry_price', 'entry_price')}, touch_ts, {nums('touch_price')}, touch FROM entries e LEFT JOIN touched USING (symbol, entry_ts)",
+        "policy_held": q(
+            STATES, STEPS, HELD_POLICY, hard_stop(SK, BY_HELD.format(h="p.held", t="g.")),
+            select=f"SELECT {K}, was AS held, (state_index + 20 * was)::INT AS state_index, {BY_HELD.format(h='was', t='')} AS action, signals, trade_type FROM played",
         ),
+        "first_touch": touches(HOUR_BARS),
+        "first_touch_minutes": touches(MINUTE_BARS),
         "greedy_actions": q(STATES, STEPS, select="SELECT state_index, action FROM best"),
         "finite_guard": simple(
             VALUE_BARS,
@@ -664,6 +767,11 @@ touched AS (
         "stream_bars": simple(
             VALUE_BARS, f"SELECT {K}, {nums(*OHLCV)} FROM bars"
         ),
+        "stream_gates": q(*pair_gates, select=f"SELECT {KP}, tradeable, enter_long, enter_short, exit_long, exit_short, vol_exit FROM gated"),
+        "stream_indicators": q(
+            PAIR_INDICATORS, PAIR_EMAS,
+            select=f"SELECT {KP}, {nums(*[f'{s}_{c}' for s in ('leader', 'follower') for c in [*pair_names, 'ema7', 'ema14', 'ema28']])}, leader_supertrend_direction, follower_supertrend_direction, leader_regime, follower_regime, {nums('correlation', 'low25')} FROM p13 JOIN pe USING ({PK}, pos)",
+        ),
         "stream_positions": q(
             *pair_gates, machine(DEFAULT_GRID, "1000000000"),
             select=f"SELECT {KP}, {num('follower_close', 'close')}, signals, trade_type FROM signalled",

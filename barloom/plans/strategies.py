@@ -7,23 +7,23 @@ from pyspark.sql import functions as F
 
 from barloom.operators import rolling, shape
 from barloom.operators.ledger import equity_curve
-from barloom.operators.pairs import PAIRS, GateRules, gates, pair_indicators, pair_join
+from barloom.operators.pairs import PAIRS, GateRules, gates, pair_indicators, pair_join, trim_series
 from barloom.operators.positions import (
     BUY, COVER, HOLD, SELL, SHORT, HoldRules, hard_stop_positions, position_signals, trade_walk,
 )
 from barloom.operators.recursive import ema_align, ffill
 from barloom.operators.series import SERIES, SeriesLayout, finite, index_series
-from barloom.operators.states import apply_policy, best_actions, occupancy, policy_table, steps, with_state
+from barloom.operators.states import apply_policy, best_actions, held_policy_table, occupancy, policy_held, policy_table, steps, with_state
 from barloom.session import settle
-from barloom.sources.ticks import DAY, event_ticks, order_ticks, path_bars, tick_bars
+from barloom.sources.ticks import DAY, MINUTE, event_ticks, order_ticks, path_bars, tick_bars
 
 # How the given tables become prices: centre of the tick values and size of a bar's log move.
 EVENT_CENTER, EVENT_STEP = 50.0, 0.012
 ORDER_CENTER, ORDER_STEP = 250000.0, 0.03
 LEADER = "purchase"
 SPLIT = SERIES.keyed("symbol", "split")
-# Whole days of each part of the order history.
-ORDER_SPLITS = {"train": ("1995-01-01", "1999-12-31"), "test": ("2000-01-01", "2001-08-01")}
+# Whole days of each part of the order history; the last part has no end.
+ORDER_SPLITS = {"train": ("1995-01-01", "1999-12-31"), "test": ("2000-01-01", None)}
 # Looser than the defaults: the given tables are not market prices.
 LOOSE_RULES = GateRules(corr=0.0, hurst=0.45, rsi_high=55.0, rsi_low=45.0, atr_trade=0.012, atr_stop=0.018)
 
@@ -42,6 +42,11 @@ def hourly_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(path_bars(event_ticks(spark, sf_dir), EVENT_CENTER, EVENT_STEP))
 
 
+def minute_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minute bars of the event price paths, numbered."""
+    return settle(path_bars(event_ticks(spark, sf_dir), EVENT_CENTER, EVENT_STEP, MINUTE))
+
+
 def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unnumbered(path_bars(event_ticks(spark, sf_dir), EVENT_CENTER, EVENT_STEP))
 
@@ -114,18 +119,34 @@ def policy_trades(bars: DataFrame, splits: dict[str, tuple[str, str]]) -> DataFr
     return hard_stop_positions(acted, SPLIT)
 
 
+def held_policy_trades(bars: DataFrame, splits: dict[str, tuple[str, str | None]]) -> DataFrame:
+    """Learn what to do in each state and position on the training part; play the test part with the position that results."""
+    ready = with_state(reindexed(single_asset(shape.with_split(bars, splits), SPLIT), SPLIT))
+    occupied = occupancy(steps(ready.filter("split = 'train'"), SPLIT))
+    return policy_held(ready.filter("split = 'test'"), settle(best_actions(held_policy_table(occupied))), SPLIT)
+
+
 def lead_lag_gates(bars: DataFrame, leader: str = LEADER, rules: GateRules = LOOSE_RULES) -> DataFrame:
     return gates(pair_indicators(pair_join(bars, leader)), rules)
 
 
-def lead_lag_trades(bars: DataFrame, grid: list[HoldRules], leader: str = LEADER, rules: GateRules = LOOSE_RULES):
-    """Gated pair bars and the trades of every parameter set."""
+def lead_lag_trades(
+    bars: DataFrame, grid: list[HoldRules], leader: str = LEADER, rules: GateRules = LOOSE_RULES, between: tuple[str, str] | None = None
+):
+    """Gated pair bars and the trades of every parameter set.
+
+    ``between`` trims the bars after the indicators: they keep their warm-up from before, the positions start at the cut.
+    """
     gated = settle(lead_lag_gates(bars, leader, rules))
+    if between is not None:
+        gated = settle(trim_series(gated, *between))
     return gated, trade_walk(gated, grid)
 
 
-def lead_lag_positions(bars: DataFrame, hold: HoldRules = HoldRules(), leader: str = LEADER, rules: GateRules = LOOSE_RULES) -> DataFrame:
-    gated, trades = lead_lag_trades(bars, [hold], leader, rules)
+def lead_lag_positions(
+    bars: DataFrame, hold: HoldRules = HoldRules(), leader: str = LEADER, rules: GateRules = LOOSE_RULES, between: tuple[str, str] | None = None
+) -> DataFrame:
+    gated, trades = lead_lag_trades(bars, [hold], leader, rules, between)
     return position_signals(gated, trades)
 
 
