@@ -22,7 +22,7 @@ from barloom.session import settle, shared_folder
 from barloom.sources.bars import read_csv_bars, read_csv_text_times, read_pair, rejected_bars, usable_bars, write_csv
 from barloom.sources.ticks import event_tick_stream, event_ticks
 from barloom.streaming.indicators import stream_gates, use_rocksdb
-from barloom.streaming.live import closed, drain, stream_bars, stream_positions
+from barloom.streaming.live import closed, closing_row, drain, stream_bars, stream_positions
 
 KEY = ["symbol", "ts"]
 PAIR_KEY = ["leader", "follower", "ts"]
@@ -441,8 +441,8 @@ def _pair_stream(spark, sf_dir, folder):
     dealt = pairs.withColumn("_file", F.least(F.greatest(part + late.cast("int"), F.lit(0)), F.lit(2)))
     for i in range(3):
         dealt.filter(F.col("_file") == i).drop("_file").coalesce(1).write.mode("append").parquet(f"{folder}/pairs")
-    stream = spark.readStream.schema(pairs.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/pairs")
-    return closed(stream, pairs, folder, PAIR_KEY[:2])
+    closing_row(pairs, PAIR_KEY[:2]).write.mode("append").parquet(f"{folder}/pairs")
+    return spark.readStream.schema(pairs.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/pairs")
 
 
 def _streamed(spark, sf_dir, folder):

@@ -89,11 +89,11 @@ class PairIndicators(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "_us bigint, " + ", ".join(f"{c} double" for c in PRICES))
+        self.waiting = handle.getListState("waiting", "us bigint, " + ", ".join(f"{c} double" for c in PRICES))
         self.held = handle.getValueState("held", "n bigint, rows array<array<double>>, state array<double>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [r for pdf in rows for r in pdf[["_us", *PRICES]].itertuples(index=False, name=None)]
+        new = [r for pdf in rows for r in pdf[["us", *PRICES]].itertuples(index=False, name=None)]
         return self.take(key, new, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -119,7 +119,7 @@ class PairIndicators(StatefulProcessor):
         if np.isnan(new[:, [PRICES.index(f"{s}_close") for s in SIDES]]).any():
             raise ValueError("a close is missing: fill or drop it before the indicators")
         every = np.concatenate([np.array(kept, dtype=float).reshape(-1, len(PRICES)), new])
-        out = {"_us": np.array([r[0] for r in ready]), **{c: new[:, i] for i, c in enumerate(PRICES)}}
+        out = {"us": np.array([r[0] for r in ready]), **{c: new[:, i] for i, c in enumerate(PRICES)}}
         price = {c: every[:, i] for i, c in enumerate(PRICES)}
         states, after = iter(state), []
         for s in SIDES:
@@ -181,7 +181,7 @@ class PairIndicators(StatefulProcessor):
 
 
 def _columns(rules: StreamRules) -> dict[str, str]:
-    out = {"_us": "bigint", **dict.fromkeys(PRICES, "double")}
+    out = {"us": "bigint", **dict.fromkeys(PRICES, "double")}
     for s in SIDES:
         names = ["rsi", "rsi_prev", "atr", "sigma", "bollinger_middle", "bollinger_upper", "bollinger_lower", "hurst", *(f"ema{k}" for k in rules.spans), "close_filtered"]
         out |= {f"{s}_{c}": "double" for c in names} | {f"{s}_regime": "string", f"{s}_supertrend": "double", f"{s}_supertrend_direction": "int"}
@@ -197,13 +197,14 @@ def stream_indicators(pairs: DataFrame, rules: StreamRules = StreamRules(), lay:
     """Every indicator of the lead-lag rules over a stream of pair bars, and exponential means of both sides.
 
     Bars may be late by ``delay``. A bar comes out once the watermark has passed it; a key's bars come out in order. Rows
-    with a NULL key belong to no series. Needs the RocksDB state store (``use_rocksdb``).
+    with a NULL key belong to no series: a last one moves the watermark (``closed``) and never comes out. Needs the RocksDB state store (``use_rocksdb``).
     """
     keys = list(lay.keys)
-    slim = pairs.dropna(subset=keys).withColumn("_at", event_time(lay.ts)).withWatermark("_at", delay).select(*keys, "_at", epoch_us(lay.ts).alias("_us"), *PRICES)
+    # the processor's rows are named tuples, which have no fields with a leading underscore
+    slim = pairs.withColumn("event_at", event_time(lay.ts)).withWatermark("event_at", delay).select(*keys, "event_at", epoch_us(lay.ts).alias("us"), *PRICES)
     schema = f"{fields(slim, keys)}, " + ", ".join(f"`{c}` {t}" for c, t in _columns(rules).items())
     found = slim.groupBy(*keys).transformWithStateInPandas(PairIndicators(keys, rules), schema, "Append", "eventTime")
-    return found.withColumn(lay.ts, from_us("_us")).drop("_us")
+    return found.withColumn(lay.ts, from_us("us")).drop("us")
 
 
 def stream_gates(pairs: DataFrame, rules: GateRules = GateRules(), stream_rules: StreamRules = StreamRules(), lay: SeriesLayout = PAIRS, delay: str = "2 hours") -> DataFrame:

@@ -38,15 +38,23 @@ def stream_bars(ticks: DataFrame, interval: str = "1 hour", delay: str = "2 hour
     )
 
 
+def closing_row(held: DataFrame, keys: Sequence[str], ts: str = "ts", after: str = "2 days") -> DataFrame:
+    """One row that is later than all of ``held``; none if that is empty.
+
+    The row has NULL keys, so it belongs to no series, and nothing is emitted for it. ``after`` must exceed the watermark
+    delay and the bar interval together.
+    """
+    last = held.agg(F.max_by(F.struct(*held.columns), ts).alias("row")).select("row.*").filter(F.col(ts).isNotNull())
+    none = {k: F.lit(None).cast(held.schema[k].dataType) for k in keys}
+    return last.withColumns({**none, ts: F.expr(f"{ts} + INTERVAL {after}")})
+
+
 def closed(stream: DataFrame, held: DataFrame, folder: str, keys: Sequence[str], ts: str = "ts", after: str = "2 days") -> DataFrame:
-    """``stream`` and one more row, later than all it holds, so that the watermark passes every row held now.
+    """``stream`` and its ``closing_row``, so that the watermark passes every row held now.
 
-    ``held`` is the same source as a table. The row has NULL keys, so it belongs to no series, and nothing is emitted for
-    it. ``after`` must exceed the watermark delay and the bar interval together. A source without rows gets none.
+    ``held`` is the same source as a table. The row is read with the first batch, so the stream must take all it holds in one.
     """
-    last = held.select(*stream.columns).agg(F.max_by(F.struct(*stream.columns), ts).alias("row")).select("row.*").filter(F.col(ts).isNotNull())
-    none = {k: F.lit(None).cast(stream.schema[k].dataType) for k in keys}
-    last.withColumns({**none, ts: F.expr(f"{ts} + INTERVAL {after}")}).write.parquet(f"{folder}/end")
+    closing_row(held.select(*stream.columns), keys, ts, after).write.parquet(f"{folder}/end")
     return stream.union(stream.sparkSession.readStream.schema(stream.schema).parquet(f"{folder}/end"))
 
 
