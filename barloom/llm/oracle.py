@@ -21,25 +21,32 @@ grams AS (
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) WHERE n > 1),
 covered AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS k FROM twice) GROUP BY doc_id),
 lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM w),
-dups AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM lines WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n, count(*) AS lines FROM lines WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 m AS (
   SELECT doc_id, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-    coalesce(dups.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+    coalesce(dups.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words, coalesce(lines, 0) AS n_lines
   FROM w LEFT JOIN dups USING (doc_id) LEFT JOIN covered USING (doc_id)),
-b AS (
+x AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-    [n_words < 10, 100 * n_repeat_words > 20 * n_words, n_symbols > n_words, n_dup_lines > 0.3 * n_words] AS broken FROM m),
+    [10.0::DOUBLE / greatest(n_words, 1), CASE WHEN n_repeat_words >= n_words THEN 1e6::DOUBLE ELSE n_repeat_words::DOUBLE / (n_words - n_repeat_words) / (0.2::DOUBLE / (1 - 0.2::DOUBLE)) END,
+     n_symbols::DOUBLE / nullif(n_words, 0) / 0.1::DOUBLE, n_dup_lines::DOUBLE / nullif(n_lines - n_dup_lines, 0) / (0.3::DOUBLE / (1 - 0.3::DOUBLE))] AS excess FROM m),
+b AS (
+  SELECT *, [n_words < 10, 100 * n_repeat_words > 20 * n_words, n_symbols > n_words, n_dup_lines > 0.3 * n_words]
+    || list_transform(excess, lambda e: coalesce(e > 1, FALSE)) AS broken FROM x),
 h AS (
-  SELECT source, r, count(*) AS n, sum(broken[r]::INT) AS f FROM b, (SELECT unnest([1, 2, 3, 4]) AS r) GROUP BY source, r),
+  SELECT source, r, count(*) AS n, sum(broken[r]::INT) AS f FROM b, (SELECT unnest(range(1, 9)) AS r) GROUP BY source, r),
 a AS (SELECT r, sum(n) AS docs, count(*) AS hosts, sum(f) / sum(n) AS mu FROM h GROUP BY r),
 v AS (SELECT r, any_value(mu) AS mu, sum(n * pow(f / n - mu, 2)) / sum(n) - any_value(mu * (1 - mu) * hosts / docs) AS var FROM h JOIN a USING (r) GROUP BY r),
 s AS (SELECT r, mu, least(greatest(mu * (1 - mu) / greatest(var, 1e-12) - 1, 2.0), 1000.0) AS strength FROM v),
-rate AS (SELECT source, list((f + strength * mu) / (n + strength) ORDER BY r) AS rates FROM h JOIN s USING (r) GROUP BY source)
+rate AS (SELECT source, list((f + strength * mu) / (n + strength) ORDER BY r) AS rates FROM h JOIN s USING (r) GROUP BY source),
+odds AS (
+  SELECT b.*, rates, list_transform(range(1, 5), lambda r: CASE WHEN excess[r] > 0 THEN ln((rates[r + 4] + 1e-6) / (1 - rates[r + 4] + 1e-6)) + 4.0::DOUBLE * ln(excess[r]) > 0 END) AS junk
+  FROM b JOIN rate ON b.source IS NOT DISTINCT FROM rate.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT list_max(rates) > 0.5
+  NOT base_failed AND NOT list_max(rates[1:4]) > 0.5 AND NOT coalesce(list_bool_or(junk), FALSE)
   AND NOT ((broken[1] AND rates[1] > 0.2) OR (broken[2] AND rates[2] > 0.2) OR (broken[3] AND rates[3] > 0.2) OR (broken[4] AND rates[4] > 0.2)) AS kept
-FROM b JOIN rate ON b.source IS NOT DISTINCT FROM rate.source
+FROM odds
 """
 
 CHAT = r"""

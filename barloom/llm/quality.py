@@ -150,7 +150,9 @@ def quality_rules(
     Rows stay as they are, repeated ones too; columns of ``df`` with the names of measures are replaced.
     """
     carry = [c for c in (df.columns if carry is None else carry) if c not in MEASURES]
-    measured = stored(measures(df.withColumn("_h", F.col(host)), text, [*carry, "_h"]))
+    own = {c: f"c{i}" for i, c in enumerate(carry)}  # free of clashes with the working columns
+    df = df.select(*[F.col(c).alias(n) for c, n in own.items()], F.col(host).alias("_h"), F.col(text).alias("_text"))
+    measured = stored(measures(df, "_text", [*own.values(), "_h"]))
     rates = stored(host_rates(measured, "_h", _broken() | (_usual() if by_odds else {})))  # its size is then known before the join, so that few hosts don't shuffle the texts
     joined = measured.join(rates, measured["_h"].eqNullSafe(rates["_host"]), "left")
     bad_host = F.greatest(*[F.col(f"rate_{r}") for r in RULES]) > host_rate
@@ -159,7 +161,7 @@ def quality_rules(
         suspect = suspect | (broken & (F.col(f"rate_{r}") > suspect_rate))
     if by_odds:
         suspect = suspect | _likely_junk()
-    return joined.select(*[measured[c] for c in carry], *MEASURES[:-1], (~F.col("base_failed") & ~bad_host & ~suspect).alias("kept"))
+    return joined.select(*[measured[n].alias(c) for c, n in own.items()], *MEASURES[:-1], (~F.col("base_failed") & ~bad_host & ~suspect).alias("kept"))
 
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]

@@ -44,7 +44,7 @@ def op4_simhash(spark, sf_dir):
 
 
 def op5_quality_rules(spark, sf_dir):
-    judged = quality_rules(documents(spark, sf_dir), carry=["doc_id"])
+    judged = quality_rules(documents(spark, sf_dir), carry=["doc_id"], by_odds=True)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
