@@ -28,7 +28,7 @@ from barloom.llm.common import fresh, per_process, slices, whole_text
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Text and bytes of words that go into a slice and a query; bytes of a generation of words.
-SLICE_BYTES, QUERY_BYTES, KEPT_BYTES = 2 << 20, 100_000, 48 << 20
+SLICE_BYTES, QUERY_BYTES, KEPT_BYTES = 4 << 20, 300_000, 96 << 20
 #: Bytes of a word that is encoded in pieces, bytes of a piece, and tokens on each side of a seam to begin with.
 LONG_WORD, PIECE, SEAM = 96, 48, 6
 #: What a kept word takes besides its bytes, about.
@@ -66,11 +66,11 @@ def splitters(pattern: str):
     """The pattern on plain classes for texts within the first plane, and as it is (but for white space) for others."""
     import regex
 
+    plane = "".join(map(chr, range(0x10000)))
+
     def ranges(category: str) -> str:
-        hits = [i for i in range(0x10000) if regex.match(rf"\p{{{category}}}", chr(i))]
-        starts = [i for i in hits if i - 1 not in have] if (have := set(hits)) else []
-        ends = [i for i in hits if i + 1 not in have]
-        return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends, strict=True))
+        runs = (m.span() for m in regex.finditer(rf"\p{{{category}}}+", plane))
+        return "".join(f"\\u{a:04x}-\\u{b - 1:04x}" for a, b in runs)
 
     def without_shorthand(put) -> str:
         classed = pattern.replace("[^\\s\\p{L}\\p{N}]", f"[^{WHITE}{put('L')}{put('N')}]").replace("\\S", f"[^{WHITE}]")
@@ -112,7 +112,7 @@ class Coder:
             self.db.execute(f"CREATE TABLE {name} AS FROM given")
             self.db.unregister("given")
 
-    def encode(self, words: list[bytes]) -> list[list[int]]:
+    def encode(self, words: list[bytes]) -> pa.ListArray:
         """The tokens of each word, none of which is empty."""
         size = np.array([len(w) for w in words])
         at = np.repeat(np.cumsum(size) - size, size)
@@ -125,28 +125,28 @@ class Coder:
             }
         )
         self.db.register("src", src)
-        return self.db.sql(_MERGE).to_arrow_table().column("ids").to_pylist()
+        return self.db.sql(_MERGE).to_arrow_table().column("ids").combine_chunks().cast(pa.list_(pa.int32()))
 
-    def encode_all(self, words: list[bytes]) -> list[list[int]]:
+    def encode_all(self, words: list[bytes]) -> pa.ListArray:
         """As ``encode``, in queries of bounded size."""
-        found, begin, held = [], 0, 0
+        found, begin, held = [pa.array([], pa.list_(pa.int32()))], 0, 0
         for i, word in enumerate(words):
             if held and held + len(word) > QUERY_BYTES:
-                found += self.encode(words[begin:i])
+                found.append(self.encode(words[begin:i]))
                 begin, held = i, 0
             held += len(word)
-        return found + (self.encode(words[begin:]) if begin < len(words) else [])
+        return pa.concat_arrays(found + ([self.encode(words[begin:])] if begin < len(words) else []))
 
     def encode_long(self, word: bytes) -> list[int]:
         """The tokens of a long word, from pieces that are joined two by two."""
-        parts = self.encode_all([word[i : i + PIECE] for i in range(0, len(word), PIECE)])
+        parts = self.encode_all([word[i : i + PIECE] for i in range(0, len(word), PIECE)]).to_pylist()
         while len(parts) > 1:
             joined: dict[int, list[int]] = {}
             open_ = [(i, SEAM) for i in range(0, len(parts) - 1, 2)]
             while open_:
                 near = [b"".join(self.tokens[t] for t in parts[i][-m:] + parts[i + 1][:m]) for i, m in open_]
                 wider = []
-                for (i, m), seam in zip(open_, self.encode_all(near), strict=True):
+                for (i, m), seam in zip(open_, self.encode_all(near).to_pylist(), strict=True):
                     left, right = parts[i], parts[i + 1]
                     if (m >= len(left) or seam[0] == left[-m]) and (m >= len(right) or seam[-1] == right[m - 1]):
                         joined[i] = left[:-m] + seam + right[m:]
@@ -156,10 +156,10 @@ class Coder:
             parts = [joined.get(i, parts[i]) for i in range(0, len(parts), 2)]
         return parts[0]
 
-    def decode(self, lists: list[list[int]]) -> list[bytes]:
-        """The bytes of each list of ids, none of which is empty."""
-        self.db.register("encoded", pa.table({"w": np.arange(len(lists)), "ids": pa.array(lists, pa.list_(pa.int32()))}))
-        return [bytes.fromhex(x) for x in self.db.sql(_DECODE).to_arrow_table().column("bytes").to_pylist()]
+    def decode(self, lists: pa.ListArray) -> list[str]:
+        """The bytes of each list of ids, none of which is empty, as hexadecimal text."""
+        self.db.register("encoded", pa.table({"w": np.arange(len(lists)), "ids": lists}))
+        return self.db.sql(_DECODE).to_arrow_table().column("bytes").to_pylist()
 
     def learn(self, words: set[str]) -> tuple[dict, dict]:
         """Tables in which the words have their encoding (bytes of the ids) and their decoding."""
@@ -178,11 +178,14 @@ class Coder:
                 ids[word], back[word] = token.to_bytes(4, "little"), self.tokens[token]
             self.held += WORD_COST + 3 * len(ids[word])
         short, long = [x for x in rest if len(x[1]) <= LONG_WORD], [x for x in rest if len(x[1]) > LONG_WORD]
-        found = self.encode_all([raw for _, raw in short]) + [self.encode_long(raw) for _, raw in long]
-        for i in range(0, len(found), 10_000):
-            for (word, _), tokens, decoded in zip((short + long)[i : i + 10_000], found[i : i + 10_000], self.decode(found[i : i + 10_000]), strict=True):
-                ids[word], back[word] = np.array(tokens, dtype="<u4").tobytes(), decoded
-                self.held += WORD_COST + len(ids[word]) + 2 * len(decoded)
+        found = pa.concat_arrays([self.encode_all([raw for _, raw in short]), pa.array([self.encode_long(raw) for _, raw in long], pa.list_(pa.int32()))])
+        for begin in range(0, len(found), 20_000):
+            part, some = found.slice(begin, 20_000), (short + long)[begin : begin + 20_000]
+            flat = part.flatten().to_numpy().astype("<u4").tobytes()
+            ends = [0, *np.cumsum(part.value_lengths().to_numpy() * 4).tolist()]
+            for (word, raw), a, b, decoded in zip(some, ends, ends[1:], self.decode(part), strict=False):
+                ids[word], back[word] = flat[a:b], bytes.fromhex(decoded)
+                self.held += WORD_COST + b - a + 2 * len(raw)
         return ids, back
 
 

@@ -62,7 +62,7 @@ def test_words_are_forgotten_without_harm(monkeypatch):
         some = rng.sample(vocabulary, 20)
         ids, back = coder.learn(set(some))
         for w in some:
-            one = [t for x in [w] for t in coder.encode([x.encode()])[0]]
+            one = coder.encode([w.encode()]).to_pylist()[0]
             assert np.frombuffer(ids[w], "<u4").tolist() == one or len(ids[w]) == 4
             assert back[w] == w.encode()
         assert len(coder.young[0]) + len(coder.old[0]) < 80
