@@ -4,7 +4,7 @@ A bounded sample of labelled documents is indexed: postings of exact TF-IDF weig
 for each frequent term its largest weight in each block. A slice of documents is searched at once: the postings of the rarer
 terms are added up; with the block maxima of the frequent terms they bound the cosine in every block; the blocks with the
 highest bounds are scored first, as products of matrices, and then those whose bound is no less than the k-th cosine found.
-So the k nearest examples are exact. They vote, weighted by distance; a logistic curve fitted to the examples' own
+So the k nearest examples are exact, up to single precision. They vote, weighted by distance; a logistic curve fitted to the examples' own
 leave-one-out votes turns the vote into a score.
 
 Terms are all words of the sample and their beginnings of four to six letters. None is dropped: a term's weight is its
@@ -30,9 +30,11 @@ from barloom.llm.common import crc_mod, per_process, slices, stored, whole_text
 
 FOLDS, HELD_OUT = 5, 0
 #: Examples of each label, about; bytes of a text that can be one; neighbours; examples in a block; least association of a term.
-PER_LABEL, EXAMPLE_BYTES, NEIGHBOURS, BLOCK, LEAST = 2000, 1 << 20, 15, 64, 1e-4
+PER_LABEL, EXAMPLE_BYTES, NEIGHBOURS, BLOCK, LEAST = 1000, 1 << 20, 15, 64, 1e-4
 #: Terms with a row of block maxima and weights of all examples; documents searched at once, and blocks scored before the k-th cosine is known.
-FREQUENT, TOGETHER, FIRST_BLOCKS = 768, 256, 6
+FREQUENT, TOGETHER, FIRST_BLOCKS = 1536, 64, 6
+#: Weights of frequent terms are kept in single precision: how much less a bound may be for that.
+SINGLE = 1e-5
 _WORD, KEPT_WORDS = re.compile(r"[^\W\d_]+"), 300_000
 
 
@@ -74,11 +76,12 @@ def term_counts(df: DataFrame, shared, carry: list[str], text: str = "text") ->
     """
     source = df.select(*carry, whole_text(text).alias("_text"))
 
+    mark = uuid.uuid4().hex
+
     def run(batches):
-        terms = {t: i for i, t in enumerate(shared.value.to_pylist())}
-        known: dict[str, int] = {}
+        terms, known = per_process("terms", mark, lambda: ({t: i for i, t in enumerate(shared.value.to_pylist())}, {}))
         for part in slices(batches, "_text", 4 << 20):
-            rows = []
+            cuts, found, times = [0], [], []
             for text in part.column("_text").to_pylist():
                 counts: dict[int, int] = {}
                 for word, n in Counter(_WORD.findall(text.lower())).items():
@@ -88,10 +91,10 @@ def term_counts(df: DataFrame, shared, carry: list[str], text: str = "text") ->
                         t = known[word] = deepest(word, terms)
                     if t >= 0:
                         counts[t] = counts.get(t, 0) + n
-                rows.append(counts)
-            cuts = pa.array(np.cumsum([0] + [len(c) for c in rows]), pa.int32())
-            flat = [np.fromiter((x for c in rows for x in part_of(c)), dtype=np.int32) for part_of in (dict.keys, dict.values)]
-            columns = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in flat]
+                found += counts
+                times += counts.values()
+                cuts.append(len(found))
+            columns = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.array(x, dtype=np.int32))) for x in (found, times)]
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carry], *columns], names=[*carry, "terms", "counts"])
 
     schema = StructType(source.schema.fields[:-1]).add("terms", ArrayType(IntegerType())).add("counts", ArrayType(IntegerType()))
@@ -181,10 +184,10 @@ class ExampleIndex:
         self.column = np.full(len(sizes), -1)
         self.column[chosen] = np.arange(len(chosen))
         self.blocks = -(-len(self.ids) // self.block)
-        self.dense = np.zeros((self.blocks * self.block, len(chosen)))
+        self.dense = np.zeros((self.blocks * self.block, len(chosen)), dtype=np.float32)
         rows = _ranges(self.starts[chosen], self.starts[chosen + 1])
         self.dense[self.places[rows], np.repeat(np.arange(len(chosen)), sizes[chosen])] = self.values[rows]
-        self.most = self.dense.reshape(self.blocks, self.block, len(chosen)).max(axis=1) if self.blocks else np.zeros((0, len(chosen)))
+        self.most = self.dense.reshape(self.blocks, self.block, len(chosen)).max(axis=1) if self.blocks else np.zeros((0, len(chosen)), dtype=np.float32)
 
     def given(self) -> dict:
         """What makes the same index again."""
@@ -211,7 +214,7 @@ class ExampleIndex:
         at = _ranges(start, end)
         cells = np.repeat(row[rare], end - start) * width + self.places[at]
         known = np.bincount(cells, np.repeat(weight[rare], end - start) * self.values[at], minlength=n * width).reshape(n, width)
-        often = np.zeros((n, self.dense.shape[1]))
+        often = np.zeros((n, self.dense.shape[1]), dtype=np.float32)
         often[row[~rare], self.column[term[~rare]]] = weight[~rare]
         bounds = often @ self.most.T + known.reshape(n, self.blocks, self.block).max(axis=2)
         cosines = np.zeros((n, width))
@@ -229,7 +232,7 @@ class ExampleIndex:
         np.put_along_axis(wanted, np.argpartition(-bounds, first - 1, axis=1)[:, :first], True, axis=1)
         visit(wanted)
         kth = np.partition(cosines, width - min(k, width), axis=1)[:, width - min(k, width)]
-        visit(~wanted & (bounds > 0) & (bounds >= kth[:, None] - 1e-12))
+        visit(~wanted & (bounds > 0) & (bounds >= kth[:, None] - SINGLE))
         kth = np.partition(cosines, width - min(k, width), axis=1)[:, width - min(k, width)]
         found = []
         for i in range(n):
@@ -249,26 +252,35 @@ class ExampleIndex:
 def build_index(
     rows: list[tuple], idf: np.ndarray, block: int = BLOCK, k: int = NEIGHBOURS, prior: float = 0.0, frequent: int = FREQUENT
 ) -> ExampleIndex:
-    """rows: (doc_id, label, terms, counts). Examples with the same strongest term are put side by side, so blocks differ."""
-    vectors = []
-    for doc_id, label, terms, counts in rows:
-        if len(terms):
-            t, c = np.asarray(terms), np.asarray(counts, dtype=float)
-            w = (1.0 + np.log(c)) * idf[t]
-            vectors.append((int(t[w.argmax()]), label, doc_id, t, w / np.sqrt((w * w).sum())))
-    vectors.sort(key=lambda v: (v[0], v[1], v[2]))
-    t = np.concatenate([v[3] for v in vectors]) if vectors else np.zeros(0, dtype=np.int64)
-    sizes = [len(v[3]) for v in vectors]
-    places = np.repeat(np.arange(len(vectors)), sizes)
-    values = np.concatenate([v[4] for v in vectors]) if vectors else np.zeros(0)
-    order = np.lexsort((places, t))
-    starts = np.searchsorted(t[order], np.arange(len(idf) + 1))
-    labels = np.array([v[1] for v in vectors], dtype=float)
-    index = ExampleIndex([v[2] for v in vectors], labels, idf, places[order].astype(np.int32), values[order], starts, block, prior=prior, frequent=frequent)
-    votes, cuts = [], np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
-    for at in range(0, len(vectors), TOGETHER):
-        n, own = min(TOGETHER, len(vectors) - at), slice(cuts[at], cuts[min(at + TOGETHER, len(vectors))])
-        votes += [index.vote(*x) for x in index.nearest(n, places[own] - at, t[own], values[own], k, skip=np.arange(at, at + n))]
+    """rows: (doc_id, label, terms, counts)."""
+    sizes = [len(r[2]) for r in rows]
+    flat = [np.concatenate([np.zeros(0, dtype=np.int64), *[np.asarray(r[c], dtype=np.int64) for r in rows]]) for c in (2, 3)]
+    return index_of([r[0] for r in rows], np.array([r[1] for r in rows], dtype=float), np.repeat(np.arange(len(rows)), sizes), *flat, idf, block, k, prior, frequent)
+
+
+def index_of(
+    ids: list, labels: np.ndarray, row: np.ndarray, term: np.ndarray, count: np.ndarray, idf: np.ndarray, block: int = BLOCK, k: int = NEIGHBOURS,
+    prior: float = 0.0, frequent: int = FREQUENT,
+) -> ExampleIndex:
+    """The index of examples, given by their entries. Examples with the same strongest term are put side by side, so blocks differ."""
+    w = (1.0 + np.log(count)) * idf[term]
+    by_weight = np.lexsort((term, -w, row))
+    held, first = np.unique(row[by_weight], return_index=True)  # examples without terms are left out
+    strongest = term[by_weight][first]
+    order = sorted(range(len(held)), key=lambda i: (strongest[i], labels[held[i]], ids[held[i]]))
+    place_of = np.full(len(ids), -1)
+    place_of[held[order]] = np.arange(len(held))
+    places, values = place_of[row].astype(np.int32), w / np.sqrt(np.bincount(row, w * w, minlength=len(ids)))[row]
+    by_term = np.lexsort((places, term))
+    starts = np.searchsorted(term[by_term], np.arange(len(idf) + 1))
+    ids, labels = [ids[i] for i in held[order]], labels[held[order]]
+    index = ExampleIndex(ids, labels, idf, places[by_term], values[by_term], starts, block, prior=prior, frequent=frequent)
+    by_place = np.argsort(places, kind="stable")
+    cuts, votes = np.searchsorted(places[by_place], np.arange(len(ids) + 1)), []
+    for at in range(0, len(ids), TOGETHER):
+        n = min(TOGETHER, len(ids) - at)
+        own = by_place[cuts[at] : cuts[at + n]]
+        votes += [index.vote(*x) for x in index.nearest(n, places[own] - at, term[own], values[own], k, skip=np.arange(at, at + n))]
     index.curve = fit_curve(np.array(votes), labels)
     return index
 
@@ -307,13 +319,14 @@ def toxicity(
     idf = np.full(max(len(association), 1), np.log(1.0 + n_docs) + 1.0)
     idf[df_rows.column("t").to_numpy()] = np.log((1.0 + n_docs) / (1.0 + df_rows.column("n").to_numpy())) + 1.0
     idf[: len(association)] *= association + LEAST
-    toxic = F.avg((F.col("toxic") > 0).cast("double"))
-    share = labels.filter(crc_mod("doc_id", FOLDS) != HELD_OUT).agg(toxic.alias("p")).collect()[0]["p"] or 0.0
-    rows = []
-    for i, y, t, c in sorted(tuple(r) for r in term_counts(sample, shared, ["doc_id", "toxic"]).collect()):
-        _, every, times = spread(np.zeros(len(t), dtype=np.int64), np.array(t, dtype=np.int64), np.array(c), parent)
-        rows.append((i, y, every, times))
-    mark, given = uuid.uuid4().hex, sc.broadcast(build_index(rows, idf, block, k, min(share, 0.49)).given())  # the sample bounds it
+    share = labels.filter(crc_mod("doc_id", FOLDS) != HELD_OUT).agg(F.avg((F.col("toxic") > 0).cast("double")).alias("p")).collect()[0]["p"] or 0.0
+    examples = term_counts(sample, shared, ["doc_id", "toxic"]).toArrow().sort_by("doc_id").combine_chunks()
+    entries = [spread(*_listed(part), parent) for part in examples.to_batches(max_chunksize=TOGETHER)]
+    row = np.concatenate([np.zeros(0, dtype=np.int64), *[e[0] + i * TOGETHER for i, e in enumerate(entries)]])
+    term, times = (np.concatenate([np.zeros(0, dtype=np.int64), *[e[j] for e in entries]]) for j in (1, 2))
+    ids, toxic = examples.column("doc_id").to_pylist(), examples.column("toxic").to_numpy().astype(float)
+    del examples, entries
+    mark, given = uuid.uuid4().hex, sc.broadcast(index_of(ids, toxic, row, term, times, idf, block, k, min(share, 0.49)).given())  # the sample bounds it
     shown = pa.list_(pa.struct([("doc_id", to_arrow_type(id_type)), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def run(batches):
