@@ -30,9 +30,9 @@ from barloom.llm.common import crc_mod, per_process, slices, stored, whole_text
 
 FOLDS, HELD_OUT = 5, 0
 #: Examples of each label, about; bytes of a text that can be one; neighbours; examples in a block; least association of a term.
-PER_LABEL, EXAMPLE_BYTES, NEIGHBOURS, BLOCK, LEAST = 1000, 1 << 20, 15, 64, 1e-4
+PER_LABEL, EXAMPLE_BYTES, NEIGHBOURS, BLOCK, LEAST = 2000, 1 << 20, 15, 64, 1e-4
 #: Terms with a row of block maxima and weights of all examples; documents searched at once, and blocks scored before the k-th cosine is known.
-FREQUENT, TOGETHER, FIRST_BLOCKS = 1536, 64, 6
+FREQUENT, TOGETHER, FIRST_BLOCKS = 2048, 64, 6
 #: Weights of frequent terms are kept in single precision: how much less a bound may be for that.
 SINGLE = 1e-5
 _WORD, KEPT_WORDS = re.compile(r"[^\W\d_]+"), 300_000
@@ -162,7 +162,11 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 @dataclass
 class ExampleIndex:
-    """Postings sorted by term and example. Plain arrays: tasks get its fields, not the object."""
+    """Postings sorted by term and example. Plain arrays: tasks get its fields, not the object.
+
+    A term that is in the same examples, as often, as the next one of its chain has the same postings but for a factor. Only
+    the ``head`` of such terms has postings; ``share`` is the factor by which the weight of a term counts there.
+    """
 
     ids: list
     labels: np.ndarray
@@ -170,6 +174,8 @@ class ExampleIndex:
     places: np.ndarray
     values: np.ndarray
     starts: np.ndarray
+    head: np.ndarray
+    share: np.ndarray
     block: int
     curve: tuple[float, float] = (6.0, -3.0)
     prior: float = 0.0
@@ -191,13 +197,13 @@ class ExampleIndex:
 
     def given(self) -> dict:
         """What makes the same index again."""
-        names = ("ids", "labels", "idf", "places", "values", "starts", "block", "curve", "prior", "frequent")
+        names = ("ids", "labels", "idf", "places", "values", "starts", "head", "share", "block", "curve", "prior", "frequent")
         return {n: getattr(self, n) for n in names}
 
     @property
     def postings(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each term: its examples and their weights."""
-        return [(self.places[a:b], self.values[a:b]) for a, b in zip(self.starts, self.starts[1:], strict=False)]
+        return [(self.places[a:b], self.values[a:b] * x) for a, b, x in zip(self.starts[self.head], self.starts[self.head + 1], self.share, strict=True)]
 
     def weights(self, row: np.ndarray, term: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Unit vectors of the rows."""
@@ -209,6 +215,8 @@ class ExampleIndex:
         width = self.blocks * self.block
         if not width or not len(row):
             return [(np.zeros(0, dtype=np.int64), np.zeros(0))] * n
+        keys, at = np.unique(row * len(self.head) + self.head[term], return_inverse=True)
+        row, term, weight = keys // len(self.head), keys % len(self.head), np.bincount(at, weight * self.share[term])
         rare = self.column[term] < 0
         start, end = self.starts[term[rare]], self.starts[term[rare] + 1]
         at = _ranges(start, end)
@@ -255,14 +263,15 @@ def build_index(
     """rows: (doc_id, label, terms, counts)."""
     sizes = [len(r[2]) for r in rows]
     flat = [np.concatenate([np.zeros(0, dtype=np.int64), *[np.asarray(r[c], dtype=np.int64) for r in rows]]) for c in (2, 3)]
-    return index_of([r[0] for r in rows], np.array([r[1] for r in rows], dtype=float), np.repeat(np.arange(len(rows)), sizes), *flat, idf, block, k, prior, frequent)
+    alone = np.full(len(idf), -1)
+    return index_of([r[0] for r in rows], np.array([r[1] for r in rows], dtype=float), np.repeat(np.arange(len(rows)), sizes), *flat, idf, alone, block, k, prior, frequent)
 
 
 def index_of(
-    ids: list, labels: np.ndarray, row: np.ndarray, term: np.ndarray, count: np.ndarray, idf: np.ndarray, block: int = BLOCK, k: int = NEIGHBOURS,
-    prior: float = 0.0, frequent: int = FREQUENT,
+    ids: list, labels: np.ndarray, row: np.ndarray, term: np.ndarray, count: np.ndarray, idf: np.ndarray, parent: np.ndarray, block: int = BLOCK,
+    k: int = NEIGHBOURS, prior: float = 0.0, frequent: int = FREQUENT,
 ) -> ExampleIndex:
-    """The index of examples, given by their entries. Examples with the same strongest term are put side by side, so blocks differ."""
+    """The index of examples, given by their entries; ``parent`` is the next term of each one's chain, or -1. Examples with the same strongest term are put side by side, so blocks differ."""
     w = (1.0 + np.log(count)) * idf[term]
     by_weight = np.lexsort((term, -w, row))
     held, first = np.unique(row[by_weight], return_index=True)  # examples without terms are left out
@@ -271,10 +280,20 @@ def index_of(
     place_of = np.full(len(ids), -1)
     place_of[held[order]] = np.arange(len(held))
     places, values = place_of[row].astype(np.int32), w / np.sqrt(np.bincount(row, w * w, minlength=len(ids)))[row]
-    by_term = np.lexsort((places, term))
+    # a term is never in more examples nor more often than the next of its chain; where it is as often, both are always together
+    examples, times = np.bincount(term, minlength=len(idf)), np.bincount(term, count, minlength=len(idf))
+    alike = np.flatnonzero((parent >= 0) & (examples > 0))
+    alike = alike[(examples[alike] == examples[parent[alike]]) & (times[alike] == times[parent[alike]])]
+    head = np.arange(len(idf))
+    head[parent[alike]] = alike
+    while (head[head] != head).any():
+        head = head[head]
+    share = idf / idf[head]
+    held_postings = head[term] == term
+    by_term = np.flatnonzero(held_postings)[np.lexsort((places[held_postings], term[held_postings]))]
     starts = np.searchsorted(term[by_term], np.arange(len(idf) + 1))
     ids, labels = [ids[i] for i in held[order]], labels[held[order]]
-    index = ExampleIndex(ids, labels, idf, places[by_term], values[by_term], starts, block, prior=prior, frequent=frequent)
+    index = ExampleIndex(ids, labels, idf, places[by_term], values[by_term], starts, head, share, block, prior=prior, frequent=frequent)
     by_place = np.argsort(places, kind="stable")
     cuts, votes = np.searchsorted(places[by_place], np.arange(len(ids) + 1)), []
     for at in range(0, len(ids), TOGETHER):
@@ -316,6 +335,7 @@ def toxicity(
     all_counts = stored(term_counts(docs.withColumn("held_out", crc_mod("doc_id", FOLDS) == HELD_OUT), shared, ["doc_id", "held_out"]))
     n_docs = all_counts.count()
     df_rows = document_frequencies(all_counts, parents).toArrow()  # a row per term
+    parent = parent if len(parent) else np.full(1, -1)
     idf = np.full(max(len(association), 1), np.log(1.0 + n_docs) + 1.0)
     idf[df_rows.column("t").to_numpy()] = np.log((1.0 + n_docs) / (1.0 + df_rows.column("n").to_numpy())) + 1.0
     idf[: len(association)] *= association + LEAST
@@ -326,7 +346,7 @@ def toxicity(
     term, times = (np.concatenate([np.zeros(0, dtype=np.int64), *[e[j] for e in entries]]) for j in (1, 2))
     ids, toxic = examples.column("doc_id").to_pylist(), examples.column("toxic").to_numpy().astype(float)
     del examples, entries
-    mark, given = uuid.uuid4().hex, sc.broadcast(index_of(ids, toxic, row, term, times, idf, block, k, min(share, 0.49)).given())  # the sample bounds it
+    mark, given = uuid.uuid4().hex, sc.broadcast(index_of(ids, toxic, row, term, times, idf, parent, block, k, min(share, 0.49)).given())  # the sample bounds it
     shown = pa.list_(pa.struct([("doc_id", to_arrow_type(id_type)), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def run(batches):
