@@ -20,8 +20,8 @@ from barloom.llm.common import stored, whole_text
 WEIGHTS, MAX_COPIES, SEED = (5, 2, 1), 3, 17
 #: Most patterns the driver takes (a row of a few numbers each).
 MAX_PATTERNS = 100_000
-#: Documents of one sorted range of a pattern, about.
-RANGE_DOCS = 2000
+#: Documents of one sorted range of a pattern, about; ranges that are summed up together.
+RANGE_DOCS, RANGES = 2000, 32
 
 
 def code_point_order(sources) -> list:
@@ -155,8 +155,13 @@ def mix_sources(
     in_range = F.least(F.floor((F.col("_at.h") / 2.0**64 + 0.5) * ranges), F.lit(ranges - 1)).cast("long")
     slim = slim.withColumn("_range", in_range)
     rest = table([(p, part) for p, (_, part) in whole.items()], "_pattern string, _rest long")
-    running = Window.partitionBy("_pattern").orderBy("_range")
-    held = slim.groupBy("_pattern", "_range").agg(F.sum("_size").alias("_held")).withColumn("_to", F.sum("_held").over(running))
+    # running sums over a pattern's ranges in two levels: a large source has too many ranges for one task
+    held = slim.groupBy("_pattern", "_range").agg(F.sum("_size").alias("_held")).withColumn("_many", F.floor(F.col("_range") / float(RANGES)))
+    many = held.groupBy("_pattern", "_many").agg(F.sum("_held").alias("_all"))
+    earlier = Window.partitionBy("_pattern").orderBy("_many").rowsBetween(Window.unboundedPreceding, -1)
+    many = many.select("_pattern", "_many", F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_before"))
+    inside_many = F.sum("_held").over(Window.partitionBy("_pattern", "_many").orderBy("_range"))
+    held = held.withColumn("_to", inside_many).join(many, ["_pattern", "_many"]).withColumn("_to", F.col("_to") + F.col("_before"))
     edge = held.join(rest, "_pattern").filter((F.col("_to") > F.col("_rest")) & (F.col("_to") - F.col("_held") <= F.col("_rest")))
     edges = [(e["_pattern"], e["_range"], e["_rest"] - e["_to"] + e["_held"]) for e in edge.collect()]
     inside = slim.join(table(edges, "_pattern string, _range long, _left long"), ["_pattern", "_range"])
