@@ -18,7 +18,7 @@ from barloom.operators.series import SERIES, Indicator, finite, select_out
 from barloom.operators.states import apply_policy, greedy_actions, occupancy, policy_table, steps, transitions, with_state
 from barloom.operators.supertrend import supertrend
 from barloom.plans import strategies as S
-from barloom.session import settle, shared_folder
+from barloom.session import settle, shared_folder, until_exit
 from barloom.sources.bars import read_csv_bars, read_csv_text_times, read_pair, rejected_bars, usable_bars, write_csv
 from barloom.sources.ticks import event_tick_stream, event_ticks
 from barloom.streaming.indicators import stream_gates, use_rocksdb
@@ -147,7 +147,7 @@ def two_file_pair(spark, sf_dir):
 
 def csv_text_times(spark, sf_dir):
     """Bars of a file whose times are text, every 11th of them unreadable, with a leading column of row numbers."""
-    folder = _fresh_folder(spark)
+    folder = f"{_fresh_folder(spark)}/bars"
     bars = S.value_series(spark, sf_dir)
     text = F.when(F.col("pos") % 11 == 10, "not a time").otherwise(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss"))
     bars.select(F.col("pos").alias("Unnamed: 0"), "symbol", text.alias("datetime"), *OHLCV).write.option("header", True).csv(folder)
@@ -475,7 +475,7 @@ def stream_positions_query(spark, sf_dir):
 
 
 def _fresh_folder(spark) -> str:
-    return f"{shared_folder(spark)}/query-{uuid.uuid4().hex}"
+    return until_exit(spark, f"{shared_folder(spark)}/query-{uuid.uuid4().hex}")
 
 
 def queries() -> dict:

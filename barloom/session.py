@@ -40,6 +40,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def until_exit(spark: SparkSession, folder: str) -> str:
+    """Have ``folder`` (made if need be) deleted when the application ends: for tables that only its own queries read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and continue from there.
 
