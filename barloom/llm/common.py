@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.session import shared_folder
+from barloom.session import shared_folder, until_exit
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The white space that separates words: space and \t \n \v \f \r.
@@ -19,10 +19,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the hand-over between passes, which lost executors don't undo."""
+    """Write ``df`` to the shared folder and read it back: the hand-over between passes, which lost executors don't undo.
+
+    The table goes when the application ends."""
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
     df.write.parquet(folder)
+    until_exit(spark, folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
