@@ -273,13 +273,17 @@ def index_of(
 ) -> ExampleIndex:
     """The index of examples, given by their entries; ``parent`` is the next term of each one's chain, or -1. Examples with the same strongest term are put side by side, so blocks differ."""
     w = (1.0 + np.log(count)) * idf[term]
-    by_weight = np.lexsort((term, -w, row))
-    held, first = np.unique(row[by_weight], return_index=True)  # examples without terms are left out
-    strongest = term[by_weight][first]
+    w /= np.sqrt(np.bincount(row, w * w, minlength=len(ids)))[row]
+    held, first = np.unique(row, return_index=True)  # rows are in order; examples without terms are left out
+    at_most = np.zeros(len(ids))
+    at_most[held] = np.maximum.reduceat(w, first) if len(first) else 0.0
+    strong = np.flatnonzero(w == at_most[row])
+    strongest = term[strong[np.unique(row[strong], return_index=True)[1]]]  # the first of equals
     order = sorted(range(len(held)), key=lambda i: (strongest[i], labels[held[i]], ids[held[i]]))
-    place_of = np.full(len(ids), -1)
+    place_of = np.full(len(ids), -1, dtype=np.int32)
     place_of[held[order]] = np.arange(len(held))
-    places, values = place_of[row].astype(np.int32), w / np.sqrt(np.bincount(row, w * w, minlength=len(ids)))[row]
+    places, values = place_of[row], w.astype(np.float32)
+    del w, strong
     # a term is never in more examples nor more often than the next of its chain; where it is as often, both are always together
     examples, times = np.bincount(term, minlength=len(idf)), np.bincount(term, count, minlength=len(idf))
     alike = np.flatnonzero((parent >= 0) & (examples > 0))
@@ -290,7 +294,9 @@ def index_of(
         head = head[head]
     share = idf / idf[head]
     held_postings = head[term] == term
-    by_term = np.flatnonzero(held_postings)[np.lexsort((places[held_postings], term[held_postings]))]
+    by_term = np.flatnonzero(held_postings)
+    by_term = by_term[np.argsort(term[by_term] * np.int64(len(ids) + 1) + places[by_term])]
+    del held_postings
     starts = np.searchsorted(term[by_term], np.arange(len(idf) + 1))
     ids, labels = [ids[i] for i in held[order]], labels[held[order]]
     index = ExampleIndex(ids, labels, idf, places[by_term], values[by_term], starts, head, share, block, prior=prior, frequent=frequent)
@@ -341,11 +347,12 @@ def toxicity(
     idf[: len(association)] *= association + LEAST
     share = labels.filter(crc_mod("doc_id", FOLDS) != HELD_OUT).agg(F.avg((F.col("toxic") > 0).cast("double")).alias("p")).collect()[0]["p"] or 0.0
     examples = term_counts(sample, shared, ["doc_id", "toxic"]).toArrow().sort_by("doc_id").combine_chunks()
-    entries = [spread(*_listed(part), parent) for part in examples.to_batches(max_chunksize=TOGETHER)]
-    row = np.concatenate([np.zeros(0, dtype=np.int64), *[e[0] + i * TOGETHER for i, e in enumerate(entries)]])
-    term, times = (np.concatenate([np.zeros(0, dtype=np.int64), *[e[j] for e in entries]]) for j in (1, 2))
+    parts = (spread(*_listed(part), parent) for part in examples.to_batches(max_chunksize=TOGETHER))
+    entries = [(r.astype(np.int32), t.astype(np.int32), c.astype(np.float32)) for r, t, c in parts]
+    row = np.concatenate([np.zeros(0, dtype=np.int32), *[e[0] + np.int32(i * TOGETHER) for i, e in enumerate(entries)]])
+    term, times = (np.concatenate([np.zeros(0, dtype=t), *[e[j] for e in entries]]) for j, t in ((1, np.int32), (2, np.float32)))
     ids, toxic = examples.column("doc_id").to_pylist(), examples.column("toxic").to_numpy().astype(float)
-    del examples, entries
+    del examples, entries, parts
     mark, given = uuid.uuid4().hex, sc.broadcast(index_of(ids, toxic, row, term, times, idf, parent, block, k, min(share, 0.49)).given())  # the sample bounds it
     shown = pa.list_(pa.struct([("doc_id", to_arrow_type(id_type)), ("cosine", pa.float64()), ("label", pa.int32())]))
 
