@@ -80,7 +80,7 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("frequent, pattern", [(0, None), (7, P.PATTERN), (A.FREQUENT, P.PATTERN)])
+@pytest.mark.parametrize("frequent, pattern", [(0, None), (7, P.PATTERN)])
 def test_alignment_is_that_of_brute_force(spark, both, frequent, pattern):
     random.seed(4)
     words = " ".join(t for t in TEXTS if t).split()

@@ -63,8 +63,7 @@ def test_crowded_keys_give_few_pairs(spark):
     assert {r.label for r in near.near_groups(docs, F.col("doc_id"), group=10).collect()} == {0}
 
 
-@pytest.mark.parametrize("group", [10, near.GROUP])
-@pytest.mark.parametrize("levels", [near.LEVELS, near.LEVELS[:1]])
+@pytest.mark.parametrize("group, levels", [(10, near.LEVELS), (near.GROUP, near.LEVELS[:1])])
 def test_no_pair_is_lost_under_crowded_keys(spark, group, levels):
     """Families of texts that share most of their words, so that every key is crowded, but are similar only in pairs."""
     rng = random.Random(17)
