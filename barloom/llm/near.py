@@ -171,30 +171,41 @@ def verified(docs: DataFrame, node: Column, pairs: DataFrame, text: str, similar
     return stored(both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"))
 
 
+def grown(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The labels (v, label) of connected parts with further links: only the parts that these join are worked on."""
+    if labels is None:
+        return components(links)
+    for x in ("a", "b"):
+        links = links.join(labels.select(F.col("v").alias(x), F.col("label").alias(f"_{x}")), x, "left").withColumn(x, F.coalesce(f"_{x}", x)).drop(f"_{x}")
+    links = stored(links.filter("a <> b").distinct())
+    if links.isEmpty():
+        return labels
+    parts = stored(components(links))
+    moved = labels.join(parts.select(F.col("v").alias("label"), F.col("label").alias("_to")), "label", "left").select("v", F.coalesce("_to", "label").alias("label"))
+    return stored(moved.unionByName(parts.join(labels, "v", "left_anti").select("v", "label")))
+
+
 def near_groups(docs: DataFrame, node: Column, text: str = "text", group: int = GROUP, levels: tuple[tuple[int, int], ...] = LEVELS) -> DataFrame:
     """(v, label) of every node that is in a group of near copies: the same label for nodes connected by verified pairs.
 
     ``node`` is a 64-bit number of a row; rows with the same number are one. Rows in no verified pair don't come back. Null
     texts are empty; empty texts and texts without words are alike.
     """
-    links, labels, rows = None, None, docs.withColumn("_node", node)
+    labels, rows = None, docs.withColumn("_node", node)
     for level in levels:
         known = stored(sketches(rows, F.col("_node"), text, level).dropDuplicates(["node"]))
         keyed = stored(labelled(known.select("node", "fp", F.posexplode("keys").alias("band", "key")), labels))
         pairs, crowded = first_pairs(keyed, group)
-        if links is None:
+        if labels is None:
             pairs = pairs.union(fingerprint_pairs(known)).distinct()
-        now = verified(docs, node, stored(pairs), text)
-        links = now if links is None else links.union(now)
-        labels = components(links)
+        labels = grown(labels, verified(docs, node, stored(pairs), text))
         crowded = stored(crowded)
         if crowded.isEmpty():
             break
         pairs, open_ = left_apart(keyed, crowded, labels, level == levels[-1])
         pairs, open_ = stored(pairs), stored(open_)
         if not pairs.isEmpty():
-            links = links.union(verified(docs, node, pairs, text))
-            labels = components(links)
+            labels = grown(labels, verified(docs, node, pairs, text))
         if open_.isEmpty():
             break
         rows = docs.withColumn("_node", node).join(open_.withColumnRenamed("node", "_node"), "_node", "left_semi")
