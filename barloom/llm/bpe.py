@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding by recursive queries.
 
-Spark deals out the documents; each task runs DuckDB in its own process on the distinct words of a few megabytes of text.
+Spark deals out the documents; each task runs DuckDB in its own process on the distinct words of about a megabyte of text.
 A word starts as the list of its bytes' tokens. A recursive query lists token positions as rows, joins neighbours to the
 merge table, and contracts the leftmost pair of the least rank of each word until no pair is left. Decoding joins the
 token positions to the vocabulary and aggregates the bytes in order.
@@ -28,7 +28,7 @@ from barloom.llm.common import fresh, per_process, slices, whole_text
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Text and bytes of words that go into a slice and a query; bytes of a generation of words.
-SLICE_BYTES, QUERY_BYTES, KEPT_BYTES = 4 << 20, 300_000, 96 << 20
+SLICE_BYTES, QUERY_BYTES, KEPT_BYTES = 1 << 20, 300_000, 48 << 20
 #: Bytes of a word that is encoded in pieces, bytes of a piece, and tokens on each side of a seam to begin with.
 LONG_WORD, PIECE, SEAM = 96, 48, 6
 #: What a kept word takes besides its bytes, about.
@@ -209,6 +209,7 @@ def encode_decode(
         raw = df.sparkSession.sparkContext.broadcast(f.read())  # the file's size is fixed
 
     def run(batches):
+        pa.default_memory_pool().release_unused()  # of other tasks of this process
         coder = _coder(raw.value)
         for part in slices(batches, own, slice_bytes):
             texts = [split_words(t, pattern) for t in part.column(own).to_pylist()]

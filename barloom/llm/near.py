@@ -30,6 +30,8 @@ LEVELS = ((4, 20), (8, 60), (16, 400))
 #: Rows outside the largest connected part of a group that are compared with all of it; rows that one task orders by fingerprint.
 PAIRS, GROUP = 8, 1024
 SLICE_BYTES = 1 << 20
+#: Groups, and pairs of sets, that a task has as Python objects at a time.
+TOGETHER = 64
 
 
 def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
@@ -88,8 +90,14 @@ def sketches(docs: DataFrame, node: Column, text: str, level: tuple[int, int] =
     return docs.select(node.alias("node"), whole_text(text).alias("_text")).mapInArrow(run, schema)
 
 
+def _parts(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, TOGETHER):
+            yield batch.slice(at, TOGETHER)
+
+
 def _group_pairs(batches):
-    for part in batches:
+    for part in _parts(batches):
         pairs = set()
         for group in part.column("found").to_pylist():
             rows = sorted((r["fp"], r["node"], r["label"]) for r in group)
@@ -161,7 +169,7 @@ def verified(docs: DataFrame, node: Column, pairs: DataFrame, text: str, similar
     )
 
     def check(batches):
-        for part in batches:
+        for part in _parts(batches):
             own = [
                 jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similar
                 for x, y in zip(part.column("sa").to_pylist(), part.column("sb").to_pylist(), strict=True)
