@@ -36,6 +36,13 @@ FREQUENT, TOGETHER, FIRST_BLOCKS = 2048, 64, 6
 #: Weights of frequent terms are kept in single precision: how much less a bound may be for that.
 SINGLE = 1e-5
 _WORD, KEPT_WORDS = re.compile(r"[^\W\d_]+"), 300_000
+_ASCII_WORD = re.compile("[a-z]+")
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text, lower-cased: runs of letters. ASCII texts go by a plain class."""
+    low = text.lower()
+    return (_ASCII_WORD if low.isascii() else _WORD).findall(low)
 
 
 def chain(word: str) -> list[str]:
@@ -84,7 +91,7 @@ def term_counts(df: DataFrame, shared, carry: list[str], text: str = "text") ->
             cuts, found, times = [0], [], []
             for text in part.column("_text").to_pylist():
                 counts: dict[int, int] = {}
-                for word, n in Counter(_WORD.findall(text.lower())).items():
+                for word, n in Counter(words_of(text)).items():
                     if (t := known.get(word)) is None:
                         if len(known) > KEPT_WORDS:
                             known.clear()
@@ -137,7 +144,7 @@ def sample_terms(sample: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
 
     def run(batches):
         for part in slices(batches, "text", 4 << 20):
-            rows = [(t, y) for text, y in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True) for t in set().union(*map(chain, set(_WORD.findall((text or "").lower()))))]
+            rows = [(t, y) for text, y in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True) for t in set().union(*map(chain, set(words_of(text or ""))))]
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.string()), pa.array([y for _, y in rows], pa.int32())], names=["term", "toxic"])
 
     sides = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
@@ -218,10 +225,16 @@ class ExampleIndex:
         keys, at = np.unique(row * len(self.head) + self.head[term], return_inverse=True)
         row, term, weight = keys // len(self.head), keys % len(self.head), np.bincount(at, weight * self.share[term])
         rare = self.column[term] < 0
-        start, end = self.starts[term[rare]], self.starts[term[rare] + 1]
-        at = _ranges(start, end)
-        cells = np.repeat(row[rare], end - start) * width + self.places[at]
-        known = np.bincount(cells, np.repeat(weight[rare], end - start) * self.values[at], minlength=n * width).reshape(n, width)
+        start, sizes = self.starts[term[rare]], self.starts[term[rare] + 1] - self.starts[term[rare]]
+        cuts, own = np.searchsorted(row[rare], np.arange(n + 1)), weight[rare]
+        ends = np.cumsum(sizes)
+        steps, known = np.arange(ends[-1] if len(ends) else 0), np.zeros((n, width))
+        shift = start - (ends - sizes)
+        for i in np.flatnonzero(np.diff(cuts)):  # a row's postings at a time stay in the cache
+            x = slice(cuts[i], cuts[i + 1])
+            at = np.repeat(shift[x], sizes[x])
+            at += steps[ends[x.stop - 1] - len(at) : ends[x.stop - 1]]
+            known[i] = np.bincount(self.places.take(at), np.repeat(own[x], sizes[x]) * self.values.take(at), minlength=width)
         often = np.zeros((n, self.dense.shape[1]), dtype=np.float32)
         often[row[~rare], self.column[term[~rare]]] = weight[~rare]
         bounds = often @ self.most.T + known.reshape(n, self.blocks, self.block).max(axis=2)
