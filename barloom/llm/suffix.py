@@ -32,6 +32,8 @@ LENGTH, GRAM, GROUP = 200, 40, 256
 WIDTHS = (8, 1)
 #: Bytes of text that one suffix array holds, about, and bytes of a long text that are hashed at a time.
 BATCH_BYTES, STRIDE = 1 << 20, 1 << 20
+#: Bytes by which suffixes are sorted at once, and from which on intervals are extended.
+WIDE = 7
 _POSITION = np.uint64((1 << 24) - 1)
 _BASE = 0x9E3779B97F4A7C15
 _BYTE_CODES = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -98,34 +100,41 @@ def piece_codes(raw: bytes, firsts: np.ndarray, sizes: np.ndarray, length: int =
     return np.array([code(raw[a:b]) for a, b in zip(firsts.tolist(), ends.tolist(), strict=True)], dtype=np.uint64).view(np.int64)
 
 
-def suffix_order(data: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Suffixes in order. ``left``: bytes up to the end of the suffix's string; equal ones go by position."""
+def first_bytes(data: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The ``WIDE`` bytes from each position, as many as its string has, and their number, in one integer."""
     n = len(data)
-    packed, at = np.zeros(n, dtype=np.uint64), np.arange(n)
-    for k in range(7):
-        byte = np.where(left > k, data[np.minimum(at + k, n - 1)], 0).astype(np.uint64)
-        packed = (packed << np.uint64(8)) | byte
-    packed = (packed << np.uint64(8)) | np.minimum(left, 7).astype(np.uint64)
-    order = np.argsort(packed, kind="stable")
-    new = np.concatenate(([True], packed[order][1:] != packed[order][:-1]))
+    wide = np.concatenate((data, np.zeros(WIDE, dtype=np.uint8))).astype(np.uint64)
+    packed = wide[:n].copy()
+    for k in range(1, WIDE):
+        packed <<= np.uint64(8)
+        packed |= wide[k : n + k]
+    has = np.minimum(left, WIDE).astype(np.uint64)
+    beyond = (np.uint64(WIDE) - has) * np.uint64(8)
+    return (packed >> beyond << beyond << np.uint64(8)) | has
+
+
+def suffix_order(data: np.ndarray, left: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    """Suffixes in order, ``packed`` by their first bytes. ``left``: bytes up to the end of the suffix's string; equal ones go by position."""
+    n, at = len(data), np.arange(len(data))
+    order = np.argsort(packed)
+    ahead = packed[order]
+    fresh = np.concatenate(([True], ahead[1:] != ahead[:-1]))
     rank = np.empty(n, dtype=np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new, at, 0))
-    span, tied = 7, order
+    rank[order] = np.maximum.accumulate(np.where(fresh, at, 0))
+    span, tied = WIDE, order
     while True:
-        size = np.bincount(rank, minlength=n)
-        tied = tied[size[rank[tied]] > 1]
+        tied = tied[~(fresh & np.append(fresh[1:], True))]
         if not len(tied):
             break
-        ahead = tied + span
-        second = np.where(left[tied] >= span, rank[np.minimum(ahead, n - 1)] + n, tied)
+        second = np.where(left[tied] >= span, rank[np.minimum(tied + span, n - 1)] + n, tied)
         key = rank[tied] * (2 * n) + second
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         tied, key = tied[by], key[by]
         head = rank[tied]
         start = np.concatenate(([True], head[1:] != head[:-1]))
-        inside = np.arange(len(tied)) - np.maximum.accumulate(np.where(start, np.arange(len(tied)), 0))
         fresh = np.concatenate(([True], key[1:] != key[:-1]))
-        rank[tied] = head + np.maximum.accumulate(np.where(fresh, inside + np.cumsum(start) * n, 0)) % n
+        place = at[: len(tied)]
+        rank[tied] = head + np.maximum.accumulate(np.where(fresh, place, 0)) - np.maximum.accumulate(np.where(start, place, 0))
         span *= 2
     order = np.empty(n, dtype=np.int64)
     order[rank] = at
@@ -139,12 +148,13 @@ def repeated_windows(texts: list[bytes], length: int = LENGTH) -> list[np.ndarra
     ends = np.cumsum(sizes + 1) - 1
     left = np.repeat(ends, sizes + 1) - np.arange(len(data))
     n = len(data)
-    sa = suffix_order(data, left)
+    packed = first_bytes(data, left)
+    sa = suffix_order(data, left, packed)
     rank = np.empty(n, dtype=np.int64)
     rank[sa] = np.arange(n)
     starts = np.concatenate(([0], ends[:-1] + 1))
     # the transform: the byte before each suffix (-1 at a text's start), and where the suffix longer by it stands
-    before = np.full(n, -1, dtype=np.int64)
+    before = np.full(n, -1, dtype=np.int16)
     before[1:] = np.where(left[:-1] > 0, data[:-1], -1)
     before[starts] = -1
     bwt, longer = before[sa], rank[sa - 1]
@@ -153,20 +163,21 @@ def repeated_windows(texts: list[bytes], length: int = LENGTH) -> list[np.ndarra
     following, preceding = np.full(n, n), np.full(n, -1)
     following[by_byte[:-1][same]] = by_byte[1:][same]
     preceding[by_byte[1:][same]] = by_byte[:-1][same]
-    # strings of length one: the bytes, and the end of each text
-    first = np.where(left[sa] > 0, data[sa].astype(np.int64), -1 - np.arange(n))
+    # the first strings: WIDE bytes or one, and the end of each text
+    known, ended = (WIDE, left[sa] < WIDE) if length >= WIDE else (1, left[sa] < 1)
+    first = packed[sa] if known == WIDE else data[sa]
     apart = np.zeros(n + 1, dtype=bool)
     apart[0] = apart[n] = True
-    apart[1:n] = first[1:] != first[:-1]
+    apart[1:n] = (first[1:] != first[:-1]) | ended[1:] | (ended[:-1] != ended[1:])
     low = np.flatnonzero(apart[:n])
     high = np.append(low[1:], n) - 1
-    for _ in range(1, length):
+    for _ in range(known, length):
         if not len(low):
             break
         width = high - low + 1
         at = np.repeat(low - np.cumsum(width) + width, width) + np.arange(width.sum())
-        known = bwt[at] >= 0
-        at, bottom, top = at[known], np.repeat(low, width)[known], np.repeat(high, width)[known]
+        inner = bwt[at] >= 0
+        at, bottom, top = at[inner], np.repeat(low, width)[inner], np.repeat(high, width)[inner]
         # of each byte before an interval, its first and last place there bound the longer interval
         new_low = np.sort(longer[at[preceding[at] < bottom]])
         new_high = np.sort(longer[at[following[at] > top]])
