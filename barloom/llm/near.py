@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructType
 
 from barloom.llm.common import slices, stored, whole_text
 from barloom.llm.simhash import SEED, block_links, components
@@ -32,6 +32,8 @@ PAIRS, GROUP = 8, 1024
 SLICE_BYTES = 1 << 20
 #: Groups, and pairs of sets, that a task has as Python objects at a time.
 TOGETHER = 64
+#: Leading bits of a shingle's hash by which the shingles of a text are counted, for a bound of what two texts share.
+PART_BITS = 6
 
 
 def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
@@ -73,20 +75,33 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
+def part_counts(found: np.ndarray) -> np.ndarray:
+    """How many of a set of shingles lie in each equal part of the hashes."""
+    return np.bincount((found >> np.uint64(64 - PART_BITS)).astype(np.int64), minlength=1 << PART_BITS).astype(np.int32)
+
+
+def may_be_similar(a: str, b: str) -> Column:
+    """Whether the counts of two sets allow the similarity: in no part they share more than the lesser count. Never false for a similar pair."""
+    both = F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    total = F.aggregate(F.concat(a, b), F.lit(0), lambda x, y: x + y)
+    return both * (1 + SIMILAR) >= total * SIMILAR - 1e-6
+
+
 def sketches(docs: DataFrame, node: Column, text: str, level: tuple[int, int] = LEVELS[0]) -> DataFrame:
-    """node, fp (SimHash of the five-word shingles) and keys of every row. A text is shingled once."""
+    """node, fp (SimHash of the five-word shingles), keys and counts by part of every row. A text is shingled once."""
 
     def run(batches):
         for part in slices(batches, "_text", SLICE_BYTES):
-            prints, keys = [], []
+            prints, keys, counts = [], [], []
             for text in part.column("_text").to_pylist():
                 found = shingles(text)
                 prints.append(fingerprint(found))
                 keys.append(band_keys(found, *level))
-            columns = [part.column("node"), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "fp", "keys"])
+                counts.append(part_counts(found))
+            columns = [part.column("node"), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "fp", "keys", "counts"])
 
-    schema = StructType().add("node", LongType()).add("fp", LongType()).add("keys", ArrayType(LongType()))
+    schema = StructType().add("node", LongType()).add("fp", LongType()).add("keys", ArrayType(LongType())).add("counts", ArrayType(IntegerType()))
     return docs.select(node.alias("node"), whole_text(text).alias("_text")).mapInArrow(run, schema)
 
 
@@ -137,16 +152,19 @@ def fingerprint_pairs(known: DataFrame) -> DataFrame:
     return same.union(linked).filter("a <> b").distinct()
 
 
-def left_apart(keyed: DataFrame, crowded: DataFrame, labels: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
-    """Of crowded groups that are not connected: pairs of rows outside the largest part with all others, and the nodes for
-    which that would be too many and that need finer keys (none on the last level)."""
-    rows = stored(labelled(keyed.join(crowded, ["band", "key"], "left_semi").drop("label"), labels).select("band", "key", "node", "label"))
+def left_apart(keyed: DataFrame, crowded: DataFrame, labels: DataFrame | None, last: bool, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of crowded groups that are not connected: pairs of rows outside the largest part with all others, but for pairs that
+    the counts in ``known`` show to be unlike, and the nodes for which that would be too many and that need finer keys (none
+    on the last level)."""
+    marks = labelled(known.select("node", "counts"), labels)
+    rows = stored(keyed.join(crowded, ["band", "key"], "left_semi").drop("label").join(marks, "node").select("band", "key", "node", "label", "counts"))
     parts = rows.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("n"))
     parts = parts.groupBy("band", "key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all"))
     open_ = stored(parts.filter(F.col("all") > F.col("most.n")).select("band", "key", F.col("most.label").alias("main"), (F.col("all") - F.col("most.n")).alias("others")))
     few = open_ if last else open_.filter(F.col("others") <= PAIRS)
-    outside = rows.join(few, ["band", "key"]).filter("label <> main").select("band", "key", "main", F.col("node").alias("a"), F.col("label").alias("la"))
-    both = outside.join(rows.withColumnsRenamed({"node": "b", "label": "lb"}), ["band", "key"]).filter("la <> lb AND (lb = main OR a < b)")
+    outside = rows.join(few, ["band", "key"]).filter("label <> main").select("band", "key", "main", F.col("node").alias("a"), F.col("label").alias("la"), F.col("counts").alias("ca"))
+    both = outside.join(rows.withColumnsRenamed({"node": "b", "label": "lb", "counts": "cb"}), ["band", "key"]).filter("la <> lb AND (lb = main OR a < b)")
+    both = both.filter(may_be_similar("ca", "cb"))
     pairs = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     many = rows.join(open_.filter(F.col("others") > PAIRS).select("band", "key"), ["band", "key"], "left_semi").select("node").distinct()
     return pairs, many.filter(F.lit(not last))
@@ -210,7 +228,7 @@ def near_groups(docs: DataFrame, node: Column, text: str = "text", group: int =
         crowded = stored(crowded)
         if crowded.isEmpty():
             break
-        pairs, open_ = left_apart(keyed, crowded, labels, level == levels[-1])
+        pairs, open_ = left_apart(keyed, crowded, labels, level == levels[-1], known)
         pairs, open_ = stored(pairs), stored(open_)
         if not pairs.isEmpty():
             labels = grown(labels, verified(docs, node, pairs, text))
