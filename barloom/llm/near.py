@@ -7,9 +7,12 @@ give candidates, and every candidate is verified by the exact Jaccard similarity
 
 A key that few rows share gives all pairs. Under a crowded key each row is first compared with the group's first row and
 with its neighbour in the order of fingerprints, which connects a family of copies. What is then left apart decides: if all
-but a few rows are connected, the few are compared with everything under the key; else the rows get keys of more minima, by
-which they part, and the same is done again. On the last level all rows outside the largest connected part are compared with
-everything under their key. So no pair under a key is left out but pairs that are connected already.
+but a few rows are connected, the few are compared with everything under the key; else all rows under the key go to an exact
+join of sets by prefixes. With the shingles of each set ordered by how many sets hold them, rarest first, two similar sets
+share one of their first fifth; a set whose own shingles fill its first fifth is similar to none and leaves. A shingle that
+many sets have so early is no list of pairs: the sets outside the largest connected part are compared with all, in blocks of
+bounded size, and a block gives links that connect, fewer than it has rows. So no pair under a key is left out but pairs that
+are connected already.
 """
 
 from __future__ import annotations
@@ -19,17 +22,20 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
 from barloom.llm.common import slices, stored, whole_text
 from barloom.llm.simhash import SEED, block_links, components
 
 SHINGLE, SIMILAR = 5, 0.8
 #: Minima in a key and keys of a text on each level; two texts at the least similarity share none with a chance under 1e-4.
-LEVELS = ((4, 20), (8, 60), (16, 400))
+#: Rows that the last level leaves apart are joined exactly.
+LEVELS = ((4, 20),)
 #: Rows outside the largest connected part of a group that are compared with all of it; rows that one task orders by fingerprint.
 PAIRS, GROUP = 8, 1024
 SLICE_BYTES = 1 << 20
+#: Rows, and bytes of sets on average, of either side of a block.
+BLOCK, BLOCK_BYTES = 1024, 4 << 20
 #: Groups, and pairs of sets, that a task has as Python objects at a time.
 TOGETHER = 64
 #: Leading bits of a shingle's hash by which the shingles of a text are counted, for a bound of what two texts share.
@@ -170,33 +176,106 @@ def left_apart(keyed: DataFrame, crowded: DataFrame, labels: DataFrame | None, l
     return pairs, many.filter(F.lit(not last))
 
 
-def verified(docs: DataFrame, node: Column, pairs: DataFrame, text: str, similar: float = SIMILAR) -> DataFrame:
-    """The pairs whose texts have at least the similarity. Only texts of some pair are read again; a row has two sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def shingle_sets(docs: DataFrame, node: Column, text: str, wanted: DataFrame) -> DataFrame:
+    """node and found (the hashes of its shingles) of the nodes in ``wanted``. Only their texts are read again."""
 
-    def sets(batches):
+    def run(batches):
         for part in slices(batches, "_text", SLICE_BYTES):
-            found = pa.array([shingles(t).tobytes() for t in part.column("_text").to_pylist()], pa.binary())
+            found = pa.array([shingles(t).view(np.int64) for t in part.column("_text").to_pylist()], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([part.column("node"), found], names=["node", "found"])
 
-    schema = StructType().add("node", LongType()).add("found", BinaryType())
-    rows = docs.select(node.alias("node"), whole_text(text).alias("_text")).join(stored(wanted), "node", "left_semi")
-    found = stored(rows.mapInArrow(sets, schema).dropDuplicates(["node"]))
-    both = pairs.join(found.select(F.col("node").alias("a"), F.col("found").alias("sa")), "a").join(
-        found.select(F.col("node").alias("b"), F.col("found").alias("sb")), "b"
+    schema = StructType().add("node", LongType()).add("found", ArrayType(LongType()))
+    rows = docs.select(node.alias("node"), whole_text(text).alias("_text")).join(wanted, "node", "left_semi")
+    return stored(rows.mapInArrow(run, schema).dropDuplicates(["node"]))
+
+
+def compared(pairs: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """The pairs whose sets have at least the similarity."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("found").alias("sa")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("found").alias("sb")), "b"
     )
 
     def check(batches):
         for part in _parts(batches):
-            own = [
-                jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similar
-                for x, y in zip(part.column("sa").to_pylist(), part.column("sb").to_pylist(), strict=True)
-            ]
+            own = [jaccard(x.values.to_numpy(), y.values.to_numpy()) >= similar for x, y in zip(part.column("sa"), part.column("sb"), strict=True)]
             yield part.select(["a", "b"]).filter(pa.array(own, pa.bool_()))
 
     return stored(both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"))
 
 
+def verified(docs: DataFrame, node: Column, pairs: DataFrame, text: str, similar: float = SIMILAR) -> DataFrame:
+    """The pairs whose texts have at least the similarity. Only texts of some pair are read again; a row has two sets."""
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    return compared(pairs, shingle_sets(docs, node, text, wanted), similar)
+
+
+def prefixes(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """node, size and t: the shingles among the first of each set, rarest first, that another set has too. Of two sets with at
+    least the similarity, neither empty, some t is the same: else the first has over a fifth that the second lacks."""
+    each = sets.select("node", F.explode("found").alias("t"))
+    often = each.groupBy("t").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = each.join(often, "t").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "t"))).alias("shared"))
+    size = sets.select("node", F.size("found").alias("size"))
+    first = F.col("size") - F.ceil(F.col("size") * similar - 1e-6) + 1
+    held = (first - (F.col("size") - F.size("shared"))).cast("int")  # the shingles that no other set has come first
+    found = size.join(shared, "node").withColumn("held", held).filter("held > 0")
+    return found.select("node", "size", F.explode(F.expr("slice(shared.t, 1, held)")).alias("t"))
+
+
+def block_pairs(table: pa.Table, similar: float = SIMILAR) -> pa.Table:
+    """Links (a, b) of similar sets of different labels, a outside the largest part (``own``), that connect all such pairs of a block."""
+    own, node, label = (table.column(c).to_numpy() for c in ("own", "node", "label"))
+    if own.all() or not own.any():
+        return pa.table({x: pa.array([], pa.int64()) for x in ("a", "b")})
+    sets = [x.values.to_numpy() for x in table.column("found")]
+    sizes = np.array([len(x) for x in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(sizes)
+    others = np.flatnonzero(~own)
+    theirs, starts = np.concatenate([ids[ends[j] - sizes[j] : ends[j]] for j in others]), np.cumsum(sizes[others]) - sizes[others]
+    part, has, links = np.unique(label, return_inverse=True)[1], np.zeros(len(ids), dtype=bool), []
+    for i in np.flatnonzero(own):
+        mine = ids[ends[i] - sizes[i] : ends[i]]
+        has[mine] = True
+        both = np.add.reduceat(has[theirs], starts, dtype=np.int64)
+        has[mine] = False
+        near = others[(both / (sizes[i] + sizes[others] - both) >= similar) & (part[others] != part[i])]
+        joined, at = np.unique(part[near], return_index=True)
+        links += [(node[i], node[j]) for j in near[at]]
+        part[np.isin(part, joined)] = part[i]
+    return pa.table({x: pa.array([link[k] for link in links], pa.int64()) for k, x in enumerate(("a", "b"))})
+
+
+def joined(sets: DataFrame, labels: DataFrame | None, block: int = BLOCK) -> DataFrame:
+    """Links that connect all nodes whose sets (node, found) have at least the similarity; pairs of the same label are left out."""
+    keyed = stored(labelled(prefixes(sets), labels))
+    parts = keyed.groupBy("t", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    most = F.max(F.struct("n", "size", "label")).alias("most")
+    groups = parts.groupBy("t").agg(F.sum("n").alias("all"), F.sum("size").alias("size"), most)
+    groups = stored(groups.filter(F.col("all") > F.col("most.n")))
+    small = keyed.join(groups.filter(F.col("all") <= PAIRS + 1).select("t"), "t").withColumn("fp", F.lit(0))
+    small = small.groupBy("t").agg(F.collect_list(F.struct("fp", "node", "label")).alias("found")).select("found")
+    links = compared(stored(small.mapInArrow(_group_pairs, "a long, b long").distinct()), sets)
+    large = groups.filter(F.col("all") > PAIRS + 1)
+    if large.isEmpty():
+        return links
+
+    def cuts(rows: Column, size: Column) -> Column:
+        return F.ceil(F.greatest(rows / block, size * 8 / BLOCK_BYTES)).cast("int")
+
+    large = large.select("t", F.col("most.label").alias("main"), cuts(F.col("all"), F.col("size")).alias("wide"),
+                         cuts(F.col("all") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("high"))
+    rows = stored(keyed.join(large, "t").select("t", "node", "label", "wide", "high", (F.col("label") != F.col("main")).alias("apart")))
+    mark = F.xxhash64("t", "node")
+    row, column = F.pmod(mark, "high").cast("int"), F.pmod(mark, "wide").cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.filter("apart").select("t", "node", "label", F.lit(True).alias("own"), row.alias("i"), every("wide").alias("j"))
+    right = rows.select("t", "node", "label", F.lit(False).alias("own"), every("high").alias("i"), column.alias("j"))
+    dealt = left.unionByName(right).join(sets, "node")
+    found = dealt.groupBy("t", "i", "j").applyInArrow(lambda x: block_pairs(x), "a long, b long")
+    return links.union(stored(found.distinct()))
+
+
 def grown(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """The labels (v, label) of connected parts with further links: only the parts that these join are worked on."""
     if labels is None:
@@ -227,12 +306,12 @@ def near_groups(docs: DataFrame, node: Column, text: str = "text", group: int =
         labels = grown(labels, verified(docs, node, stored(pairs), text))
         crowded = stored(crowded)
         if crowded.isEmpty():
-            break
-        pairs, open_ = left_apart(keyed, crowded, labels, level == levels[-1], known)
+            return labels
+        pairs, open_ = left_apart(keyed, crowded, labels, False, known)
         pairs, open_ = stored(pairs), stored(open_)
         if not pairs.isEmpty():
             labels = grown(labels, verified(docs, node, pairs, text))
         if open_.isEmpty():
-            break
+            return labels
         rows = docs.withColumn("_node", node).join(open_.withColumnRenamed("node", "_node"), "_node", "left_semi")
-    return labels
+    return grown(labels, joined(shingle_sets(docs, node, text, open_), labels, min(group, BLOCK)))

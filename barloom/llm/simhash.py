@@ -129,7 +129,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round hooks nodes to their smallest neighbour, follows the hooks twice, and contracts the links.
     """
-    links = stored(links.filter("a <> b"))
+    links = stored(links.select("a", "b").filter("a <> b"))  # in this order: below they are joined by position
     labels = stored(links.select(F.explode(F.array("a", "b")).alias("v")).distinct().withColumn("label", F.col("v")))
     while not links.isEmpty():
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
